@@ -1 +1,46 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: correlation (G)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablelens.operators.corr import correlation_columns, correlation_matrix, correlation_with_target
+from tablelens.plans.catalog import query, table
+
+_COLS = ["l_quantity", "l_extendedprice", "d", "l_tax", "one"]
+_SRC = """b AS (SELECT l_quantity, l_extendedprice, nullif(l_discount, 0.05) AS d, l_tax, 1.0 AS one FROM lineitem)"""
+
+
+def _base(spark, sf):
+    return table(spark, sf, "lineitem").select(
+        "l_quantity", "l_extendedprice", F.nullif("l_discount", F.lit(0.05)).alias("d"), "l_tax",
+        F.lit(1.0).alias("one"), "l_returnflag",
+    )
+
+
+def _r(a, b):
+    return f"round(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END, 2)"
+
+
+_pairs = [(a, b) for a in _COLS for b in _COLS]
+
+
+@query("correlation_matrix", f"WITH {_SRC}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {_r(a, b)} AS r FROM b" for a, b in _pairs))
+def q_corr_matrix(spark, sf):
+    """G1: pairwise-complete Pearson matrix with a constant column and nulls."""
+    df = _base(spark, sf)
+    return correlation_matrix(df, correlation_columns(df, _COLS))
+
+
+_targets = [c for c in _COLS if c != "l_extendedprice"]
+
+
+@query("correlation_with_target", f"WITH {_SRC}, t AS (\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", {_r('l_extendedprice', c)} AS r FROM b" for c in _targets
+) + """)
+SELECT "column", r, CAST(row_number() OVER (ORDER BY r DESC NULLS LAST, "column") - 1 AS INTEGER) AS position FROM t""")
+def q_corr_target(spark, sf):
+    """Correlations with the price column, largest first."""
+    df = _base(spark, sf)
+    return correlation_with_target(df, "l_extendedprice", _COLS)
