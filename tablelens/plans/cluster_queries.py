@@ -1 +1,131 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: standardisation, clustering, projection (C9, F, H18)."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from tablelens.functions.scalar import standardize
+from tablelens.operators.cluster import (
+    assign_to_centroids,
+    cluster_features,
+    inertia_frame,
+    kmeans_cluster,
+    kmeans_metrics,
+    pca_project,
+    silhouette_frame,
+)
+from tablelens.plans.catalog import query, table
+
+CENTROIDS = [[-1.0, -1.0], [0.0, 0.0], [1.0, 1.0], [1.0, -1.0]]
+
+
+def _customers(spark, sf):
+    """Customers with their balance and total order value (missing when no orders)."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("order_total"))
+    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", "c_acctbal", "order_total")
+
+
+_CUST_SQL = """c AS (SELECT c_custkey, c_acctbal, order_total FROM customer
+  LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS order_total FROM orders GROUP BY 1) o ON c_custkey = o_custkey),
+f0 AS (SELECT * FROM c WHERE c_acctbal IS NOT NULL AND order_total IS NOT NULL),
+s AS (SELECT avg(c_acctbal) AS m1, CASE WHEN stddev_pop(c_acctbal) > 0 THEN stddev_pop(c_acctbal) ELSE 1 END AS s1,
+             avg(order_total) AS m2, CASE WHEN stddev_pop(order_total) > 0 THEN stddev_pop(order_total) ELSE 1 END AS s2 FROM f0),
+f AS (SELECT c_custkey, (c_acctbal - m1) / s1 AS z1, (order_total - m2) / s2 AS z2 FROM f0, s)"""
+
+
+def _d(i):
+    a, b = CENTROIDS[i]
+    return f"((z1 - ({a})) * (z1 - ({a})) + (z2 - ({b})) * (z2 - ({b})))"
+
+
+_ARGMIN = f"""CASE WHEN {_d(0)} <= {_d(1)} AND {_d(0)} <= {_d(2)} AND {_d(0)} <= {_d(3)} THEN 0
+  WHEN {_d(1)} <= {_d(2)} AND {_d(1)} <= {_d(3)} THEN 1 WHEN {_d(2)} <= {_d(3)} THEN 2 ELSE 3 END"""
+
+
+@query("standardize", """
+WITH s AS (SELECT avg(p_size) AS m1, CASE WHEN stddev_pop(p_size) > 0 THEN stddev_pop(p_size) ELSE 1 END AS s1,
+                  avg(p_retailprice) AS m2, CASE WHEN stddev_pop(p_retailprice) > 0 THEN stddev_pop(p_retailprice) ELSE 1 END AS s2
+           FROM part)
+SELECT p_partkey, round((p_size - m1) / s1, 8) AS p_size_z, round((p_retailprice - m2) / s2, 8) AS p_retailprice_z FROM part, s
+""")
+def q_standardize(spark, sf):
+    """Z-scores with the population standard deviation."""
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    z = standardize(p, ["p_size", "p_retailprice"], suffix="_z")
+    return z.select("p_partkey", F.round("p_size_z", 8).alias("p_size_z"), F.round("p_retailprice_z", 8).alias("p_retailprice_z"))
+
+
+@query("cluster_features", f"WITH {_CUST_SQL}\nSELECT c_custkey, round(z1, 8) AS z1, round(z2, 8) AS z2 FROM f")
+def q_cluster_features(spark, sf):
+    """complete rows of the chosen features, standardised."""
+    feat = cluster_features(_customers(spark, sf), ["c_acctbal", "order_total", "c_custkey_missing"])
+    return feat.df.select("c_custkey", F.round(feat.zcols[0], 8).alias("z1"), F.round(feat.zcols[1], 8).alias("z2"))
+
+
+@query("assign_to_centroids", f"WITH {_CUST_SQL}\nSELECT c_custkey, 'Кластер ' || CAST({_ARGMIN} AS VARCHAR) AS label FROM f")
+def q_assign(spark, sf):
+    """nearest of four fixed centroids in standardised space."""
+    feat = cluster_features(_customers(spark, sf), ["c_acctbal", "order_total"])
+    return assign_to_centroids(feat, CENTROIDS, out="label").select("c_custkey", "label")
+
+
+@query("kmeans_inertia_fixed", f"""WITH {_CUST_SQL}
+SELECT round(sum(least({_d(0)}, {_d(1)}, {_d(2)}, {_d(3)})), 6) AS inertia FROM f""")
+def q_inertia(spark, sf):
+    """F5 core: inertia of fixed centroids."""
+    feat = cluster_features(_customers(spark, sf), ["c_acctbal", "order_total"])
+    return inertia_frame(feat, CENTROIDS).select(F.round("inertia", 6).alias("inertia"))
+
+
+@query("silhouette", f"""WITH {_CUST_SQL},
+l AS (SELECT c_custkey, z1, z2, {_ARGMIN} AS lab FROM f),
+n AS (SELECT lab, count(*) AS n FROM l GROUP BY lab),
+p AS (SELECT a.c_custkey, a.lab AS la, b.lab AS lb,
+             sum((a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2)) AS tot
+      FROM l a JOIN l b ON TRUE GROUP BY 1, 2, 3),
+q AS (SELECT p.c_custkey, p.la, n1.n AS na,
+             max(CASE WHEN p.lb = p.la THEN p.tot / greatest(n1.n - 1, 1) END) AS a,
+             min(CASE WHEN p.lb <> p.la THEN p.tot / n2.n END) AS b
+      FROM p JOIN n n1 ON n1.lab = p.la JOIN n n2 ON n2.lab = p.lb GROUP BY 1, 2, 3)
+SELECT round(avg(CASE WHEN na <= 1 THEN 0.0 ELSE coalesce((b - a) / greatest(a, b), 0.0) END), 8) AS silhouette FROM q""")
+def q_silhouette(spark, sf):
+    """squared-Euclidean silhouette of the fixed-centroid labels, exact
+    from per-cluster sums (the SQL check sums over every pair instead)."""
+    feat = cluster_features(_customers(spark, sf), ["c_acctbal", "order_total"])
+    lab = assign_to_centroids(feat, CENTROIDS, out="lab")
+    return silhouette_frame(lab, feat.zcols, "lab").select(F.round("silhouette", 8).alias("silhouette"))
+
+
+_R = "corr(z1, z2)"
+
+
+@query("pca_project", f"""WITH s AS (SELECT avg(p_size) AS m1, CASE WHEN stddev_pop(p_size) > 0 THEN stddev_pop(p_size) ELSE 1 END AS s1,
+                  avg(p_retailprice) AS m2, CASE WHEN stddev_pop(p_retailprice) > 0 THEN stddev_pop(p_retailprice) ELSE 1 END AS s2
+           FROM part),
+f AS (SELECT p_partkey, (p_size - m1) / s1 AS z1, (p_retailprice - m2) / s2 AS z2 FROM part, s),
+r AS (SELECT {_R} AS r FROM f)
+SELECT p_partkey,
+  round(CASE WHEN r >= 0 THEN (z1 + z2) ELSE (z1 - z2) END / {math.sqrt(2)!r}, 6) AS "PCA1",
+  round(CASE WHEN r >= 0 THEN (z1 - z2) ELSE (z1 + z2) END / {math.sqrt(2)!r}, 6) AS "PCA2"
+FROM f, r""")
+def q_pca(spark, sf):
+    """first two principal components of two standardised columns."""
+    feat = cluster_features(table(spark, sf, "part"), ["p_size", "p_retailprice"])
+    return pca_project(feat).select("p_partkey", F.round("PCA1", 6).alias("PCA1"), F.round("PCA2", 6).alias("PCA2"))
+
+
+@query("kmeans_cluster", None)
+def q_kmeans(spark, sf):
+    """k-means (k = 4, best of 10 seeded starts) on customer balance and
+    order value; label and PCA scores on every customer row."""
+    out = kmeans_cluster(_customers(spark, sf), ["c_acctbal", "order_total"], k=4)
+    return out.select("c_custkey", "Кластеры", "PCA1", "PCA2")
+
+
+@query("chart_cluster_metrics", None)
+def q_cluster_metrics(spark, sf):
+    """Elbow (inertia) and silhouette for k = 2..12."""
+    return kmeans_metrics(_customers(spark, sf), ["c_acctbal", "order_total"])
