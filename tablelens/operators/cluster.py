@@ -102,11 +102,23 @@ def _fit_one(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float):
     return float(model.summary.trainingCost), [list(map(float, c)) for c in model.clusterCenters()]
 
 
-def _vectors(feat: Features) -> DataFrame:
+_TARGET_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def _vectors(feat: Features, n_rows: int | None = None) -> DataFrame:
+    """Dense feature vectors, checkpointed, in partitions of about 64 MB.
+
+    k-means makes many short passes; partitions sized by data volume keep
+    each pass at a few tasks per 64 MB (one task for a small table, so
+    concurrent fits can share the cores) instead of a fixed count.
+    """
     from pyspark.ml.feature import VectorAssembler
 
+    n_rows = n_rows if n_rows is not None else feat.df.count()
+    est_bytes = n_rows * (8 * len(feat.zcols) + 64)
+    parts = max(1, math.ceil(est_bytes / _TARGET_PARTITION_BYTES))
     vec = VectorAssembler(inputCols=feat.zcols, outputCol="__tl_vec").transform(feat.df.select(*feat.zcols))
-    return materialize(vec.select("__tl_vec"))
+    return materialize(vec.select("__tl_vec").repartition(parts))
 
 
 def best_kmeans(feat: Features, k: int, starts: int = KMEANS_STARTS, seed: int = KMEANS_SEED,
@@ -269,7 +281,7 @@ def kmeans_metrics(df: DataFrame, cols, starts: int = KMEANS_STARTS, seed: int =
     feat = Features(fz, feat.cols, feat.zcols, feat.means, feat.stds)
     n = fz.count()
     k_max = max_k or max(3, min(12, n - 1))
-    vec = _vectors(feat)
+    vec = _vectors(feat, n)
     ks = [k for k in range(2, k_max + 1) if k <= n]
     jobs = [(k, seed + i) for k in ks for i in range(starts)]
     # Every (k, seed) fit is an independent Spark job: run them concurrently

@@ -52,6 +52,7 @@ def load_all() -> dict[str, Query]:
         filter_queries,
         groupagg_queries,
         order_queries,
+        scalar_queries,
         source_queries,
     )
 
