@@ -82,7 +82,14 @@ def bin_ordinal(x: Column, edges: list[float]) -> Column:
 def bin_label(x: Column, edges: list[float], labels: list[str]) -> Column:
     if not labels:
         return F.lit(None).cast("string")
-    return F.element_at(F.array(*[F.lit(s) for s in labels]), bin_ordinal(x, edges))
+    # A CASE chain over at most 20 labels.  (element_at(array, idx) with a
+    # NULL idx at run time was seen to return the previous row's element in
+    # generated code, so it is not used here.)
+    o = bin_ordinal(x, edges)
+    out = F.when(o == F.lit(1), F.lit(labels[0]))
+    for i, s in enumerate(labels[1:], start=2):
+        out = out.when(o == F.lit(i), F.lit(s))
+    return out
 
 
 def compute_edges(df: DataFrame, column: str, k: int, method: str = "count") -> list[float]:

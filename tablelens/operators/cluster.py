@@ -152,7 +152,9 @@ def pca_loadings(feat: Features, n_components: int = 2) -> list[list[float]]:
     out = []
     for idx in order[:n_components]:
         v = vecs[:, idx]
-        m = int(np.argmax(np.abs(v) - 1e-12 * np.arange(d)))  # first of the largest
+        # First of the largest |loading|; loadings within 1e-9 count as tied
+        # (standardised variances carry ~1e-12 noise that would pick at random).
+        m = int(np.flatnonzero(np.abs(v) >= np.abs(v).max() - 1e-9)[0])
         if v[m] < 0:
             v = -v
         out.append([float(x) for x in v])
