@@ -96,9 +96,16 @@ def inertia(feat: Features, centroids) -> float:
 
 
 def _fit_one(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float):
+    """One seeded k-means|| fit.
+
+    ``tol`` is the reference's rule: stop once the *total* squared centroid
+    shift is within ``tol`` x the mean feature variance (1 after
+    standardising).  Spark stops when *each* centroid moves less than its
+    ``tol``; ``sqrt(tol / k)`` per centroid guarantees the total bound.
+    """
     from pyspark.ml.clustering import KMeans
 
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="__tl_vec").fit(vec)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=math.sqrt(tol / k), featuresCol="__tl_vec").fit(vec)
     return float(model.summary.trainingCost), [list(map(float, c)) for c in model.clusterCenters()]
 
 

@@ -31,9 +31,11 @@ def _row_struct(cols: list[str]) -> Column:
 def _boundaries(df: DataFrame, sort_cols: list[str], buckets: int, seed: int = 42) -> list[list]:
     """At most ``buckets - 1`` distinct sort-order boundaries from a sample.
 
-    The sample is bounded (about ``20 * buckets`` rows) and is sorted by
-    Spark, so the order is Spark's own (nulls first).  Values travel as text
-    and are cast back, which is exact for numbers, text and timestamps.
+    The sample is bounded (about ``20 * buckets`` rows, like Spark's own
+    range partitioner) and sorted on the driver in Spark's order: nulls
+    first, numbers by value, text by code point (= UTF-8 byte order).
+    Boundary values travel as text and are cast back, which is exact for
+    numbers, text and timestamps.
     """
     if buckets <= 1:
         return []
@@ -44,17 +46,18 @@ def _boundaries(df: DataFrame, sort_cols: list[str], buckets: int, seed: int = 4
     sample = df.select(*[F.col(quote(c)) for c in sort_cols])
     if frac < 1.0:
         sample = sample.sample(False, frac, seed)
-    rows = (
-        sample.orderBy(*[F.col(quote(c)).asc_nulls_first() for c in sort_cols])
-        .select(*[F.col(quote(c)).cast("string").alias(f"c{i}") for i, c in enumerate(sort_cols)])
-        .collect()
-    )
+    k = len(sort_cols)
+    rows = sample.select(
+        *[F.col(quote(c)).alias(f"v{i}") for i, c in enumerate(sort_cols)],
+        *[F.col(quote(c)).cast("string").alias(f"c{i}") for i, c in enumerate(sort_cols)],
+    ).collect()
+    rows.sort(key=lambda r: tuple((0,) if r[i] is None else (1, r[i]) for i in range(k)))
     m = len(rows)
     if m == 0:
         return []
     out: list[list] = []
     for i in range(1, buckets):
-        r = list(rows[min(m - 1, (i * m) // buckets)])
+        r = list(rows[min(m - 1, (i * m) // buckets)])[k:]
         if not out or out[-1] != r:
             out.append(r)
     return out
@@ -71,18 +74,29 @@ def bucket_expr(df: DataFrame, sort_cols: list[str], buckets: int | None = None)
     if not bounds:
         return F.lit(0)
     types = [df.schema[c].dataType for c in sort_cols]
-    lits = [
-        F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(b, types))])
-        for b in bounds
-    ]
-    row = _row_struct(sort_cols)
+    if len(sort_cols) == 1:
+        # One column: plain comparisons (no struct per row); NULL sorts first.
+        row = F.col(quote(sort_cols[0]))
+        lits = [F.lit(b[0]).cast(types[0]) for b in bounds]
+
+        def le(i: int) -> Column:
+            return row.isNull() | (row <= lits[i]) if bounds[i][0] is not None else row.isNull()
+    else:
+        row = _row_struct(sort_cols)
+        lits = [
+            F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(b, types))])
+            for b in bounds
+        ]
+
+        def le(i: int) -> Column:
+            return row <= lits[i]
 
     def build(lo: int, hi: int) -> Column:
         # bucket = number of boundaries strictly below the row, within [lo, hi]
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(row <= lits[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
+        return F.when(le(mid), build(lo, mid)).otherwise(build(mid + 1, hi))
 
     return build(0, len(lits))
 
