@@ -28,7 +28,7 @@ def range_predicate(c: Column, lo=None, hi=None, dtype: T.DataType | None = None
     if lo is not None and hi is not None:
         return c.between(_lit_for(lo, dtype), _lit_for(hi, dtype))
     if lo is not None:
-        return c >= _lit_for(lo, dtype)
+        return (c >= _lit_for(lo, dtype)) & ~F.isnan(c) if isinstance(dtype, (T.DoubleType, T.FloatType)) else c >= _lit_for(lo, dtype)
     return c <= _lit_for(hi, dtype)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.constants import CLUSTER_LABEL_PREFIX, DEFAULT_TEXT_SUFFIX, EMPTY_SENTINEL
-from tablelens.sources.schema import col, quote, resolve_columns, unique_column_name
+from tablelens.sources.schema import col, num, quote, resolve_columns, unique_column_name
 
 # --- missing-value switches ------------------------------------------------
 
@@ -117,7 +117,7 @@ def text_form(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return _py_float_text(c.cast("double"))
+        return _py_float_text(F.nanvl(c.cast("double"), F.lit(None).cast("double")))
     return c.cast("string")
 
 
@@ -161,8 +161,8 @@ def standardize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     if not cols:
         return df
     stats = df.agg(
-        *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[F.avg(num(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+        *[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(cols)],
     ).first()
     adds = {}
     for i, c in enumerate(cols):
@@ -172,7 +172,7 @@ def standardize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
             adds[c + suffix] = F.lit(None).cast("double")
             continue
         s = s if (s is not None and s > 0 and not math.isnan(s)) else 1.0
-        adds[c + suffix] = (col(c).cast("double") - F.lit(float(m))) / F.lit(float(s))
+        adds[c + suffix] = (num(c) - F.lit(float(m))) / F.lit(float(s))
     return df.withColumns(adds)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablelens.constants import BIN_COLUMN_PREFIX
 from tablelens.operators.scan import group_quantiles
-from tablelens.sources.schema import col, drop_derived
+from tablelens.sources.schema import drop_derived, num
 
 
 def equal_width_edges(lo: float, hi: float, k: int) -> list[float]:
@@ -94,7 +94,7 @@ def bin_label(x: Column, edges: list[float], labels: list[str]) -> Column:
 
 def compute_edges(df: DataFrame, column: str, k: int, method: str = "count") -> list[float]:
     """Edges for ``k`` bins of ``column`` (deduplicated), from one small job."""
-    x = col(column).cast("double")
+    x = num(column)
     if method == "width":
         r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
         if r["lo"] is None:
@@ -129,7 +129,7 @@ def bin_column(
     base = drop_derived(df, "bins")
     edges = compute_edges(base, column, k, method)
     name = out or f"{BIN_COLUMN_PREFIX}{column})"
-    x = col(column).cast("double")
+    x = num(column)
     if labels == "index":
         expr = bin_ordinal(x, edges).cast("string")
     else:

@@ -19,7 +19,7 @@ from tablelens.constants import NONE_CHOICE, PIE_BINS
 from tablelens.operators.binning import bin_ordinal, equal_width_edges, interval_labels
 from tablelens.operators.groupagg import attach_group_values
 from tablelens.operators.scan import dense_codes, group_quantiles
-from tablelens.sources.schema import class_of_type, col, is_plain_number, quote
+from tablelens.sources.schema import class_of_type, col, is_plain_number, num, quote
 
 
 def _valid(df: DataFrame, c: str | None) -> str | None:
@@ -56,7 +56,7 @@ def _numeric_x(df: DataFrame, c: str) -> Column:
         return (F.unix_date(col(c)).cast("double") * F.lit(86_400_000_000.0))
     if isinstance(dt, T.BooleanType):
         return col(c).cast("int").cast("double")
-    return col(c).cast("double")
+    return num(c)
 
 
 # --- row-level charts ---------------------------------------------------------
@@ -96,13 +96,13 @@ def chart_ternary(df, a, b, c, color=None):
     """H3: a, b, c and their shares of a + b + c (NULL when the sum is 0)."""
     for n in (a, b, c):
         _require(df, n, "ternary")
-    tot = col(a).cast("double") + col(b).cast("double") + col(c).cast("double")
+    tot = num(a) + num(b) + num(c)
     extra = [col(color)] if _valid(df, color) else []
     return df.select(
         col(a), col(b), col(c), *extra,
-        F.try_divide(col(a).cast("double"), tot).alias(f"{a}_share"),
-        F.try_divide(col(b).cast("double"), tot).alias(f"{b}_share"),
-        F.try_divide(col(c).cast("double"), tot).alias(f"{c}_share"),
+        F.try_divide(num(a), tot).alias(f"{a}_share"),
+        F.try_divide(num(b), tot).alias(f"{b}_share"),
+        F.try_divide(num(c), tot).alias(f"{c}_share"),
     )
 
 
@@ -125,8 +125,8 @@ def chart_scatter_matrix(df, dims, color=None, long_form=False):
         return base
     pairs = [(a, b) for a in use for b in use]
     arr = F.array(*[
-        F.struct(F.lit(a).alias("dim_a"), col(a).cast("double").alias("a"),
-                 F.lit(b).alias("dim_b"), col(b).cast("double").alias("b"))
+        F.struct(F.lit(a).alias("dim_a"), num(a).alias("a"),
+                 F.lit(b).alias("dim_b"), num(b).alias("b"))
         for a, b in pairs
     ])
     return base.select(*([col(c)] if c else []), F.inline(arr))
@@ -142,7 +142,7 @@ def chart_parallel_coordinates(df, dims, color=None, color_order_by=None):
     if not c:
         return base
     if class_of_type(df.schema[c].dataType) == "numeric":
-        return base.withColumn("color_value", col(c).cast("double"))
+        return base.withColumn("color_value", num(c))
     codes = dense_codes(df.withColumn(c, col(c).cast("string")), c, order_by=color_order_by, out="color_value")
     return attach_group_values(base.withColumn(c, col(c).cast("string")), codes, [c])
 
@@ -156,7 +156,7 @@ def chart_bar(df, x, y=None, color=None, facet_row=None, facet_col=None):
     keys = _series_keys(df, color, facet_row, facet_col)
     gk = list(dict.fromkeys(keys + [x]))
     if y and y in df.columns:
-        val = F.coalesce(F.sum(col(y).cast("double")), F.lit(0.0)).alias(y)
+        val = F.coalesce(F.sum(num(y)), F.lit(0.0)).alias(y)
     else:
         val = F.count(F.lit(1)).alias("count")
     return df.groupBy(*[col(c) for c in gk]).agg(val)
@@ -215,7 +215,7 @@ def chart_box(df, x=None, y=None, color=None, facet_row=None, facet_col=None, me
             keys = keys + [x]
     else:
         val = _require(df, x, "X")
-    d = df.select(*[col(k) for k in keys], col(val).cast("double").alias("__tl_y")).where(F.col("__tl_y").isNotNull())
+    d = df.select(*[col(k) for k in keys], num(val).alias("__tl_y")).where(F.col("__tl_y").isNotNull())
     q = group_quantiles(d, keys, "__tl_y", [0.25, 0.5, 0.75], names=["q1", "median", "q3"], method=method)
     q = q.withColumns({
         "lo_fence": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),
@@ -245,7 +245,7 @@ def kde_curves(df, keys: list[str], value: str, points: int = 100, span_bw: floa
     [min - 2 bw, max + 2 bw].  Exact: every value contributes to every grid
     point, summed with map-side partial aggregation per (group, point).
     """
-    d = df.select(*[col(k) for k in keys], col(value).cast("double").alias("__tl_v")).where(F.col("__tl_v").isNotNull())
+    d = df.select(*[col(k) for k in keys], num(value).alias("__tl_v")).where(F.col("__tl_v").isNotNull())
     q = group_quantiles(d, keys, "__tl_v", [0.25, 0.75], names=["__tl_q1", "__tl_q3"], method="linear")
     s = d.groupBy(*[col(k) for k in keys]).agg(
         F.stddev_samp("__tl_v").alias("__tl_sd"), F.min("__tl_v").alias("__tl_lo"), F.max("__tl_v").alias("__tl_hi")
@@ -341,7 +341,7 @@ def chart_hierarchy(df, path_cols, y=None):
     if not path:
         raise ValueError("hierarchy needs at least one path column")
     if y and y in df.columns and is_plain_number(df, y):
-        val = F.coalesce(F.sum(col(y).cast("double")), F.lit(0.0)).alias("value")
+        val = F.coalesce(F.sum(num(y)), F.lit(0.0)).alias("value")
     else:
         val = F.count(F.lit(1)).cast("double").alias("value")
     g = df.rollup(*[col(c) for c in path]).agg(val, F.grouping_id().alias("__tl_gid"))
@@ -366,7 +366,7 @@ def chart_density_heatmap(df, x, y, nbinsx=20, nbinsy=20, color=None, facet_row=
     if class_of_type(df.schema[x].dataType) != "numeric" or class_of_type(df.schema[y].dataType) != "numeric":
         raise ValueError("2-D density needs numeric X and Y")
     keys = _series_keys(df, color, facet_row, facet_col)
-    xv, yv = col(x).cast("double"), col(y).cast("double")
+    xv, yv = num(x), num(y)
     r = df.agg(F.min(xv).alias("x0"), F.max(xv).alias("x1"), F.min(yv).alias("y0"), F.max(yv).alias("y1")).first()
     if r["x0"] is None or r["y0"] is None:
         return df.sparkSession.createDataFrame([], "xbin int, ybin int, count long")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tablelens.constants import CLUSTER_COLUMN, KMEANS_SEED, KMEANS_STARTS, PCA_COLUMNS
 from tablelens.functions.scalar import label_cluster
 from tablelens.session import materialize
-from tablelens.sources.schema import col, drop_derived, is_plain_number, quote
+from tablelens.sources.schema import col, drop_derived, is_plain_number, num, quote
 
 Z = "__tl_z{}"
 
@@ -52,8 +52,8 @@ def cluster_features(df: DataFrame, cols, min_rows: int = 3) -> Features | None:
     comp = df.dropna(how="any", subset=use)
     stats = comp.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(use)],
-        *[F.stddev_pop(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(use)],
+        *[F.avg(num(c)).alias(f"m{i}") for i, c in enumerate(use)],
+        *[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(use)],
     ).first()
     if stats["n"] < min_rows:
         return None
@@ -61,7 +61,7 @@ def cluster_features(df: DataFrame, cols, min_rows: int = 3) -> Features | None:
     stds = [float(stats[f"s{i}"]) if stats[f"s{i}"] and stats[f"s{i}"] > 0 else 1.0 for i in range(len(use))]
     zcols = [Z.format(i) for i in range(len(use))]
     fdf = comp.withColumns({
-        z: (col(c).cast("double") - F.lit(m)) / F.lit(s) for z, c, m, s in zip(zcols, use, means, stds)
+        z: (num(c) - F.lit(m)) / F.lit(s) for z, c, m, s in zip(zcols, use, means, stds)
     })
     return Features(fdf, use, zcols, means, stds)
 
@@ -200,7 +200,7 @@ def kmeans_cluster(df: DataFrame, cols, k: int = 4, starts: int = KMEANS_STARTS,
     _, centers = best_kmeans(feat, int(k), starts, seed)
     # Standardised features as expressions on the original rows; NULL when
     # any feature is missing, so such rows keep missing outputs.
-    zexpr = {z: (col(c).cast("double") - F.lit(m)) / F.lit(s)
+    zexpr = {z: (num(c) - F.lit(m)) / F.lit(s)
              for z, c, m, s in zip(feat.zcols, feat.cols, feat.means, feat.stds)}
     out = base.withColumns(zexpr).withColumn(
         CLUSTER_COLUMN, F.when(_complete(feat), label_cluster(nearest_centroid(feat.zcols, centers)))

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.constants import MAX_CORR_COLUMNS
-from tablelens.sources.schema import classify_columns, col, is_plain_number
+from tablelens.sources.schema import classify_columns, is_plain_number, num
 
 PAIRS_PER_BATCH = 120
 
 
 def _pair_r(a: str, b: str) -> Column:
-    xa, xb = col(a).cast("double"), col(b).cast("double")
+    xa, xb = num(a), num(b)
     both = xa.isNotNull() & xb.isNotNull()
     cov = F.covar_pop(xa, xb)
     sa = F.stddev_pop(F.when(both, xa))

@@ -21,7 +21,15 @@ from pyspark.sql import types as T
 from tablelens.constants import EMPTY_SENTINEL, METRIC_ALIASES, NUMERIC_ONLY_METRICS
 from tablelens.operators.scan import group_quantiles, segmented_scan
 from tablelens.session import BROADCAST_MAX_ROWS, checked_broadcast
-from tablelens.sources.schema import class_of_type, col, quote, resolve_columns, unique_column_name
+from tablelens.sources.schema import (
+    class_of_type,
+    col,
+    num,
+    quote,
+    resolve_columns,
+    unique_column_name,
+    value_col,
+)
 
 ALL_METRICS = ("mean", "median", "sum", "min", "max", "std", "count", "nunique", "mode", "cumsum")
 
@@ -47,7 +55,7 @@ class AggResult:
 def _x_value(df: DataFrame, c: str, exclude_empty: bool, exclude_zeros: bool) -> Column:
     """Numeric value after the switches: empty off fills 0, zeros on drops 0."""
     dt = df.schema[c].dataType
-    x = col(c).cast("int").cast("double") if isinstance(dt, T.BooleanType) else col(c).cast("double")
+    x = col(c).cast("int").cast("double") if isinstance(dt, T.BooleanType) else num(c)
     if not exclude_empty:
         x = F.coalesce(x, F.lit(0.0))
     if exclude_zeros:
@@ -133,7 +141,7 @@ def group_aggregate(
 
     out_df = df
     if cumsums:
-        measures = {name: F.coalesce(col(c).cast("double"), F.lit(0.0)) for c, name in cumsums}
+        measures = {name: F.coalesce(num(c), F.lit(0.0)) for c, name in cumsums}
         out_df = segmented_scan(out_df, keys_f, list(order_by), measures, running=True)
         any_null_key = None
         for k in keys_f:
@@ -198,7 +206,7 @@ def _nunique_table(df, keys, c, is_num, exclude_empty, exclude_zeros, out) -> Da
     extra value exactly when ``exclude_empty`` is off.
     """
     kcols = [col(k) for k in keys]
-    v = col(c)
+    v = value_col(df, c)
     gone = v.isNull()
     if is_num and exclude_zeros:
         gone = gone | (v.cast("double") == F.lit(0.0))
@@ -218,7 +226,7 @@ def _mode_table(df, keys, c, is_num, exclude_empty, exclude_zeros, out) -> DataF
     no group gathered into one task.
     """
     kcols = [col(k) for k in keys]
-    v = col(c)
+    v = value_col(df, c)
     sentinel = (not exclude_empty) and not (is_num and exclude_zeros)
     if is_num and exclude_zeros:
         v = F.when(v.cast("double") != F.lit(0.0), v)

@@ -17,7 +17,13 @@ _FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "js
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """Turn NaN into NULL on float columns so NaN is never a value (§1.3)."""
+    """Turn NaN into NULL on float columns so NaN is never a value (§1.3).
+
+    Not applied by :func:`load_table`: a projection over the scan keeps
+    range filters from being pushed into Parquet.  The operators already
+    read NaN as missing; use this (after filtering) only to hand a clean
+    table to other code.
+    """
     fixes = {
         f.name: F.when(F.isnan(F.col(quote(f.name))), F.lit(None).cast(f.dataType)).otherwise(F.col(quote(f.name)))
         for f in df.schema.fields
@@ -44,7 +50,7 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None, **options
             reader = reader.option("inferSchema", "true")
     if fmt not in {"parquet", "csv", "json", "orc"}:
         raise ValueError(f"unsupported format {fmt!r}")
-    return nan_to_null(reader.format(fmt).load(path))
+    return reader.format(fmt).load(path)
 
 
 def list_tables(directory: str) -> list[str]:

@@ -180,3 +180,20 @@ def is_categorical_by_name(name: str, words=CATEGORICAL_NAME_WORDS) -> bool:
     """Identifier-like names (well, cluster pad ...) are categories."""
     low = str(name).lower()
     return any(w in low for w in words)
+
+
+def num(name: str) -> Column:
+    """Numeric value of a column as double, NaN read as missing.
+
+    NaN handling sits here, where values are consumed, not in a projection
+    at load time: a projection over the scan would stop range filters from
+    reaching Parquet (no ``PushedFilters``).
+    """
+    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
+
+
+def value_col(df: DataFrame, name: str) -> Column:
+    """A column as is, except that NaN in a float column reads as missing."""
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.nanvl(col(name), F.lit(None).cast(df.schema[name].dataType))
+    return col(name)

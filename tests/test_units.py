@@ -19,7 +19,7 @@ from tablelens.operators.groupagg import group_aggregate, normalize_metrics
 from tablelens.operators.order import cap_columns, order_axis_choice, order_categories
 from tablelens.operators.scan import group_quantiles, segmented_scan
 from tablelens.functions.scalar import coerce_datetime, text_copy, text_form
-from tablelens.sources.io import export_dataset, export_name, load_table
+from tablelens.sources.io import export_dataset, export_name, load_table, nan_to_null
 from tablelens.sources.schema import (
     classify_columns,
     drop_derived,
@@ -81,10 +81,17 @@ def test_export_roundtrip(spark):
         export_dataset(None, d, "x")
 
 
-def test_load_table_nan_to_null(spark):
+def test_nan_is_missing_and_filters_push_down(spark):
     d = tempfile.mkdtemp(prefix="tl-load-", dir="/tmp")
-    spark.createDataFrame([(1.0,), (float("nan"),)], "x double").write.parquet(d + "/t.parquet")
-    assert [r.x for r in load_table(spark, d + "/t.parquet").collect()] in ([1.0, None], [None, 1.0])
+    spark.createDataFrame([(1.0, "a"), (float("nan"), "a"), (5.0, "b")], "x double, k string").write.parquet(d + "/t.parquet")
+    t = load_table(spark, d + "/t.parquet")
+    assert sorted(r.x for r in nan_to_null(t).collect() if r.x is not None) == [1.0, 5.0]
+    f = apply_filters(t, [FilterSpec("x", [0.5, None])])
+    assert sorted(r.x for r in f.collect()) == [1.0, 5.0]  # NaN does not pass ">= 0.5"
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(x), GreaterThanOrEqual(x,0.5)]" in plan
+    g = group_aggregate(t, ["k"], ["x"], ["mean", "nunique"]).df
+    assert {(r.k, r.x_mean, r.x_nunique) for r in g.collect()} == {("a", 1.0, 1), ("b", 5.0, 1)}
     with pytest.raises(ValueError):
         load_table(spark, d + "/t.xlsx")
 
