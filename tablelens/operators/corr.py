@@ -100,3 +100,19 @@ def sorted_positions(small: DataFrame, order: list[Column]) -> DataFrame:
     from pyspark.sql import Window
 
     return small.withColumn("position", (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+
+
+def chart_correlation(df: DataFrame, chosen=None, x: str | None = None, y: str | None = None):
+    """The correlation view: ``(matrix, bars_first, bars_second)``.
+
+    Columns per :func:`correlation_columns`; the two bar tables are the
+    correlations with the first two targets among X, Y and the used columns
+    (None when there is no such target).
+    """
+    use = correlation_columns(df, chosen, x, y)
+    if len(use) < 2:
+        raise ValueError("correlation needs at least 2 numeric columns")
+    matrix = correlation_matrix(df, use)
+    targets = [t for t in dict.fromkeys([x, y] + use) if t and t in use][:2]
+    bars = [correlation_with_target(df, t, use) for t in targets] + [None, None]
+    return matrix, bars[0], bars[1]

@@ -49,7 +49,7 @@ _ARGMIN = f"""CASE WHEN {_d(0)} <= {_d(1)} AND {_d(0)} <= {_d(2)} AND {_d(0)} <=
 WITH s AS (SELECT avg(p_size) AS m1, CASE WHEN stddev_pop(p_size) > 0 THEN stddev_pop(p_size) ELSE 1 END AS s1,
                   avg(p_retailprice) AS m2, CASE WHEN stddev_pop(p_retailprice) > 0 THEN stddev_pop(p_retailprice) ELSE 1 END AS s2
            FROM part)
-SELECT p_partkey, round((p_size - m1) / s1, 8) AS p_size_z, round((p_retailprice - m2) / s2, 8) AS p_retailprice_z FROM part, s
+SELECT p_partkey, round((p_size - m1) / s1, 8) + 0.0 AS p_size_z, round((p_retailprice - m2) / s2, 8) + 0.0 AS p_retailprice_z FROM part, s
 """)
 def q_standardize(spark, sf):
     """Z-scores with the population standard deviation."""
@@ -58,7 +58,7 @@ def q_standardize(spark, sf):
     return z.select("p_partkey", F.round("p_size_z", 8).alias("p_size_z"), F.round("p_retailprice_z", 8).alias("p_retailprice_z"))
 
 
-@query("cluster_features", f"WITH {_CUST_SQL}\nSELECT c_custkey, round(z1, 8) AS z1, round(z2, 8) AS z2 FROM f")
+@query("cluster_features", f"WITH {_CUST_SQL}\nSELECT c_custkey, round(z1, 8) + 0.0 AS z1, round(z2, 8) + 0.0 AS z2 FROM f")
 def q_cluster_features(spark, sf):
     """complete rows of the chosen features, standardised."""
     feat = cluster_features(_customers(spark, sf), ["c_acctbal", "order_total", "c_custkey_missing"])
@@ -108,8 +108,8 @@ _R = "corr(z1, z2)"
 f AS (SELECT p_partkey, (p_size - m1) / s1 AS z1, (p_retailprice - m2) / s2 AS z2 FROM part, s),
 r AS (SELECT {_R} AS r FROM f)
 SELECT p_partkey,
-  round(CASE WHEN r >= 0 THEN (z1 + z2) ELSE (z1 - z2) END / {math.sqrt(2)!r}, 6) AS "PCA1",
-  round(CASE WHEN r >= 0 THEN (z1 - z2) ELSE (z1 + z2) END / {math.sqrt(2)!r}, 6) AS "PCA2"
+  round(CASE WHEN r >= 0 THEN (z1 + z2) ELSE (z1 - z2) END / {math.sqrt(2)!r}, 6) + 0.0 AS "PCA1",
+  round(CASE WHEN r >= 0 THEN (z1 - z2) ELSE (z1 + z2) END / {math.sqrt(2)!r}, 6) + 0.0 AS "PCA2"
 FROM f, r""")
 def q_pca(spark, sf):
     """first two principal components of two standardised columns."""

@@ -19,7 +19,8 @@ def _base(spark, sf):
 
 
 def _r(a, b):
-    return f"round(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END, 2)"
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (Spark's round never gives -0.0).
+    return f"(round(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END, 2) + 0.0)"
 
 
 _pairs = [(a, b) for a in _COLS for b in _COLS]
@@ -44,3 +45,18 @@ def q_corr_target(spark, sf):
     """Correlations with the price column, largest first."""
     df = _base(spark, sf)
     return correlation_with_target(df, "l_extendedprice", _COLS)
+
+
+@query("chart_correlation", f"WITH {_SRC}, t AS (\n" + "\nUNION ALL\n".join(
+    [f"SELECT 'l_quantity' AS target, '{c}' AS \"column\", {_r('l_quantity', c)} AS r FROM b" for c in _COLS if c != "l_quantity"]
+    + [f"SELECT 'l_tax' AS target, '{c}' AS \"column\", {_r('l_tax', c)} AS r FROM b" for c in _COLS if c != "l_tax"]
+) + """)
+SELECT target, "column", r,
+       CAST(row_number() OVER (PARTITION BY target ORDER BY r DESC NULLS LAST, "column") - 1 AS INTEGER) AS position FROM t""")
+def q_chart_correlation(spark, sf):
+    """Bars of correlations with X and Y next to the matrix."""
+    from tablelens.operators.corr import chart_correlation
+
+    df = _base(spark, sf)
+    _, bx, by = chart_correlation(df, _COLS, "l_quantity", "l_tax")
+    return bx.withColumn("target", F.lit("l_quantity")).unionByName(by.withColumn("target", F.lit("l_tax")))

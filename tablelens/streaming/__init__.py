@@ -1,0 +1,10 @@
+"""Streaming: nothing to build.
+
+The source application answers one request at a time over a table at
+rest; it has no streams, event time, watermarks or state.  Every operator
+in this library is a plain DataFrame transformation, so the row-wise ones
+(filters, projections, text copies, bin assignment with fixed edges) also
+apply unchanged to a DataFrame from ``spark.readStream``; the ones that
+need a whole table first (edges, group values, correlations, clustering)
+are batch operations by nature.
+"""

@@ -20,8 +20,10 @@ SLOW = {"chart_cluster_metrics"}
 def _norm(v):
     if v is None or v is pd.NA:
         return None
+    if isinstance(v, int) or type(v).__name__.startswith("int"):
+        return f"{float(v):.9g}"  # a nullable integer column may arrive as float
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}")
+        return None if math.isnan(v) else f"{v:.9g}"  # text: -0.0 and 0.0 differ
     return v
 
 
