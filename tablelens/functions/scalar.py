@@ -42,29 +42,35 @@ def coerce_numeric(c: Column) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
-# Day-first formats tried after ISO forms, in this order.
-DAYFIRST_FORMATS = (
-    "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy",
-    "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy",
-    "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy",
-    "d/M/yyyy", "d.M.yyyy",
-)
-ISO_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd")
+# Local (non-ISO) date forms: separator, then time part.  Each is tried only
+# on text of its exact shape (a regex test), so no row pays for failed parses.
+_LOCAL_SEPARATORS = ("/", ".", "-")
+_TIME_PARTS = ((r" \d{1,2}:\d{2}:\d{2}", " H:mm:ss"), (r" \d{1,2}:\d{2}", " H:mm"), ("", ""))
 
 
 def coerce_datetime_col(c: Column, dtype: T.DataType, dayfirst: bool = True) -> Column:
-    """A7 for one column: text -> timestamp; unparseable -> missing."""
+    """A7 for one column: text -> timestamp; unparseable -> missing.
+
+    ISO forms (``2024-01-02``, ``2024-01-02 10:00:00``, ``T`` separator)
+    first, then local forms ``d/M/yyyy``, ``d.M.yyyy``, ``d-M-yyyy`` with an
+    optional time, day first (``03/04/2024`` = 3 April) unless ``dayfirst``
+    is False, then ``yyyy/M/d``.
+    """
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp")
     s = F.trim(c.cast("string"))
-    tries = [F.try_to_timestamp(s, F.lit(f)) for f in ISO_FORMATS]
-    day = [F.try_to_timestamp(s, F.lit(f)) for f in DAYFIRST_FORMATS]
-    if not dayfirst:  # month-first local forms take precedence over day-first
-        day = [F.try_to_timestamp(s, F.lit(f.replace("dd", "__").replace("MM", "dd").replace("__", "MM")))
-               for f in DAYFIRST_FORMATS] + day
-    return F.coalesce(*(tries + day))
+    tries = [F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"), F.try_to_timestamp(s))]
+    first, second = ("d", "M") if dayfirst else ("M", "d")
+    for sep in _LOCAL_SEPARATORS:
+        esc = "\\" + sep
+        for t_re, t_fmt in _TIME_PARTS:
+            shape = rf"^\d{{1,2}}{esc}\d{{1,2}}{esc}\d{{4}}{t_re}$"
+            fmt = f"{first}{sep}{second}{sep}yyyy{t_fmt}"
+            tries.append(F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))))
+    tries.append(F.when(s.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_timestamp(s, F.lit("yyyy/M/d"))))
+    return F.coalesce(*tries)
 
 
 def coerce_datetime(df: DataFrame, cols, dayfirst: bool = True) -> DataFrame:

@@ -138,6 +138,13 @@ def test_coerce_datetime_dayfirst(spark):
     df = spark.createDataFrame([("03/04/2024",), ("2024-01-02",), ("zz",)], "d string")
     got = [r.d for r in coerce_datetime(df, ["d"]).collect()]
     assert got == [dt.datetime(2024, 4, 3), dt.datetime(2024, 1, 2), None]
+    more = spark.createDataFrame([("3.4.2024 10:15",), (" 2024-01-02T03:04:05 ",), ("2024/01/31",), ("31/02/2024",),
+                                  ("03-04-2024 01:02:03",)], "d string")
+    got = [r.d for r in coerce_datetime(more, ["d"]).collect()]
+    assert got == [dt.datetime(2024, 4, 3, 10, 15), dt.datetime(2024, 1, 2, 3, 4, 5), dt.datetime(2024, 1, 31), None,
+                   dt.datetime(2024, 4, 3, 1, 2, 3)]
+    us = [r.d for r in coerce_datetime(df, ["d"], dayfirst=False).collect()]
+    assert us[0] == dt.datetime(2024, 3, 4)
 
 
 # --- D: binning ----------------------------------------------------------------
