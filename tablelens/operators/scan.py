@@ -2,103 +2,206 @@
 
 A window ``partitionBy(keys)`` sends a whole group to one task, so one key
 holding a third of the rows means one task doing a third of the work.
-Here rows are range-bucketed on ``(keys, order)`` instead: boundaries come
-from a bounded sample, a hot key is cut into several buckets, and the data
-shuffles once, by bucket.  Windows then run per ``(bucket, key)`` segment
-inside each task.  Only a key that spans buckets needs a correction, and
-only the first and last key of each bucket can span, so the correction
-table holds at most ``2 * buckets`` rows: a broadcast with a proven bound.
-
-Everything stays in Spark SQL expressions (no Python per row).
+Here every row gets a *range bucket* on ``(keys, order)`` and the data
+shuffles once, hash-partitioned on ``(bucket, keys)``; windows then run per
+``(bucket, key)`` segment inside each task (the partitioning already
+satisfies them, so there is no second exchange).  A key that spans several
+buckets is corrected with the sums of its earlier/later segments.
+
+Bucket assignment (:func:`with_buckets`), in generated code, O(1) per row,
+from a bounded sample (about 20 rows per bucket, like Spark's own range
+partitioner):
+
+* with keys: a key with fewer than 20 sample rows holds about one task's
+  worth of data or less and stays whole (bucket 0; keys are spread by the
+  hash).  Each heavier key is cut into equal-width sub-ranges of its first
+  order column (numbers as is, timestamps in microseconds, text by its
+  first 7 bytes), about ``4 * share * buckets`` of them.  The heavy-key
+  table has at most ``buckets`` rows and is broadcast-joined;
+* without keys (one global group): a comparison tree over at most 63
+  quantile boundaries of the order, each coarse bucket cut again into
+  equal-width sub-ranges (:func:`bucket_expr`).
+
+For a fixed key the bucket number never decreases along its order, so the
+segments of a key are contiguous runs.  Only keys cut into several
+segments need a correction, which bounds the correction table by about
+``4 * buckets`` rows -- broadcast with a proven bound.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelens.session import default_parallelism
 from tablelens.sources.schema import quote
 
 BUCKET = "__tl_b"
 _SAMPLE_PER_BUCKET = 20
+MAX_COARSE = 64
 
 
 def _row_struct(cols: list[str]) -> Column:
     return F.struct(*[F.col(quote(c)).alias(f"c{i}") for i, c in enumerate(cols)])
 
 
-def _boundaries(df: DataFrame, sort_cols: list[str], buckets: int, seed: int = 42) -> list[list]:
-    """At most ``buckets - 1`` distinct sort-order boundaries from a sample.
-
-    The sample is bounded (about ``20 * buckets`` rows, like Spark's own
-    range partitioner) and sorted on the driver in Spark's order: nulls
-    first, numbers by value, text by code point (= UTF-8 byte order).
-    Boundary values travel as text and are cast back, which is exact for
-    numbers, text and timestamps.
-    """
-    if buckets <= 1:
-        return []
+def _order_number(df: DataFrame, c: str) -> Column | None:
+    """A number that never decreases with the sort order of ``c`` (None if
+    the type has no such cheap map)."""
+    dt = df.schema[c].dataType
+    x = F.col(quote(c))
+    if isinstance(dt, T.BooleanType):
+        return x.cast("int").cast("double")
+    if isinstance(dt, T.NumericType):
+        return x.cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), x).cast("double")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(x).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(x).cast("double")
+    if isinstance(dt, T.StringType):  # first 7 UTF-8 bytes, fixed width: byte order preserved
+        return F.conv(F.rpad(F.substring(F.hex(x), 1, 14), 14, "0"), 16, 10).cast("double")
+    return None
+
+
+def _sample_rows(df: DataFrame, keys: list[str], order: list[str], buckets: int, seed: int = 42):
+    """Bounded sample (about ``20 * buckets`` rows) sorted in Spark's order:
+    nulls first, numbers by value, text by code point (= UTF-8 byte order).
+    Each row: (typed values, values as text, first-order number)."""
     n = df.count()
     if n == 0:
         return []
+    cols = list(keys) + list(order)
     frac = min(1.0, _SAMPLE_PER_BUCKET * buckets / n)
-    sample = df.select(*[F.col(quote(c)) for c in sort_cols])
+    sample = df.select(*[F.col(quote(c)) for c in cols])
     if frac < 1.0:
         sample = sample.sample(False, frac, seed)
-    k = len(sort_cols)
+    o1 = _order_number(df, order[0]) if order else None
+    k = len(cols)
     rows = sample.select(
-        *[F.col(quote(c)).alias(f"v{i}") for i, c in enumerate(sort_cols)],
-        *[F.col(quote(c)).cast("string").alias(f"c{i}") for i, c in enumerate(sort_cols)],
+        *[F.col(quote(c)).alias(f"v{i}") for i, c in enumerate(cols)],
+        *[F.col(quote(c)).cast("string").alias(f"c{i}") for i, c in enumerate(cols)],
+        (o1 if o1 is not None else F.lit(None).cast("double")).alias("o1"),
     ).collect()
     rows.sort(key=lambda r: tuple((0,) if r[i] is None else (1, r[i]) for i in range(k)))
-    m = len(rows)
-    if m == 0:
-        return []
-    out: list[list] = []
-    for i in range(1, buckets):
-        r = list(rows[min(m - 1, (i * m) // buckets)])[k:]
-        if not out or out[-1] != r:
-            out.append(r)
-    return out
+    return [(tuple(r[:k]), list(r[k:2 * k]), r[2 * k]) for r in rows]
 
 
-def bucket_expr(df: DataFrame, sort_cols: list[str], buckets: int | None = None) -> Column:
-    """Column giving each row its range bucket on ``sort_cols``.
-
-    A balanced binary decision over the literal boundaries: about
-    ``log2(buckets)`` struct comparisons per row, evaluated in codegen.
-    """
+def bucket_expr(df: DataFrame, keys: list[str], order: list[str], buckets: int | None = None) -> Column:
+    """Column giving each row its range bucket on ``(keys, order)`` (see the
+    module notes); about ``buckets`` distinct values."""
     buckets = buckets or default_parallelism(df.sparkSession)
-    bounds = _boundaries(df, sort_cols, buckets)
-    if not bounds:
+    cols = list(keys) + list(order)
+    if buckets <= 1 or not cols:
         return F.lit(0)
-    types = [df.schema[c].dataType for c in sort_cols]
-    if len(sort_cols) == 1:
+    rows = _sample_rows(df, keys, order, buckets)
+    m = len(rows)
+    if m == 0:
+        return F.lit(0)
+    coarse = min(MAX_COARSE, buckets)
+    picks: list[int] = []
+    for i in range(1, coarse):
+        j = min(m - 1, (i * m) // coarse)
+        if not picks or rows[picks[-1]][1] != rows[j][1]:
+            picks.append(j)
+    types = [df.schema[c].dataType for c in cols]
+    if len(cols) == 1:
         # One column: plain comparisons (no struct per row); NULL sorts first.
-        row = F.col(quote(sort_cols[0]))
-        lits = [F.lit(b[0]).cast(types[0]) for b in bounds]
+        row = F.col(quote(cols[0]))
+        lits = [F.lit(rows[j][1][0]).cast(types[0]) for j in picks]
 
         def le(i: int) -> Column:
-            return row.isNull() | (row <= lits[i]) if bounds[i][0] is not None else row.isNull()
+            return row.isNull() | (row <= lits[i]) if rows[picks[i]][1][0] is not None else row.isNull()
     else:
-        row = _row_struct(sort_cols)
-        lits = [
-            F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(b, types))])
-            for b in bounds
-        ]
+        row = _row_struct(cols)
+        lits = [F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(rows[j][1], types))])
+                for j in picks]
 
         def le(i: int) -> Column:
             return row <= lits[i]
 
     def build(lo: int, hi: int) -> Column:
-        # bucket = number of boundaries strictly below the row, within [lo, hi]
+        # coarse bucket = number of boundaries strictly below the row, in [lo, hi]
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(le(mid), build(lo, mid)).otherwise(build(mid + 1, hi))
 
-    return build(0, len(lits))
+    c = build(0, len(picks))
+    fine = max(1, math.ceil(buckets / (len(picks) + 1)))
+    o1 = _order_number(df, order[0]) if order else None
+    if fine == 1 or o1 is None:
+        return c
+    # Coarse buckets inside a single key: equal-width sub-buckets of the order.
+    edges = [0] + picks + [m - 1]
+    nk = len(keys)
+    sub = None
+    for b in range(len(picks) + 1):
+        lo_row, hi_row = rows[edges[b]], rows[edges[b + 1]]
+        lo_v, hi_v = lo_row[2], hi_row[2]
+        if lo_row[0][:nk] != hi_row[0][:nk] or lo_v is None or hi_v is None or not hi_v > lo_v:
+            continue
+        w = F.least(F.greatest(F.width_bucket(o1, F.lit(float(lo_v)), F.lit(float(hi_v)), F.lit(fine)), F.lit(1)),
+                    F.lit(fine)) - 1
+        sub = (F.when(c == F.lit(b), w) if sub is None else sub.when(c == F.lit(b), w))
+    if sub is None:
+        return c
+    return c * F.lit(fine) + F.coalesce(sub.otherwise(F.lit(0)), F.lit(0))
+
+
+def with_buckets(df: DataFrame, keys: list[str], order: list[str], buckets: int) -> DataFrame:
+    """``df`` plus the ``BUCKET`` column.
+
+    Without keys the whole table is one group: quantile tree plus
+    sub-buckets (:func:`bucket_expr`).  With keys, a light key (fewer than
+    ``20`` sample rows, i.e. about one task's worth of data or less) keeps
+    bucket 0 and is spread over the tasks by hashing its key; each heavy key
+    is cut into equal-width sub-ranges of its first order column, about
+    ``4 * its share * buckets`` of them.  The heavy-key table comes from the
+    bounded sample (at most ``buckets`` rows) and is broadcast-joined.
+    """
+    if not keys:
+        return df.withColumn(BUCKET, bucket_expr(df, [], list(order), buckets))
+    o1 = _order_number(df, order[0]) if order else None
+    if o1 is None or buckets <= 1:
+        return df.withColumn(BUCKET, F.lit(0))
+    rows = _sample_rows(df, keys, order, buckets)
+    nk = len(keys)
+    stats: dict[tuple, list] = {}
+    for typed, _, v in rows:
+        if v is None:
+            continue
+        s = stats.setdefault(typed[:nk], [0, v, v])
+        s[0] += 1
+        s[1] = min(s[1], v)
+        s[2] = max(s[2], v)
+    heavy = [
+        (*k, float(lo), float(hi), max(2, math.ceil(4 * cnt / _SAMPLE_PER_BUCKET)))
+        for k, (cnt, lo, hi) in stats.items()
+        if cnt >= _SAMPLE_PER_BUCKET and hi > lo
+    ]
+    if not heavy:
+        return df.withColumn(BUCKET, F.lit(0))
+    schema = T.StructType(
+        [T.StructField(f"__tl_h{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
+        + [T.StructField("__tl_lo", T.DoubleType()), T.StructField("__tl_hi", T.DoubleType()),
+           T.StructField("__tl_fine", T.IntegerType())]
+    )
+    h = F.broadcast(df.sparkSession.createDataFrame(heavy, schema))  # <= buckets rows
+    cond = None
+    for i, k in enumerate(keys):
+        c = F.col(quote(k)).eqNullSafe(F.col(f"__tl_h{i}"))
+        cond = c if cond is None else cond & c
+    j = df.join(h, cond, "left")
+    sub = F.least(F.greatest(F.width_bucket(o1, F.col("__tl_lo"), F.col("__tl_hi"), F.col("__tl_fine")), F.lit(1)),
+                  F.col("__tl_fine"))
+    return j.withColumn(BUCKET, F.coalesce(sub, F.lit(0))).drop(
+        *[f"__tl_h{i}" for i in range(nk)], "__tl_lo", "__tl_hi", "__tl_fine"
+    )
 
 
 def segmented_scan(
@@ -123,7 +226,7 @@ def segmented_scan(
     mnames = list(measures)
     mcols = {f"__tl_m{i}": e for i, e in enumerate(measures.values())}
     d = df.withColumns(mcols)
-    d = d.withColumn(BUCKET, bucket_expr(d, list(keys) + list(order_by), buckets))
+    d = with_buckets(d, list(keys), list(order_by), buckets)
 
     # Per-segment sums, partially aggregated before the (small) shuffle.
     seg = d.groupBy(BUCKET, *[quote(k) for k in keys]).agg(
@@ -142,7 +245,9 @@ def segmented_scan(
     # Keys split over several buckets: at most two per bucket.
     spans = F.broadcast(seg.filter(F.col("__tl_nseg") > 1).drop("__tl_nseg"))
 
-    d = d.repartition(buckets, BUCKET)
+    # Hash on (bucket, keys): light keys spread over every partition, a hot
+    # key over its buckets; the windows below need no further exchange.
+    d = d.repartition(buckets, BUCKET, *[quote(k) for k in keys])
     wseg = Window.partitionBy(BUCKET, *[quote(k) for k in keys])
     run_w = wseg.orderBy(*[F.col(quote(c)).asc_nulls_first() for c in order_by]).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

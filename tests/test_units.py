@@ -227,12 +227,18 @@ def test_segmented_scan_hot_key_split(spark):
     # One key holds most rows; with many buckets it spans several of them.
     rows = [(("hot" if i % 10 else f"k{i}"), i, float(i % 7)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, o int, v double")
-    s = segmented_scan(df, ["k"], ["o"], {"v": F.col("v")}, running=True, totals=True, buckets=16)
-    pdf = s.toPandas().sort_values(["k", "o"])
-    exp_run = pdf.groupby("k")["v"].cumsum()
-    exp_tot = pdf.groupby("k")["v"].transform("sum")
-    assert (abs(pdf["v_run"] - exp_run) < 1e-9).all()
-    assert (abs(pdf["v_tot"] - exp_tot) < 1e-9).all()
+    for buckets in (16, 200):  # 200: coarse buckets inside the hot key are cut again
+        s = segmented_scan(df, ["k"], ["o"], {"v": F.col("v")}, running=True, totals=True, buckets=buckets)
+        pdf = s.toPandas().sort_values(["k", "o"])
+        exp_run = pdf.groupby("k")["v"].cumsum()
+        exp_tot = pdf.groupby("k")["v"].transform("sum")
+        assert (abs(pdf["v_run"] - exp_run) < 1e-9).all()
+        assert (abs(pdf["v_tot"] - exp_tot) < 1e-9).all()
+    from tablelens.operators.scan import BUCKET, bucket_expr, with_buckets
+    b = with_buckets(df, ["k"], ["o"], 200)
+    assert b.where(F.col("k") == "hot").select(BUCKET).distinct().count() > 100  # hot key (90%) spread out
+    assert b.where(F.col("k") != "hot").select(BUCKET).distinct().count() == 1   # light keys stay whole
+    assert df.select(bucket_expr(df, [], ["o"], 200).alias("b")).distinct().count() > 100  # one global group
 
 
 def test_group_quantiles_linear_and_midpoint(spark):
