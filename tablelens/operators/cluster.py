@@ -295,7 +295,7 @@ def kmeans_metrics(df: DataFrame, cols, starts: int = KMEANS_STARTS, seed: int =
     jobs = [(k, seed + i) for k in ks for i in range(starts)]
     # Every (k, seed) fit is an independent Spark job: run them concurrently
     # so the cluster stays busy between the short iterations of each fit.
-    with ThreadPoolExecutor(max_workers=16) as ex:
+    with ThreadPoolExecutor(max_workers=40) as ex:
         fits = list(ex.map(lambda js: (js[0],) + _fit_one(vec, js[0], js[1], 300, 1e-4), jobs))
     best: dict[int, tuple[float, list]] = {}
     for k, cost, centers in fits:

@@ -290,6 +290,42 @@ def _position(n: Column, p: float, method: str) -> Column:
     raise ValueError(f"unknown quantile method {method!r}")
 
 
+def _near_any(pos: Column, n: Column, probs: list[float], method: str) -> Column:
+    """Cheap necessary test for "position ``pos`` is used by some quantile".
+
+    A quantile at probability p reads positions within 1 of its fractional
+    position h(p), so p lies within ``tol`` of ``u`` (the position expressed
+    as a probability).  Only the two probabilities nearest to ``u`` can be
+    that close; they are found by a small comparison tree on literals.
+    """
+    ps = sorted(set(float(p) for p in probs))
+    if method == "linear":
+        u = F.when(n > 1, pos / (n - 1)).otherwise(F.lit(0.0))
+        tol = F.when(n > 1, F.lit(1.0) / (n - 1)).otherwise(F.lit(2.0))
+        extra = F.lit(False)
+    else:  # midpoint_rank: h = n p - 0.5, clamped to [0, n - 1]
+        u = (pos + F.lit(0.5)) / n
+        tol = F.lit(1.0) / n
+        extra = (pos == 0) | (pos == n - 1)
+    tol = tol * F.lit(1.0 + 1e-9) + F.lit(1e-12)
+
+    def close(i: int) -> Column:
+        return F.abs(u - F.lit(ps[i])) <= tol
+
+    def build(lo: int, hi: int) -> Column:
+        # j = number of probabilities <= u, within [lo, hi]; test ps[j-1], ps[j]
+        if lo == hi:
+            cands = [i for i in (lo - 1, lo) if 0 <= i < len(ps)]
+            c = close(cands[0])
+            for i in cands[1:]:
+                c = c | close(i)
+            return c
+        mid = (lo + hi) // 2
+        return F.when(F.lit(ps[mid]) <= u, build(mid + 1, hi)).otherwise(build(lo, mid))
+
+    return extra | build(0, len(ps))
+
+
 def group_quantiles(
     df: DataFrame,
     keys: list[str],
@@ -313,27 +349,31 @@ def group_quantiles(
     )
     s = segmented_scan(d, list(keys), ["__tl_x"], {"__tl_one": F.lit(1)}, running=True, totals=True, buckets=buckets)
     s = s.withColumns({"__tl_pos": F.col("__tl_one_run") - 1, "n": F.col("__tl_one_tot")})
-    pos = {nm: _position(F.col("n"), p, method) for nm, p in zip(names, probs)}
-    keep = None
-    for h in pos.values():
-        c = (F.col("__tl_pos") == F.floor(h)) | (F.col("__tl_pos") == F.ceil(h))
-        keep = c if keep is None else keep | c
-    s = s.where(keep)
-    aggs = [F.max("n").alias("n")]
-    for nm, h in pos.items():
-        aggs += [
-            F.max(F.when(F.col("__tl_pos") == F.floor(h), F.col("__tl_x"))).alias(f"{nm}__lo"),
-            F.max(F.when(F.col("__tl_pos") == F.ceil(h), F.col("__tl_x"))).alias(f"{nm}__hi"),
-            F.max(h - F.floor(h)).alias(f"{nm}__f"),
-        ]
-    g = s.groupBy(*[F.col(quote(k)) for k in keys]).agg(*aggs)
-    return g.select(
-        *[F.col(quote(k)) for k in keys],
-        "n",
-        *[
-            (F.col(f"{nm}__lo") + (F.col(f"{nm}__hi") - F.col(f"{nm}__lo")) * F.col(f"{nm}__f")).alias(nm)
-            for nm in names
-        ],
+    pos, n = F.col("__tl_pos"), F.col("n")
+    # One compact test per row: is this position needed by any probability?
+    # (A chain of 2 * len(probs) comparisons gets the whole pos/n arithmetic
+    # inlined into each one once the filter is pushed below the projection;
+    # the generated method then grows too large to be JIT-compiled.)
+    parr = F.array(*[F.lit(float(p)) for p in probs])
+    needed = F.exists(parr, lambda p: (pos == F.floor(_position(n, p, method))) | (pos == F.ceil(_position(n, p, method))))
+    kept = s.where(_near_any(pos, n, probs, method) & needed).select(*[F.col(quote(k)) for k in keys], "__tl_x", "__tl_pos", "n")
+    # Few rows remain (at most 2 per probability and group): pair each with
+    # every probability, keep the matches, interpolate, then pivot back.
+    e = kept.select("*", F.posexplode(parr).alias("__tl_i", "__tl_p"))
+    h = _position(F.col("n"), F.col("__tl_p"), method)
+    e = e.withColumns({"__tl_lo": F.floor(h), "__tl_hi": F.ceil(h), "__tl_f": h - F.floor(h)}).where(
+        (F.col("__tl_pos") == F.col("__tl_lo")) | (F.col("__tl_pos") == F.col("__tl_hi"))
+    )
+    kc = [F.col(quote(k)) for k in keys]
+    per = e.groupBy(*kc, "__tl_i").agg(
+        F.max("n").alias("n"),
+        F.max(F.when(F.col("__tl_pos") == F.col("__tl_lo"), F.col("__tl_x"))).alias("__tl_vlo"),
+        F.max(F.when(F.col("__tl_pos") == F.col("__tl_hi"), F.col("__tl_x"))).alias("__tl_vhi"),
+        F.max("__tl_f").alias("__tl_f"),
+    ).withColumn("__tl_q", F.col("__tl_vlo") + (F.col("__tl_vhi") - F.col("__tl_vlo")) * F.col("__tl_f"))
+    return per.groupBy(*kc).agg(
+        F.max("n").alias("n"),
+        *[F.max(F.when(F.col("__tl_i") == F.lit(i), F.col("__tl_q"))).alias(nm) for i, nm in enumerate(names)],
     )
 
 
