@@ -154,12 +154,15 @@ s0 AS (SELECT {key_sel}count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v)
 s1 AS (SELECT *, CASE WHEN coalesce(sd, 0) > 0 AND iq > 0 THEN least(sd, iq)
                       WHEN coalesce(sd, 0) > 0 THEN sd WHEN iq > 0 THEN iq ELSE 1.0 END AS m FROM s0),
 s AS (SELECT *, 1.059 * m * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM s1),
-g AS (SELECT *, lo - 2.0 * bw AS glo, (hi - lo + 4.0 * bw) / {points - 1} AS gstep FROM s)
-SELECT {"s." + key + ", " if key else ""}p.point, round(s.glo + p.point * s.gstep, 6) AS value,
-       round(sum(exp(-0.5 * ((s.glo + p.point * s.gstep - d.v) / s.bw) * ((s.glo + p.point * s.gstep - d.v) / s.bw)))
-             / (s.n * s.bw * {math.sqrt(2 * math.pi)!r}), 12) AS density
-FROM g AS s JOIN d ON {on} JOIN (SELECT CAST(range AS INTEGER) AS point FROM range({points})) p ON TRUE
-GROUP BY {"s." + key + ", " if key else ""}p.point, s.glo, s.gstep, s.n, s.bw"""
+g AS (SELECT *, lo - 2.0 * bw AS glo, (hi - lo + 4.0 * bw) / {points - 1} AS gstep FROM s),
+p AS (SELECT {"s." + key + ", " if key else ""}d.v, s.glo, s.gstep, s.n, s.bw,
+             CAST(unnest(range({points})) AS INTEGER) AS point
+      FROM g AS s JOIN d ON {on})
+SELECT {key_sel}point, round(glo + point * gstep, 6) AS value,
+       round(sum(exp(-0.5 * ((glo + point * gstep - v) / bw) * ((glo + point * gstep - v) / bw)))
+             / (n * bw * {math.sqrt(2 * math.pi)!r}), 12) AS density
+FROM p
+GROUP BY {key_sel}point, glo, gstep, n, bw"""
 
 
 @query("chart_violin", _kde_sql("events", "event_type", "value"))

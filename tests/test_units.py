@@ -212,6 +212,22 @@ def test_nunique_mode_switches(spark, empty, zeros, nunique, mode):
     assert row.x_mode == mode
 
 
+def test_group_aggregate_shuffle_path_matches_broadcast(spark):
+    # One key holds most rows; broadcast_max_rows=0 forces the shuffle join.
+    rows = [("hot" if i % 5 else f"k{i % 50}", None if i % 7 == 0 else float(i % 13), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, x double, i int")
+    mets = ["mean", "median", "count", "nunique", "mode", "cumsum"]
+    a = group_aggregate(df, ["k"], ["x"], mets, order_by=["i"]).df
+    b = group_aggregate(df, ["k"], ["x"], mets, order_by=["i"], broadcast_max_rows=0).df
+    assert a.count() == b.count() == 2000
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    pdf = df.toPandas().sort_values("i")
+    hot = pdf[pdf.k == "hot"]
+    got = {r.i: r for r in a.where(F.col("k") == "hot").collect()}
+    assert got[int(hot.i.iloc[-1])].x_cumsum == pytest.approx(hot.x.fillna(0).sum())
+    assert got[int(hot.i.iloc[0])].x_median == pytest.approx(hot.x.median())
+
+
 def test_metric_aliases_and_skips(spark):
     assert normalize_metrics(["Среднее", "avg", "Накопительная сумма", "СТАНДАРТНОЕ ОТКЛОНЕНИЕ", "уникальных"]) == [
         "mean", "cumsum", "std", "nunique"]
