@@ -257,6 +257,16 @@ def test_segmented_scan_hot_key_split(spark):
     assert df.select(bucket_expr(df, [], ["o"], 200).alias("b")).distinct().count() > 100  # one global group
 
 
+def test_segmented_scan_plan_shape(spark):
+    # Full rows shuffle once (hash on bucket and key); the windows reuse that
+    # partitioning; the corrections are a broadcast, not a second big shuffle.
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    s = segmented_scan(li, ["l_suppkey"], ["l_shipdate", "l_orderkey"], {"q": F.col("l_quantity")}, buckets=8)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_group_quantiles_linear_and_midpoint(spark):
     df = spark.createDataFrame([(v,) for v in [1.0, 2.0, 3.0, 4.0, 10.0]], "x double")
     q = group_quantiles(df, [], "x", [0.25, 0.5, 0.75], buckets=3).first()
