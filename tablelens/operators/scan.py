@@ -8,18 +8,20 @@ shuffles once, hash-partitioned on ``(bucket, keys)``; windows then run per
 satisfies them, so there is no second exchange).  A key that spans several
 buckets is corrected with the sums of its earlier/later segments.
 
-Bucket assignment (:func:`with_buckets`), in generated code, O(1) per row,
-from a bounded sample (about 20 rows per bucket, like Spark's own range
-partitioner):
-
-* with keys: a key with fewer than 20 sample rows holds about one task's
-  worth of data or less and stays whole (bucket 0; keys are spread by the
-  hash).  Each heavier key is cut into equal-width sub-ranges of its first
-  order column (numbers as is, timestamps in microseconds, text by its
-  first 7 bytes), about ``4 * share * buckets`` of them.  The heavy-key
-  table has at most ``buckets`` rows and is broadcast-joined;
+Bucket assignment (:func:`with_buckets`), in generated code, O(1) per row.
+The bucket count follows the data: at least the shuffle partitions and at
+most ~2 M rows per bucket (:func:`bucket_count`).
+
+* with keys: a key holding at most one bucket's worth of rows stays whole
+  (bucket 0; keys are spread over the tasks by the hash).  Each heavier
+  key -- found exactly by one partial aggregate, at most ``buckets`` of
+  them, so the table is broadcast with a proven bound -- is cut into
+  equal-width sub-ranges of its first order column (numbers as is,
+  timestamps in microseconds, text by its first 7 bytes), about
+  ``4 * rows / bucket size`` of them;
 * without keys (one global group): a comparison tree over at most 63
-  quantile boundaries of the order, each coarse bucket cut again into
+  quantile boundaries of the order taken from a bounded sample (at most
+  ~80 k rows reach the driver), each coarse bucket cut again into
   equal-width sub-ranges (:func:`bucket_expr`).
 
 For a fixed key the bucket number never decreases along its order, so the
@@ -42,6 +44,7 @@ from tablelens.sources.schema import quote
 BUCKET = "__tl_b"
 _SAMPLE_PER_BUCKET = 20
 MAX_COARSE = 64
+_MAX_SAMPLED_BUCKETS = 4096
 
 
 def _row_struct(cols: list[str]) -> Column:
@@ -68,15 +71,18 @@ def _order_number(df: DataFrame, c: str) -> Column | None:
     return None
 
 
-def _sample_rows(df: DataFrame, keys: list[str], order: list[str], buckets: int, seed: int = 42):
+def _sample_rows(df: DataFrame, keys: list[str], order: list[str], buckets: int, seed: int = 42,
+                 n_rows: int | None = None):
     """Bounded sample (about ``20 * buckets`` rows) sorted in Spark's order:
     nulls first, numbers by value, text by code point (= UTF-8 byte order).
     Each row: (typed values, values as text, first-order number)."""
-    n = df.count()
+    n = n_rows if n_rows is not None else df.count()
     if n == 0:
         return []
     cols = list(keys) + list(order)
-    frac = min(1.0, _SAMPLE_PER_BUCKET * buckets / n)
+    # At most ~20 rows per coarse boundary region; capped so the driver
+    # receives a bounded sample however many buckets there are.
+    frac = min(1.0, _SAMPLE_PER_BUCKET * min(buckets, _MAX_SAMPLED_BUCKETS) / n)
     sample = df.select(*[F.col(quote(c)) for c in cols])
     if frac < 1.0:
         sample = sample.sample(False, frac, seed)
@@ -91,14 +97,15 @@ def _sample_rows(df: DataFrame, keys: list[str], order: list[str], buckets: int,
     return [(tuple(r[:k]), list(r[k:2 * k]), r[2 * k]) for r in rows]
 
 
-def bucket_expr(df: DataFrame, keys: list[str], order: list[str], buckets: int | None = None) -> Column:
+def bucket_expr(df: DataFrame, keys: list[str], order: list[str], buckets: int | None = None,
+                n_rows: int | None = None) -> Column:
     """Column giving each row its range bucket on ``(keys, order)`` (see the
     module notes); about ``buckets`` distinct values."""
     buckets = buckets or default_parallelism(df.sparkSession)
     cols = list(keys) + list(order)
     if buckets <= 1 or not cols:
         return F.lit(0)
-    rows = _sample_rows(df, keys, order, buckets)
+    rows = _sample_rows(df, keys, order, buckets, n_rows=n_rows)
     m = len(rows)
     if m == 0:
         return F.lit(0)
@@ -153,45 +160,44 @@ def bucket_expr(df: DataFrame, keys: list[str], order: list[str], buckets: int |
     return c * F.lit(fine) + F.coalesce(sub.otherwise(F.lit(0)), F.lit(0))
 
 
-def with_buckets(df: DataFrame, keys: list[str], order: list[str], buckets: int) -> DataFrame:
+ROWS_PER_BUCKET = 2_000_000
+
+
+def bucket_count(spark, n_rows: int) -> int:
+    """Buckets for ``n_rows``: at least the shuffle partitions, and enough
+    that a bucket holds about ``ROWS_PER_BUCKET`` rows at most."""
+    return max(default_parallelism(spark), math.ceil(n_rows / ROWS_PER_BUCKET))
+
+
+def with_buckets(df: DataFrame, keys: list[str], order: list[str], buckets: int, n_rows: int | None = None) -> DataFrame:
     """``df`` plus the ``BUCKET`` column.
 
     Without keys the whole table is one group: quantile tree plus
-    sub-buckets (:func:`bucket_expr`).  With keys, a light key (fewer than
-    ``20`` sample rows, i.e. about one task's worth of data or less) keeps
-    bucket 0 and is spread over the tasks by hashing its key; each heavy key
-    is cut into equal-width sub-ranges of its first order column, about
-    ``4 * its share * buckets`` of them.  The heavy-key table comes from the
-    bounded sample (at most ``buckets`` rows) and is broadcast-joined.
+    sub-buckets (:func:`bucket_expr`).  With keys, a key holding at most
+    ``n / buckets`` rows (one bucket's worth) keeps bucket 0 and is spread
+    over the tasks by hashing its key; each heavier key is cut into
+    equal-width sub-ranges of its first order column, ``4 * rows /
+    (n / buckets)`` of them.  Heavy keys are found exactly by one
+    partial aggregate (count, min, max per key); at most ``buckets`` keys
+    can pass the threshold, so the broadcast table has a proven bound.
     """
     if not keys:
-        return df.withColumn(BUCKET, bucket_expr(df, [], list(order), buckets))
+        return df.withColumn(BUCKET, bucket_expr(df, [], list(order), buckets, n_rows))
     o1 = _order_number(df, order[0]) if order else None
     if o1 is None or buckets <= 1:
         return df.withColumn(BUCKET, F.lit(0))
-    rows = _sample_rows(df, keys, order, buckets)
+    n = n_rows if n_rows is not None else df.count()
+    thr = max(1.0, n / buckets)
     nk = len(keys)
-    stats: dict[tuple, list] = {}
-    for typed, _, v in rows:
-        if v is None:
-            continue
-        s = stats.setdefault(typed[:nk], [0, v, v])
-        s[0] += 1
-        s[1] = min(s[1], v)
-        s[2] = max(s[2], v)
-    heavy = [
-        (*k, float(lo), float(hi), max(2, math.ceil(4 * cnt / _SAMPLE_PER_BUCKET)))
-        for k, (cnt, lo, hi) in stats.items()
-        if cnt >= _SAMPLE_PER_BUCKET and hi > lo
-    ]
-    if not heavy:
-        return df.withColumn(BUCKET, F.lit(0))
-    schema = T.StructType(
-        [T.StructField(f"__tl_h{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
-        + [T.StructField("__tl_lo", T.DoubleType()), T.StructField("__tl_hi", T.DoubleType()),
-           T.StructField("__tl_fine", T.IntegerType())]
+    stats = (
+        df.groupBy(*[F.col(quote(k)).alias(f"__tl_h{i}") for i, k in enumerate(keys)])
+        .agg(F.count(F.lit(1)).alias("__tl_cnt"), F.min(o1).alias("__tl_lo"), F.max(o1).alias("__tl_hi"))
+        .where((F.col("__tl_cnt") > F.lit(thr)) & (F.col("__tl_hi") > F.col("__tl_lo")))
     )
-    h = F.broadcast(df.sparkSession.createDataFrame(heavy, schema))  # <= buckets rows
+    h = F.broadcast(stats.select(  # at most `buckets` rows: count > n / buckets
+        *[f"__tl_h{i}" for i in range(nk)], "__tl_lo", "__tl_hi",
+        F.greatest(F.ceil(F.lit(4.0) * F.col("__tl_cnt") / F.lit(thr)), F.lit(2)).cast("int").alias("__tl_fine"),
+    ))
     cond = None
     for i, k in enumerate(keys):
         c = F.col(quote(k)).eqNullSafe(F.col(f"__tl_h{i}"))
@@ -222,11 +228,12 @@ def segmented_scan(
     The result keeps every input row and column.
     """
     spark = df.sparkSession
-    buckets = buckets or default_parallelism(spark)
+    n_rows = df.count()
+    buckets = buckets or bucket_count(spark, n_rows)
     mnames = list(measures)
     mcols = {f"__tl_m{i}": e for i, e in enumerate(measures.values())}
     d = df.withColumns(mcols)
-    d = with_buckets(d, list(keys), list(order_by), buckets)
+    d = with_buckets(d, list(keys), list(order_by), buckets, n_rows)
 
     # Per-segment sums, partially aggregated before the (small) shuffle.
     seg = d.groupBy(BUCKET, *[quote(k) for k in keys]).agg(
