@@ -161,6 +161,9 @@ def bucket_expr(df: DataFrame, keys: list[str], order: list[str], buckets: int |
 
 
 ROWS_PER_BUCKET = 2_000_000
+# Inputs with at most this many rows (default: one bucket's worth) use one
+# plain window per group; set it to 0 to always take the split path.
+SMALL_INPUT_CONF = "spark.tablelens.scan.smallInputRows"
 
 
 def bucket_count(spark, n_rows: int) -> int:
@@ -229,10 +232,24 @@ def segmented_scan(
     """
     spark = df.sparkSession
     n_rows = df.count()
-    buckets = buckets or bucket_count(spark, n_rows)
     mnames = list(measures)
     mcols = {f"__tl_m{i}": e for i, e in enumerate(measures.values())}
     d = df.withColumns(mcols)
+    small = int(spark.conf.get(SMALL_INPUT_CONF, str(ROWS_PER_BUCKET)))
+    if buckets is None and n_rows <= small:
+        # The whole input is within one bucket's worth of rows, so no group
+        # can be larger: a plain window per group is safe and cheaper.
+        w = Window.partitionBy(*[quote(k) for k in keys])
+        run_w = w.orderBy(*[F.col(quote(c)).asc_nulls_first() for c in order_by]).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        outs = {}
+        for name, m in zip(mnames, mcols):
+            if running:
+                outs[f"{name}_run"] = F.sum(m).over(run_w)
+            if totals:
+                outs[f"{name}_tot"] = F.sum(m).over(w)
+        return d.withColumns(outs).drop(*mcols)
+    buckets = buckets or bucket_count(spark, n_rows)
     d = with_buckets(d, list(keys), list(order_by), buckets, n_rows)
 
     # Per-segment sums, partially aggregated before the (small) shuffle.
