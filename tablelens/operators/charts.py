@@ -2,7 +2,7 @@
 
 Row-level charts (scatter, line, 3-D, ternary, matrix, parallel) are
 projections that select only the needed columns (pruned at the scan);
-everything Plotly would compute in the browser (bar heights, histogram
+everything a plotting library would compute in the browser (bar heights, histogram
 counts, quartiles, densities, hierarchy sums) is a Spark aggregate here,
 partially aggregated before any shuffle.
 """

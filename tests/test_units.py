@@ -96,6 +96,28 @@ def test_nan_is_missing_and_filters_push_down(spark):
         load_table(spark, d + "/t.xlsx")
 
 
+def test_sources_formats_and_named_tables(spark):
+    from tablelens.sources.io import dataset_info, list_tables, load_named_table
+    from tablelens.sources.schema import dataset_meta
+
+    d = tempfile.mkdtemp(prefix="tl-src-", dir="/tmp")
+    df = spark.createDataFrame([(1, "a", 2.5), (2, "b", None)], "i int, s string, x double")
+    df.write.option("header", "true").csv(d + "/one.csv")
+    df.write.json(d + "/two.json")
+    assert list_tables(d) == ["one", "two"]
+    c = load_table(spark, d + "/one.csv")
+    assert c.count() == 2 and [f.name for f in c.schema] == ["i", "s", "x"]
+    assert load_named_table(spark, d, "two").count() == 2
+    with pytest.raises(ValueError):
+        load_named_table(spark, d)  # two tables and no name
+    with pytest.raises(ValueError):
+        load_named_table(spark, d, "three")
+    info = dataset_info(c, "one.csv", "one").first()
+    assert (info.n_rows, info.n_columns, info.source, info.table_name) == (2, 3, "one.csv", "one")
+    meta = [(r.position, r.column, r["class"]) for r in dataset_meta(spark, df).collect()]
+    assert meta == [(0, "i", "numeric"), (1, "s", "categorical"), (2, "x", "numeric")]
+
+
 # --- B: filters --------------------------------------------------------------
 
 def test_apply_filters_skips_and_raises(spark):
