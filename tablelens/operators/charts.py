@@ -151,10 +151,14 @@ def chart_parallel_coordinates(df, dims, color=None, color_order_by=None):
 
 
 def chart_bar(df, x, y=None, color=None, facet_row=None, facet_col=None):
-    """H4: bar height per (facets, colour, x): sum of y, or the row count."""
+    """H4: bar height per (facets, colour, x): sum of a numeric y, or the row
+    count (a non-numeric y is then one more key)."""
     x = _require(df, x, "X")
     keys = _series_keys(df, color, facet_row, facet_col)
     gk = list(dict.fromkeys(keys + [x]))
+    if y and y in df.columns and class_of_type(df.schema[y].dataType) != "numeric":
+        gk = list(dict.fromkeys(gk + [y]))
+        y = None
     if y and y in df.columns:
         val = F.coalesce(F.sum(num(y)), F.lit(0.0)).alias(y)
     else:

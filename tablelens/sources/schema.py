@@ -189,7 +189,9 @@ def num(name: str) -> Column:
     at load time: a projection over the scan would stop range filters from
     reaching Parquet (no ``PushedFilters``).
     """
-    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
+    # try_cast: text that is not a number reads as missing (never raises
+    # under ANSI), as a coercing to-number conversion does.
+    return F.nanvl(col(name).try_cast("double"), F.lit(None).cast("double"))
 
 
 def value_col(df: DataFrame, name: str) -> Column:

@@ -191,6 +191,14 @@ def test_bins_collapsing_edges(spark):
     assert _labels(spark, [1, 1, 1, 1, 2, 3], 4, "count") == ["(0.999, 1.75]"] * 4 + ["(1.75, 3.0]"] * 2
 
 
+def test_text_input_reads_as_missing(spark):
+    df = spark.createDataFrame([(0, "1"), (1, "2.5"), (2, "n/a"), (3, None), (4, "10")], "i int, x string")
+    labels = [r["Группа(x)"] for r in bin_column(df, "x", 3, method="width").orderBy("i").collect()]
+    assert labels == ["(0.99, 4.0]", "(0.99, 4.0]", None, None, "(7.0, 10.0]"]  # edges 0.991, 4, 7, 10
+    bars = {(r.x, r["count"]) for r in C.chart_bar(df.withColumn("g", F.lit("a")), "g", "x").collect()}
+    assert len(bars) == 5  # non-numeric y: rows counted per (x, y)
+
+
 def test_bins_constant(spark):
     assert _labels(spark, [5, 5], 2, "width") == ["(4.994, 5.0]"] * 2
     assert _labels(spark, [5, 5], 2, "count") == [None, None]
