@@ -314,6 +314,33 @@ def test_correlation_edge(spark):
     assert m[("a", "c")] is None and m[("c", "c")] is None and m[("a", "a")] == 1.0
 
 
+def test_correlation_many_columns_in_batches(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    data = rng.normal(size=(200, 20))
+    data[rng.random((200, 20)) < 0.1] = np.nan  # pairwise-complete rows differ per pair
+    pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(20)])
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in data],
+                               ", ".join(f"c{i} double" for i in range(20)))
+    got = {(r.col_a, r.col_b): r.r for r in correlation_matrix(df, digits=None).collect()}
+    assert len(got) == 400  # 210 pairs in two batches, mirrored
+    exp = pdf.corr()
+    for a in pdf.columns:
+        for b in pdf.columns:
+            assert got[(a, b)] == pytest.approx(exp.loc[a, b], abs=1e-9)
+
+
+def test_scatter_hash_sample(spark):
+    df = spark.range(20000).withColumn("y", F.col("id") * 2)
+    full = C.chart_scatter(df, "id", "y")
+    part = C.chart_scatter(df, "id", "y", sample_fraction=0.1)
+    n = part.count()
+    assert full.count() == 20000 and 1500 < n < 2500
+    assert n == part.count()  # deterministic
+
+
 def test_correlation_columns(spark):
     df = spark.createDataFrame([], "a double, b boolean, c int, s string")
     assert correlation_columns(df, ["s"], None, None) == ["a", "c"]
