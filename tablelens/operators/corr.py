@@ -1,10 +1,14 @@
 """Pearson correlation (G1-G3), pairwise-complete, ANSI-safe.
 
-``corr`` raises DIVIDE_BY_ZERO on a constant column under ANSI mode, so r
-is built as ``covar_pop / (stddev_pop * stddev_pop)`` over the rows where
-both columns are present, with ``try_divide`` (constant -> NULL).  Pairs
-are evaluated in batches (one scan per batch, all pairs of a batch in one
-partial aggregate) so generated code stays small at 50 columns.
+One first pass counts missing values and finds constant columns.  Columns
+with no missing value form a block whose pairs are complete on every row:
+``pyspark.ml.stat.Correlation`` computes it from one distributed Gramian
+pass, whatever the number of columns.  Only pairs that involve a column
+with missing values need pairwise-complete moments: ``covar_pop / (stddev_pop
+* stddev_pop)`` over the rows where both are present, with ``try_divide``
+(``corr`` raises DIVIDE_BY_ZERO on a constant column under ANSI mode),
+evaluated in batches so generated code stays small.  A constant column
+gives NULL everywhere, its diagonal included.
 """
 
 from __future__ import annotations
@@ -59,8 +63,30 @@ def correlation_matrix(df: DataFrame, cols=None, digits: int | None = 2, max_col
     use = [c for c in (cols or numeric) if c in numeric][:max_cols]
     if len(use) < 2:
         raise ValueError("correlation needs at least 2 numeric columns")
-    pairs = [(a, b) for i, a in enumerate(use) for b in use[i:]]
+    # One cheap pass: which columns have missing values at all?
+    missing = df.agg(
+        *[F.count(F.when(num(c).isNull(), F.lit(1))).alias(f"m{i}") for i, c in enumerate(use)],
+        *[F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(use)],
+    ).first()
+    complete = [c for i, c in enumerate(use) if missing[f"m{i}"] == 0]
+    constant = {c for i, c in enumerate(use) if not missing[f"s{i}"]}  # 0 (exact for a constant) or NULL
+    known: dict[tuple[str, str], float | None] = {}
+    if len(complete) >= 2:
+        # Columns without missing values: every pair is complete on every row,
+        # so one Gramian pass (pyspark.ml) gives the whole block.
+        known = _complete_block(df, complete)
+        known = {p: (None if (p[0] in constant or p[1] in constant) else r) for p, r in known.items()}
+    pairs = [(a, b) for i, a in enumerate(use) for b in use[i:] if (a, b) not in known]
     parts = []
+    if known:
+        rows = []
+        for (a, b), r in known.items():
+            rows.append((a, b, r))
+            if a != b:
+                rows.append((b, a, r))
+        kdf = df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")  # <= 50 x 50 values
+        parts.append(kdf.withColumn("r", F.round("r", digits)) if digits is not None else kdf)
+    # Pairs involving a column with missing values: pairwise-complete moments.
     for s in range(0, len(pairs), PAIRS_PER_BATCH):
         batch = pairs[s:s + PAIRS_PER_BATCH]
         row = df.agg(*[_pair_r(a, b).alias(f"r{i}") for i, (a, b) in enumerate(batch)])
@@ -75,6 +101,26 @@ def correlation_matrix(df: DataFrame, cols=None, digits: int | None = 2, max_col
     return reduce(DataFrame.unionByName, parts)
 
 
+def _complete_block(df: DataFrame, cols: list[str]) -> dict[tuple[str, str], float | None]:
+    """Pearson r for every pair of columns without missing values, from one
+    distributed Gramian pass; a constant column gives NULL."""
+    import math as _m
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    vec = VectorAssembler(inputCols=[f"__tl_c{i}" for i in range(len(cols))], outputCol="__tl_v").transform(
+        df.select(*[num(c).alias(f"__tl_c{i}") for i, c in enumerate(cols)])
+    ).select("__tl_v")
+    m = Correlation.corr(vec, "__tl_v", "pearson").first()[0].toArray()
+    out: dict[tuple[str, str], float | None] = {}
+    for i, a in enumerate(cols):
+        for j in range(i, len(cols)):
+            v = float(m[i, j])
+            out[(a, cols[j])] = None if _m.isnan(v) else v
+    return out
+
+
 def correlation_with_target(df: DataFrame, target: str, cols=None, digits: int | None = 2) -> DataFrame:
     """R of every other column with ``target``, largest first (missing
     r last), with a 0-based ``position``; one scan."""
