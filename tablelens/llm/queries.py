@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablelens.llm.decontam import decontaminate
+from tablelens.llm.packing import pack
 from tablelens.llm.registry import QUERIES, SQL, query, table
+from tablelens.llm.sharding import shard_documents
+from tablelens.llm.token_counts import length_histogram, with_suffix_sums
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -37,3 +41,23 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item, windows of ten words."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_shard_best_fit_decreasing")
+def op10_shard_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into shards 0 to 7 of nearly equal bytes; equal texts share a shard."""
+    dealt = shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact histogram of encoded lengths over all documents, with its suffix sums."""
+    return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+
+
+@query("op4_pack_best_fit")
+def op4_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as token pieces, in sequences of at most 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
