@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.llm import language, quality
 from tablelens.llm.decontam import decontaminate
 from tablelens.llm.packing import pack
 from tablelens.llm.registry import QUERIES, SQL, query, table
+from tablelens.llm.sampling import held_out
 from tablelens.llm.sharding import shard_documents
 from tablelens.llm.token_counts import length_histogram, with_suffix_sums
 
@@ -61,3 +63,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, as token pieces, in sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.add_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.add_languages(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
