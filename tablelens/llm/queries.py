@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelens.llm import knn, language, quality
 from tablelens.llm.decontam import decontaminate
+from tablelens.llm.line_dedup import remove_repeated_chunks
 from tablelens.llm.packing import pack
 from tablelens.llm.registry import QUERIES, SQL, query, table
 from tablelens.llm.sampling import held_out
@@ -99,3 +100,12 @@ def op7_knn_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector with all other vectors."""
     vectors = knn.quantized(table(spark, sf_dir, "embeddings"))
     return knn.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated multi-line chunks (counts and a digest of what is kept)."""
+    left = remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", "removed_lines", "removed_chunks", F.octet_length(text).cast("long").alias("kept_bytes"),
+                       F.sha2(text, 256).alias("kept_sha256"))
