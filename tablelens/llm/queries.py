@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablelens.llm import knn, language, quality
 from tablelens.llm.decontam import decontaminate
 from tablelens.llm.line_dedup import remove_repeated_chunks
+from tablelens.llm.near_dedup import near_classes
 from tablelens.llm.packing import pack
 from tablelens.llm.registry import QUERIES, SQL, query, table
 from tablelens.llm.sampling import held_out
@@ -109,3 +110,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return left.select("doc_id", "removed_lines", "removed_chunks", F.octet_length(text).cast("long").alias("kept_bytes"),
                        F.sha2(text, 256).alias("kept_sha256"))
+
+
+@query("op5_near_dedup_bagminhash")
+def op5_near_dedup_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document (weighted Jaccard of five-word shingles, 0.8)."""
+    classes = near_classes(table(spark, sf_dir, "documents"))
+    return classes.select(F.col("__id").alias("doc_id"), "class_id", "class_size", "kept")
