@@ -13,7 +13,9 @@ from tablelens.llm.packing import pack
 from tablelens.llm.registry import QUERIES, SQL, query, table
 from tablelens.llm.sampling import held_out
 from tablelens.llm.sharding import shard_documents
+from tablelens.llm.suffix_dedup import remove_repeats
 from tablelens.llm.token_counts import length_histogram, with_suffix_sums
+from tablelens.session import materialize
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -117,3 +119,20 @@ def op5_near_dedup_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document (weighted Jaccard of five-word shingles, 0.8)."""
     classes = near_classes(table(spark, sf_dir, "documents"))
     return classes.select(F.col("__id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that also start earlier."""
+    docs = table(spark, sf_dir, "documents")
+    lost = materialize(remove_repeats(docs).select(
+        F.col("__id").alias("__lost_id"), F.col("__h").alias("__lost_h"), "n_removed",
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha")))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("__h"), F.octet_length(text).cast("long").alias("n_bytes"),
+                       F.sha2(text, 256).alias("whole"))
+    on = F.col("doc_id").eqNullSafe(F.col("__lost_id")) & (F.col("__h") == F.col("__lost_h"))
+    zero = F.lit(0).cast("long")
+    return rows.join(lost, on, "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("sha", "whole").alias("kept_sha256"))
