@@ -23,10 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.session import materialize
+from tablelens.session import checked_broadcast, materialize
 
 WINDOW = 10
 BROADCAST_WINDOWS = 100_000
+BROADCAST_HITS = 1_000_000  # of an id and a hash each
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Characters between words, before and after lower-casing A-Z.
@@ -117,6 +118,24 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), acc, step, lambda a: a["n"])
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
+                 broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The documents that contain a window: ``__hit_id``, ``__hit_h`` (xxhash64
+    of the text), n_hit, n_items, items_sha256, one row per id and text."""
+    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    words = base.select("__id", F.xxhash64("__text").alias("__h"), words_of(F.col("__text")).alias("words"))
+    windows = item_windows(benchmark, item_col, item_text_col, window)
+    return (
+        find_windows(words, windows, broadcast_windows, window)
+        .groupBy(F.col("__id").alias("__hit_id"), F.col("__h").alias("__hit_h"))
+        .agg(F.collect_set(F.struct("start", (F.col("start") + F.col("win_len")).alias("end"))).alias("spans"),
+             F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        .select("__hit_id", "__hit_h", _covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"))
+    )
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                   broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -130,25 +149,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     id *and* text hash).  Other columns of both inputs are ignored.  An empty
     benchmark contaminates nothing.
     """
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    key = [F.col("__id"), F.xxhash64("__text").alias("__h")]
-    windows = item_windows(benchmark, item_col, item_text_col, window)
-    occurrences = find_windows(base.select(*key, words_of(F.col("__text")).alias("words")), windows,
-                               broadcast_windows, window)
-    hits = (
-        occurrences.groupBy("__id", "__h")
-        .agg(F.collect_set(F.struct("start", (F.col("start") + F.col("win_len")).alias("end"))).alias("spans"),
-             F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        .select(F.col("__id").alias("__hit_id"), F.col("__h").alias("__hit_h"), _covered(F.col("spans")).alias("hit"),
-                F.size("items").cast("long").alias("items"),
-                F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("sha"))
-    )
-    n_words = F.regexp_count(F.coalesce("__text", F.lit("")), F.lit(_ANY_CASE_WORD)).cast("long")
-    rows = base.select(*key, n_words.alias("n_words"))
+    hits = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col, window, broadcast_windows)
+    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(_ANY_CASE_WORD)).cast("long")
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"), n_words.alias("n_words"))
+    zero = F.lit(0).cast("long")
     return (
         rows.join(hits, F.col("__id").eqNullSafe(F.col("__hit_id")) & (F.col("__h") == F.col("__hit_h")), "left")
-        .select(F.col("__id").alias(id_col), "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
-                F.coalesce("items", F.lit(0)).cast("long").alias("n_items"),
-                F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-                (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"))
+        .select(F.col("__id").alias(id_col), "n_words", F.coalesce("n_hit", zero).alias("n_hit"),
+                F.coalesce("n_items", zero).alias("n_items"),
+                F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+                (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs``, all columns, in whose text no window of a benchmark item occurs."""
+    hits = contaminated(docs, benchmark, id_col, text_col, **options).select("__hit_id", "__hit_h")
+    hits, _ = checked_broadcast(hits, BROADCAST_HITS)
+    on = F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_h"))
+    return docs.join(hits, on, "left_anti")

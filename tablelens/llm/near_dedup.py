@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.components import components
 from tablelens.llm.features import buffers
 from tablelens.llm.shingles import WORDS, counted, mixed, shingles, words_digest
-from tablelens.session import materialize
+from tablelens.session import checked_broadcast, materialize
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4  # a pair at 0.8 shares no band with probability 3e-5
@@ -277,8 +277,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs``, all columns, with one row of each class left: its
     least id.  Of rows that repeat its id and text, any one stays."""
-    gone = near_classes(docs, id_col, text_col, threshold)
-    kept = materialize(gone.where("kept").select(F.col("__id").alias("__kept_id"), F.col("__h").alias("__kept_h")).distinct())
-    keyed = docs.withColumn("__h", F.xxhash64(text_col))
-    on = keyed[id_col].eqNullSafe(kept["__kept_id"]) & (keyed["__h"] == kept["__kept_h"])
-    return keyed.join(kept, on).dropDuplicates(["__kept_id", "__kept_h"]).select(*docs.columns)
+    classes = materialize(near_classes(docs, id_col, text_col, threshold).select("__id", "__h", "kept"))
+    gone = classes.where(~F.col("kept")).select(F.col("__id").alias("__gone_id"), F.col("__h").alias("__gone_h")).distinct()
+    gone, _ = checked_broadcast(gone, BROADCAST_ROWS)
+    keyed = docs.withColumn("__h", F.xxhash64(text_col)).withColumn("__id", F.col(id_col))
+    on = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__h") == F.col("__gone_h"))
+    left = keyed.join(gone, on, "left_anti")
+    if classes.where("kept").groupBy("__id", "__h").agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count():
+        left = left.dropDuplicates(["__id", "__h"])
+    return left.select(*docs.columns)

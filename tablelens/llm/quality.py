@@ -110,6 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             names=["logits", "zeros", "ones"])
 
     row = chosen.repartition(1).mapInArrow(run, "logits binary, zeros long, ones long").first()
+    if row is None:  # none of the labelled ids is in docs
+        return QualityModel(np.zeros(Hasher(**_HASHER).buckets, np.float32), float(np.log(totals[1] / totals[0])))
     bias = np.log(totals[1] / totals[0]) - np.log(max(1, row["ones"]) / max(1, row["zeros"]))
     return QualityModel(np.frombuffer(row["logits"], "<f4"), float(bias))
 
