@@ -1,39 +1,27 @@
 """Skew-safe ordered scans within groups.
 
 A window ``partitionBy(keys)`` sends a whole group to one task, so one key
-holding a third of the rows means one task doing a third of the work.
-Here every row gets a *range bucket* on ``(keys, order)`` and the data
-shuffles once, hash-partitioned on ``(bucket, keys)``; windows then run per
-``(bucket, key)`` segment inside each task (the partitioning already
-satisfies them, so there is no second exchange).  A key that spans several
-buckets is corrected with the sums of its earlier/later segments.
-
-Bucket assignment (:func:`with_buckets`), in generated code, O(1) per row.
-The bucket count follows the data: at least the shuffle partitions and at
-most ~2 M rows per bucket (:func:`bucket_count`).
-
-* with keys: a key holding at most one bucket's worth of rows stays whole
-  (bucket 0; keys are spread over the tasks by the hash).  Each heavier
-  key -- found exactly by one partial aggregate, at most ``buckets`` of
-  them, so the table is broadcast with a proven bound -- is cut into
-  equal-width sub-ranges of its first order column (numbers as is,
-  timestamps in microseconds, text by its first 7 bytes), about
-  ``4 * rows / bucket size`` of them;
-* without keys (one global group): a comparison tree over at most 63
-  quantile boundaries of the order taken from a bounded sample (at most
-  ~80 k rows reach the driver), each coarse bucket cut again into
-  equal-width sub-ranges (:func:`bucket_expr`).
-
-For a fixed key the bucket number never decreases along its order, so the
-segments of a key are contiguous runs.  Only keys cut into several
-segments need a correction, which bounds the correction table by about
-``4 * buckets`` rows -- broadcast with a proven bound.
+holding a third of the rows means one task doing a third of the work.  Here
+rows are cut by the *full* ``(keys, order)`` tuple into as many ranges as
+there are shuffle partitions, at the quantiles of a random sample of
+``SAMPLE_PER_RANGE`` rows a range; a hot key spans several ranges, whatever
+its values look like.  A row finds its range by binary search in a literal
+array of boundary tuples, so the number is a function of the row alone and
+the rows shuffle once, by ``(range, keys)``.  Windows run per segment, and a
+key that spans several ranges is corrected with the sums of its other
+segments.  A boundary splits at most one key, so there are fewer than two
+corrections per range.
+
+Quantiles do not rank rows at all: equal values are counted first
+(``groupBy(keys, value).count()``, partially aggregated), and the running
+sums go over distinct values weighted by their counts.  A value that most
+rows share is one row by then.
+
+The plan is the same for inputs of every size.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,176 +29,30 @@ from pyspark.sql import types as T
 from tablelens.session import default_parallelism
 from tablelens.sources.schema import quote
 
-BUCKET = "__tl_b"
-_SAMPLE_PER_BUCKET = 20
-MAX_COARSE = 64
-_MAX_SAMPLED_BUCKETS = 4096
-
-
-def _row_struct(cols: list[str]) -> Column:
-    return F.struct(*[F.col(quote(c)).alias(f"c{i}") for i, c in enumerate(cols)])
+RANGE = "__tl_range"
+SAMPLE_PER_RANGE = 64
 
 
-def _order_number(df: DataFrame, c: str) -> Column | None:
-    """A number that never decreases with the sort order of ``c`` (None if
-    the type has no such cheap map)."""
-    dt = df.schema[c].dataType
-    x = F.col(quote(c))
-    if isinstance(dt, T.BooleanType):
-        return x.cast("int").cast("double")
-    if isinstance(dt, T.NumericType):
-        return x.cast("double")
-    if isinstance(dt, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), x).cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(x).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(x).cast("double")
-    if isinstance(dt, T.StringType):  # first 7 UTF-8 bytes, fixed width: byte order preserved
-        return F.conv(F.rpad(F.substring(F.hex(x), 1, 14), 14, "0"), 16, 10).cast("double")
-    return None
-
-
-def _sample_rows(df: DataFrame, keys: list[str], order: list[str], buckets: int, seed: int = 42,
-                 n_rows: int | None = None):
-    """Bounded sample (about ``20 * buckets`` rows) sorted in Spark's order:
-    nulls first, numbers by value, text by code point (= UTF-8 byte order).
-    Each row: (typed values, values as text, first-order number)."""
-    n = n_rows if n_rows is not None else df.count()
-    if n == 0:
-        return []
-    cols = list(keys) + list(order)
-    # At most ~20 rows per coarse boundary region; capped so the driver
-    # receives a bounded sample however many buckets there are.
-    frac = min(1.0, _SAMPLE_PER_BUCKET * min(buckets, _MAX_SAMPLED_BUCKETS) / n)
-    sample = df.select(*[F.col(quote(c)) for c in cols])
-    if frac < 1.0:
-        sample = sample.sample(False, frac, seed)
-    o1 = _order_number(df, order[0]) if order else None
-    k = len(cols)
-    rows = sample.select(
-        *[F.col(quote(c)).alias(f"v{i}") for i, c in enumerate(cols)],
-        *[F.col(quote(c)).cast("string").alias(f"c{i}") for i, c in enumerate(cols)],
-        (o1 if o1 is not None else F.lit(None).cast("double")).alias("o1"),
-    ).collect()
-    rows.sort(key=lambda r: tuple((0,) if r[i] is None else (1, r[i]) for i in range(k)))
-    return [(tuple(r[:k]), list(r[k:2 * k]), r[2 * k]) for r in rows]
-
-
-def bucket_expr(df: DataFrame, keys: list[str], order: list[str], buckets: int | None = None,
-                n_rows: int | None = None) -> Column:
-    """Column giving each row its range bucket on ``(keys, order)`` (see the
-    module notes); about ``buckets`` distinct values."""
-    buckets = buckets or default_parallelism(df.sparkSession)
-    cols = list(keys) + list(order)
-    if buckets <= 1 or not cols:
-        return F.lit(0)
-    rows = _sample_rows(df, keys, order, buckets, n_rows=n_rows)
-    m = len(rows)
-    if m == 0:
+def range_number(df: DataFrame, cols: list[str], ranges: int) -> Column:
+    """0 to ``ranges - 1``, never decreasing along ``cols`` (nulls first, NaN
+    last): the number of sampled boundaries below the row.  The driver gets
+    ``SAMPLE_PER_RANGE * ranges`` rows, in Spark's own order."""
+    if ranges <= 1 or not cols:
         return F.lit(0)
-    coarse = min(MAX_COARSE, buckets)
-    picks: list[int] = []
-    for i in range(1, coarse):
-        j = min(m - 1, (i * m) // coarse)
-        if not picks or rows[picks[-1]][1] != rows[j][1]:
-            picks.append(j)
+    plain = [F.col(quote(c)).alias(f"c{i}") for i, c in enumerate(cols)]
+    sample = df.select(*plain, F.rand(42).alias("r")).orderBy("r").limit(SAMPLE_PER_RANGE * ranges).drop("r")
     types = [df.schema[c].dataType for c in cols]
-    if len(cols) == 1:
-        # One column: plain comparisons (no struct per row); NULL sorts first.
-        row = F.col(quote(cols[0]))
-        lits = [F.lit(rows[j][1][0]).cast(types[0]) for j in picks]
-
-        def le(i: int) -> Column:
-            return row.isNull() | (row <= lits[i]) if rows[picks[i]][1][0] is not None else row.isNull()
-    else:
-        row = _row_struct(cols)
-        lits = [F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(rows[j][1], types))])
-                for j in picks]
-
-        def le(i: int) -> Column:
-            return row <= lits[i]
-
-    def build(lo: int, hi: int) -> Column:
-        # coarse bucket = number of boundaries strictly below the row, in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(le(mid), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    c = build(0, len(picks))
-    fine = max(1, math.ceil(buckets / (len(picks) + 1)))
-    o1 = _order_number(df, order[0]) if order else None
-    if fine == 1 or o1 is None:
-        return c
-    # Coarse buckets inside a single key: equal-width sub-buckets of the order.
-    edges = [0] + picks + [m - 1]
-    nk = len(keys)
-    sub = None
-    for b in range(len(picks) + 1):
-        lo_row, hi_row = rows[edges[b]], rows[edges[b + 1]]
-        lo_v, hi_v = lo_row[2], hi_row[2]
-        if lo_row[0][:nk] != hi_row[0][:nk] or lo_v is None or hi_v is None or not hi_v > lo_v:
-            continue
-        w = F.least(F.greatest(F.width_bucket(o1, F.lit(float(lo_v)), F.lit(float(hi_v)), F.lit(fine)), F.lit(1)),
-                    F.lit(fine)) - 1
-        sub = (F.when(c == F.lit(b), w) if sub is None else sub.when(c == F.lit(b), w))
-    if sub is None:
-        return c
-    return c * F.lit(fine) + F.coalesce(sub.otherwise(F.lit(0)), F.lit(0))
-
-
-ROWS_PER_BUCKET = 2_000_000
-# Inputs with at most this many rows (default: one bucket's worth) use one
-# plain window per group; set it to 0 to always take the split path.
-SMALL_INPUT_CONF = "spark.tablelens.scan.smallInputRows"
-
-
-def bucket_count(spark, n_rows: int) -> int:
-    """Buckets for ``n_rows``: at least the shuffle partitions, and enough
-    that a bucket holds about ``ROWS_PER_BUCKET`` rows at most."""
-    return max(default_parallelism(spark), math.ceil(n_rows / ROWS_PER_BUCKET))
-
-
-def with_buckets(df: DataFrame, keys: list[str], order: list[str], buckets: int, n_rows: int | None = None) -> DataFrame:
-    """``df`` plus the ``BUCKET`` column.
-
-    Without keys the whole table is one group: quantile tree plus
-    sub-buckets (:func:`bucket_expr`).  With keys, a key holding at most
-    ``n / buckets`` rows (one bucket's worth) keeps bucket 0 and is spread
-    over the tasks by hashing its key; each heavier key is cut into
-    equal-width sub-ranges of its first order column, ``4 * rows /
-    (n / buckets)`` of them.  Heavy keys are found exactly by one
-    partial aggregate (count, min, max per key); at most ``buckets`` keys
-    can pass the threshold, so the broadcast table has a proven bound.
-    """
-    if not keys:
-        return df.withColumn(BUCKET, bucket_expr(df, [], list(order), buckets, n_rows))
-    o1 = _order_number(df, order[0]) if order else None
-    if o1 is None or buckets <= 1:
-        return df.withColumn(BUCKET, F.lit(0))
-    n = n_rows if n_rows is not None else df.count()
-    thr = max(1.0, n / buckets)
-    nk = len(keys)
-    stats = (
-        df.groupBy(*[F.col(quote(k)).alias(f"__tl_h{i}") for i, k in enumerate(keys)])
-        .agg(F.count(F.lit(1)).alias("__tl_cnt"), F.min(o1).alias("__tl_lo"), F.max(o1).alias("__tl_hi"))
-        .where((F.col("__tl_cnt") > F.lit(thr)) & (F.col("__tl_hi") > F.col("__tl_lo")))
-    )
-    h = F.broadcast(stats.select(  # at most `buckets` rows: count > n / buckets
-        *[f"__tl_h{i}" for i in range(nk)], "__tl_lo", "__tl_hi",
-        F.greatest(F.ceil(F.lit(4.0) * F.col("__tl_cnt") / F.lit(thr)), F.lit(2)).cast("int").alias("__tl_fine"),
-    ))
-    cond = None
-    for i, k in enumerate(keys):
-        c = F.col(quote(k)).eqNullSafe(F.col(f"__tl_h{i}"))
-        cond = c if cond is None else cond & c
-    j = df.join(h, cond, "left")
-    sub = F.least(F.greatest(F.width_bucket(o1, F.col("__tl_lo"), F.col("__tl_hi"), F.col("__tl_fine")), F.lit(1)),
-                  F.col("__tl_fine"))
-    return j.withColumn(BUCKET, F.coalesce(sub, F.lit(0))).drop(
-        *[f"__tl_h{i}" for i in range(nk)], "__tl_lo", "__tl_hi", "__tl_fine"
-    )
+    moment = (T.DateType, T.TimestampType, T.TimestampNTZType)  # to the driver and back as text, whatever its time zone
+    rows = sample.orderBy(*[F.col(f"c{i}").asc_nulls_first() for i in range(len(cols))]).select(
+        *[F.col(f"c{i}").cast("string") if isinstance(t, moment) else F.col(f"c{i}") for i, t in enumerate(types)]).collect()
+    picks = list(dict.fromkeys(rows[len(rows) * i // ranges] for i in range(1, ranges) if rows))
+    if not picks:
+        return F.lit(0)
+    bound = lambda r: F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(r, types))])
+    bounds, row = F.array(*[bound(r) for r in picks]), F.struct(*plain)
+    strides = F.array(*[F.lit(1 << i) for i in reversed(range(len(picks).bit_length()))])
+    fits = lambda n: (n <= len(picks)) & (F.element_at(bounds, F.least(n, F.lit(len(picks)))) < row)
+    return F.aggregate(strides, F.lit(0), lambda n, stride: F.when(fits(n + stride), n + stride).otherwise(n))
 
 
 def segmented_scan(
@@ -220,185 +62,104 @@ def segmented_scan(
     measures: dict[str, Column],
     running: bool = True,
     totals: bool = False,
-    buckets: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Per-group running sums (in ``order_by`` order) and/or group totals.
 
     For each ``name -> expr`` in ``measures`` adds ``{name}_run`` (inclusive
-    running sum within the group, rows ordered by ``order_by``; the order
-    must be unique within a group for a deterministic result) and/or
-    ``{name}_tot`` (sum over the whole group).  Null keys form a group.
-    The result keeps every input row and column.
+    running sum within the group, rows ordered by ``order_by``, nulls first
+    and NaN last; the order must be unique within a group for a
+    deterministic result) and/or ``{name}_tot`` (sum over the whole group).
+    Null keys form a group.  The result keeps every input row and column.
     """
-    spark = df.sparkSession
-    n_rows = df.count()
-    mnames = list(measures)
-    mcols = {f"__tl_m{i}": e for i, e in enumerate(measures.values())}
-    d = df.withColumns(mcols)
-    small = int(spark.conf.get(SMALL_INPUT_CONF, str(ROWS_PER_BUCKET)))
-    if buckets is None and n_rows <= small:
-        # The whole input is within one bucket's worth of rows, so no group
-        # can be larger: a plain window per group is safe and cheaper.
-        w = Window.partitionBy(*[quote(k) for k in keys])
-        run_w = w.orderBy(*[F.col(quote(c)).asc_nulls_first() for c in order_by]).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        outs = {}
-        for name, m in zip(mnames, mcols):
-            if running:
-                outs[f"{name}_run"] = F.sum(m).over(run_w)
-            if totals:
-                outs[f"{name}_tot"] = F.sum(m).over(w)
-        return d.withColumns(outs).drop(*mcols)
-    buckets = buckets or bucket_count(spark, n_rows)
-    d = with_buckets(d, list(keys), list(order_by), buckets, n_rows)
-
-    # Per-segment sums, partially aggregated before the (small) shuffle.
-    seg = d.groupBy(BUCKET, *[quote(k) for k in keys]).agg(
-        *[F.sum(m).alias(f"{m}_t") for m in mcols]
-    )
-    wk = Window.partitionBy(*[quote(k) for k in keys]).orderBy(BUCKET)
-    before = wk.rowsBetween(Window.unboundedPreceding, -1)
-    after = wk.rowsBetween(1, Window.unboundedFollowing)
-    seg = seg.select(
-        BUCKET,
-        *[F.col(quote(k)).alias(f"__tl_k{i}") for i, k in enumerate(keys)],
-        *[F.sum(f"{m}_t").over(before).alias(f"{m}_before") for m in mcols],
-        *[F.sum(f"{m}_t").over(after).alias(f"{m}_after") for m in mcols],
-        F.count(F.lit(1)).over(wk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__tl_nseg"),
-    )
-    # Keys split over several buckets: at most two per bucket.
-    spans = F.broadcast(seg.filter(F.col("__tl_nseg") > 1).drop("__tl_nseg"))
-
-    # Hash on (bucket, keys): light keys spread over every partition, a hot
-    # key over its buckets; the windows below need no further exchange.
-    d = d.repartition(buckets, BUCKET, *[quote(k) for k in keys])
-    wseg = Window.partitionBy(BUCKET, *[quote(k) for k in keys])
-    run_w = wseg.orderBy(*[F.col(quote(c)).asc_nulls_first() for c in order_by]).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    adds = {}
-    for m in mcols:
-        if running:
-            adds[f"{m}_r"] = F.sum(m).over(run_w)
-        if totals:
-            adds[f"{m}_s"] = F.sum(m).over(wseg)
-    d = d.withColumns(adds)
-
-    sp = spans.withColumnRenamed(BUCKET, "__tl_sb")
-    cond = F.col(BUCKET) == F.col("__tl_sb")
-    for i, k in enumerate(keys):
-        cond = cond & F.col(quote(k)).eqNullSafe(F.col(f"__tl_k{i}"))
-    j = d.join(sp, cond, "left")
-
-    outs = {}
-    for name, m in zip(mnames, mcols):
-        b = F.coalesce(F.col(f"{m}_before"), F.lit(0))
+    keys, order_by = list(keys), list(order_by)
+    ranges = ranges or default_parallelism(df.sparkSession)
+    names = {f"__tl_m{i}": name for i, name in enumerate(measures)}
+    key_cols = [F.col(quote(k)) for k in keys]
+    order = [F.col(quote(c)).asc_nulls_first() for c in order_by]
+    rows = df.withColumns({m: measures[name] for m, name in names.items()})
+    cut = rows.withColumn(RANGE, range_number(df, keys + order_by, ranges))
+
+    by_range = Window.partitionBy(*key_cols).orderBy(RANGE)
+    before = by_range.rowsBetween(Window.unboundedPreceding, -1)
+    whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    segments = cut.groupBy(RANGE, *key_cols).agg(*[F.sum(m).alias(m) for m in names])
+    fixes = segments.select(  # without keys: one row per range, in one task
+        F.col(RANGE).alias("__tl_at"), *[k.alias(f"__tl_k{i}") for i, k in enumerate(key_cols)],
+        *[F.sum(m).over(before).alias(f"{m}_before") for m in names],
+        *[F.sum(m).over(whole).alias(f"{m}_whole") for m in names],
+        F.count(F.lit(1)).over(whole).alias("__tl_segments"),
+    ).where(F.col("__tl_segments") > 1).drop("__tl_segments")
+
+    segment = Window.partitionBy(RANGE, *key_cols)
+    upto = segment.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = {f"{m}_run": F.sum(m).over(upto) for m in names if running} | {f"{m}_tot": F.sum(m).over(segment) for m in names if totals}
+    on = F.col(RANGE) == F.col("__tl_at")
+    for i, k in enumerate(key_cols):
+        on &= k.eqNullSafe(F.col(f"__tl_k{i}"))
+    joined = cut.withColumns(own).join(F.broadcast(fixes), on, "left")  # fewer than two rows per range
+    out = {}
+    for m, name in names.items():
         if running:
-            outs[f"{name}_run"] = F.col(f"{m}_r") + b
+            earlier = F.col(f"{m}_before")
+            out[f"{name}_run"] = F.when(earlier.isNull(), F.col(f"{m}_run")).otherwise(
+                earlier + F.coalesce(F.col(f"{m}_run"), F.lit(0)))
         if totals:
-            outs[f"{name}_tot"] = F.col(f"{m}_s") + b + F.coalesce(F.col(f"{m}_after"), F.lit(0))
-    j = j.withColumns(outs)
-    drop = [BUCKET, "__tl_sb", *[f"__tl_k{i}" for i in range(len(keys))]]
-    for m in mcols:
-        drop += [m, f"{m}_r", f"{m}_s", f"{m}_before", f"{m}_after"]
-    return j.drop(*[c for c in drop if c in j.columns])
+            out[f"{name}_tot"] = F.coalesce(F.col(f"{m}_whole"), F.col(f"{m}_tot"))
+    return joined.select(*[F.col(quote(c)) for c in df.columns], *[e.alias(n) for n, e in out.items()])
 
 
-def _position(n: Column, p: float, method: str) -> Column:
+def _position(n: Column, p, method: str) -> Column:
     """0-based fractional position of the ``p`` quantile in ``n`` sorted values."""
+    p = p if isinstance(p, Column) else F.lit(p)
     if method == "linear":  # pandas / Spark percentile: (n - 1) p
-        return (n - 1) * F.lit(p)
+        return (n - 1) * p
     if method == "midpoint_rank":  # rank n p + 0.5 (1-based), clamped to the ends
-        h = n * F.lit(p) - F.lit(0.5)
-        return F.least(F.greatest(h, F.lit(0.0)), (n - 1).cast("double"))
+        return F.least(F.greatest(n * p - F.lit(0.5), F.lit(0.0)), (n - 1).cast("double"))
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def _near_any(pos: Column, n: Column, probs: list[float], method: str) -> Column:
-    """Cheap necessary test for "position ``pos`` is used by some quantile".
-
-    A quantile at probability p reads positions within 1 of its fractional
-    position h(p), so p lies within ``tol`` of ``u`` (the position expressed
-    as a probability).  Only the two probabilities nearest to ``u`` can be
-    that close; they are found by a small comparison tree on literals.
-    """
-    ps = sorted(set(float(p) for p in probs))
-    if method == "linear":
-        u = F.when(n > 1, pos / (n - 1)).otherwise(F.lit(0.0))
-        tol = F.when(n > 1, F.lit(1.0) / (n - 1)).otherwise(F.lit(2.0))
-        extra = F.lit(False)
-    else:  # midpoint_rank: h = n p - 0.5, clamped to [0, n - 1]
-        u = (pos + F.lit(0.5)) / n
-        tol = F.lit(1.0) / n
-        extra = (pos == 0) | (pos == n - 1)
-    tol = tol * F.lit(1.0 + 1e-9) + F.lit(1e-12)
-
-    def close(i: int) -> Column:
-        return F.abs(u - F.lit(ps[i])) <= tol
-
-    def build(lo: int, hi: int) -> Column:
-        # j = number of probabilities <= u, within [lo, hi]; test ps[j-1], ps[j]
-        if lo == hi:
-            cands = [i for i in (lo - 1, lo) if 0 <= i < len(ps)]
-            c = close(cands[0])
-            for i in cands[1:]:
-                c = c | close(i)
-            return c
-        mid = (lo + hi) // 2
-        return F.when(F.lit(ps[mid]) <= u, build(mid + 1, hi)).otherwise(build(lo, mid))
-
-    return extra | build(0, len(ps))
+def value_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct non-missing values per group: keys, ``x``, ``w`` (its rows),
+    ``before`` (rows with a smaller value) and ``n`` (rows of the group)."""
+    key_cols = [F.col(quote(k)) for k in keys]
+    counts = (
+        df.where(F.col(quote(value)).isNotNull()).groupBy(*key_cols, F.col(quote(value)).alias("x"))
+        .agg(F.count(F.lit(1)).alias("w"))
+    )
+    s = segmented_scan(counts, keys, ["x"], {"__tl_w": F.col("w")}, running=True, totals=True)
+    return s.select(*key_cols, "x", "w", (F.col("__tl_w_run") - F.col("w")).alias("before"), F.col("__tl_w_tot").alias("n"))
 
 
-def group_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    names: list[str] | None = None,
-    method: str = "linear",
-    buckets: int | None = None,
-) -> DataFrame:
-    """Exact quantiles of ``value`` per group, one row per group.
+def quantiles_of(hist: DataFrame, keys: list[str], probs: list[float], names: list[str], method: str = "linear") -> DataFrame:
+    """Exact quantiles per group of a :func:`value_histogram`, plus ``n``.
 
-    Rows are ranked inside their group by a segmented scan (no group is
-    gathered into one task); then only the at most ``2 * len(probs)`` rows
-    per group that sit at the needed positions are kept and combined by
-    linear interpolation.  Missing values are ignored; a group with no
-    values is absent.  Also returns ``n`` (non-missing count) per group.
+    A distinct value holds the positions ``before`` to ``before + w - 1``; the
+    at most ``2 * len(probs)`` values per group that hold a needed position
+    are kept and interpolated linearly.
     """
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    n, first, last = F.col("n"), F.col("before"), F.col("before") + F.col("w") - 1
+    holds = lambda h: (first <= h) & (h <= last)
+    low, high = (lambda p: F.floor(_position(n, p, method))), (lambda p: F.ceil(_position(n, p, method)))
+    kept = hist.where(F.exists(wanted, lambda p: holds(low(p)) | holds(high(p))))
+    e = kept.select("*", F.posexplode(wanted).alias("i", "p"))
+    key_cols = [F.col(quote(k)) for k in keys]
+    h = _position(n, F.col("p"), method)
+    per = e.where(holds(low(F.col("p"))) | holds(high(F.col("p")))).groupBy(*key_cols, "i").agg(
+        F.max("n").alias("n"), F.max(F.when(holds(low(F.col("p"))), F.col("x"))).alias("lo"),
+        F.max(F.when(holds(high(F.col("p"))), F.col("x"))).alias("hi"), F.max(h - F.floor(h)).alias("f"),
+    ).withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f"))
+    return per.groupBy(*key_cols).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("i") == F.lit(i), F.col("q"))).alias(name) for i, name in enumerate(names)])
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str] | None = None,
+                    method: str = "linear") -> DataFrame:
+    """Exact quantiles of ``value`` per group, one row per group, with ``n``
+    (its non-missing count).  A group without values is absent."""
     names = names or [f"q{i}" for i in range(len(probs))]
-    d = df.select(*[F.col(quote(k)) for k in keys], F.col(quote(value)).alias("__tl_x")).where(
-        F.col("__tl_x").isNotNull()
-    )
-    s = segmented_scan(d, list(keys), ["__tl_x"], {"__tl_one": F.lit(1)}, running=True, totals=True, buckets=buckets)
-    s = s.withColumns({"__tl_pos": F.col("__tl_one_run") - 1, "n": F.col("__tl_one_tot")})
-    pos, n = F.col("__tl_pos"), F.col("n")
-    # One compact test per row: is this position needed by any probability?
-    # (A chain of 2 * len(probs) comparisons gets the whole pos/n arithmetic
-    # inlined into each one once the filter is pushed below the projection;
-    # the generated method then grows too large to be JIT-compiled.)
-    parr = F.array(*[F.lit(float(p)) for p in probs])
-    needed = F.exists(parr, lambda p: (pos == F.floor(_position(n, p, method))) | (pos == F.ceil(_position(n, p, method))))
-    kept = s.where(_near_any(pos, n, probs, method) & needed).select(*[F.col(quote(k)) for k in keys], "__tl_x", "__tl_pos", "n")
-    # Few rows remain (at most 2 per probability and group): pair each with
-    # every probability, keep the matches, interpolate, then pivot back.
-    e = kept.select("*", F.posexplode(parr).alias("__tl_i", "__tl_p"))
-    h = _position(F.col("n"), F.col("__tl_p"), method)
-    e = e.withColumns({"__tl_lo": F.floor(h), "__tl_hi": F.ceil(h), "__tl_f": h - F.floor(h)}).where(
-        (F.col("__tl_pos") == F.col("__tl_lo")) | (F.col("__tl_pos") == F.col("__tl_hi"))
-    )
-    kc = [F.col(quote(k)) for k in keys]
-    per = e.groupBy(*kc, "__tl_i").agg(
-        F.max("n").alias("n"),
-        F.max(F.when(F.col("__tl_pos") == F.col("__tl_lo"), F.col("__tl_x"))).alias("__tl_vlo"),
-        F.max(F.when(F.col("__tl_pos") == F.col("__tl_hi"), F.col("__tl_x"))).alias("__tl_vhi"),
-        F.max("__tl_f").alias("__tl_f"),
-    ).withColumn("__tl_q", F.col("__tl_vlo") + (F.col("__tl_vhi") - F.col("__tl_vlo")) * F.col("__tl_f"))
-    return per.groupBy(*kc).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("__tl_i") == F.lit(i), F.col("__tl_q"))).alias(nm) for i, nm in enumerate(names)],
-    )
+    return quantiles_of(value_histogram(df, list(keys), value), list(keys), probs, names, method)
 
 
 def dense_codes(df: DataFrame, value: str, order_by: str | None = None, out: str = "code") -> DataFrame:
@@ -408,13 +169,11 @@ def dense_codes(df: DataFrame, value: str, order_by: str | None = None, out: str
     else the value itself.  Computed over the distinct values with a
     segmented scan, so no single task ranks the whole domain.
     """
+    v = F.col(quote(value))
+    base = df.where(v.isNotNull())
     if order_by:
-        dist = df.where(F.col(quote(value)).isNotNull()).groupBy(F.col(quote(value))).agg(
-            F.min(F.col(quote(order_by))).alias("__tl_first")
-        )
-        order = ["__tl_first", value]
+        domain, order = base.groupBy(v).agg(F.min(F.col(quote(order_by))).alias("__tl_first")), ["__tl_first", value]
     else:
-        dist = df.where(F.col(quote(value)).isNotNull()).select(F.col(quote(value))).distinct()
-        order = [value]
-    s = segmented_scan(dist, [], order, {"__tl_one": F.lit(1)}, running=True)
-    return s.select(F.col(quote(value)), (F.col("__tl_one_run") - 1).cast("long").alias(out))
+        domain, order = base.select(v).distinct(), [value]
+    s = segmented_scan(domain, [], order, {"__tl_one": F.lit(1)}, running=True)
+    return s.select(v, (F.col("__tl_one_run") - 1).cast("long").alias(out))

@@ -59,28 +59,6 @@ def test_query_matches_oracle(spark, con, name):
     assert r1 == r2
 
 
-SCAN_QUERIES = [
-    "group_cumsum", "group_cumsum_supplier", "group_median", "group_median_zeros", "group_aggregate",
-    "bin_equal_count", "bin_dedupe_edges", "chart_box", "chart_box_events", "chart_violin", "chart_ridge",
-    "factorize", "chart_parallel_coordinates", "order_categories", "order_categories_median_desc",
-    "order_categories_desc", "order_categories_trace", "order_legend_alpha", "order_legend_original",
-    "order_legend_custom", "order_facets", "order_counts_desc",
-]
-
-
-@pytest.mark.parametrize("name", SCAN_QUERIES)
-def test_split_path_matches_oracle(spark, con, name):
-    """The same queries with every ordered scan forced onto the split
-    (bucketed, heavy-key) path instead of the small-input window."""
-    from tablelens.operators.scan import SMALL_INPUT_CONF
-
-    spark.conf.set(SMALL_INPUT_CONF, "0")
-    try:
-        test_query_matches_oracle(spark, con, name)
-    finally:
-        spark.conf.unset(SMALL_INPUT_CONF)
-
-
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["l_linestatus", "l_returnflag", "l_extendedprice"]

@@ -7,6 +7,7 @@ import math
 import os
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from tablelens.operators.corr import correlation_columns, correlation_matrix
 from tablelens.operators.filters import FilterSpec, apply_filters, check_box_columns
 from tablelens.operators.groupagg import group_aggregate, normalize_metrics
 from tablelens.operators.order import cap_columns, order_axis_choice, order_categories
-from tablelens.operators.scan import group_quantiles, segmented_scan
+from tablelens.operators.scan import group_quantiles, range_number, segmented_scan, value_histogram
 from tablelens.functions.scalar import coerce_datetime, text_copy, text_form
 from tablelens.sources.io import export_dataset, export_name, load_table, nan_to_null
 from tablelens.sources.schema import (
@@ -25,6 +26,7 @@ from tablelens.sources.schema import (
     drop_derived,
     eligible_columns,
     is_categorical_by_name,
+    num,
     resolve_columns,
     unique_column_name,
 )
@@ -269,39 +271,67 @@ def test_metric_aliases_and_skips(spark):
     assert group_aggregate(df, [], ["v"], ["mean"]).df is df
 
 
+def _shares(df, cols, ranges):
+    """Rows of each range, relative to an even share."""
+    n = df.withColumn("r", range_number(df, cols, ranges)).groupBy("r").count().toPandas()["count"]
+    return n / (n.sum() / ranges)
+
+
 def test_segmented_scan_hot_key_split(spark):
-    # One key holds most rows; with many buckets it spans several of them.
+    # One key holds most rows; it spans several ranges whatever their number.
     rows = [(("hot" if i % 10 else f"k{i}"), i, float(i % 7)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, o int, v double")
-    for buckets in (16, 200):  # 200: coarse buckets inside the hot key are cut again
-        s = segmented_scan(df, ["k"], ["o"], {"v": F.col("v")}, running=True, totals=True, buckets=buckets)
+    for ranges in (1, 16, 50):
+        s = segmented_scan(df, ["k"], ["o"], {"v": F.col("v")}, running=True, totals=True, ranges=ranges)
         pdf = s.toPandas().sort_values(["k", "o"])
-        exp_run = pdf.groupby("k")["v"].cumsum()
-        exp_tot = pdf.groupby("k")["v"].transform("sum")
-        assert (abs(pdf["v_run"] - exp_run) < 1e-9).all()
-        assert (abs(pdf["v_tot"] - exp_tot) < 1e-9).all()
-    from tablelens.operators.scan import BUCKET, bucket_expr, with_buckets
-    b = with_buckets(df, ["k"], ["o"], 200)
-    assert b.where(F.col("k") == "hot").select(BUCKET).distinct().count() > 100  # hot key (90%) spread out
-    assert b.where(F.col("k") != "hot").select(BUCKET).distinct().count() == 1   # light keys stay whole
-    assert df.select(bucket_expr(df, [], ["o"], 200).alias("b")).distinct().count() > 100  # one global group
+        assert (abs(pdf["v_run"] - pdf.groupby("k")["v"].cumsum()) < 1e-9).all()
+        assert (abs(pdf["v_tot"] - pdf.groupby("k")["v"].transform("sum")) < 1e-9).all()
+    assert _shares(df, ["k", "o"], 16).max() < 2
+
+
+@pytest.mark.parametrize("case", ["log-normal", "one NaN", "shared prefix", "one date"])
+def test_ranges_are_even_for_odd_orders(spark, case):
+    rng = np.random.default_rng(1)
+    n, ranges = 8000, 16
+    if case == "log-normal":
+        rows = [("hot", float(x), i) for i, x in enumerate(np.exp(rng.normal(0, 4, n)))]
+    elif case == "one NaN":
+        rows = [("hot", float(i) if i else float("nan"), i) for i in range(n)]
+    elif case == "one date":
+        rows = [("hot", 1.0, i) for i in range(n)]
+    else:
+        rows = [(f"Customer#{i:012d}", 0.0, i) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, x double, i int").withColumn("t", F.timestamp_seconds(F.col("i")).cast("timestamp_ntz"))
+    cols = ["k", "x", "t"] if case == "one date" else ["k", "x", "i"]
+    assert _shares(df, cols, ranges).max() < 2
+    s = segmented_scan(df, ["k"], cols[1:], {"one": F.lit(1)}, ranges=ranges)
+    if case != "shared prefix":
+        assert sorted(r.one_run for r in s.select("one_run").collect()) == list(range(1, n + 1))
+
+
+def test_quantiles_of_a_value_that_most_rows_share(spark):
+    x = [0.0] * 1900 + [float(i) for i in range(1, 101)] + [None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in x], "x double").select(num("x").alias("x"))
+    assert value_histogram(df, [], "x").count() == 101  # 95 % of the rows are one row
+    q = group_quantiles(df, [], "x", [0.5, 0.95, 0.999]).first()
+    assert (q.n, q.q0) == (2000, 0.0)
+    assert [q.q1, q.q2] == pytest.approx(list(np.quantile([v for v in x[:2000]], [0.95, 0.999])))
 
 
 def test_segmented_scan_plan_shape(spark):
-    # Full rows shuffle once (hash on bucket and key); the windows reuse that
-    # partitioning; the corrections are a broadcast, not a second big shuffle.
+    # Full rows shuffle once, by range and key; the corrections are a broadcast.
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    s = segmented_scan(li, ["l_suppkey"], ["l_shipdate", "l_orderkey"], {"q": F.col("l_quantity")}, buckets=8)
+    s = segmented_scan(li, ["l_suppkey"], ["l_shipdate", "l_orderkey"], {"q": F.col("l_quantity")}, ranges=8)
     plan = s._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("REPARTITION_BY_NUM") == 1
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.split("BroadcastExchange")[0].count("Exchange hashpartitioning") == 1
 
 
 def test_group_quantiles_linear_and_midpoint(spark):
     df = spark.createDataFrame([(v,) for v in [1.0, 2.0, 3.0, 4.0, 10.0]], "x double")
-    q = group_quantiles(df, [], "x", [0.25, 0.5, 0.75], buckets=3).first()
+    q = group_quantiles(df, [], "x", [0.25, 0.5, 0.75]).first()
     assert (q.q0, q.q1, q.q2) == (2.0, 3.0, 4.0)
-    m = group_quantiles(df, [], "x", [0.25, 0.75], method="midpoint_rank", buckets=3).first()
+    m = group_quantiles(df, [], "x", [0.25, 0.75], method="midpoint_rank").first()
     assert (m.q0, m.q1) == (1.75, 5.5)  # ranks 1.75 and 4.25 (1-based)
 
 
