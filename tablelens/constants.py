@@ -40,6 +40,14 @@ NUMERIC_ONLY_METRICS = ("mean", "median", "sum", "min", "max", "std", "cumsum")
 # Characters replaced by "_" in export file names (runs collapse to one).
 UNSAFE_FILENAME_CHARS = '<>:"/\\|?*'
 
+# Names of the category orders of an axis.
+CATEGORY_ORDERS = (
+    "trace", "category ascending", "category descending", "total ascending", "total descending",
+    "min ascending", "min descending", "max ascending", "max descending", "sum ascending", "sum descending",
+    "mean ascending", "mean descending", "geometric mean ascending", "geometric mean descending",
+    "median ascending", "median descending",
+)
+
 # Workload limits.
 MAX_CORR_COLUMNS = 50
 KMEANS_STARTS = 10

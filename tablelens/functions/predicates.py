@@ -21,10 +21,11 @@ def _lit_for(value, dtype: T.DataType | None) -> Column:
 def range_predicate(c: Column, lo=None, hi=None, dtype: T.DataType | None = None) -> Column:
     """B1: ``lo <= c <= hi``, both ends inclusive, either may be None.
 
-    Missing values never pass (a NULL comparison drops the row).
+    Missing values never pass a given end (a NULL comparison drops the row);
+    without any end nothing is asked and every row passes.
     """
     if lo is None and hi is None:
-        return c.isNotNull()
+        return F.lit(True)
     if lo is not None and hi is not None:
         return c.between(_lit_for(lo, dtype), _lit_for(hi, dtype))
     if lo is not None:

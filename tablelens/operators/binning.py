@@ -8,8 +8,6 @@ the lowest edge included, like interval labels ``(a, b]``.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,32 +38,30 @@ def dedupe_edges(edges) -> list[float]:
     return out
 
 
-def _round_frac(x: float, precision: int) -> float:
-    if not math.isfinite(x) or x == 0:
-        return x
-    frac, whole = math.modf(x)
-    if whole == 0:
-        digits = -int(math.floor(math.log10(abs(frac)))) - 1 + precision
-    else:
-        digits = precision
-    return float(np.around(x, digits))
+def _shown(x: float, places: int) -> float:
+    """``x`` to ``places`` decimals; below 1 in size, to ``places`` significant digits."""
+    return float(format(x, f".{places}f" if abs(x) >= 1 else f".{places}g"))
 
 
 def interval_labels(edges: list[float], precision: int = 3) -> list[str]:
-    """``"(a, b]"`` labels; edges rounded to ``precision`` places (more
-    until all distinct; |x| < 1 keeps ``precision`` significant places), the
-    first left edge further lowered by ``10**-precision``."""
-    if len(edges) < 2:
-        return []
-    p = precision
-    while p < 20:
-        lv = [_round_frac(e, p) for e in edges]
-        if len(set(lv)) == len(edges):
+    """``"(a, b]"`` labels.
+
+    Edges are shown with the fewest places, from ``precision`` on, that keep
+    them all distinct; the first one is moved down by one unit of the last
+    place, as the lowest value belongs to the first bin.
+    """
+    for places in range(precision, 21):
+        shown = [_shown(e, places) for e in edges]
+        if len(set(shown)) == len(edges):
             break
-        p += 1
-    lv = [_round_frac(e, p) for e in edges]
-    lv[0] = lv[0] - 10 ** (-p)
-    return [f"({lv[i]!r}, {lv[i + 1]!r}]" for i in range(len(lv) - 1)]
+    else:
+        return interval_labels_of([float(e) for e in edges])
+    shown[:1] = [e - 10**-places for e in shown[:1]]
+    return interval_labels_of(shown)
+
+
+def interval_labels_of(edges: list[float]) -> list[str]:
+    return [f"({a!r}, {b!r}]" for a, b in zip(edges, edges[1:])]
 
 
 def bin_ordinal(x: Column, edges: list[float]) -> Column:

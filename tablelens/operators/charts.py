@@ -9,6 +9,8 @@ partially aggregated before any shuffle.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,9 @@ from pyspark.sql import types as T
 from tablelens.constants import NONE_CHOICE, PIE_BINS
 from tablelens.operators.binning import bin_ordinal, equal_width_edges, interval_labels
 from tablelens.operators.groupagg import attach_group_values
-from tablelens.operators.scan import dense_codes, group_quantiles
+from tablelens.functions.scalar import ternary_shares
+from tablelens.operators.scan import dense_codes, quantiles_of, value_histogram
+from tablelens.session import materialize
 from tablelens.sources.schema import class_of_type, col, is_plain_number, num, quote
 
 
@@ -62,48 +66,36 @@ def _numeric_x(df: DataFrame, c: str) -> Column:
 # --- row-level charts ---------------------------------------------------------
 
 
-def chart_scatter(df, x, y=None, color=None, size=None, text=None, hover=None,
-                  facet_row=None, facet_col=None, bubble=False, sample_fraction=None):
-    """H1: the plotted columns per source row.
+def _columns(df, *names) -> list[str]:
+    """Those of ``names`` that are columns, each once, in order."""
+    return [c for c in dict.fromkeys(names) if c and c in df.columns]
 
-    ``sample_fraction`` (optional) keeps a deterministic hash sample of the
-    rows, for drawing very large tables; by default every row is kept.
-    """
+
+def chart_scatter(df, x, y=None, color=None, size=None, text=None, hover=None,
+                  facet_row=None, facet_col=None, bubble=False):
+    """H1: the plotted columns of every source row."""
     x = _require(df, x, "X")
-    cols = [x]
-    for c in [y, _valid(df, color), size if bubble else None, _valid(df, text), *(hover or []),
-              *facet_split(df, facet_row, facet_col)]:
-        if c and c in df.columns and c not in cols:
-            cols.append(c)
-    out = df.select(*[col(c) for c in cols])
-    if sample_fraction is not None and sample_fraction < 1.0:
-        m = 1_000_000
-        out = out.where(F.pmod(F.xxhash64(*[col(c) for c in cols]), F.lit(m)) < F.lit(int(sample_fraction * m)))
-    return out
+    use = _columns(df, x, y, _valid(df, color), size if bubble else None, _valid(df, text), *(hover or []),
+                   *facet_split(df, facet_row, facet_col))
+    return df.select(*map(col, use))
 
 
 def chart_scatter3d(df, x, y, z, color=None, size=None, text=None, hover=None, bubble=False):
     """H2: x, y, z (+ colour, size, text, hover); Z is required, no facets."""
     _require(df, x, "X")
     _require(df, z, "Z")
-    return chart_scatter(df, x, y, color, size, text, [z] + list(hover or []), bubble=bubble).select(
-        *[col(c) for c in dict.fromkeys([x, y, z] + [c for c in [_valid(df, color), size if bubble else None,
-                                                                  _valid(df, text), *(hover or [])] if c and c in df.columns])]
-    )
+    use = _columns(df, x, y, z, _valid(df, color), size if bubble else None, _valid(df, text), *(hover or []))
+    return df.select(*map(col, use))
 
 
-def chart_ternary(df, a, b, c, color=None):
-    """H3: a, b, c and their shares of a + b + c (NULL when the sum is 0)."""
+def chart_ternary(df, a, b, c, color=None, size=None, text=None, hover=None, bubble=False):
+    """H3: a, b, c and their shares of a + b + c (NULL when the sum is 0),
+    with colour, bubble size, text and hover columns."""
     for n in (a, b, c):
         _require(df, n, "ternary")
-    tot = num(a) + num(b) + num(c)
-    extra = [col(color)] if _valid(df, color) else []
-    return df.select(
-        col(a), col(b), col(c), *extra,
-        F.try_divide(num(a), tot).alias(f"{a}_share"),
-        F.try_divide(num(b), tot).alias(f"{b}_share"),
-        F.try_divide(num(c), tot).alias(f"{c}_share"),
-    )
+    shares = ternary_shares(num(a), num(b), num(c))
+    extra = _columns(df, _valid(df, color), size if bubble else None, _valid(df, text), *(hover or []))
+    return df.select(*map(col, dict.fromkeys([a, b, c, *extra])), *[s.alias(f"{n}_share") for n, s in zip((a, b, c), shares)])
 
 
 def chart_line(df, x, y, order_by: list[str], color=None, facet_row=None, facet_col=None):
@@ -114,56 +106,75 @@ def chart_line(df, x, y, order_by: list[str], color=None, facet_row=None, facet_
 
 
 def chart_scatter_matrix(df, dims, color=None, long_form=False):
-    """Numeric dimensions (deduplicated, >= 2) + colour; optional long
-    form ``(dim_a, a, dim_b, b)`` by stacking every ordered pair."""
-    use = [d for d in dict.fromkeys(d for d in dims if d and d in df.columns) if is_plain_number(df, d)]
+    """Numeric dimensions (deduplicated, >= 2) + colour.
+
+    The plotted columns as they are; ``long_form`` gives ``(dim_a, a, dim_b, b)``
+    per row and unordered pair of dimensions, without diagonal and mirrors.
+    """
+    use = [d for d in _columns(df, *dims) if is_plain_number(df, d)]
     if len(use) < 2:
         raise ValueError("scatter matrix needs at least 2 numeric columns")
-    c = _valid(df, color)
-    base = df.select(*[col(d) for d in use], *([col(c)] if c else []))
+    c = _columns(df, _valid(df, color))
+    base = df.select(*map(col, dict.fromkeys(use + c)))
     if not long_form:
         return base
-    pairs = [(a, b) for a in use for b in use]
-    arr = F.array(*[
-        F.struct(F.lit(a).alias("dim_a"), num(a).alias("a"),
-                 F.lit(b).alias("dim_b"), num(b).alias("b"))
-        for a, b in pairs
-    ])
-    return base.select(*([col(c)] if c else []), F.inline(arr))
+    cells = F.array(*[F.struct(F.lit(a).alias("dim_a"), num(a).alias("a"), F.lit(b).alias("dim_b"), num(b).alias("b"))
+                      for a, b in itertools.combinations(use, 2)])
+    return base.select(*map(col, c), F.inline(cells))
 
 
 def chart_parallel_coordinates(df, dims, color=None, color_order_by=None):
-    """Numeric dimensions; a text colour becomes dense codes."""
-    use = [d for d in dict.fromkeys(d for d in dims if d and d in df.columns) if is_plain_number(df, d)]
+    """Numeric dimensions; a colour that is not a number becomes dense
+    codes of its text (C8), in which a missing colour is a value too."""
+    use = [d for d in _columns(df, *dims) if is_plain_number(df, d)]
     if len(use) < 2:
         raise ValueError("parallel coordinates need at least 2 numeric columns")
     c = _valid(df, color)
-    base = df.select(*[col(d) for d in use], *([col(c)] if c else []))
+    base = df.select(*map(col, dict.fromkeys(use + ([c] if c else []))))
     if not c:
         return base
     if class_of_type(df.schema[c].dataType) == "numeric":
         return base.withColumn("color_value", num(c))
-    codes = dense_codes(df.withColumn(c, col(c).cast("string")), c, order_by=color_order_by, out="color_value")
-    return attach_group_values(base.withColumn(c, col(c).cast("string")), codes, [c])
+    # A missing colour has no text; the empty mark cannot be any colour's text, as those get a sign in front.
+    shown = F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit(""))
+    codes = dense_codes(df.withColumn("__tl_color", shown), "__tl_color", order_by=color_order_by, out="color_value")
+    coded = attach_group_values(base.withColumn("__tl_color", shown), codes, ["__tl_color"])
+    return coded.withColumn(c, col(c).cast("string")).drop("__tl_color")
 
 
 # --- aggregated charts ----------------------------------------------------------
 
 
+def _orientation(df, x, y) -> tuple[str | None, str | None]:
+    """(category axis, measured axis).  Y is measured, unless it is text and
+    X a number: then the chart lies on its side and X is measured."""
+    if not y or y not in df.columns:
+        return None, x
+    if x and x in df.columns and class_of_type(df.schema[y].dataType) == "categorical" \
+            and class_of_type(df.schema[x].dataType) == "numeric":
+        return y, x
+    return x if x and x in df.columns else None, y
+
+
 def chart_bar(df, x, y=None, color=None, facet_row=None, facet_col=None):
-    """H4: bar height per (facets, colour, x): sum of a numeric y, or the row
-    count (a non-numeric y is then one more key)."""
+    """H4: bar length per (facets, colour, category): the sum of the measured
+    axis, or the row count where nothing is measured (no Y, or neither axis
+    is a number: then both are keys).  A number X with a text Y lies on its
+    side (:func:`_orientation`)."""
     x = _require(df, x, "X")
+    category, measured = _orientation(df, x, y)
     keys = _series_keys(df, color, facet_row, facet_col)
-    gk = list(dict.fromkeys(keys + [x]))
-    if y and y in df.columns and class_of_type(df.schema[y].dataType) != "numeric":
-        gk = list(dict.fromkeys(gk + [y]))
-        y = None
-    if y and y in df.columns:
-        val = F.coalesce(F.sum(num(y)), F.lit(0.0)).alias(y)
+    if category is None:
+        keys, measured = [*keys, x], None
+    elif class_of_type(df.schema[measured].dataType) != "numeric":
+        keys, measured = [*keys, category, measured], None
     else:
-        val = F.count(F.lit(1)).alias("count")
-    return df.groupBy(*[col(c) for c in gk]).agg(val)
+        keys = [*keys, category]
+    if measured:
+        length = F.coalesce(F.sum(num(measured)), F.lit(0.0)).alias(measured)
+    else:
+        length = F.count(F.lit(1)).alias("count")
+    return df.groupBy(*map(col, dict.fromkeys(keys))).agg(length)
 
 
 def histogram_edges(df, x: str, nbins: int) -> tuple[float, float] | None:
@@ -204,102 +215,107 @@ def chart_histogram(df, x, nbins: int = 20, color=None, facet_row=None, facet_co
     )
 
 
+def _measured_groups(df, x, y, color, facet_row, facet_col) -> tuple[list[str], str]:
+    """Keys and measured column of a distribution chart (:func:`_orientation`)."""
+    keys = _series_keys(df, color, facet_row, facet_col)
+    category, measured = _orientation(df, x, y)
+    return list(dict.fromkeys(keys + ([category] if category else []))), _require(df, measured, "X")
+
+
+def _histogram_of(df, keys: list[str], value: str) -> DataFrame:
+    """Counted distinct values per group, computed once."""
+    d = df.select(*map(col, keys), num(value).alias("__tl_v"))
+    return materialize(value_histogram(d, keys, "__tl_v"))
+
+
 def chart_box(df, x=None, y=None, color=None, facet_row=None, facet_col=None, method="midpoint_rank"):
-    """H7: box statistics per (facets, colour, x) group of y.
+    """H7: box statistics per (facets, colour, category) group.
 
     n, min, q1, median, q3, max, whiskers (most extreme values inside
-    1.5 * IQR fences) and the outlier count.  Without y, one box of numeric
-    x per series.  Quartiles are exact (segmented-scan ranking); the
-    default rule is rank ``n p + 0.5`` interpolated.
+    1.5 * IQR fences) and the outlier count.  Without y, one box of x per
+    series; a number X with a text Y lies on its side.  Quartiles are exact;
+    the default rule is rank ``n p + 0.5`` interpolated.  All figures come
+    from one histogram of distinct values.
     """
-    keys = _series_keys(df, color, facet_row, facet_col)
-    if y and y in df.columns:
-        val = y
-        if x and x in df.columns and x not in keys:
-            keys = keys + [x]
-    else:
-        val = _require(df, x, "X")
-    d = df.select(*[col(k) for k in keys], num(val).alias("__tl_y")).where(F.col("__tl_y").isNotNull())
-    q = group_quantiles(d, keys, "__tl_y", [0.25, 0.5, 0.75], names=["q1", "median", "q3"], method=method)
+    keys, measured = _measured_groups(df, x, y, color, facet_row, facet_col)
+    hist = _histogram_of(df, keys, measured)
+    q = quantiles_of(hist, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], method).drop("n")
     q = q.withColumns({
         "lo_fence": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),
         "hi_fence": F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1")),
     })
-    j = attach_group_values(d, q, keys)
-    yv = F.col("__tl_y")
-    inside = (yv >= F.col("lo_fence")) & (yv <= F.col("hi_fence"))
-    return j.groupBy(*[col(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(yv).alias("min"),
+    j = attach_group_values(hist, q, keys)
+    v, inside = F.col("x"), (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
+    return j.groupBy(*map(col, keys)).agg(
+        F.max("n").alias("n"),
+        F.min(v).alias("min"),
         F.first("q1").alias("q1"),
         F.first("median").alias("median"),
         F.first("q3").alias("q3"),
-        F.max(yv).alias("max"),
-        F.min(F.when(inside, yv)).alias("lower_whisker"),
-        F.max(F.when(inside, yv)).alias("upper_whisker"),
-        F.count(F.when(~inside, F.lit(1))).alias("outliers"),
+        F.max(v).alias("max"),
+        F.min(F.when(inside, v)).alias("lower_whisker"),
+        F.max(F.when(inside, v)).alias("upper_whisker"),
+        F.coalesce(F.sum(F.when(~inside, F.col("w"))), F.lit(0)).cast("long").alias("outliers"),
     )
 
 
+POINTS_PER_PASS = 25
+
+
 def kde_curves(df, keys: list[str], value: str, points: int = 100, span_bw: float = 2.0):
     """Gaussian kernel density per group on a regular grid (H8/H9 core).
 
     Bandwidth ``1.059 * min(std, IQR / 1.349) * n ** -0.2`` (falls back to
     std, then 1, when that is 0); grid ``points`` values over
-    [min - 2 bw, max + 2 bw].  Exact: every value contributes to every grid
-    point, summed with map-side partial aggregation per (group, point).
+    [min - 2 bw, max + 2 bw].  Exact: every distinct value, weighted by its
+    count, contributes to every grid point.  The points are sums of one
+    partial aggregate per ``POINTS_PER_PASS`` of them; no row is multiplied.
     """
-    d = df.select(*[col(k) for k in keys], num(value).alias("__tl_v")).where(F.col("__tl_v").isNotNull())
-    q = group_quantiles(d, keys, "__tl_v", [0.25, 0.75], names=["__tl_q1", "__tl_q3"], method="linear")
-    s = d.groupBy(*[col(k) for k in keys]).agg(
-        F.stddev_samp("__tl_v").alias("__tl_sd"), F.min("__tl_v").alias("__tl_lo"), F.max("__tl_v").alias("__tl_hi")
-    )
-    st = attach_group_values(s, q, keys)
+    hist = _histogram_of(df, keys, value)
+    x, w = F.col("x"), F.col("w")
+    q = quantiles_of(hist, keys, [0.25, 0.75], ["__tl_q1", "__tl_q3"]).drop("n")
+    total = hist.groupBy(*map(col, keys)).agg(
+        F.max("n").alias("n"), (F.sum(x * w) / F.sum(w)).alias("__tl_mean"), F.min(x).alias("__tl_lo"), F.max(x).alias("__tl_hi"))
+    spread = attach_group_values(hist.drop("n"), total, keys).groupBy(*map(col, keys)).agg(
+        *[F.first(c).alias(c) for c in ("n", "__tl_lo", "__tl_hi")],
+        F.sum(w * (x - F.col("__tl_mean")) * (x - F.col("__tl_mean"))).alias("__tl_ss"))
+    st = attach_group_values(spread, q, keys)
     iqr = (F.col("__tl_q3") - F.col("__tl_q1")) / F.lit(1.349)
-    sd = F.coalesce(F.col("__tl_sd"), F.lit(0.0))
+    sd = F.coalesce(F.sqrt(F.try_divide(F.col("__tl_ss"), F.col("n") - 1)), F.lit(0.0))
     m = F.when((sd > 0) & (iqr > 0), F.least(sd, iqr)).when(sd > 0, sd).when(iqr > 0, iqr).otherwise(F.lit(1.0))
     st = st.withColumn("bw", F.lit(1.059) * m * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    st = st.withColumns({
-        "grid_lo": F.col("__tl_lo") - F.lit(span_bw) * F.col("bw"),
-        "grid_step": (F.col("__tl_hi") - F.col("__tl_lo") + F.lit(2 * span_bw) * F.col("bw")) / F.lit(points - 1),
-    }).select(*[col(k) for k in keys], "n", "bw", "grid_lo", "grid_step")
-    j = attach_group_values(d, st, keys)
-    j = j.select(*[col(k) for k in keys], "__tl_v", "n", "bw", "grid_lo", "grid_step",
-                 F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    t = F.col("grid_lo") + F.col("point") * F.col("grid_step")
-    u = (t - F.col("__tl_v")) / F.col("bw")
-    g = j.groupBy(*[col(k) for k in keys], "point").agg(
-        F.sum(F.exp(-0.5 * u * u)).alias("__tl_k"),
-        F.first("n").alias("n"), F.first("bw").alias("bw"), F.first("grid_lo").alias("grid_lo"),
-        F.first("grid_step").alias("grid_step"),
-    )
-    return g.select(
-        *[col(k) for k in keys], "point",
-        (F.col("grid_lo") + F.col("point") * F.col("grid_step")).alias("value"),
-        (F.col("__tl_k") / (F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi)))).alias("density"),
-    )
+    st = st.select(*map(col, keys), "n", "bw", (F.col("__tl_lo") - F.lit(span_bw) * F.col("bw")).alias("grid_lo"), (
+        (F.col("__tl_hi") - F.col("__tl_lo") + F.lit(2 * span_bw) * F.col("bw")) / F.lit(points - 1)).alias("grid_step"))
+    j = materialize(attach_group_values(hist.select(*map(col, keys), "x", "w"), st, keys))
+    norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
+    parts = []
+    for low in range(0, points, POINTS_PER_PASS):
+        at = range(low, min(points, low + POINTS_PER_PASS))
+        u = lambda i: (F.col("grid_lo") + F.lit(i) * F.col("grid_step") - x) / F.col("bw")
+        sums = j.groupBy(*map(col, keys)).agg(
+            *[F.first(c).alias(c) for c in ("n", "bw", "grid_lo", "grid_step")],
+            *[F.sum(w * F.exp(-0.5 * u(i) * u(i))).alias(f"s{i}") for i in at])
+        cells = F.array(*[F.struct(F.lit(i).alias("point"), F.col(f"s{i}").alias("s")) for i in at])
+        parts.append(sums.select(*map(col, keys), "n", "bw", "grid_lo", "grid_step", F.inline(cells)))
+    return functools.reduce(DataFrame.unionByName, parts).select(
+        *map(col, keys), "point", (F.col("grid_lo") + F.col("point") * F.col("grid_step")).alias("value"),
+        (F.col("s") / norm).alias("density"))
 
 
 def chart_violin(df, x=None, y=None, color=None, facet_row=None, facet_col=None, points=100):
-    """H8: density curve of y per (facets, colour, x) group."""
-    keys = _series_keys(df, color, facet_row, facet_col)
-    if y and y in df.columns:
-        val = y
-        if x and x in df.columns and x not in keys:
-            keys = keys + [x]
-    else:
-        val = _require(df, x, "X")
-    return kde_curves(df, keys, val, points)
+    """H8: density curve per (facets, colour, category) group; a number X with
+    a text Y lies on its side."""
+    keys, measured = _measured_groups(df, x, y, color, facet_row, facet_col)
+    return kde_curves(df, keys, measured, points)
 
 
-def chart_ridge(df, x, color=None, points=100):
-    """H9: one density curve of x per non-missing colour value (one curve
-    when colour is unset or "Нет")."""
+def chart_ridge(df, x, y=None, color=None, points=100):
+    """H9: one density curve of x per non-missing colour value (one curve when
+    colour is unset or "Нет"), and at each position Y if there is a Y."""
     x = _require(df, x, "X")
     c = _valid(df, color)
-    if not c:
-        return kde_curves(df, [], x, points)
-    return kde_curves(df.where(col(c).isNotNull()), [c], x, points)
+    keys = _columns(df, c, y)
+    return kde_curves(df.where(col(c).isNotNull()) if c else df, keys, x, points)
 
 
 def chart_pie_categorical(df, x):
@@ -373,7 +389,7 @@ def chart_density_heatmap(df, x, y, nbinsx=20, nbinsy=20, color=None, facet_row=
     xv, yv = num(x), num(y)
     r = df.agg(F.min(xv).alias("x0"), F.max(xv).alias("x1"), F.min(yv).alias("y0"), F.max(yv).alias("y1")).first()
     if r["x0"] is None or r["y0"] is None:
-        return df.sparkSession.createDataFrame([], "xbin int, ybin int, count long")
+        r = {"x0": 0.0, "x1": 0.0, "y0": 0.0, "y1": 0.0}  # no row passes below; the columns are the same
     return (
         df.where(xv.isNotNull() & yv.isNotNull())
         .groupBy(*[col(k) for k in keys],

@@ -5,13 +5,12 @@ partial (map-side) aggregation, so a group holding a third of the rows
 costs no single task more than its share.  The small per-group table is
 materialized, its row count checked, and joined back to the rows by a
 broadcast when bounded, else by a shuffle join (AQE splits a skewed key).
-Medians use exact ranking by segmented scan, running sums the same scan,
-so no metric gathers a whole group into one task.
+Medians come from counted distinct values, running sums from a segmented
+scan, so no metric gathers a whole group into one task.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +26,7 @@ from tablelens.sources.schema import (
     num,
     quote,
     resolve_columns,
+    squashed,
     unique_column_name,
     value_col,
 )
@@ -36,8 +36,8 @@ ALL_METRICS = ("mean", "median", "sum", "min", "max", "std", "count", "nunique",
 
 def normalize_metric(name) -> str:
     """Alias (EN/RU, any case/spacing) -> metric name; unknown kept."""
-    tok = re.sub(r"[\s ]+", "", str(name)).lower()
-    return METRIC_ALIASES.get(tok, tok)
+    token = squashed(name)
+    return METRIC_ALIASES.get(token, token)
 
 
 def normalize_metrics(names) -> list[str]:

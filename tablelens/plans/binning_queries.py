@@ -1,6 +1,4 @@
-"""Registered queries: binning (D).  Bin ordinals are compared exactly;
-interval label text is covered by unit tests (its rounding rule is
-Python-side on at most 21 edges)."""
+"""Registered queries: binning (D)."""
 
 from __future__ import annotations
 
@@ -50,7 +48,17 @@ for _name, _tbl, _keys, _x, _k, _m, _doc in [
     query(_name, _sql)(_fn)
 
 
-@query("bin_interval_labels", None)
+def _label(i, k):
+    low = "round(e[1], 3) - 0.001" if i == 1 else f"round(e[{i}], 3)"
+    return f"'(' || CAST({low} AS VARCHAR) || ', ' || CAST(round(e[{i + 1}], 3) AS VARCHAR) || ']'"
+
+
+@query("bin_interval_labels", f"""
+WITH q AS (SELECT quantile_cont(o_totalprice, [0, 0.25, 0.5, 0.75, 1]) AS e FROM orders)
+SELECT o_orderkey, o_totalprice, CASE WHEN o_totalprice <= e[2] THEN {_label(1, 4)} WHEN o_totalprice <= e[3] THEN {_label(2, 4)}
+  WHEN o_totalprice <= e[4] THEN {_label(3, 4)} ELSE {_label(4, 4)} END AS "Группа(o_totalprice)"
+FROM orders, q
+""")
 def q_bin_interval_labels(spark, sf):
     """Interval text labels of equal-count bins of the order total."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")

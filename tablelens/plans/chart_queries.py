@@ -75,23 +75,30 @@ def q_line(spark, sf):
 
 @query("chart_histogram", """
 WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)
-SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS count
-FROM lineitem, s GROUP BY 1
+SELECT bin, round(lo + bin * ((hi - lo) / 20), 6) AS bin_start, round(lo + (bin + 1) * ((hi - lo) / 20), 6) AS bin_end, count(*) AS count
+FROM (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, lo, hi FROM lineitem, s)
+GROUP BY bin, lo, hi
 """)
 def q_histogram(spark, sf):
     """H6: 20 equal-width bins of a numeric column."""
-    return C.chart_histogram(table(spark, sf, "lineitem"), "l_extendedprice", 20).select("bin", "count")
+    return _edges(C.chart_histogram(table(spark, sf, "lineitem"), "l_extendedprice", 20))
+
+
+def _edges(h):
+    return h.withColumns({c: F.round(c, 6) for c in ("bin_start", "bin_end")})
 
 
 @query("chart_histogram_datetime", """
 WITH x AS (SELECT epoch_us(ts) AS v, event_type FROM events),
 s AS (SELECT min(v) AS lo, max(v) AS hi FROM x)
-SELECT event_type, CAST(least(floor((v - lo) / ((hi - lo) / 10.0)), 9) AS INTEGER) AS bin, count(*) AS count
-FROM x, s GROUP BY ALL
+SELECT event_type, bin, lo + bin * w AS bin_start, lo + (bin + 1) * w AS bin_end, count(*) AS count
+FROM (SELECT event_type, CAST(least(floor((v - lo) / ((hi - lo) / 10.0)), 9) AS INTEGER) AS bin,
+             CAST(lo AS DOUBLE) AS lo, (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE)) / 10 AS w FROM x, s)
+GROUP BY event_type, bin, lo, w
 """)
 def q_histogram_dt(spark, sf):
     """H6 on timestamps, one series per event type."""
-    return C.chart_histogram(table(spark, sf, "events"), "ts", 10, color="event_type").select("event_type", "bin", "count")
+    return C.chart_histogram(table(spark, sf, "events"), "ts", 10, color="event_type")
 
 
 @query("chart_histogram_text", "SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY ALL")
@@ -193,12 +200,15 @@ WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM li
 c AS (SELECT 1 + """ + " + ".join(
     f"CASE WHEN l_extendedprice > lo + {i} * ((hi - lo) / 10) THEN 1 ELSE 0 END" for i in range(1, 10)
 ) + """ AS bin, count(*) AS n FROM lineitem, s GROUP BY 1)
-SELECT b.bin, CAST(coalesce(c.n, 0) AS BIGINT) AS counts
-FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(1, 11)) b LEFT JOIN c ON b.bin = c.bin
+SELECT b.bin, '(' || CAST(round(lo + (b.bin - 1) * ((hi - lo) / 10) - CASE WHEN b.bin = 1 THEN (hi - lo) * 0.001 ELSE 0 END, 3)
+                          - CASE WHEN b.bin = 1 THEN 0.001 ELSE 0 END AS VARCHAR) || ', '
+       || CAST(round(lo + b.bin * ((hi - lo) / 10), 3) AS VARCHAR) || ']' AS l_extendedprice,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS counts
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(1, 11)) b CROSS JOIN s LEFT JOIN c ON b.bin = c.bin
 """)
 def q_pie_binned(spark, sf):
     """Ten equal-width right-closed bins, empty bins kept."""
-    return C.chart_pie(table(spark, sf, "lineitem"), "l_extendedprice").select("bin", "counts")
+    return C.chart_pie(table(spark, sf, "lineitem"), "l_extendedprice")
 
 
 @query("chart_hierarchy", """
@@ -239,16 +249,18 @@ def q_density_contour(spark, sf):
     return C.chart_density_contour(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", color="l_returnflag")
 
 
-@query("chart_scatter_matrix", """
-SELECT 'p_size' AS dim_a, CAST(p_size AS DOUBLE) AS a, 'p_size' AS dim_b, CAST(p_size AS DOUBLE) AS b, p_type FROM part
-UNION ALL SELECT 'p_size', CAST(p_size AS DOUBLE), 'p_retailprice', p_retailprice, p_type FROM part
-UNION ALL SELECT 'p_retailprice', p_retailprice, 'p_size', CAST(p_size AS DOUBLE), p_type FROM part
-UNION ALL SELECT 'p_retailprice', p_retailprice, 'p_retailprice', p_retailprice, p_type FROM part
-""")
+@query("chart_scatter_matrix", "SELECT p_size, p_retailprice, p_partkey, p_type FROM part")
 def q_scatter_matrix(spark, sf):
-    """Every ordered pair of numeric dimensions, long form."""
-    return C.chart_scatter_matrix(table(spark, sf, "part"), ["p_size", "p_retailprice", "p_size", "p_name"],
-                                  color="p_type", long_form=True)
+    """The chosen numeric dimensions (others are left out) and the colour."""
+    return C.chart_scatter_matrix(table(spark, sf, "part"), ["p_size", "p_retailprice", "p_size", "p_name", "p_partkey"], color="p_type")
+
+
+@query("chart_scatter_matrix_long", """
+SELECT 'p_size' AS dim_a, CAST(p_size AS DOUBLE) AS a, 'p_retailprice' AS dim_b, p_retailprice AS b, p_type FROM part
+""")
+def q_scatter_matrix_long(spark, sf):
+    """H12, long form: one row per row and pair of dimensions."""
+    return C.chart_scatter_matrix(table(spark, sf, "part"), ["p_size", "p_retailprice"], color="p_type", long_form=True)
 
 
 @query("chart_parallel_coordinates", """
@@ -267,3 +279,58 @@ def q_count_points(spark, sf):
     """Plotted x plus y values per series."""
     li = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", F.nullif("l_discount", F.lit(0.05)).alias("d"))
     return C.count_points(li, "l_quantity", "d", color="l_returnflag")
+
+
+@query("chart_parallel_missing_color", """
+WITH p AS (SELECT p_size, p_retailprice, nullif(p_type, 'PROMO') AS p_type FROM part)
+SELECT p_size, p_retailprice, p_type, CAST(dense_rank() OVER (ORDER BY p_type NULLS FIRST) - 1 AS BIGINT) AS color_value FROM p
+""")
+def q_parallel_missing(spark, sf):
+    """A missing colour has a code like any other."""
+    p = table(spark, sf, "part").select("p_size", "p_retailprice", F.nullif("p_type", F.lit("PROMO")).alias("p_type"))
+    return C.chart_parallel_coordinates(p, ["p_size", "p_retailprice"], color="p_type")
+
+
+@query("chart_bar_horizontal", """
+SELECT o_orderpriority, round(sum(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY 1
+""")
+def q_bar_horizontal(spark, sf):
+    """H4 on its side: a number X is summed per text Y."""
+    return C.chart_bar(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority").withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@query("chart_box_horizontal", _box_sql("orders", "o_orderstatus", "o_totalprice"))
+def q_box_horizontal(spark, sf):
+    """H7 on its side: boxes of a number X per text Y."""
+    b = C.chart_box(table(spark, sf, "orders"), "o_totalprice", "o_orderstatus")
+    return b.select("o_orderstatus", "n", *[F.round(c, 4).alias(c) for c in _BOX_ROUND], "outliers")
+
+
+@query("chart_violin_horizontal", _kde_sql("orders", "o_orderpriority", "o_totalprice"))
+def q_violin_horizontal(spark, sf):
+    """H8 on its side: curves of a number X per text Y."""
+    v = C.chart_violin(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority")
+    return v.select("o_orderpriority", "point", F.round("value", 6).alias("value"), F.round("density", 12).alias("density"))
+
+
+@query("chart_ridge_by_y", f"""WITH orders AS (SELECT o_totalprice, o_orderstatus || '/' || o_orderpriority AS k FROM orders),
+z AS ({_kde_sql("orders", "k", "o_totalprice")})
+SELECT split_part(k, '/', 1) AS o_orderstatus, split_part(k, '/', 2) AS o_orderpriority, point, value, density FROM z""")
+def q_ridge_by_y(spark, sf):
+    """H9 with a Y: one curve per colour and position."""
+    v = C.chart_ridge(table(spark, sf, "orders"), "o_totalprice", y="o_orderpriority", color="o_orderstatus")
+    return v.select("o_orderstatus", "o_orderpriority", "point", F.round("value", 6).alias("value"), F.round("density", 12).alias("density"))
+
+
+@query("chart_ternary_bubble", """
+SELECT l_quantity, l_discount, l_tax, l_returnflag, l_extendedprice, l_linestatus, l_orderkey,
+  round(l_quantity / nullif(l_quantity + l_discount + l_tax, 0), 8) AS l_quantity_share,
+  round(l_discount / nullif(l_quantity + l_discount + l_tax, 0), 8) AS l_discount_share,
+  round(l_tax / nullif(l_quantity + l_discount + l_tax, 0), 8) AS l_tax_share
+FROM lineitem
+""")
+def q_ternary_bubble(spark, sf):
+    """H3 with colour, bubble size, text and hover columns."""
+    t = C.chart_ternary(table(spark, sf, "lineitem"), "l_quantity", "l_discount", "l_tax", color="l_returnflag",
+                        size="l_extendedprice", text="l_linestatus", hover=["l_orderkey", "no_such"], bubble=True)
+    return t.withColumns({c: F.round(c, 8) for c in ("l_quantity_share", "l_discount_share", "l_tax_share")})

@@ -39,6 +39,15 @@ def q_filter_range_open(spark, sf):
     return li.filter(range_predicate(F.col("l_quantity"), 45, None)).select(*_LI)
 
 
+@query("filter_range_no_ends", """
+SELECT l_orderkey, l_linenumber, l_suppkey, nullif(l_discount, 0.05) AS d FROM lineitem
+""")
+def q_filter_range_no_ends(spark, sf):
+    """B1 without ends keeps every row, those with a missing value too."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.nullif("l_discount", F.lit(0.05)).alias("d"))
+    return li.filter(range_predicate(F.col("d"), None, None))
+
+
 @query("filter_isin", f"""
 SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag
 FROM lineitem

@@ -6,7 +6,7 @@ numbers and booleans are *numeric*, everything else is *categorical*.
 
 from __future__ import annotations
 
-import re
+import itertools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,31 +91,22 @@ def eligible_columns(df: DataFrame, role: str, none_choice: str | None = None) -
     raise ValueError(f"unknown role {role!r}")
 
 
-def _norm_token(name: object) -> str:
-    return re.sub(r"[\s ]+", "", str(name)).lower()
+def squashed(name: object) -> str:
+    """A name as it is compared loosely: lower case, no white space of any kind."""
+    return "".join(str(name).split()).lower()
 
 
 def resolve_columns(df: DataFrame, names, exact_first: bool = True) -> tuple[list[str], list[str]]:
-    """Map requested names to real ones.
+    """Requested names as real ones, and those that match nothing.
 
-    Exact match first (unless ``exact_first`` is False), else equality after
-    removing all whitespace (NBSP included) and lower-casing; when two real
-    columns normalise alike, the later one wins.  Order kept, duplicates and
-    misses dropped; misses are returned separately.
+    A name stands for the column of that name or, failing that (or with
+    ``exact_first`` off), for the last column that is spelt alike apart from
+    case and white space.  Requests keep their order; a column is listed once.
     """
-    norm_map = {_norm_token(c): c for c in df.columns}
-    found: list[str] = []
-    missing: list[str] = []
-    for v in names or []:
-        if exact_first and v in df.columns:
-            found.append(v)
-            continue
-        hit = norm_map.get(_norm_token(v))
-        if hit is not None:
-            found.append(hit)
-        else:
-            missing.append(v)
-    return list(dict.fromkeys(found)), missing
+    loose = {squashed(c): c for c in df.columns}
+    exact = {c: c for c in df.columns} if exact_first else {}
+    asked = [(n, exact.get(n) or loose.get(squashed(n))) for n in names or []]
+    return list(dict.fromkeys(c for _, c in asked if c)), [n for n, c in asked if not c]
 
 
 def select_existing(df: DataFrame, cols) -> DataFrame:
@@ -125,15 +116,11 @@ def select_existing(df: DataFrame, cols) -> DataFrame:
 
 
 def unique_column_name(df_or_cols, base: str) -> str:
-    """``base``, else ``base_2``, ``base_3`` ... (case-insensitive check)."""
-    cols = df_or_cols.columns if isinstance(df_or_cols, DataFrame) else list(df_or_cols)
-    taken = {c.lower() for c in cols}
-    if base.lower() not in taken:
-        return base
-    i = 2
-    while f"{base}_{i}".lower() in taken:
-        i += 1
-    return f"{base}_{i}"
+    """The first of ``base``, ``base_2``, ``base_3``, ... that no column has, whatever its case."""
+    cols = df_or_cols.columns if isinstance(df_or_cols, DataFrame) else df_or_cols
+    taken = set(map(str.lower, cols))
+    names = itertools.chain([base], (f"{base}_{i}" for i in itertools.count(2)))
+    return next(n for n in names if n.lower() not in taken)
 
 
 def drop_derived(df: DataFrame, kind: str) -> DataFrame:
@@ -171,6 +158,7 @@ def needs_text_axis(df: DataFrame, x: str, force: bool = False) -> bool:
 
 
 def as_text_axis(df: DataFrame, x: str, force: bool = False) -> DataFrame:
+    """``df`` with X as text where it is drawn as text."""
     if needs_text_axis(df, x, force) and not isinstance(df.schema[x].dataType, T.StringType):
         return df.withColumn(x, col(x).cast("string"))
     return df

@@ -362,15 +362,6 @@ def test_correlation_many_columns_in_batches(spark):
             assert got[(a, b)] == pytest.approx(exp.loc[a, b], abs=1e-9)
 
 
-def test_scatter_hash_sample(spark):
-    df = spark.range(20000).withColumn("y", F.col("id") * 2)
-    full = C.chart_scatter(df, "id", "y")
-    part = C.chart_scatter(df, "id", "y", sample_fraction=0.1)
-    n = part.count()
-    assert full.count() == 20000 and 1500 < n < 2500
-    assert n == part.count()  # deterministic
-
-
 def test_correlation_columns(spark):
     df = spark.createDataFrame([], "a double, b boolean, c int, s string")
     assert correlation_columns(df, ["s"], None, None) == ["a", "c"]
