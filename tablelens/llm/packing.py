@@ -17,7 +17,10 @@ salt) and looks each rank up.
 from __future__ import annotations
 
 import functools
+import sys
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,9 @@ from tablelens.llm.ranks import gapless_rank
 from tablelens.session import materialize
 
 CAPACITY = 2048
-WORD_CACHE = 400_000
+PART_CACHE = 300_000
+WORD_CACHE = 600_000
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def default_tokenizer() -> str:
@@ -37,13 +42,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _settled(text: str) -> bool:
+    """Whether lower-casing is all that the vocabulary's normalizer would change in letters."""
+    if "\u03a3" in text or "\u0130" in text:  # lower-cased by context, or to two characters
+        return False
+    return unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower())
+
+
 class WordEncoder:
     """``tokenizers`` ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     This kind of vocabulary never merges across a space or a line feed, so a
-    text is cut there and the ids of each distinct word are kept (at most
-    ``WORD_CACHE`` words; then the cache starts anew).  A text that spells one
-    of the special tokens is encoded whole, as they may contain anything.
+    text is cut there and the ids of each distinct part are kept.  A part that
+    is a word of letters, with or without closing punctuation, is put together
+    from the two; a new word then goes straight to the byte-pair model, and
+    any other part through the whole tokenizer.  A text that spells one of the
+    special tokens is encoded whole, as they may contain anything.  Each cache
+    has two generations of at most ``PART_CACHE`` or ``WORD_CACHE`` entries;
+    a full one becomes the old one, and what is asked for again moves up.
     """
 
     def __init__(self, path: str):
@@ -53,27 +69,65 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        if hasattr(self._model, "_resize_cache"):  # words are kept here; a second cache behind a lock only costs time
+            self._model._resize_cache(0)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._words: dict[str, bytes] = {"": b""}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self._parts, self._old_parts = {}, {}
+        self._words, self._old_words = {}, {}
+        self._closing: dict[str, bytes] = {"": b""}
+        # Byte-level vocabularies show a byte as its Latin-1 character if that is printable, else as the next one above 255.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self._shown = dict(zip(shown, map(chr, shown)))
+        self._shown |= {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        found = self._words.get(word)
+        if found is None:
+            found = self._old_words.get(word)
+            if found is None:
+                shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._shown)
+                ids = [t.id for t in self._model.tokenize(shown)]
+                found = array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
+            if len(self._words) >= WORD_CACHE:
+                self._words, self._old_words = {}, self._words
+            self._words[word] = found
+        return found
+
+    def _part(self, part: str) -> bytes:
+        found = self._old_parts.get(part)
+        if found is None:
+            found = self._new_part(part)
+        if len(self._parts) >= PART_CACHE:
+            self._old_parts = dict(self._parts)
+            self._parts.clear()  # in place: callers hold its methods
+        self._parts[part] = found
+        return found
+
+    def _new_part(self, part: str) -> bytes:
+        if part.isalpha() and (part.isascii() or _settled(part)):
+            return self._word(part.lower())
+        word = part.rstrip(".,;:!?")
+        if word.isalpha() and (word.isascii() or _settled(word)):
+            end = part[len(word):]
+            closing = self._closing.get(end)
+            if closing is None:
+                closing = self._closing[end] = self._whole(end)
+            return self._word(word.lower()) + closing
+        return self._whole(part)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self._special):
-            return self._whole([text])[0]
-        words = text.replace("\n", " ").split(" ")
-        known = self._words
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > WORD_CACHE:
-                known.clear()
-                known[""] = b""
-                new = [w for w in set(words) if w]
-            known.update(zip(new, self._whole(new)))
-        return b"".join([known[w] for w in words])
+            return self._whole(text)
+        if text.isascii() or _settled(text):  # fewer distinct parts, same ids
+            text = text.lower()
+        known, new = self._parts.get, self._part
+        return b"".join([known(p) or new(p) if p else b"" for p in text.replace("\n", " ").split(" ")])
 
 
 @functools.cache
