@@ -2,28 +2,32 @@
 
 * Features are standardised with the population standard deviation (C9),
   over the rows where every chosen feature is present.
-* k-means is ``pyspark.ml.clustering.KMeans`` (k-means||), best of several
-  seeded starts by training cost; the starts run concurrently as separate
-  Spark jobs on a reliably checkpointed feature table (cut lineage,
-  survives executor loss).  Clusters are renumbered by centroid order so
-  labels are stable.
-* Labels, PCA scores, inertia and the silhouette are plain column
-  expressions over at most k x d literal numbers (centroids, loadings,
-  per-cluster sums): no join, no UDF, no pairwise work.
+* k-means runs all its models together: one pass over one cached feature
+  table moves the centroids of every (k, start) that has not settled, from
+  partial sums per model and cluster (numpy inside the tasks; what leaves a
+  task is one row per cluster).  So the number of passes is that of the
+  slowest model, whatever the number of starts and k.  Starts are seeded
+  k-means++ choices on a bounded sample.  Clusters are renumbered by centroid
+  order so labels are stable.
+* Labels, PCA scores and inertia are plain column expressions over at most
+  k x d literal numbers (centroids, loadings): no join, no pairwise work.
 * Silhouette uses the squared Euclidean distance, which decomposes into
   per-cluster sums and is therefore exact in O(n k).  (The plain Euclidean
-  silhouette needs every pair of points and is not offered.)
+  silhouette needs every pair of points and is not offered.)  The elbow's
+  silhouettes of all k come from one pass.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tablelens.constants import CLUSTER_COLUMN, KMEANS_SEED, KMEANS_STARTS, PCA_COLUMNS
 from tablelens.functions.scalar import label_cluster
@@ -91,53 +95,106 @@ def inertia_frame(feat: Features, centroids) -> DataFrame:
     return feat.df.agg(F.coalesce(F.sum(d), F.lit(0.0)).alias("inertia"))
 
 
-def inertia(feat: Features, centroids) -> float:
-    return float(inertia_frame(feat, centroids).first()[0])
-
-
-def _fit_one(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float):
-    """One seeded k-means|| fit.
-
-    ``tol`` is the reference's rule: stop once the *total* squared centroid
-    shift is within ``tol`` x the mean feature variance (1 after
-    standardising).  Spark stops when *each* centroid moves less than its
-    ``tol``; ``sqrt(tol / k)`` per centroid guarantees the total bound.
-    """
-    from pyspark.ml.clustering import KMeans
-
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=math.sqrt(tol / k), featuresCol="__tl_vec").fit(vec)
-    return float(model.summary.trainingCost), [list(map(float, c)) for c in model.clusterCenters()]
-
-
 _TARGET_PARTITION_BYTES = 64 * 1024 * 1024
-
-
-def _vectors(feat: Features, n_rows: int | None = None) -> DataFrame:
-    """Dense feature vectors, checkpointed, in partitions of about 64 MB.
-
-    k-means makes many short passes; partitions sized by data volume keep
-    each pass at a few tasks per 64 MB (one task for a small table, so
-    concurrent fits can share the cores) instead of a fixed count.
+INIT_ROWS = 10_000
+ROWS_AT_ONCE = 4096
+
+
+def _cached(feat: Features, n_rows: int) -> DataFrame:
+    """The feature columns, computed once, in partitions of about 64 MB, and
+    cached for the passes (a lost block is read again from the checkpoint)."""
+    parts = max(1, math.ceil(n_rows * 8 * len(feat.zcols) / _TARGET_PARTITION_BYTES))
+    return materialize(feat.df.select(*feat.zcols).repartition(parts)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)[None, :], 0.0)
+
+
+def _blocks(batches, zcols):
+    for batch in batches:
+        x = np.column_stack([batch.column(z).to_numpy(zero_copy_only=False) for z in zcols])
+        for at in range(0, len(x), ROWS_AT_ONCE):
+            yield x[at:at + ROWS_AT_ONCE]
+
+
+def _sums(table: DataFrame, zcols: list[str], models: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
+    """One pass: per model the rows (n), coordinate sums (s), squared norms (q)
+    and squared distances (cost) of its clusters."""
+    ends = np.cumsum([0] + [len(m) for m in models])
+    centers, d = np.concatenate(models), len(zcols)
+
+    def run(batches):
+        total = np.zeros((len(centers), d + 3))
+        for x in _blocks(batches, zcols):
+            distance, square = _distances(x, centers), (x * x).sum(axis=1)
+            for lo, hi in zip(ends, ends[1:]):
+                label = distance[:, lo:hi].argmin(axis=1)
+                columns = [None, *x.T, square, distance[np.arange(len(x)), lo + label]]
+                for i, c in enumerate(columns):
+                    total[lo:hi, i] += np.bincount(label, weights=c, minlength=hi - lo)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(centers))), *(pa.array(c) for c in np.ascontiguousarray(total.T))],
+            names=["cluster", *(f"t{i}" for i in range(d + 3))])
+
+    schema = "cluster long, " + ", ".join(f"t{i} double" for i in range(d + 3))
+    rows = table.mapInArrow(run, schema).groupBy("cluster").agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(d + 3)]).collect()
+    total = np.zeros((len(centers), d + 3))
+    for r in rows:
+        total[r["cluster"]] = r[1:]
+    return [{"n": t[:, 0], "s": t[:, 1:d + 1], "q": t[:, d + 1], "cost": t[:, d + 2]}
+            for t in (total[lo:hi] for lo, hi in zip(ends, ends[1:]))]
+
+
+def _plus_plus(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ centroids from the sample."""
+    rng = np.random.default_rng(seed)
+    chosen = [sample[rng.integers(len(sample))]]
+    near = _distances(sample, chosen[0][None, :])[:, 0]
+    while len(chosen) < k:
+        at = rng.choice(len(sample), p=near / near.sum()) if near.sum() > 0 else rng.integers(len(sample))
+        chosen.append(sample[at])
+        near = np.minimum(near, _distances(sample, sample[at][None, :])[:, 0])
+    return np.array(chosen)
+
+
+def fit_models(table: DataFrame, zcols: list[str], ks: list[int], starts: int = KMEANS_STARTS, seed: int = KMEANS_SEED,
+               max_iter: int = 300, tol: float = 1e-4) -> dict[int, tuple[float, list[list[float]]]]:
+    """Best of ``starts`` seeded Lloyd runs for every k: ``{k: (cost, centroids)}``.
+
+    A run stops once its total squared centroid shift is at most ``tol`` (the
+    mean feature variance is 1) or after ``max_iter`` passes; an empty
+    cluster stays where it is.  Centroids are sorted.
     """
-    from pyspark.ml.feature import VectorAssembler
-
-    n_rows = n_rows if n_rows is not None else feat.df.count()
-    est_bytes = n_rows * (8 * len(feat.zcols) + 64)
-    parts = max(1, math.ceil(est_bytes / _TARGET_PARTITION_BYTES))
-    vec = VectorAssembler(inputCols=feat.zcols, outputCol="__tl_vec").transform(feat.df.select(*feat.zcols))
-    return materialize(vec.select("__tl_vec").repartition(parts))
+    hashed = F.xxhash64(*[F.col(z) for z in zcols])
+    sample = np.array([list(r) for r in table.select(*zcols).orderBy(hashed, *zcols).limit(INIT_ROWS).collect()], float)
+    models = {(k, i): _plus_plus(sample, k, seed + i) for k in ks for i in range(starts)}
+    moving = list(models)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        stats = _sums(table, zcols, [models[m] for m in moving])
+        still = []
+        for m, t in zip(moving, stats):
+            moved = np.where(t["n"][:, None] > 0, t["s"] / np.maximum(t["n"], 1)[:, None], models[m])
+            if ((moved - models[m]) ** 2).sum() > tol:
+                still.append(m)
+            models[m] = moved
+        moving = still
+    names = list(models)
+    cost = {m: float(t["cost"].sum()) for m, t in zip(names, _sums(table, zcols, [models[m] for m in names]))}
+    best = {k: min((m for m in names if m[0] == k), key=lambda m: (cost[m], m)) for k in ks}
+    return {k: (cost[m], sorted(map(list, models[m].tolist()))) for k, m in best.items()}
 
 
 def best_kmeans(feat: Features, k: int, starts: int = KMEANS_STARTS, seed: int = KMEANS_SEED,
-                max_iter: int = 300, tol: float = 1e-4, vec: DataFrame | None = None, threads: int = 10):
-    """Best of ``starts`` seeded fits (lowest training cost).  Returns
-    ``(cost, centroids)`` with centroids sorted lexicographically."""
-    vec = vec if vec is not None else _vectors(feat)
-    seeds = [seed + i for i in range(starts)]
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, starts))) as ex:
-        fits = list(ex.map(lambda s: _fit_one(vec, k, s, max_iter, tol), seeds))
-    cost, centers = min(fits, key=lambda t: t[0])
-    return cost, sorted(centers)
+                max_iter: int = 300, tol: float = 1e-4) -> tuple[float, list[list[float]]]:
+    """Best of ``starts`` seeded runs (lowest cost): ``(cost, sorted centroids)``."""
+    table = _cached(feat, feat.df.count())
+    try:
+        return fit_models(table, feat.zcols, [k], starts, seed, max_iter, tol)[k]
+    finally:
+        table.unpersist()
 
 
 def pca_loadings(feat: Features, n_components: int = 2) -> list[list[float]]:
@@ -220,7 +277,7 @@ def kmeans_cluster(df: DataFrame, cols, k: int = 4, starts: int = KMEANS_STARTS,
 def _complete(feat: Features) -> Column:
     e = None
     for c in feat.cols:
-        t = col(c).isNotNull()
+        t = num(c).isNotNull()  # NaN is missing too
         e = t if e is None else e & t
     return e
 
@@ -273,48 +330,64 @@ def silhouette_sq(feat_df: DataFrame, zcols: list[str], label: str) -> float | N
     return None if v is None else float(v)
 
 
+def _silhouettes(table: DataFrame, zcols: list[str], models: list[np.ndarray]) -> list[float | None]:
+    """F6 of several models in one pass over the rows (see :func:`silhouette_frame`)."""
+    stats = _sums(table, zcols, models)
+    used = [(np.flatnonzero(t["n"] > 0), t) for t in stats]
+    ready = [i for i, (of, _) in enumerate(used) if len(of) > 1]
+
+    def run(batches):
+        total = np.zeros(len(models))
+        for x in _blocks(batches, zcols):
+            square, row = (x * x).sum(axis=1), np.arange(len(x))
+            for i in ready:
+                of, t = used[i]
+                n, s, q = t["n"][of], t["s"][of], t["q"][of]
+                label = _distances(x, models[i][of]).argmin(axis=1)
+                apart = np.maximum(n[None, :] * square[:, None] - 2 * x @ s.T + q[None, :], 0.0)
+                own = apart[row, label] / np.maximum(n[label] - 1, 1)
+                apart = apart / n[None, :]
+                apart[row, label] = np.inf
+                other = apart.min(axis=1)
+                most = np.maximum(own, other)
+                score = np.divide(other - own, most, out=np.zeros(len(x)), where=most > 0)
+                total[i] += score[n[label] > 1].sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models))), pa.array(total)], names=["model", "total"])
+
+    rows = table.mapInArrow(run, "model long, total double").groupBy("model").agg(F.sum("total").alias("total")).collect()
+    total = {r["model"]: r["total"] for r in rows}
+    return [float(total[i] / t["n"].sum()) if i in ready else None for i, (_, t) in enumerate(used)]
+
+
 def kmeans_metrics(df: DataFrame, cols, starts: int = KMEANS_STARTS, seed: int = KMEANS_SEED,
                    max_k: int | None = None, min_rows: int = 5) -> DataFrame:
     """``(k, inertia, silhouette)`` for k = 2 .. max(3, min(12, n-1)).
 
-    Inertia is the best-of-``starts`` training cost on standardised
+    The chosen columns are read as numbers first (text that is none is
+    missing).  Inertia is the best-of-``starts`` cost on standardised
     features; the silhouette (squared Euclidean) is that model's; NULL when
     n <= k.  Needs two columns and ``min_rows`` complete rows.
     """
     spark = df.sparkSession
     schema = "k int, inertia double, silhouette double"
-    feat = cluster_features(df, cols, min_rows=min_rows)
+    texts = [c for c in dict.fromkeys(cols or []) if c in df.columns and isinstance(df.schema[c].dataType, StringType)]
+    feat = cluster_features(df.withColumns({c: num(c) for c in texts}) if texts else df, cols, min_rows=min_rows)
     if feat is None:
         return spark.createDataFrame([], schema)
-    fz = materialize(feat.df.select(*feat.zcols))
-    feat = Features(fz, feat.cols, feat.zcols, feat.means, feat.stds)
-    n = fz.count()
-    k_max = max_k or max(3, min(12, n - 1))
-    vec = _vectors(feat, n)
-    ks = [k for k in range(2, k_max + 1) if k <= n]
-    jobs = [(k, seed + i) for k in ks for i in range(starts)]
-    # Every (k, seed) fit is an independent Spark job: run them concurrently
-    # so the cluster stays busy between the short iterations of each fit.
-    with ThreadPoolExecutor(max_workers=40) as ex:
-        fits = list(ex.map(lambda js: (js[0],) + _fit_one(vec, js[0], js[1], 300, 1e-4), jobs))
-    best: dict[int, tuple[float, list]] = {}
-    for k, cost, centers in fits:
-        if k not in best or cost < best[k][0]:
-            best[k] = (cost, sorted(centers))
-    rows = []
-    for k in range(2, k_max + 1):
-        if k > n:
-            rows.append((k, None, None))
-            continue
-        cost, centers = best[k]
-        labelled = fz.withColumn("__tl_lab", nearest_centroid(feat.zcols, centers))
-        sil = silhouette_sq(labelled, feat.zcols, "__tl_lab") if n > k else None
-        rows.append((k, cost, sil))
+    n = feat.df.count()
+    every = list(range(2, (max_k or max(3, min(12, n - 1))) + 1))
+    ks = [k for k in every if k <= n]
+    table = _cached(feat, n)
+    try:
+        best = fit_models(table, feat.zcols, ks, starts, seed)
+        scores = dict(zip(ks, _silhouettes(table, feat.zcols, [np.array(best[k][1]) for k in ks])))
+    finally:
+        table.unpersist()
+    rows = [(k, best[k][0] if k in best else None, scores[k] if k < n else None) for k in every]
     return spark.createDataFrame(rows, schema)
 
 
 __all__ = [
-    "Features", "cluster_features", "nearest_centroid", "assign_to_centroids", "inertia", "best_kmeans",
-    "pca_loadings", "pca_project", "kmeans_cluster", "silhouette_sq", "silhouette_frame", "inertia_frame",
-    "kmeans_metrics", "math",
+    "Features", "cluster_features", "nearest_centroid", "assign_to_centroids", "fit_models", "best_kmeans",
+    "pca_loadings", "pca_project", "kmeans_cluster", "silhouette_sq", "silhouette_frame", "inertia_frame", "kmeans_metrics",
 ]

@@ -53,6 +53,7 @@ def load_all() -> dict[str, Query]:
         groupagg_queries,
         order_queries,
         scalar_queries,
+        schema_queries,
         source_queries,
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.scalar import standardize
@@ -117,15 +118,60 @@ def q_pca(spark, sf):
     return pca_project(feat).select("p_partkey", F.round("PCA1", 6).alias("PCA1"), F.round("PCA2", 6).alias("PCA2"))
 
 
-@query("kmeans_cluster", None)
+_CUST = ["c_acctbal", "order_total"]
+# PCA of two standardised columns: the axes are (1, 1) and (1, -1), the larger variance first.
+_PCA = f"""r AS (SELECT {_R} AS r FROM f),
+p AS (SELECT c_custkey, round(CASE WHEN r >= 0 THEN (z1 + z2) ELSE (z1 - z2) END / {math.sqrt(2)!r}, 6) + 0.0 AS "PCA1",
+             round(CASE WHEN r >= 0 THEN (z1 - z2) ELSE (z1 + z2) END / {math.sqrt(2)!r}, 6) + 0.0 AS "PCA2" FROM f, r)"""
+
+
+@query("kmeans_cluster", f"""WITH {_CUST_SQL}, {_PCA}
+SELECT c.c_custkey, p.c_custkey IS NOT NULL AS labelled, "PCA1", "PCA2" FROM c LEFT JOIN p ON c.c_custkey = p.c_custkey""")
 def q_kmeans(spark, sf):
     """k-means (k = 4, best of 10 seeded starts) on customer balance and
-    order value; label and PCA scores on every customer row."""
-    out = kmeans_cluster(_customers(spark, sf), ["c_acctbal", "order_total"], k=4)
-    return out.select("c_custkey", "Кластеры", "PCA1", "PCA2")
+    order value; which rows have a label, and their PCA scores."""
+    out = kmeans_cluster(_customers(spark, sf), _CUST, k=4)
+    return out.select("c_custkey", F.col("Кластеры").isNotNull().alias("labelled"),
+                      F.round("PCA1", 6).alias("PCA1"), F.round("PCA2", 6).alias("PCA2"))
+
+
+@query("kmeans_fixed_point", f"WITH {_CUST_SQL}\nSELECT count(*) AS n, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced FROM f")
+def q_kmeans_fixed_point(spark, sf):
+    """the labels are a fixed point of Lloyd's rule: every row is nearest to
+    the mean of its own cluster (within 0.05, the slack of the stop rule)."""
+    feat = cluster_features(kmeans_cluster(_customers(spark, sf), _CUST, k=4, with_pca=False), _CUST)
+    z, label = feat.zcols, F.col("Кластеры")
+    means = feat.df.groupBy(label.alias("l")).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(z)]).collect()  # 4 rows
+    away = [F.sqrt(sum((F.col(c) - F.lit(m[f"m{i}"])) ** 2 for i, c in enumerate(z))) for m in means]
+    own = F.coalesce(*[F.when(label == F.lit(m["l"]), d) for m, d in zip(means, away)])
+    return feat.df.agg(F.count("*").alias("n"), F.count_distinct(label).alias("clusters"),
+                       F.count(F.when(own > F.least(*away) + 0.05, 1)).alias("misplaced"))
+
+
+@query("kmeans_nan_feature", f"""WITH {_CUST_SQL}
+SELECT c.c_custkey, c.c_custkey IN (SELECT c_custkey FROM f WHERE c_custkey % 7 <> 0) AS labelled FROM c""")
+def q_kmeans_nan(spark, sf):
+    """F2: a row with a NaN feature has no label and no scores."""
+    c = _customers(spark, sf).withColumn(
+        "c_acctbal", F.when(F.col("c_custkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal")))
+    out = kmeans_cluster(c, _CUST, k=4)
+    return out.select("c_custkey", (F.col("Кластеры").isNotNull() & F.col("PCA1").isNotNull()).alias("labelled"))
 
 
 @query("chart_cluster_metrics", None)
 def q_cluster_metrics(spark, sf):
     """Elbow (inertia) and silhouette for k = 2..12."""
-    return kmeans_metrics(_customers(spark, sf), ["c_acctbal", "order_total"])
+    return kmeans_metrics(_customers(spark, sf), _CUST)
+
+
+@query("cluster_metrics_of_text", f"""WITH {_CUST_SQL}
+SELECT CAST(k AS INTEGER) AS k, TRUE AS falls, TRUE AS bounded
+FROM (SELECT unnest(range(2, greatest(3, least(12, count(*) - 1)) + 1)) AS k FROM f)""")
+def q_cluster_metrics_text(spark, sf):
+    """F5/H18 on numbers held as text: every k, inertia below that of the k
+    before and below the total variance, silhouette within -1 and 1."""
+    c = _customers(spark, sf).select(*[F.col(x).cast("string").alias(x) for x in _CUST])
+    m = kmeans_metrics(c, _CUST, starts=3)
+    n = cluster_features(_customers(spark, sf), _CUST).df.count()
+    before = F.lag("inertia", 1, 2.0 * n).over(Window.orderBy("k"))  # at most 11 rows
+    return m.select("k", (F.col("inertia") <= before).alias("falls"), F.abs("silhouette").between(0, 1).alias("bounded"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablelens.functions.scalar import coerce_datetime, coerce_numeric
 from tablelens.plans.catalog import query, table
-from tablelens.sources.io import dataset_info, load_named_table, load_table
+from tablelens.sources.io import dataset_info, list_tables, load_named_table, load_table
 from tablelens.sources.schema import force_text_by_pattern, select_existing
 
 
@@ -27,8 +27,17 @@ def q_load_named_table(spark, sf):
     return load_named_table(spark, sf, "customer")
 
 
+@query("load_catalog_table", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def q_load_catalog_table(spark, sf):
+    """A2: a table that the session's catalog knows by name."""
+    table(spark, sf, "supplier").createOrReplaceTempView("tablelens_supplier")
+    assert "tablelens_supplier" in list_tables(spark)
+    return load_named_table(spark, name="tablelens_supplier")
+
+
 @query("dataset_info", """
-SELECT count(*) AS n_rows, CAST(11 AS INTEGER) AS n_columns, 'lineitem' AS source, 'lineitem' AS table_name
+SELECT count(*) AS n_rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE lineitem)) AS n_columns,
+       'lineitem' AS source, 'lineitem' AS table_name
 FROM lineitem
 """)
 def q_dataset_info(spark, sf):

@@ -5,44 +5,38 @@ Nothing here changes session SQL settings; the caller owns the session.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Row bound for the small side of a join that we are willing to broadcast.
-# Sides above it fall back to a shuffle join (AQE splits skewed partitions).
+# Bounds for the small side of a join that we are willing to broadcast.
+# Sides above either fall back to a shuffle join (AQE splits skewed partitions).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
-
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+_FIXED_BYTES = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, setting it if needed.
+    """Return the reliable checkpoint folder, setting it if needed.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; it is used
-    as is.  Only a local-mode session (tests) without that setting gets a
-    fresh scratch folder of its own.
+    as is.  Without that setting, a session whose tasks run inside the driver
+    (master ``local`` or ``local[...]``, as in tests) gets a folder of its own;
+    any other session has no folder that all executors see, and raises.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not conf_dir:
-        if not _is_local(spark):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; point it at a shared folder "
-                "(HDFS/S3/ABFS) that every executor can reach"
-            )
-        conf_dir = tempfile.mkdtemp(prefix="tablelens-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS) that every executor can reach")
+        folder = tempfile.mkdtemp(prefix="tablelens-ckpt-")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -51,41 +45,41 @@ def materialize(df: DataFrame) -> DataFrame:
     Used for small derived tables (group statistics, bin edges) that are
     read more than once, and to cut lineage before iterative work.  A
     reliable checkpoint survives the loss of the executors that wrote it.
+    Spark deletes its files once nothing refers to the result any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Materialize ``small`` and broadcast it only if its row count is bounded.
+def _bytes_of(df: DataFrame):
+    """Column expression: bytes of a row's values (text and binary by length, arrays and maps by their JSON text)."""
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(8)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + F.lit(_FIXED_BYTES.get(type(f.dataType), 8))
+    return total
+
 
-    Returns ``(frame, broadcasted)``.  The row count comes from the
-    materialized data, so the check is exact, not an estimate.
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """Materialize ``small`` and broadcast it only if its rows *and* bytes are bounded.
+
+    Returns ``(frame, broadcasted)``.  Both figures come from the materialized
+    data, so the check is exact, not an estimate.
     """
     small = materialize(small)
-    n = small.count()
-    if n <= max_rows:
+    rows, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes_of(small)), F.lit(0))).first()
+    if rows <= max_rows and size <= max_bytes:
         return F.broadcast(small), True
     return small, False
 
 
-def null_safe_join_cond(left: DataFrame, right: DataFrame, keys: list[str]):
-    """``left.k <=> right.k`` for every key, so a null key matches its group."""
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else (cond & c)
-    return cond
-
-
 def default_parallelism(spark: SparkSession) -> int:
-    try:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover - conf is always present in practice
-        n = 200
-    return max(1, n)
-
-
-def scratch_dir(prefix: str = "tablelens-") -> str:
-    """A new local folder for tests and local runs only."""
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR", "/tmp"))
+    """The session's number of shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -40,40 +40,50 @@ def _detect_format(path: str) -> str:
     raise ValueError(f"unsupported file type {ext or '(none)'!r} for {path!r}")
 
 
-def load_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    """A1: read one table; format from the lower-cased extension unless given."""
+def load_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None,
+               **options) -> DataFrame:
+    """A1: read one table; format from the lower-cased extension unless given.
+
+    With a ``schema`` (a struct type or DDL text) CSV and JSON are read once,
+    without the pass that infers types.
+    """
     fmt = (fmt or _detect_format(path)).lower()
-    reader = spark.read.options(**options)
-    if fmt == "csv":
-        reader = reader.option("header", options.get("header", "true"))
-        if "inferSchema" not in options and "schema" not in options:
-            reader = reader.option("inferSchema", "true")
     if fmt not in {"parquet", "csv", "json", "orc"}:
         raise ValueError(f"unsupported format {fmt!r}")
-    return reader.format(fmt).load(path)
+    if fmt == "csv":
+        options = {"header": "true", "inferSchema": "false" if schema is not None else "true"} | options
+    reader = spark.read.options(**options)
+    return (reader if schema is None else reader.schema(schema)).format(fmt).load(path)
+
+
+def _folder_entries(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Table name -> path of every table in a folder, on any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = sorted(s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+    parts = [os.path.splitext(n) for n in names]
+    return {stem: f"{folder.rstrip('/')}/{stem}{ext}" for stem, ext in parts if ext.lower() in _FORMATS}
 
 
-def list_tables(directory: str) -> list[str]:
-    """A2: names of the tables in a directory (one file or folder per table)."""
-    names = []
-    for entry in sorted(os.listdir(directory)):
-        stem, ext = os.path.splitext(entry)
-        if ext.lower() in _FORMATS:
-            names.append(stem)
-    return names
+def list_tables(spark: SparkSession, folder: str | None = None) -> list[str]:
+    """A2: names of the tables in a folder (one file or folder per table), or
+    of the catalog's current database and temporary views without a folder."""
+    if folder is None:
+        return sorted(t.name for t in spark.catalog.listTables())
+    return list(_folder_entries(spark, folder))
 
 
-def load_named_table(spark: SparkSession, directory: str, name: str | None = None) -> DataFrame:
-    """A2: load the only table, or the one named; several and no name is an error."""
-    names = list_tables(directory)
+def load_named_table(spark: SparkSession, folder: str | None = None, name: str | None = None, **options) -> DataFrame:
+    """A2: load the only table, or the one named, of a folder or (without one)
+    of the catalog; several and no name is an error."""
+    places = _folder_entries(spark, folder) if folder is not None else {n: n for n in list_tables(spark)}
+    where = repr(folder) if folder is not None else "the catalog"
     if name is None:
-        if len(names) != 1:
-            raise ValueError(f"{len(names)} tables in {directory!r}; name one of {names}")
-        name = names[0]
-    if name not in names:
-        raise ValueError(f"no table {name!r} in {directory!r}")
-    entry = next(e for e in sorted(os.listdir(directory)) if os.path.splitext(e)[0] == name)
-    return load_table(spark, os.path.join(directory, entry))
+        if len(places) != 1:
+            raise ValueError(f"{len(places)} tables in {where}; name one of {list(places)}")
+        (name,) = places
+    if name not in places:
+        raise ValueError(f"no table {name!r} in {where}")
+    return load_table(spark, places[name], **options) if folder is not None else spark.table(name)
 
 
 def dataset_info(df: DataFrame, source: str, table: str | None = None) -> DataFrame:
@@ -94,27 +104,18 @@ def export_name(stem: str, sheet: str | None = None, ts: _dt.datetime | None = N
     return re.sub("[" + re.escape(UNSAFE_FILENAME_CHARS) + "]+", "_", name)
 
 
-def export_dataset(
-    df: DataFrame | None,
-    dest_dir: str | None,
-    stem: str,
-    sheet: str | None = None,
-    ts: _dt.datetime | None = None,
-    fmt: str = "parquet",
-    single_file: bool = False,
-) -> str:
+def export_dataset(df: DataFrame | None, dest_dir: str | None, stem: str, sheet: str | None = None,
+                   ts: _dt.datetime | None = None, fmt: str = "parquet") -> str:
     """Write the current table beside its source; never overwrite.
 
-    The write is distributed (one file per partition); ``single_file``
-    coalesces to one task and is meant for small results only.
+    The write is distributed, one file per partition.
     """
     if df is None:
         raise ValueError("nothing to export")
     if not dest_dir:
         raise ValueError("no source folder to export beside")
-    path = os.path.join(dest_dir, export_name(stem, sheet, ts) + "." + fmt)
-    out = df.coalesce(1) if single_file else df
-    writer = out.write.mode("errorifexists")
+    path = f"{dest_dir.rstrip('/')}/{export_name(stem, sheet, ts)}.{fmt}"
+    writer = df.write.mode("errorifexists")
     if fmt == "csv":
         writer = writer.option("header", "true")
     writer.format(fmt).save(path)

@@ -106,7 +106,12 @@ def test_sources_formats_and_named_tables(spark):
     df = spark.createDataFrame([(1, "a", 2.5), (2, "b", None)], "i int, s string, x double")
     df.write.option("header", "true").csv(d + "/one.csv")
     df.write.json(d + "/two.json")
-    assert list_tables(d) == ["one", "two"]
+    assert list_tables(spark, d) == list_tables(spark, "file://" + d) == ["one", "two"]
+    typed = load_table(spark, d + "/one.csv", schema="i long, s string, x float")
+    assert [f.dataType.simpleString() for f in typed.schema] == ["bigint", "string", "float"] and typed.count() == 2
+    assert load_named_table(spark, "file://" + d, "one").count() == 2
+    df.createOrReplaceTempView("tl_units_three")
+    assert load_named_table(spark, name="tl_units_three").count() == 2
     c = load_table(spark, d + "/one.csv")
     assert c.count() == 2 and [f.name for f in c.schema] == ["i", "s", "x"]
     assert load_named_table(spark, d, "two").count() == 2
