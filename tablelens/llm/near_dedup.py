@@ -19,9 +19,9 @@ a band form a bucket.  First every member is verified against its bucket's
 first member (one link joins it to the class; the other pairs of a class are
 redundant).  Buckets whose members are still in several classes are open:
 there, members outside the first class are compared with all members of other
-classes, block by block, by signature; pairs that may reach the threshold are
-verified exactly.  So no link between nodes of one bucket is lost, and a group
-of near copies costs one verification a member.
+classes, block by block, by signature and then exactly; only links leave the
+task.  So no link between nodes of one bucket is lost, and a group of near
+copies costs one verification a member.
 """
 
 from __future__ import annotations
@@ -163,16 +163,18 @@ def _may_reach(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return joined.select("a", "b", "as", "bs").mapInArrow(keep, "a binary, b binary")
 
 
+def _texts_of(named: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, __text) of the named nodes.  Few enough of them are broadcast, so that no other text moves."""
+    wanted, _ = checked_broadcast(named.join(nodes.select("node", "rep"), "node").select(
+        "node", F.col("rep.__id").alias("__rep_id"), F.col("rep.__h").alias("__rep_h")), BROADCAST_ROWS)
+    texts = base.join(wanted, F.col("__id").eqNullSafe(F.col("__rep_id")) & (F.col("__h") == F.col("__rep_h")))
+    return materialize(texts.select("node", "__text").dropDuplicates(["node"]))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts reach the threshold exactly."""
     pairs = materialize(pairs)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(named.join(nodes.select("node", "rep"), "node").select(
-        "node", F.col("rep.__id").alias("__rep_id"), F.col("rep.__h").alias("__rep_h")))
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(wanted) if small else wanted,
-                      F.col("__id").eqNullSafe(F.col("__rep_id")) & (F.col("__h") == F.col("__rep_h")))
-    texts = materialize(texts.select("node", "__text").dropDuplicates(["node"]))
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, base)
     side = lambda x: texts.select(F.col("node").alias(x), F.col("__text").alias(f"{x}t"))
 
     def check(batches):
@@ -186,8 +188,44 @@ def _verified(pairs: DataFrame, nodes: DataFrame, base: DataFrame, threshold: fl
                        .mapInArrow(check, "a binary, b binary"))
 
 
-def _across_classes(shared: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of open buckets that lie in different classes and may reach the threshold."""
+def _candidates(left: dict, right: dict, threshold: float, least: float):
+    """(i, partners) for every row of ``left``: rows of ``right`` in another
+    class that may reach the threshold, met here for the first time."""
+    for i in range(len(left["node"])):
+        low, high = np.minimum(right["weight"], left["weight"][i]), np.maximum(right["weight"], left["weight"][i])
+        fits = (low >= threshold * high) & (right["root"] != left["root"][i])
+        fits &= ~right["odd"] | (right["node"] > left["node"][i])  # two such rows meet from both sides
+        j = np.flatnonzero(fits)
+        j = j[(right["bands"][j] == left["bands"][i]).argmax(axis=1) == left["band"]]  # in the first band they share
+        j = j[estimate(right["sig"][j], left["sig"][i]) >= least]
+        if len(j):
+            yield i, j
+
+
+def _side(table: pa.Table) -> dict:
+    n = table.num_rows
+    out = {c: np.array(table.column(c).to_pylist(), object) for c in ("node", "root")}
+    out |= {c: table.column(c).to_numpy() for c in ("weight", "odd")}
+    out["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, REGISTERS)
+    out["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+    return out | {"band": table.column("band")[0].as_py()}
+
+
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, shingles (sorted in each text) and counts of all texts."""
+    parts = [(counted(*shingles(d, s, e)), first) for first, d, s, e in buffers(texts)]
+    text, shingle, count = (np.concatenate([p[i] + (first if i == 0 else 0) for p, first in parts]) for i in range(3))
+    return np.searchsorted(text, np.arange(len(texts) + 1)), shingle, count
+
+
+def _across_classes(shared: DataFrame, roots: DataFrame, nodes: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
+    """Verified links between different classes that share a bucket.
+
+    In an open bucket, rows outside its leader's class meet all rows, block
+    by block.  A first round compares signatures and names the rows that have
+    a possible partner there; the second brings these rows' texts to the same
+    blocks and compares exactly.  Pairs that fail never leave their task.
+    """
     placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first_root = roots.select(F.col("node").alias("leader"), F.col("root").alias("main"))
     state = (
@@ -196,44 +234,55 @@ def _across_classes(shared: DataFrame, roots: DataFrame, nodes: DataFrame, thres
         .where(F.col("lo") != F.col("hi")).join(first_root, "leader", "left")
         .select("band", "hash", "n", F.coalesce("main", "leader").alias("main"))
     )
-    detail = nodes.select("node", "weight", "bands", "sig")
-    rows = placed.drop("leader").join(state, ["band", "hash"]).join(detail, "node")
-    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("long"))))
+    rows = placed.drop("leader").join(state, ["band", "hash"]).join(nodes.select("node", "weight", "bands", "sig"), "node")
+    rows = materialize(rows.select(
+        *rows.columns, (F.col("root") != F.col("main")).alias("odd"),
+        F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK).cast("long")).alias("block")).drop("main"))
     blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)
-    columns = ["band", "hash", "mine", "other", "node", "root", "weight", "bands", "sig"]
-    odd = rows.where(F.col("root") != F.col("main")).withColumn("mine", F.col("block")).withColumn("other", F.explode(blocks))
-    every = rows.withColumn("other", F.col("block")).withColumn("mine", F.explode(blocks))
-    every = every.withColumn("odd", F.col("root") != F.col("main"))
+    keys, detail = ["band", "hash", "mine", "other"], ["node", "root", "weight", "bands", "sig", "odd"]
+    odd = rows.where("odd").withColumn("mine", F.col("block")).withColumn("other", F.explode(blocks)).select(*keys, *detail)
+    every = rows.withColumn("other", F.col("block")).withColumn("mine", F.explode(blocks)).select(*keys, *detail)
     least = least_estimate(threshold)
 
-    def arrays(table: pa.Table):
-        table = table.combine_chunks()
-        n = table.num_rows
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, REGISTERS)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
-        return (np.array(table.column("node").to_pylist(), object), np.array(table.column("root").to_pylist(), object),
-                table.column("weight").to_numpy(), bands, sig)
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+    def name(left: pa.Table, right: pa.Table) -> pa.Table:
+        mine, others = [], np.zeros(right.num_rows, bool)
+        if left.num_rows and right.num_rows:
+            for i, j in _candidates(_side(left), _side(right), threshold, least):
+                mine.append(i)
+                others[j] = True
+        parts = [(left, np.array(mine, np.int64), True), (right, np.flatnonzero(others), False)]
+        return pa.concat_tables([t.select([*keys, *detail]).take(pa.array(at)).append_column("left", pa.array([side] * len(at), pa.bool_()))
+                                 for t, at, side in parts])
+
+    fields = {f.name: f.dataType.simpleString() for f in odd.schema.fields}
+    schema = ", ".join(f"{c} {fields[c]}" for c in [*keys, *detail]) + ", left boolean"
+    named = materialize(odd.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInArrow(name, schema))
+    texts = _texts_of(named.select("node").distinct(), nodes, base)
+    full = named.join(texts, "node").select(*keys, *detail, "left", F.col("__text").alias("text"))
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
         a_out, b_out = [], []
         if left.num_rows and right.num_rows:
-            names, roots_a, weight_a, bands_a, sig_a = arrays(left)
-            others, roots_b, weight_b, bands_b, sig_b = arrays(right)
-            twice = right.column("odd").to_numpy()  # such a pair is met from both of its sides
-            band = left.column("band")[0].as_py()
-            for i in range(len(names)):
-                fits = (np.minimum(weight_b, weight_a[i]) >= threshold * np.maximum(weight_b, weight_a[i])) & (roots_b != roots_a[i])
-                fits &= ~twice | (others > names[i])
-                j = np.flatnonzero(fits)
-                j = j[(bands_b[j] == bands_a[i]).argmax(axis=1) == band]  # in the first band they share
-                j = j[estimate(sig_b[j], sig_a[i]) >= least]
-                a_out += [names[i]] * len(j)
-                b_out += list(others[j])
+            a, b = _side(left), _side(right)
+            start_a, shingle_a, count_a = _bags(left.column("text").to_pylist())
+            start_b, shingle_b, count_b = _bags(right.column("text").to_pylist())
+            for i, j in _candidates(a, b, threshold, least):
+                own, times = shingle_a[start_a[i]:start_a[i + 1]], count_a[start_a[i]:start_a[i + 1]]
+                for at in range(0, len(j), 256):
+                    some = j[at:at + 256]
+                    size = start_b[some + 1] - start_b[some]
+                    flat = np.arange(size.sum()) + np.repeat(start_b[some] - np.cumsum(size) + size, size)
+                    place = np.minimum(np.searchsorted(own, shingle_b[flat]), len(own) - 1)
+                    both = np.where(own[place] == shingle_b[flat], np.minimum(times[place], count_b[flat]), 0)
+                    common = np.bincount(np.repeat(np.arange(len(some)), size), weights=both, minlength=len(some))
+                    linked = some[common >= (threshold - 1e-12) * (a["weight"][i] + b["weight"][some] - common)]
+                    a_out += [a["node"][i]] * len(linked)
+                    b_out += list(b["node"][linked])
         return pa.table([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
 
-    keys = ["band", "hash", "mine", "other"]
-    return (odd.select(columns).groupBy(*keys).cogroup(every.select(*columns, "odd").groupBy(*keys))
-            .applyInArrow(compare, "a binary, b binary"))
+    one, two = ([F.col(c).alias(c) for c in [*keys, *detail, "text"]] for _ in range(2))  # columns of their own on each side
+    lefts, rights = full.where("left").select(*one), full.where(~F.col("left")).select(*two)
+    return materialize(lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(verify, "a binary, b binary"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -262,7 +311,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stars = shared.where(F.col("node") != F.col("leader")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     links = _verified(_may_reach(stars, nodes, threshold), nodes, base, threshold)
     roots = materialize(components(links))
-    more = _verified(_across_classes(shared, roots, nodes, threshold).distinct(), nodes, base, threshold)
+    more = _across_classes(shared, roots, nodes, base, threshold)
     if more.limit(1).count():
         roots = materialize(components(links.unionByName(more)))
     classed = nodes.select("node", "rep", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
