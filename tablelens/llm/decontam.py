@@ -14,8 +14,9 @@ where one of its windows occurs, word for word.
 4. The words at that place are compared with the window's, one by one.
 
 The window table is broadcast only if it has at most ``broadcast_windows``
-rows; a larger one is joined by a shuffle on the word, in which each document
-word carries its neighbours (AQE splits a word that is hot).
+rows; a larger one is joined by a shuffle of words and places (AQE splits a
+word that is hot), and the places found return to their documents for the
+comparison.
 """
 
 from __future__ import annotations
@@ -89,23 +90,21 @@ def find_windows(docs: DataFrame, windows: DataFrame, broadcast_windows: int = B
     broadcast = windows.count() <= broadcast_windows
     prefix = materialize(_rarest_first(windows, docs, broadcast))
     start = F.col("pos") - F.col("offset")
+    same = F.slice("words", F.col("start") + 1, F.col("win_len")) == F.col("win")
     if broadcast:
-        placed = docs.select(*keys, "words", F.posexplode("words").alias("pos", "word"))
-        joined = placed.join(F.broadcast(prefix), "word")
-        first = F.lit(0)
-        inside = (start >= 0) & (start + F.col("win_len") <= F.size("words"))
-    else:
-        around = window - 1
-        placed = docs.select(*keys, "words", F.posexplode("words").alias("pos", "word"))
-        placed = placed.join(prefix.select("word").distinct(), "word", "left_semi")
-        lo = F.greatest(F.col("pos") - around, F.lit(0))
-        placed = placed.select(*keys, "pos", "word", lo.alias("lo"),
-                               F.slice("words", lo + 1, F.lit(2 * around + 1)).alias("words"))
-        joined = placed.join(prefix, "word")
-        first = F.col("lo")
-        inside = (start >= first) & (start - first + F.col("win_len") <= F.size("words"))
-    same = F.slice("words", F.greatest(start - first, F.lit(0)) + 1, F.col("win_len")) == F.col("win")
-    return joined.where(inside & same).select(*keys, start.alias("start"), "win_len", "items")
+        placed = docs.select(*keys, "words", F.posexplode("words").alias("pos", "word")).join(F.broadcast(prefix), "word")
+        inside = placed.where((start >= 0) & (start + F.col("win_len") <= F.size("words"))).withColumn("start", start)
+        return inside.where(same).select(*keys, "start", "win_len", "items")
+    # Only words and places move to the windows; the places found then go back to their documents.
+    numbered = materialize(prefix.withColumn("win_id", F.monotonically_increasing_id()))
+    placed = docs.select(*keys, F.posexplode("words").alias("pos", "word"))
+    found = placed.join(numbered.drop("items"), "word").where(start >= 0).withColumn("start", start)
+    lists = found.groupBy(*[F.col(k).alias(f"{k}__found") for k in keys]).agg(
+        F.collect_list(F.struct("start", "win_id", "win", "win_len")).alias("found"))
+    on = [docs[k].eqNullSafe(lists[f"{k}__found"]) for k in keys]
+    held = docs.join(lists, on).select(*keys, "words", F.explode("found").alias("f")).select(*keys, "words", "f.*")
+    held = held.where((F.col("start") + F.col("win_len") <= F.size("words")) & same).select(*keys, "start", "win_len", "win_id")
+    return held.join(numbered.select("win_id", "items"), "win_id").drop("win_id")
 
 
 def _covered(spans: Column) -> Column:
