@@ -98,6 +98,7 @@ def inertia_frame(feat: Features, centroids) -> DataFrame:
 _TARGET_PARTITION_BYTES = 64 * 1024 * 1024
 INIT_ROWS = 10_000
 ROWS_AT_ONCE = 4096
+PARTS_ON_DRIVER = 16
 
 
 def _cached(feat: Features, n_rows: int) -> DataFrame:
@@ -138,10 +139,12 @@ def _sums(table: DataFrame, zcols: list[str], models: list[np.ndarray]) -> list[
             names=["cluster", *(f"t{i}" for i in range(d + 3))])
 
     schema = "cluster long, " + ", ".join(f"t{i} double" for i in range(d + 3))
-    rows = table.mapInArrow(run, schema).groupBy("cluster").agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(d + 3)]).collect()
+    parts = table.mapInArrow(run, schema)
+    if table.rdd.getNumPartitions() > PARTS_ON_DRIVER:  # else the driver adds the tasks' few rows, without a shuffle
+        parts = parts.groupBy("cluster").agg(*[F.sum(f"t{i}").alias(f"t{i}") for i in range(d + 3)])
     total = np.zeros((len(centers), d + 3))
-    for r in rows:
-        total[r["cluster"]] = r[1:]
+    for r in parts.collect():
+        total[r["cluster"]] += r[1:]
     return [{"n": t[:, 0], "s": t[:, 1:d + 1], "q": t[:, d + 1], "cost": t[:, d + 2]}
             for t in (total[lo:hi] for lo, hi in zip(ends, ends[1:]))]
 

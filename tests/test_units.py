@@ -437,3 +437,25 @@ def test_silhouette_matches_pairwise(spark):
         b = min(sum(v) / len(v) for k, v in d.items() if k != la)
         s.append((b - a) / max(a, b))
     assert got == pytest.approx(sum(s) / len(s))
+
+
+def test_density_of_missing_values_keeps_its_columns(spark):
+    df = spark.createDataFrame([(None, 1.0, "a", "f")], "x double, y double, c string, f string")
+    d = C.chart_density_heatmap(df, "x", "y", color="c", facet_row="f")
+    assert d.columns == ["f", "c", "xbin", "ybin", "count"] and d.count() == 0
+
+
+def test_checked_broadcast_counts_bytes(spark):
+    from tablelens.session import checked_broadcast
+
+    df = spark.createDataFrame([("x" * 500, [1, 2, 3]), (None, None)], "s string, a array<int>")
+    assert checked_broadcast(df)[1]
+    assert not checked_broadcast(df, max_bytes=400)[1]
+    assert not checked_broadcast(df, max_rows=1)[1]
+
+
+def test_correlation_takes_every_column(spark):
+    df = spark.range(20).select(*[(F.col("id") * (i + 1) + i).cast("double").alias(f"c{i}") for i in range(60)])
+    assert len(correlation_columns(df)) == 60
+    assert correlation_matrix(df).count() == 3600
+    assert len(cap_columns(correlation_columns(df))) == 50
