@@ -6,10 +6,34 @@ from collections.abc import Iterator
 
 import numpy as np
 
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 _BASE = np.uint64(0x100000001B3)
 _BASE_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the hash base and of its inverse (modulo 2 ** 64), kept for the next call."""
+    if len(_tables[0]) < n:
+        for i, base in enumerate((_BASE, _BASE_INVERSE)):
+            steps = np.full(max(n, STEP_BYTES + 2), base, np.uint64)
+            steps[0] = 1
+            _tables[i] = np.multiply.accumulate(steps)
+    return _tables
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any run of ``values`` is one difference (see :func:`run_hashes`)."""
+    power = powers(len(values) + 1)[0]
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:len(values)], dtype=np.uint64, out=out[1:])
+    return out
+
+
+def run_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the runs ``[start, end)``; equal runs have equal hashes wherever they lie."""
+    return (sums[end] - sums[start]) * powers(len(sums))[1][start]
 
 
 def buffers(texts: list[str | None], step: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -55,19 +79,11 @@ class Hasher:
 
     def __init__(self, bits: int, orders: tuple[int, ...], words: bool):
         self.bits, self.orders, self.words = bits, orders, words
-        self._power = self._inverse = np.ones(1, np.uint64)
 
     @property
     def buckets(self) -> int:
         return 1 << self.bits
 
-    def _powers(self, n: int) -> None:
-        if len(self._power) < n:
-            for name, base in (("_power", _BASE), ("_inverse", _BASE_INVERSE)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
     def _bucket(self, names: np.ndarray, kind: int) -> np.ndarray:
         mixed = (names + np.uint64(kind)) * _MIX
         mixed ^= mixed >> np.uint64(32)
@@ -93,9 +109,7 @@ class Hasher:
         inside = data > 32
         edge = np.diff(inside.astype(np.int8), prepend=0)
         first, after = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last byte is a line feed
-        self._powers(len(data) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._power[:len(data)], dtype=np.uint64)])
-        names = (sums[after] - sums[first]) * self._inverse[first]
+        names = run_hashes(prefix_sums(data), first, after)
         low, high = np.searchsorted(first, starts), np.searchsorted(first, ends)
         yield self._bucket(names, 7), low, high
         if len(names) > 1:

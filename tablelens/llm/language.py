@@ -24,6 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tablelens.llm.features import Hasher
 from tablelens.llm.sampling import bounded_sample, held_out
+from tablelens.llm.worker import free
 
 PER_CLASS = 1000
 TRAIN_BYTES = 30_000_000
@@ -147,6 +148,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return LanguageModel([], [], np.zeros((1, 1), np.float32), np.zeros(1))
 
     def run(batches):
+        free()
         rows = sorted({(str(r["id"]), r["text"], r["lang"]) for b in batches for r in b.to_pylist()})
         rng, size, kept = np.random.default_rng(1), 0, []
         for i in rng.permutation(len(rows)):
@@ -181,6 +183,7 @@ def add_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text",
     schema = StructType([*docs.schema.fields, StructField(out, StringType()), StructField(score, DoubleType())])
 
     def run(batches):
+        free()
         for batch in batches:
             names, scores = model.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.llm.worker import free
 from tablelens.session import materialize
 
 WINDOW = 2
@@ -63,6 +64,7 @@ def _chunks(base: DataFrame, window: int, mean_lines: int) -> DataFrame:
     id_type = base.schema["__id"].dataType.simpleString()
 
     def cut(batches):
+        free()
         for batch in batches:
             rows, number, first, lines, digest = [], [], [], [], []
             for i, value in enumerate(batch.column("__text")):

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.components import components
 from tablelens.llm.features import buffers
 from tablelens.llm.shingles import WORDS, counted, mixed, shingles, words_digest
+from tablelens.llm.worker import free
 from tablelens.session import checked_broadcast, materialize
 
 THRESHOLD = 0.8
@@ -41,6 +42,7 @@ BANDS, ROWS = 20, 4  # a pair at 0.8 shares no band with probability 3e-5
 REGISTERS = 160  # the first BANDS * ROWS are banded; all of them estimate
 DEVIATIONS = 4.5  # margin of the estimate, in standard deviations at the threshold
 BLOCK = 1024
+DRAWN_AT_ONCE = 500_000  # points
 BROADCAST_ROWS = 1_000_000  # of 24 bytes and an id each
 
 
@@ -69,7 +71,7 @@ def _draw(out: np.ndarray, text: np.ndarray, shingle: np.ndarray, count: np.ndar
     name = mixed(shingle[again] + np.uint64(0x632BE59BD9B4E019) * block.astype(np.uint64))
     time, drawn, flat = np.zeros(len(text)), 0, out.reshape(-1)
     while len(text):
-        step = min(32, max(2, drawn))
+        step = min(32, max(2, drawn), max(1, DRAWN_AT_ONCE // len(text)))
         number = np.arange(drawn, drawn + step, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
         random = mixed(name[:, None] + number[None, :])
         wait = -np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (registers * size)[:, None]
@@ -127,6 +129,7 @@ def _signed(base: DataFrame) -> DataFrame:
     id_type = base.schema["__id"].dataType.simpleString()
 
     def sign(batches):
+        free()
         for batch in batches:
             column = batch.column("__text")
             nodes, weights, bands, bytes_ = [], [], [], []

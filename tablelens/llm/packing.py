@@ -16,7 +16,6 @@ salt) and looks each rank up.
 
 from __future__ import annotations
 
-import functools
 import sys
 import unicodedata
 import zlib
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.ranks import gapless_rank
+from tablelens.llm.worker import kept
 from tablelens.session import materialize
 
 CAPACITY = 2048
@@ -130,9 +130,8 @@ class WordEncoder:
         return b"".join([known(p) or new(p) if p else b"" for p in text.replace("\n", " ").split(" ")])
 
 
-@functools.cache
 def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept(("packing", path), lambda: WordEncoder(path))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, end_id: int | None,

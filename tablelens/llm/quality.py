@@ -23,6 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tablelens.llm.features import Hasher
 from tablelens.llm.sampling import bounded_sample, held_out
+from tablelens.llm.worker import free
 
 PER_CLASS = 3000
 TRAIN_BYTES = 40_000_000
@@ -95,6 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = texts.join(F.broadcast(sample), "id")  # about 2 * per_class rows
 
     def run(batches):
+        free()
         rows = sorted({(r["id"], r["text"], r["label"]) for b in batches for r in b.to_pylist()})
         rng, size, kept = np.random.default_rng(1), 0, []
         for i in rng.permutation(len(rows)):
@@ -127,6 +129,7 @@ def add_scores(docs: DataFrame, model: QualityModel, text_col: str = "text", out
     schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
 
     def run(batches):
+        free()
         for batch in batches:
             scores = model.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])

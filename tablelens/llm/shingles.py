@@ -10,7 +10,7 @@ import hashlib
 
 import numpy as np
 
-from tablelens.llm.features import _BASE, _BASE_INVERSE, _MIX
+from tablelens.llm.features import _BASE, _MIX, prefix_sums, run_hashes
 
 WORDS = 5
 
@@ -21,18 +21,6 @@ _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[65:91] = _IN_WORD[128:] = True
 _SMALL = _LOWER.copy()
 _SMALL[~_IN_WORD] = 32
 
-_power = _inverse = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> None:
-    global _power, _inverse
-    if len(_power) < n:
-        steps = np.full(2 * n, _BASE, np.uint64)
-        back = np.full(2 * n, _BASE_INVERSE, np.uint64)
-        steps[0] = back[0] = 1
-        _power, _inverse = np.multiply.accumulate(steps), np.multiply.accumulate(back)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -42,13 +30,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word of joined texts (see features.buffers), and each text's first and end word."""
-    _powers(len(data) + 1)
     inside = _IN_WORD[data]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     first, after = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the last byte is a line feed
-    values = (_LOWER[data].astype(np.uint64) + np.uint64(1)) * _power[:len(data)]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-    words = mixed((sums[after] - sums[first]) * _inverse[first] + (after - first).astype(np.uint64))
+    words = mixed(run_hashes(prefix_sums(_LOWER[data]), first, after) + (after - first).astype(np.uint64))
     return words, np.searchsorted(first, starts), np.searchsorted(first, ends)
 
 

@@ -36,38 +36,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.features import _BASE, _BASE_INVERSE
+from tablelens.llm.features import prefix_sums, run_hashes
 from tablelens.llm.shingles import mixed
+from tablelens.llm.worker import free
 from tablelens.session import materialize
 
 LENGTH = 100
 SEED = 32
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 SAMPLE_ROWS = 10_000
 HOT_SHARE = 0.003
 BROADCAST_ROWS = 1_000_000  # of an id and a hash each
 
-_power = _inverse = np.ones(1, np.uint64)
 _GEOMETRY = np.uint64(14)  # low bits of a packed seed: 7 for the seed's offset in the run, 7 for the run's windows
 
 
-def _powers(n: int) -> None:
-    global _power, _inverse
-    if len(_power) < n:
-        steps, back = np.full(2 * n, _BASE, np.uint64), np.full(2 * n, _BASE_INVERSE, np.uint64)
-        steps[0] = back[0] = 1
-        _power, _inverse = np.multiply.accumulate(steps), np.multiply.accumulate(back)
-
-
-def _sums(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which any substring's hash is one difference."""
-    _powers(len(data) + 1)
-    values = (data.astype(np.uint64) + np.uint64(1)) * _power[:len(data)]
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-
-
 def _names(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mixed((sums[end] - sums[start]) * _inverse[start])
+    return mixed(run_hashes(sums, start, end))
 
 
 def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, seed: int = SEED):
@@ -77,7 +62,7 @@ def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     none = np.zeros(0, np.int64)
     if count <= 0:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sums = _sums(data)
+    sums = prefix_sums(data)
     at = np.arange(len(data) - seed + 1)
     seeds = _names(sums, at, at + seed)
     least = (seeds & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)  # ties: leftmost
@@ -200,6 +185,7 @@ def _ranked_runs(base: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
     id_type = base.schema["__id"].dataType.simpleString()
 
     def cut(batches):
+        free()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -296,7 +282,7 @@ def _ranked_windows(base: DataFrame, lists: DataFrame, hot: np.ndarray, length:
             run = np.repeat(warm, count)
             shift = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(np.cumsum(end[warm] - start[warm]) - (end[warm] - start[warm]), count) + shift
-            name = _names(_sums(data), at, at + length)
+            name = _names(prefix_sums(data), at, at + length)
             window = start[run] + shift
             first = _first_of((name,), (order[row[run]], window))
             take = pa.array(row[run])
@@ -326,7 +312,7 @@ def _ranked_windows(base: DataFrame, lists: DataFrame, hot: np.ndarray, length:
             row = np.repeat(np.arange(len(cold)), count)
             shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(np.cumsum(size) - size, count) + shift
-            name = _names(_sums(data), at, at + length)
+            name = _names(prefix_sums(data), at, at + length)
             gone = ~_first_of((group[cold][row], name), (np.arange(len(row)),))
             index = np.flatnonzero(gone)
             new = np.ones(len(index), bool)

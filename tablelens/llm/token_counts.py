@@ -9,7 +9,6 @@ which quantile it is.
 from __future__ import annotations
 
 import base64
-import functools
 import math
 
 import numpy as np
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.llm.worker import kept
 from tablelens.session import materialize
 
 BLOCK = 4096
@@ -28,8 +28,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@functools.cache
 def _encoding(path: str):
+    return kept(("token counts", path), lambda: _load(path))
+
+
+def _load(path: str):
     import public_tokenizers
     import tiktoken
 

@@ -45,7 +45,7 @@ def test_query_against_brute_force(spark):
     assert sum(w[0] for w in want.values()) > 0
 
 
-@pytest.mark.parametrize("hot,step", [(0.003, 2_000_000), (10.0, 2_000_000), (0.003, 700)])
+@pytest.mark.parametrize("hot,step", [(0.003, 1_000_000), (10.0, 1_000_000), (0.003, 700)])
 def test_planted_repeats(spark, monkeypatch, hot, step):
     """Copies, passages in many documents, self-repeats, constant runs; hot and cold seeds; texts cut into pieces."""
     monkeypatch.setattr(sd, "HOT_SHARE", hot)
