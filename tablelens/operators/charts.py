@@ -259,7 +259,7 @@ def chart_box(df, x=None, y=None, color=None, facet_row=None, facet_col=None, me
     )
 
 
-POINTS_PER_PASS = 25
+POINTS_PER_PASS = 50
 
 
 def kde_curves(df, keys: list[str], value: str, points: int = 100, span_bw: float = 2.0):
@@ -286,12 +286,14 @@ def kde_curves(df, keys: list[str], value: str, points: int = 100, span_bw: floa
     st = st.withColumn("bw", F.lit(1.059) * m * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     st = st.select(*map(col, keys), "n", "bw", (F.col("__tl_lo") - F.lit(span_bw) * F.col("bw")).alias("grid_lo"), (
         (F.col("__tl_hi") - F.col("__tl_lo") + F.lit(2 * span_bw) * F.col("bw")) / F.lit(points - 1)).alias("grid_step"))
-    j = materialize(attach_group_values(hist.select(*map(col, keys), "x", "w"), st, keys))
+    j = attach_group_values(hist.select(*map(col, keys), "x", "w"), st, keys)
+    j = materialize(j.select(*map(col, keys), "n", "bw", "grid_lo", "grid_step", "w", (
+        (F.col("grid_lo") - x) / F.col("bw")).alias("u0"), (F.col("grid_step") / F.col("bw")).alias("du")))
     norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
     parts = []
     for low in range(0, points, POINTS_PER_PASS):
         at = range(low, min(points, low + POINTS_PER_PASS))
-        u = lambda i: (F.col("grid_lo") + F.lit(i) * F.col("grid_step") - x) / F.col("bw")
+        u = lambda i: F.col("u0") + F.lit(float(i)) * F.col("du")
         sums = j.groupBy(*map(col, keys)).agg(
             *[F.first(c).alias(c) for c in ("n", "bw", "grid_lo", "grid_step")],
             *[F.sum(w * F.exp(-0.5 * u(i) * u(i))).alias(f"s{i}") for i in at])

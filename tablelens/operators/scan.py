@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.session import default_parallelism
+from tablelens.session import default_parallelism, materialize
 from tablelens.sources.schema import quote
 
 RANGE = "__tl_range"
@@ -123,7 +123,7 @@ def value_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct non-missing values per group: keys, ``x``, ``w`` (its rows),
     ``before`` (rows with a smaller value) and ``n`` (rows of the group)."""
     key_cols = [F.col(quote(k)) for k in keys]
-    counts = (
+    counts = materialize(  # the only read of the rows; what follows reads distinct values
         df.where(F.col(quote(value)).isNotNull()).groupBy(*key_cols, F.col(quote(value)).alias("x"))
         .agg(F.count(F.lit(1)).alias("w"))
     )
