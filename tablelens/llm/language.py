@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tablelens.llm.features import Hasher
 from tablelens.llm.sampling import bounded_sample, held_out
-from tablelens.llm.worker import free
+from tablelens.llm.worker import free, slices
 
 PER_CLASS = 1000
 TRAIN_BYTES = 30_000_000
@@ -184,7 +184,7 @@ def add_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text",
 
     def run(batches):
         free()
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = model.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*batch.schema.names, out, score])

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.worker import free
+from tablelens.llm.worker import free, slices
 from tablelens.session import materialize
 
 WINDOW = 2
@@ -65,7 +65,7 @@ def _chunks(base: DataFrame, window: int, mean_lines: int) -> DataFrame:
 
     def cut(batches):
         free()
-        for batch in batches:
+        for batch in slices(batches):
             rows, number, first, lines, digest = [], [], [], [], []
             for i, value in enumerate(batch.column("__text")):
                 text = value.as_py()

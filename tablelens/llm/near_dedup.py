@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tablelens.llm.components import components
 from tablelens.llm.features import buffers
 from tablelens.llm.shingles import WORDS, counted, mixed, shingles, words_digest
-from tablelens.llm.worker import free
+from tablelens.llm.worker import free, slices
 from tablelens.session import checked_broadcast, materialize
 
 THRESHOLD = 0.8
@@ -130,7 +130,7 @@ def _signed(base: DataFrame) -> DataFrame:
 
     def sign(batches):
         free()
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column("__text")
             nodes, weights, bands, bytes_ = [], [], [], []
             for _, data, starts, ends in buffers(column.to_pylist()):

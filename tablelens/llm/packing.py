@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.ranks import gapless_rank
-from tablelens.llm.worker import kept
+from tablelens.llm.worker import kept, slices
 from tablelens.session import materialize
 
 CAPACITY = 2048
@@ -143,7 +143,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_
 
     def cut(batches):
         encode = _encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             rows, parts, index, start = [], [], [], []
             for i, value in enumerate(batch.column(1)):
                 data = encode(value.as_py()) + end

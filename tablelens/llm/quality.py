@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tablelens.llm.features import Hasher
 from tablelens.llm.sampling import bounded_sample, held_out
-from tablelens.llm.worker import free
+from tablelens.llm.worker import free, slices
 
 PER_CLASS = 3000
 TRAIN_BYTES = 40_000_000
@@ -130,7 +130,7 @@ def add_scores(docs: DataFrame, model: QualityModel, text_col: str = "text", out
 
     def run(batches):
         free()
-        for batch in batches:
+        for batch in slices(batches):
             scores = model.score(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.worker import kept
+from tablelens.llm.worker import kept, slices
 from tablelens.session import materialize
 
 BLOCK = 4096
@@ -52,7 +52,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", vocabulary: str |
 
     def encode(batches):
         encoding = _encoding(path)
-        for batch in batches:
+        for batch in slices(batches):
             counts: dict[int, int] = {}
             for value in batch.column(0):
                 text = value.as_py()

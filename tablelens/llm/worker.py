@@ -1,4 +1,4 @@
-"""One large kept object per Python worker.
+"""Memory of Python workers: one large kept object, small slices of batches.
 
 Spark reuses Python workers from task to task and from operator to operator.
 What an operator keeps for its next task (a tokenizer with its word cache)
@@ -7,9 +7,13 @@ would otherwise stay while another operator needs the memory.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
+
+ROWS_AT_ONCE = 2000
+
 _kept: dict[Hashable, Any] = {}
 
 
@@ -24,3 +28,10 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
 def free() -> None:
     """Drop what is kept; called by operators that keep nothing."""
     _kept.clear()
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to at most ``rows`` rows, so that what is made of their texts stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
