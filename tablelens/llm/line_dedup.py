@@ -1,18 +1,18 @@
-"""Line dedup over content-defined chunks of lines.
-
-A rolling hash over the hashes of the last ``window`` lines decides, from the
-lines alone, where a chunk ends; so after an inserted or removed line the
-boundaries fall back into step.  Chunks of several lines that occur more than
-once anywhere keep their first occurrence (least id, then least place) and
-lose the others, after their bytes have been compared.
-
-1. One pass over the texts gives narrow rows (id, chunk number, first line,
-   lines, 128-bit hash); partial aggregation finds repeated hashes and their
-   first occurrence, so a chunk that a third of all documents share is one
-   row per task before the shuffle.
+"""Line dedup over repeated runs of lines.
+
+Every run of ``window`` lines (two) is a candidate, at every line, so whether
+it is found depends on its own lines alone and not on what stands around it.
+A run that occurs earlier (least id, then least place) goes; runs that follow
+each other line by line make up one removed chunk, so a passage of any length
+from ``window`` lines goes whole, after its bytes have been compared.
+
+1. One pass over the texts gives narrow rows (id, first line, 128-bit hash),
+   one a line; partial aggregation finds repeated hashes and their first
+   occurrence, so a run that a third of all documents share is one row per
+   task before the shuffle.
 2. Byte comparison: for repeated hashes the least and the greatest byte
    string are aggregated; where they differ, the hash stands for several
-   chunks, and these are told apart by a digest of the bytes.
+   runs, and these are told apart by a digest of the bytes.
 3. Documents are joined with their lists of removed chunks.  The shuffle of
    the documents serves steps 2 and 3.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.llm.worker import free, slices
@@ -59,85 +59,93 @@ def chunk_bounds(hashes: list[int], window: int = WINDOW, mean_lines: int = MEAN
     return out
 
 
-def _chunks(base: DataFrame, window: int, mean_lines: int) -> DataFrame:
-    """Chunks of several lines: id, h, chunk, first, lines, hash (16 bytes)."""
+def _chunks(base: DataFrame, window: int) -> DataFrame:
+    """Every run of ``window`` lines: id, h, first, hash (16 bytes)."""
     id_type = base.schema["__id"].dataType.simpleString()
 
     def cut(batches):
         free()
         for batch in slices(batches):
-            rows, number, first, lines, digest = [], [], [], [], []
+            rows, first, digest = [], [], []
             for i, value in enumerate(batch.column("__text")):
                 text = value.as_py()
                 if not text or "\n" not in text:
                     continue
                 parts = text.encode("utf-8", "surrogatepass").split(b"\n")
-                hashes = [xxhash.xxh3_64_intdigest(p) for p in parts]
-                for k, (at, n) in enumerate(chunk_bounds(hashes, window, mean_lines)):
+                for at in range(len(parts) - window + 1):
                     rows.append(i)
-                    number.append(k)
                     first.append(at)
-                    lines.append(n)
-                    digest.append(xxhash.xxh3_128_digest(b"\n".join(parts[at:at + n])))
+                    digest.append(xxhash.xxh3_128_digest(b"\n".join(parts[at:at + window])))
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__id").take(take), batch.column("__h").take(take), pa.array(number, pa.int32()),
-                 pa.array(first, pa.int32()), pa.array(lines, pa.int32()), pa.array(digest, pa.binary())],
-                names=["__id", "__h", "chunk", "first", "lines", "hash"])
+                [batch.column("__id").take(take), batch.column("__h").take(take), pa.array(first, pa.int32()),
+                 pa.array(digest, pa.binary())], names=["__id", "__h", "first", "hash"])
 
-    return base.mapInArrow(cut, f"__id {id_type}, __h long, chunk int, first int, lines int, hash binary")
+    return base.mapInArrow(cut, f"__id {id_type}, __h long, first int, hash binary")
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _later(window: int) -> Column:
+    """Whether a run is neither its ``origin`` nor overlaps it."""
+    same = F.struct("__id", "__h") == F.struct(F.col("origin.__id").alias("__id"), F.col("origin.__h").alias("__h"))
+    return ~(same & (F.col("first") < F.col("origin.first") + window))
+
+
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                           mean_lines: int = MEAN_LINES, removed_lines: str = "removed_lines",
-                           removed_chunks: str = "removed_chunks") -> DataFrame:
-    """All rows and columns of ``docs`` with the repeated chunks gone from
-    ``text_col``, plus counts of removed lines and chunks (long).
-
-    A text without a line feed is a single line and stays, as do null and
-    empty texts.  Removed lines go with their line feeds.  Equal chunks inside
-    one document are repeats too.  Rows that repeat the same id and the same
+                           removed_lines: str = "removed_lines", removed_chunks: str = "removed_chunks") -> DataFrame:
+    """All rows and columns of ``docs`` with the repeated runs of at least
+    ``window`` lines gone from ``text_col``, plus counts of removed lines and
+    of removed chunks, which are runs without a gap (long).
+
+    A line goes if it lies in ``window`` lines that occur before, in an earlier
+    document or further up without overlap; so the first occurrence of every
+    line stays.  A text without a line feed is a single line and stays, as do
+    null and empty texts.  Removed lines go with their line feeds; an empty
+    line is a line like others.  Rows that repeat the same id and the same
     text cannot be told apart and are treated alike, as one document; rows
     that share an id but not the text are ordered by the text's hash.  Other
     columns pass through.  An empty table gives no rows.
     """
+    if window < 2:
+        raise ValueError("window must be at least 2 lines")
     for name in (removed_lines, removed_chunks):
         if name in docs.columns:
             raise ValueError(f"{name!r} is already a column")
     keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__h", F.xxhash64(text_col))
     base = keyed.select("__id", "__h", F.col(text_col).alias("__text"))
-    chunks = materialize(_chunks(base, window, mean_lines).dropDuplicates(["__id", "__h", "chunk"]))
-    place = F.struct("__id", "__h", "chunk")
-    repeated = (
-        chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where(F.col("n") > 1).drop("n")
+    chunks = _chunks(base, window)  # cheaper to hash twice than to keep a row for every line
+    place = F.struct("__id", "__h", "first")
+    repeated = (  # repeated rows of one document have one place
+        chunks.groupBy("hash").agg(F.min(place).alias("origin"), F.max(place).alias("last"))
+        .where(F.col("origin") != F.col("last")).drop("last")
     )
-    found = materialize(chunks.join(repeated, "hash").select("__id", "__h", "chunk", "first", "lines", "hash", "origin"))
-    # Bytes of every occurrence of a repeated hash; equal unless two chunks share a hash.
-    some = found.groupBy("__id", "__h").agg(F.collect_list(F.struct("chunk", "first", "lines", "hash")).alias("c"))
+    found = materialize(chunks.join(repeated, "hash").select("__id", "__h", "first", "hash", "origin"))
+    # Bytes of every occurrence of a repeated hash; equal unless two runs share a hash.
+    some = found.groupBy("__id", "__h").agg(F.collect_set(F.struct("first", "hash")).alias("c"))
     texts = base.where(F.col("__text").contains("\n"))
     d, s = texts.alias("d"), some.alias("s")
     held = d.join(s, F.col("d.__id").eqNullSafe(F.col("s.__id")) & (F.col("d.__h") == F.col("s.__h")))
     held = held.select("d.__id", "d.__h", _lines(F.col("__text")).alias("l"), F.explode("c").alias("c"))
     bytes_of = held.select(
-        "__id", "__h", "c.chunk", "c.hash",
-        F.array_join(F.slice("l", F.col("c.first") + 1, F.col("c.lines")), "\n").alias("bytes"))
+        "__id", "__h", "c.first", "c.hash", F.array_join(F.slice("l", F.col("c.first") + 1, window), "\n").alias("bytes"))
     clash = materialize(
         bytes_of.groupBy("hash").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b"))
         .where(F.col("a") != F.col("b")).select("hash"))
-    doomed = found.where(F.struct("__id", "__h", "chunk") != F.col("origin"))
-    if clash.limit(1).count():  # tell the chunks of such a hash apart by their bytes
+    doomed = found.where(_later(window)).select("__id", "__h", "first", "hash")
+    if clash.limit(1).count():  # tell the runs of such a hash apart by their bytes
         exact = bytes_of.join(clash, "hash").withColumn("hash", F.concat("hash", F.unhex(F.sha2("bytes", 256)))).drop("bytes")
-        first = exact.groupBy("hash").agg(F.min(place).alias("origin"))
-        again = exact.join(first, "hash").where(F.struct("__id", "__h", "chunk") != F.col("origin"))
-        on = [again["__id"].eqNullSafe(found["__id"]), again["__h"] == found["__h"], again["chunk"] == found["chunk"]]
-        doomed = doomed.join(clash, "hash", "left_anti").unionByName(
-            found.join(again, on, "left_semi").select(*doomed.columns))
-    spans = doomed.groupBy(F.col("__id").alias("__gone_id"), F.col("__h").alias("__gone_h")).agg(
-        F.collect_list(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("lines")).alias("b"))).alias("__spans"))
+        origin = exact.groupBy("hash").agg(F.min(place).alias("origin"))
+        again = exact.join(origin, "hash").where(_later(window)).select(*doomed.columns)
+        doomed = doomed.join(clash, "hash", "left_anti").select(*doomed.columns).unionByName(again)
+    # Runs that start at consecutive lines are one chunk.
+    step = F.dense_rank().over(Window.partitionBy("__id", "__h").orderBy("first"))
+    joint = doomed.withColumn("run", F.col("first") - step).groupBy("__id", "__h", "run").agg(
+        F.min("first").alias("a"), (F.max("first") + window).alias("b"))
+    spans = joint.groupBy(F.col("__id").alias("__gone_id"), F.col("__h").alias("__gone_h")).agg(
+        F.collect_list(F.struct("a", "b")).alias("__spans"))
     joined = keyed.join(spans, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__h") == F.col("__gone_h")), "left")
     gone = lambda i: F.exists("__spans", lambda s: (s["a"] <= i) & (i < s["b"]))
     kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda x, i: ~gone(i)), "\n")
