@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tablelens.llm.features import Hasher
-from tablelens.llm.sampling import bounded_sample, held_out
+from tablelens.llm.sampling import bounded_sample, held_out, within_bytes
 from tablelens.llm.worker import free, slices
 
 PER_CLASS = 1000
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from rows with a language, a text and an id that is not held out.
 
     ``per_class`` bounds the rows of each language, ``train_bytes`` the text
-    in the training task.  Without such rows the model answers ``und``.
+    in the training task (see ``within_bytes``).  Without such rows the model answers ``und``.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("id")))
@@ -147,15 +147,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not totals:
         return LanguageModel([], [], np.zeros((1, 1), np.float32), np.zeros(1))
 
+    sample = within_bytes(sample, "lang", "id", "text", train_bytes)
+
     def run(batches):
         free()
         rows = sorted({(str(r["id"]), r["text"], r["lang"]) for b in batches for r in b.to_pylist()})
-        rng, size, kept = np.random.default_rng(1), 0, []
-        for i in rng.permutation(len(rows)):
-            size += len(rows[i][1])
-            if size > train_bytes and kept:
-                break
-            kept.append(rows[i])
+        kept = [rows[i] for i in np.random.default_rng(1).permutation(len(rows))]
         model = train([r[1] for r in kept], [r[2] for r in kept])
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.families], pa.list_(pa.list_(pa.string()))),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tablelens.llm.features import Hasher
-from tablelens.llm.sampling import bounded_sample, held_out
+from tablelens.llm.sampling import bounded_sample, held_out, within_bytes
 from tablelens.llm.worker import free, slices
 
 PER_CLASS = 3000
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from labelled rows that are not held out.
 
     ``per_class`` bounds the rows of each label, ``train_bytes`` the text that
-    the training task holds (rows beyond it, in hash order, are left out).
+    the training task holds (see ``within_bytes``).
     Ids with conflicting or null labels are ignored.  The sample is
     stratified; the bias is corrected to the true share of label 1.  With no
     row or one label only, every score is that label (0.5 without rows).
@@ -94,16 +94,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return QualityModel(np.zeros(Hasher(**_HASHER).buckets, np.float32), bias)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen = texts.join(F.broadcast(sample), "id")  # about 2 * per_class rows
+    chosen = within_bytes(chosen, "label", "id", "text", train_bytes)
 
     def run(batches):
         free()
         rows = sorted({(r["id"], r["text"], r["label"]) for b in batches for r in b.to_pylist()})
-        rng, size, kept = np.random.default_rng(1), 0, []
-        for i in rng.permutation(len(rows)):
-            size += len(rows[i][1])
-            if size > train_bytes and kept:
-                break
-            kept.append(rows[i])
+        kept = [rows[i] for i in np.random.default_rng(1).permutation(len(rows))]
         y = np.array([r[2] for r in kept], np.int64)
         logits = train([r[1] for r in kept], y) if kept else np.zeros((Hasher(**_HASHER).buckets, 2))
         ones = int(y.sum())

@@ -23,3 +23,34 @@ def bounded_sample(rows: DataFrame, class_col: str, salt: Column, per_class: int
     for value, n in totals.items():
         take |= (F.col(class_col) == F.lit(value)) & (number < int(_RANGE * min(1.0, per_class / n)))
     return rows.where(take), totals
+
+
+def within_bytes(rows: DataFrame, class_col: str, id_col: str, text_col: str, most: int) -> DataFrame:
+    """The rows whose texts make up at most ``most`` bytes, before they are gathered in one task.
+
+    All rows if they fit.  Else each class gets an equal part, and what small
+    classes leave is dealt to the others; in hash order a text that does not
+    fit is left out, not those after it.  A class keeps one text at least, its
+    shortest, even if that one is longer than its part.  Only sizes come to
+    the driver (a number pair for each row of the sample).
+    """
+    key = F.xxhash64(id_col, text_col)
+    sizes: dict = {}
+    for r in rows.select(F.col(class_col).alias("c"), key.alias("k"), F.octet_length(text_col).cast("long").alias("n")).distinct().collect():
+        sizes.setdefault(r["c"], []).append((r["k"], r["n"]))
+    totals = {c: sum(n for _, n in texts) for c, texts in sizes.items()}
+    if sum(totals.values()) <= most:
+        return rows
+    kept, left = [], most
+    for done, c in enumerate(sorted(sizes, key=lambda c: (totals[c], str(c)))):
+        part, spent, before = left // (len(sizes) - done), 0, len(kept)
+        for k, n in sorted(sizes[c]):
+            if spent + n <= part:
+                kept.append(k)
+                spent += n
+        if len(kept) == before:
+            k, spent = min(sizes[c], key=lambda x: (x[1], x[0]))
+            kept.append(k)
+        left = max(0, left - spent)
+    keys = rows.sparkSession.createDataFrame([(k,) for k in kept], "__k long")
+    return rows.join(F.broadcast(keys), key == F.col("__k"), "left_semi")
