@@ -126,6 +126,14 @@ def _groups(space: _Space, size: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return group, np.maximum(1, np.ceil(total / rows)).astype(np.int64)
 
 
+def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each query, by a mixed hash of its id, so ids with a common divisor spread too."""
+    x = ids.astype(np.int64).view(np.uint64)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(factor)
+    return ((x >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
 def _best(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
     """(query id, id, score) of each query's best k in this block; ties to the smaller id."""
     order = np.argsort(data_ids)
@@ -203,7 +211,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
                 block = np.arange(len(again)) - np.repeat(np.cumsum(blocks[g]) - blocks[g], blocks[g])
                 row, g = row[again], g[again]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g), pa.array(block), pa.array(ids[at:at + 1024][row] % parts),
+                    [pa.array(g), pa.array(block), pa.array(part_of(ids[at:at + 1024], parts)[row]),
                      *(piece.column(c).take(pa.array(row)) for c in ("id", "v"))], names=["g", "b", "p", "id", "v"])
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
