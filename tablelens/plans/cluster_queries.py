@@ -135,6 +135,13 @@ def q_kmeans(spark, sf):
                       F.round("PCA1", 6).alias("PCA1"), F.round("PCA2", 6).alias("PCA2"))
 
 
+@query("kmeans_labels", None)
+def q_kmeans_labels(spark, sf):
+    """the cluster label of each row (k = 4, as in kmeans_cluster); rows only,
+    since the labels depend on the seeded starts."""
+    return kmeans_cluster(_customers(spark, sf), _CUST, k=4, with_pca=False).select("c_custkey", F.col("Кластеры").alias("label"))
+
+
 @query("kmeans_fixed_point", f"WITH {_CUST_SQL}\nSELECT count(*) AS n, CAST(4 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS misplaced FROM f")
 def q_kmeans_fixed_point(spark, sf):
     """the labels are a fixed point of Lloyd's rule: every row is nearest to
