@@ -13,6 +13,7 @@ from tablelens.llm.packing import pack
 from tablelens.llm.registry import QUERIES, SQL, query, table
 from tablelens.llm.sampling import held_out
 from tablelens.llm.sharding import shard_documents
+from tablelens.llm.simhash import near_components
 from tablelens.llm.suffix_dedup import remove_repeats
 from tablelens.llm.token_counts import length_histogram, with_suffix_sums
 from tablelens.session import materialize
@@ -136,3 +137,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(lost, on, "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("sha", "whole").alias("kept_sha256"))
+
+
+@query("op13_simhash_golay")
+def op13_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document and its component over links of at most two differing bits."""
+    return near_components(table(spark, sf_dir, "documents"))
