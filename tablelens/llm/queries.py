@@ -16,6 +16,7 @@ from tablelens.llm.sharding import shard_documents
 from tablelens.llm.simhash import near_components
 from tablelens.llm.suffix_dedup import remove_repeats
 from tablelens.llm.token_counts import length_histogram, with_suffix_sums
+from tablelens.llm.whitening import whiten
 from tablelens.session import materialize
 
 __all__ = ["QUERIES", "SQL"]
@@ -143,3 +144,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every document and its component over links of at most two differing bits."""
     return near_components(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 16 leading whitened components; a deviation that no long holds is null."""
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
