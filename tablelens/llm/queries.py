@@ -16,6 +16,7 @@ from tablelens.llm.sharding import shard_documents
 from tablelens.llm.simhash import near_components
 from tablelens.llm.suffix_dedup import remove_repeats
 from tablelens.llm.token_counts import length_histogram, with_suffix_sums
+from tablelens.llm.turn_repair import damaged, repair
 from tablelens.llm.whitening import whiten
 from tablelens.session import materialize
 
@@ -150,3 +151,15 @@ def op13_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the 16 leading whitened components; a deviation that no long holds is null."""
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query("op11_turn_repair")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after its damage."""
+    rows = table(spark, sf_dir, "conversations")
+    found = repair(damaged(rows))
+    counts, digests = found.counts.withColumnRenamed("conv_id", "__counted"), found.digests().withColumnRenamed("conv_id", "__told")
+    every = rows.select("conv_id").distinct()
+    both = every.join(counts, F.col("conv_id").eqNullSafe(F.col("__counted")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("__told")), "left")
+    return both.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                       F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
