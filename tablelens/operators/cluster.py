@@ -2,24 +2,24 @@
 
 * Features are standardised with the population standard deviation (C9),
   over the rows where every chosen feature is present.
-* k-means runs all its models together: one pass over one cached feature
-  table moves the centroids of every (k, start) that has not settled, from
-  partial sums per model and cluster (numpy inside the tasks; what leaves a
-  task is one row per cluster).  So the number of passes is that of the
-  slowest model, whatever the number of starts and k.  Starts are seeded
-  k-means++ choices on a bounded sample.  Clusters are renumbered by centroid
-  order so labels are stable.
+* k-means runs all its models together: one pass over one cached table of
+  distinct points and their counts moves the centroids of every (k, start)
+  that has not settled, from partial sums per model and cluster (numpy inside
+  the tasks; what leaves a task is one row per cluster).  So the number of
+  passes is that of the slowest model, whatever the number of starts and k.
+  Starts come from k-means|| (:mod:`tablelens.operators.starts`).  Clusters
+  are renumbered by centroid order so labels are stable.
 * Labels, PCA scores and inertia are plain column expressions over at most
   k x d literal numbers (centroids, loadings): no join, no pairwise work.
-* Silhouette uses the squared Euclidean distance, which decomposes into
-  per-cluster sums and is therefore exact in O(n k).  (The plain Euclidean
-  silhouette needs every pair of points and is not offered.)  The elbow's
-  silhouettes of all k come from one pass.
+  The d x d covariance is a sum of the tasks' products, one number an entry.
+* Silhouette: by default with the squared Euclidean distance, which
+  decomposes into per-cluster sums and is exact in O(n k), all k of an elbow
+  in one pass; with the plain distance (:mod:`tablelens.operators.silhouette`)
+  exact over all pairs of distinct points, in blocks.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,8 @@ from pyspark.sql.types import StringType
 
 from tablelens.constants import CLUSTER_COLUMN, KMEANS_SEED, KMEANS_STARTS, PCA_COLUMNS
 from tablelens.functions.scalar import label_cluster
+from tablelens.operators.silhouette import euclidean_silhouettes
+from tablelens.operators.starts import parallel_starts, uniform_starts
 from tablelens.session import materialize
 from tablelens.sources.schema import col, drop_derived, is_plain_number, num, quote
 
@@ -95,17 +97,16 @@ def inertia_frame(feat: Features, centroids) -> DataFrame:
     return feat.df.agg(F.coalesce(F.sum(d), F.lit(0.0)).alias("inertia"))
 
 
-_TARGET_PARTITION_BYTES = 64 * 1024 * 1024
-INIT_ROWS = 10_000
+WEIGHT = "__tl_weight"
 ROWS_AT_ONCE = 4096
 PARTS_ON_DRIVER = 16
 
 
-def _cached(feat: Features, n_rows: int) -> DataFrame:
-    """The feature columns, computed once, in partitions of about 64 MB, and
-    cached for the passes (a lost block is read again from the checkpoint)."""
-    parts = max(1, math.ceil(n_rows * 8 * len(feat.zcols) / _TARGET_PARTITION_BYTES))
-    return materialize(feat.df.select(*feat.zcols).repartition(parts)).persist(StorageLevel.MEMORY_AND_DISK)
+def _cached(feat: Features) -> DataFrame:
+    """The distinct points with their counts, computed once and cached for the
+    passes (a lost block is read again from the checkpoint)."""
+    points = feat.df.groupBy(*feat.zcols).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    return materialize(points).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -113,10 +114,11 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches, zcols):
+    """(points, weights) of a task's batches, a few thousand rows at a time."""
     for batch in batches:
-        x = np.column_stack([batch.column(z).to_numpy(zero_copy_only=False) for z in zcols])
+        x = np.column_stack([batch.column(z).to_numpy(zero_copy_only=False) for z in (*zcols, WEIGHT)])
         for at in range(0, len(x), ROWS_AT_ONCE):
-            yield x[at:at + ROWS_AT_ONCE]
+            yield x[at:at + ROWS_AT_ONCE, :-1], x[at:at + ROWS_AT_ONCE, -1]
 
 
 def _sums(table: DataFrame, zcols: list[str], models: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
@@ -127,11 +129,11 @@ def _sums(table: DataFrame, zcols: list[str], models: list[np.ndarray]) -> list[
 
     def run(batches):
         total = np.zeros((len(centers), d + 3))
-        for x in _blocks(batches, zcols):
+        for x, w in _blocks(batches, zcols):
             distance, square = _distances(x, centers), (x * x).sum(axis=1)
             for lo, hi in zip(ends, ends[1:]):
                 label = distance[:, lo:hi].argmin(axis=1)
-                columns = [None, *x.T, square, distance[np.arange(len(x)), lo + label]]
+                columns = [w, *(x * w[:, None]).T, square * w, distance[np.arange(len(x)), lo + label] * w]
                 for i, c in enumerate(columns):
                     total[lo:hi, i] += np.bincount(label, weights=c, minlength=hi - lo)
         yield pa.RecordBatch.from_arrays(
@@ -149,16 +151,23 @@ def _sums(table: DataFrame, zcols: list[str], models: list[np.ndarray]) -> list[
             for t in (total[lo:hi] for lo, hi in zip(ends, ends[1:]))]
 
 
-def _plus_plus(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ centroids from the sample."""
-    rng = np.random.default_rng(seed)
-    chosen = [sample[rng.integers(len(sample))]]
-    near = _distances(sample, chosen[0][None, :])[:, 0]
-    while len(chosen) < k:
-        at = rng.choice(len(sample), p=near / near.sum()) if near.sum() > 0 else rng.integers(len(sample))
-        chosen.append(sample[at])
-        near = np.minimum(near, _distances(sample, sample[at][None, :])[:, 0])
-    return np.array(chosen)
+def start_centroids(table: DataFrame, zcols: list[str], ks: list[int], starts: int = KMEANS_STARTS,
+                    seed: int = KMEANS_SEED) -> dict[tuple[int, int], np.ndarray]:
+    """k-means|| start of every model ``(k, start)``: ``k`` different points wherever the table has as many."""
+    return parallel_starts(table, lambda batches: _blocks(batches, zcols), lambda models: [t["n"] for t in _sums(table, zcols, models)],
+                           _distances, zcols, ks, starts, seed)
+
+
+def start_costs(feat: Features, k: int, starts: int = KMEANS_STARTS, seed: int = KMEANS_SEED) -> list[dict]:
+    """For each start its number of different points, and its cost before any pass beside that of a uniform draw."""
+    table, zcols = _cached(feat), feat.zcols
+    try:
+        ours = [m for _, m in sorted(start_centroids(table, zcols, [k], starts, seed).items())]
+        plain = uniform_starts(table, lambda batches: _blocks(batches, zcols), zcols, k, starts, seed)
+        cost = [float(t["cost"].sum()) for t in _sums(table, zcols, ours + plain)]
+    finally:
+        table.unpersist()
+    return [{"start": i, "points": len(np.unique(m, axis=0)), "cost": a, "uniform_cost": b} for i, (m, a, b) in enumerate(zip(ours, cost, cost[starts:]))]
 
 
 def fit_models(table: DataFrame, zcols: list[str], ks: list[int], starts: int = KMEANS_STARTS, seed: int = KMEANS_SEED,
@@ -169,9 +178,7 @@ def fit_models(table: DataFrame, zcols: list[str], ks: list[int], starts: int =
     mean feature variance is 1) or after ``max_iter`` passes; an empty
     cluster stays where it is.  Centroids are sorted.
     """
-    hashed = F.xxhash64(*[F.col(z) for z in zcols])
-    sample = np.array([list(r) for r in table.select(*zcols).orderBy(hashed, *zcols).limit(INIT_ROWS).collect()], float)
-    models = {(k, i): _plus_plus(sample, k, seed + i) for k in ks for i in range(starts)}
+    models = start_centroids(table, zcols, ks, starts, seed)
     moving = list(models)
     for _ in range(max_iter):
         if not moving:
@@ -193,52 +200,81 @@ def fit_models(table: DataFrame, zcols: list[str], ks: list[int], starts: int =
 def best_kmeans(feat: Features, k: int, starts: int = KMEANS_STARTS, seed: int = KMEANS_SEED,
                 max_iter: int = 300, tol: float = 1e-4) -> tuple[float, list[list[float]]]:
     """Best of ``starts`` seeded runs (lowest cost): ``(cost, sorted centroids)``."""
-    table = _cached(feat, feat.df.count())
+    table = _cached(feat)
     try:
         return fit_models(table, feat.zcols, [k], starts, seed, max_iter, tol)[k]
     finally:
         table.unpersist()
 
 
-def pca_loadings(feat: Features, n_components: int = 2) -> list[list[float]]:
-    """Leading principal axes of the standardised features.
+def _covariance(feat: Features) -> np.ndarray:
+    """Population covariance of the standardised features (their means are 0):
+    tasks send one number for each entry of the upper triangle."""
+    zcols, upper = feat.zcols, np.triu_indices(len(feat.zcols))
 
-    One aggregate gives the d x d covariance; its eigenvectors (d <= number
-    of chosen columns) are computed on the driver.  Sign: the largest
-    absolute loading of each axis is positive (the first one on a tie).
+    def run(batches):
+        total, n = np.zeros((len(zcols), len(zcols))), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                x = np.column_stack([part.column(z).to_numpy(zero_copy_only=False) for z in zcols])
+                total += x.T @ x
+                n += len(x)
+        sums = np.concatenate([[n], total[upper]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["at", "s"])
+
+    rows = feat.df.select(*zcols).mapInArrow(run, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect()
+    sums = np.zeros(1 + len(upper[0]))
+    for r in rows:
+        sums[r["at"]] = r["s"]
+    cov = np.zeros((len(zcols), len(zcols)))
+    cov[upper] = sums[1:] / max(sums[0], 1)
+    return cov + np.triu(cov, 1).T
+
+
+def pca_axes(feat: Features, n_components: int = 2) -> tuple[list[list[float]], list[float]]:
+    """Leading principal axes of the standardised features and their variances.
+
+    One pass gives the d x d covariance; its eigenvectors (d <= number of
+    chosen columns) are computed on the driver.  Sign: the largest absolute
+    loading of each axis is positive (the first one on a tie).
     """
-    z = feat.zcols
-    d = len(z)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = feat.df.agg(*[F.covar_pop(F.col(z[i]), F.col(z[j])).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((d, d))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = float(row[f"c{i}_{j}"] or 0.0)
-    vals, vecs = np.linalg.eigh(cov)
-    order = np.argsort(-vals, kind="stable")
-    out = []
-    for idx in order[:n_components]:
+    vals, vecs = np.linalg.eigh(_covariance(feat))
+    axes, variances = [], []
+    for idx in np.argsort(-vals, kind="stable")[:n_components]:
         v = vecs[:, idx]
         # First of the largest |loading|; loadings within 1e-9 count as tied
         # (standardised variances carry ~1e-12 noise that would pick at random).
         m = int(np.flatnonzero(np.abs(v) >= np.abs(v).max() - 1e-9)[0])
-        if v[m] < 0:
-            v = -v
-        out.append([float(x) for x in v])
-    return out
+        axes.append([float(x) for x in (-v if v[m] < 0 else v)])
+        variances.append(float(max(vals[idx], 0.0)))
+    return axes, variances
 
 
-def pca_project(feat: Features, n_components: int = 2) -> DataFrame:
-    """``PCA1``, ``PCA2`` scores of every complete row."""
-    load = pca_loadings(feat, n_components)
+def pca_loadings(feat: Features, n_components: int = 2) -> list[list[float]]:
+    """The axes of :func:`pca_axes`."""
+    return pca_axes(feat, n_components)[0]
+
+
+def pca_names(n_components: int) -> list[str]:
+    """``PCA1``, ``PCA2``, ... (the first two names are fixed)."""
+    return [*PCA_COLUMNS, *(f"PCA{i}" for i in range(len(PCA_COLUMNS) + 1, n_components + 1))][:n_components]
+
+
+def _score_columns(feat: Features, n_components: int) -> dict[str, Column]:
     adds = {}
-    for name, v in zip(PCA_COLUMNS, load):
+    for name, v in zip(pca_names(n_components), pca_loadings(feat, n_components)):
         e = None
         for zc, w in zip(feat.zcols, v):
             t = F.col(zc) * F.lit(w)
             e = t if e is None else e + t
         adds[name] = e
-    return feat.df.withColumns(adds)
+    return adds
+
+
+def pca_project(feat: Features, n_components: int = 2) -> DataFrame:
+    """``PCA1``, ``PCA2``, ... scores of every complete row (as many as there are features at most)."""
+    return feat.df.withColumns(_score_columns(feat, n_components))
 
 
 def kmeans_cluster(df: DataFrame, cols, k: int = 4, starts: int = KMEANS_STARTS, seed: int = KMEANS_SEED,
@@ -266,14 +302,7 @@ def kmeans_cluster(df: DataFrame, cols, k: int = 4, starts: int = KMEANS_STARTS,
         CLUSTER_COLUMN, F.when(_complete(feat), label_cluster(nearest_centroid(feat.zcols, centers)))
     )
     if with_pca:
-        adds = {}
-        for name, v in zip(PCA_COLUMNS, pca_loadings(feat, 2)):
-            e = None
-            for zc, w in zip(feat.zcols, v):
-                t = F.col(zc) * F.lit(w)
-                e = t if e is None else e + t
-            adds[name] = e
-        out = out.withColumns(adds)
+        out = out.withColumns(_score_columns(feat, 2))
     return out.drop(*feat.zcols)
 
 
@@ -341,7 +370,7 @@ def _silhouettes(table: DataFrame, zcols: list[str], models: list[np.ndarray]) -
 
     def run(batches):
         total = np.zeros(len(models))
-        for x in _blocks(batches, zcols):
+        for x, w in _blocks(batches, zcols):
             square, row = (x * x).sum(axis=1), np.arange(len(x))
             for i in ready:
                 of, t = used[i]
@@ -354,7 +383,7 @@ def _silhouettes(table: DataFrame, zcols: list[str], models: list[np.ndarray]) -
                 other = apart.min(axis=1)
                 most = np.maximum(own, other)
                 score = np.divide(other - own, most, out=np.zeros(len(x)), where=most > 0)
-                total[i] += score[n[label] > 1].sum()
+                total[i] += (score * w)[n[label] > 1].sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models))), pa.array(total)], names=["model", "total"])
 
     rows = table.mapInArrow(run, "model long, total double").groupBy("model").agg(F.sum("total").alias("total")).collect()
@@ -362,14 +391,42 @@ def _silhouettes(table: DataFrame, zcols: list[str], models: list[np.ndarray]) -
     return [float(total[i] / t["n"].sum()) if i in ready else None for i, (_, t) in enumerate(used)]
 
 
+def euclidean_silhouette(feat_df: DataFrame, zcols: list[str], label: str) -> float | None:
+    """F6 with plain distances, exact over all pairs (see :mod:`tablelens.operators.silhouette`)."""
+    return euclidean_silhouettes(feat_df, zcols, [label])[0]
+
+
+def metrics_of_models(feat: Features, models: dict[int, list], distance: str = "squared", table: DataFrame | None = None) -> DataFrame:
+    """F5/F6 of given centroids: ``(k, inertia, silhouette)`` for each model, in two passes over
+    the distinct points (``distance="squared"``) or over their pairs (``"euclidean"``)."""
+    if distance not in ("squared", "euclidean"):
+        raise ValueError(f"unknown distance {distance!r}")
+    own = table is None
+    table = _cached(feat) if own else table
+    try:
+        ks, centers = list(models), [np.array(m, float) for m in models.values()]
+        cost = [float(t["cost"].sum()) for t in _sums(table, feat.zcols, centers)]
+        if distance == "euclidean":
+            labels = {f"__tl_k{i}": nearest_centroid(feat.zcols, m) for i, m in enumerate(centers)}
+            scores = euclidean_silhouettes(table.withColumns(labels), feat.zcols, list(labels), WEIGHT)
+        else:
+            scores = _silhouettes(table, feat.zcols, centers)
+    finally:
+        if own:
+            table.unpersist()
+    return feat.df.sparkSession.createDataFrame(list(zip(ks, cost, scores)), "k int, inertia double, silhouette double")
+
+
 def kmeans_metrics(df: DataFrame, cols, starts: int = KMEANS_STARTS, seed: int = KMEANS_SEED,
-                   max_k: int | None = None, min_rows: int = 5) -> DataFrame:
+                   max_k: int | None = None, min_rows: int = 5, distance: str = "squared") -> DataFrame:
     """``(k, inertia, silhouette)`` for k = 2 .. max(3, min(12, n-1)).
 
     The chosen columns are read as numbers first (text that is none is
     missing).  Inertia is the best-of-``starts`` cost on standardised
-    features; the silhouette (squared Euclidean) is that model's; NULL when
-    n <= k.  Needs two columns and ``min_rows`` complete rows.
+    features; the silhouette is that model's, with squared distances or, if
+    ``distance`` is "euclidean", with plain ones (work grows with the square of
+    the distinct points); NULL when n <= k.  Needs two columns and
+    ``min_rows`` complete rows.
     """
     spark = df.sparkSession
     schema = "k int, inertia double, silhouette double"
@@ -380,10 +437,10 @@ def kmeans_metrics(df: DataFrame, cols, starts: int = KMEANS_STARTS, seed: int =
     n = feat.df.count()
     every = list(range(2, (max_k or max(3, min(12, n - 1))) + 1))
     ks = [k for k in every if k <= n]
-    table = _cached(feat, n)
+    table = _cached(feat)
     try:
         best = fit_models(table, feat.zcols, ks, starts, seed)
-        scores = dict(zip(ks, _silhouettes(table, feat.zcols, [np.array(best[k][1]) for k in ks])))
+        scores = {r["k"]: r["silhouette"] for r in metrics_of_models(feat, {k: best[k][1] for k in ks}, distance, table).collect()}
     finally:
         table.unpersist()
     rows = [(k, best[k][0] if k in best else None, scores[k] if k < n else None) for k in every]
@@ -392,5 +449,6 @@ def kmeans_metrics(df: DataFrame, cols, starts: int = KMEANS_STARTS, seed: int =
 
 __all__ = [
     "Features", "cluster_features", "nearest_centroid", "assign_to_centroids", "fit_models", "best_kmeans",
-    "pca_loadings", "pca_project", "kmeans_cluster", "silhouette_sq", "silhouette_frame", "inertia_frame", "kmeans_metrics",
+    "pca_axes", "pca_loadings", "pca_project", "kmeans_cluster", "silhouette_sq", "silhouette_frame", "euclidean_silhouette",
+    "inertia_frame", "kmeans_metrics", "metrics_of_models", "start_centroids", "start_costs",
 ]

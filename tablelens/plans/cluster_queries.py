@@ -11,11 +11,15 @@ from tablelens.functions.scalar import standardize
 from tablelens.operators.cluster import (
     assign_to_centroids,
     cluster_features,
+    euclidean_silhouette,
     inertia_frame,
     kmeans_cluster,
     kmeans_metrics,
+    metrics_of_models,
+    pca_names,
     pca_project,
     silhouette_frame,
+    start_costs,
 )
 from tablelens.plans.catalog import query, table
 
@@ -182,3 +186,91 @@ def q_cluster_metrics_text(spark, sf):
     n = cluster_features(_customers(spark, sf), _CUST).df.count()
     before = F.lag("inertia", 1, 2.0 * n).over(Window.orderBy("k"))  # at most 11 rows
     return m.select("k", (F.col("inertia") <= before).alias("falls"), F.abs("silhouette").between(0, 1).alias("bounded"))
+
+
+def _silhouette_sql(label: str, distance: str) -> str:
+    """Mean silhouette of the rows of ``f`` labelled by ``label``, over all pairs."""
+    return f"""l AS (SELECT c_custkey, z1, z2, {label} AS lab FROM f),
+n AS (SELECT lab, count(*) AS n FROM l GROUP BY lab),
+p AS (SELECT a.c_custkey, a.lab AS la, b.lab AS lb, sum({distance}) AS tot FROM l a JOIN l b ON TRUE GROUP BY 1, 2, 3),
+q AS (SELECT p.c_custkey, p.la, n1.n AS na, max(CASE WHEN p.lb = p.la THEN p.tot / greatest(n1.n - 1, 1) END) AS a,
+             min(CASE WHEN p.lb <> p.la THEN p.tot / n2.n END) AS b
+      FROM p JOIN n n1 ON n1.lab = p.la JOIN n n2 ON n2.lab = p.lb GROUP BY 1, 2, 3)
+SELECT round(avg(CASE WHEN na <= 1 THEN 0.0 ELSE coalesce((b - a) / greatest(a, b), 0.0) END), 8) AS silhouette FROM q"""
+
+
+_SQUARE = "(a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2)"
+
+
+@query("silhouette_euclidean", f"WITH {_CUST_SQL},\n{_silhouette_sql(_ARGMIN, f'sqrt({_SQUARE})')}")
+def q_silhouette_euclidean(spark, sf):
+    """plain Euclidean silhouette of the fixed-centroid labels, over all pairs of points in blocks."""
+    feat = cluster_features(_customers(spark, sf), _CUST)
+    value = euclidean_silhouette(assign_to_centroids(feat, CENTROIDS, out="lab"), feat.zcols, "lab")
+    return spark.createDataFrame([(None if value is None else round(value, 8),)], "silhouette double")
+
+
+# Centroids of one model a k, in standardised space.
+MODELS = {2: [[-0.5, -0.5], [0.5, 0.5]], 3: [[-1.0, 0.0], [0.0, 0.5], [1.0, -0.5]], 4: CENTROIDS}
+
+
+def _model_sql(k: int) -> str:
+    d = [f"((z1 - ({a})) * (z1 - ({a})) + (z2 - ({b})) * (z2 - ({b})))" for a, b in MODELS[k]]
+    least = f"least({', '.join(d)})"
+    label = "CASE " + " ".join(f"WHEN {x} = {least} THEN {i}" for i, x in enumerate(d)) + " END"
+    parts = [f"(WITH {_silhouette_sql(label, e)})" for e in (_SQUARE, f"sqrt({_SQUARE})")]
+    return (f"SELECT CAST({k} AS INTEGER) AS k, (SELECT round(sum({least}), 6) FROM f) AS inertia, "
+            f"{parts[0]} AS silhouette, {parts[1]} AS silhouette_euclidean")
+
+
+@query("cluster_metrics_fixed", f"WITH {_CUST_SQL}\n" + "\nUNION ALL ".join(_model_sql(k) for k in MODELS))
+def q_cluster_metrics_fixed(spark, sf):
+    """The elbow's figures for fixed centroids of every k, with both distances."""
+    feat = cluster_features(_customers(spark, sf), _CUST)
+    plain = metrics_of_models(feat, MODELS, "euclidean").select("k", F.round("silhouette", 8).alias("silhouette_euclidean"))
+    both = metrics_of_models(feat, MODELS).join(plain, "k")  # one row a k
+    return both.select("k", F.round("inertia", 6).alias("inertia"), F.round("silhouette", 8).alias("silhouette"), "silhouette_euclidean")
+
+
+_STARTS_SQL = """WITH v AS (SELECT count(*) AS n FROM (SELECT DISTINCT l_discount, l_tax FROM lineitem))
+SELECT CAST(start AS INTEGER) AS start, CAST(least(n, 8) AS BIGINT) AS points, TRUE AS best_not_above_uniform
+FROM v, (SELECT unnest(range(0, 10)) AS start)"""
+
+
+@query("kmeans_parallel_starts", _STARTS_SQL)
+def q_kmeans_starts(spark, sf):
+    """k-means|| starts on columns of few distinct values: each holds k
+    different points, and the best costs no more than the best uniform draw."""
+    feat = cluster_features(table(spark, sf, "lineitem").select("l_discount", "l_tax"), ["l_discount", "l_tax"])
+    found = start_costs(feat, 8)
+    best = min(x["cost"] for x in found) <= min(x["uniform_cost"] for x in found)
+    return spark.createDataFrame([(x["start"], x["points"], best) for x in found], "start int, points long, best_not_above_uniform boolean")
+
+
+_WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey"]
+_CORR = ", ".join(f"corr({a}, {b}) AS r{i}_{j}" for i, a in enumerate(_WIDE) for j, b in enumerate(_WIDE))
+_CELLS = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, r{i}_{j} AS r FROM c" for i in range(len(_WIDE)) for j in range(len(_WIDE)))
+
+
+@query("pca_project_wide", f"""WITH c AS (SELECT {_CORR}, count(*) AS n FROM lineitem), m AS ({_CELLS})
+SELECT (SELECT n FROM c) AS n, CAST(6 AS BIGINT) AS components, TRUE AS falling, TRUE AS uncorrelated,
+  (SELECT round(sum(r), 6) FROM m WHERE i = j) AS total, (SELECT round(sum(r * r), 6) FROM m) AS squares,
+  (SELECT round(sum(a.r * b.r * d.r), 6) FROM m a JOIN m b ON a.j = b.i JOIN m d ON b.j = d.i AND d.j = a.i) AS cubes""")
+def q_pca_wide(spark, sf):
+    """all components of six columns.  The scores are uncorrelated, their
+    variances fall, and the sums of the variances' first three powers are those
+    of the correlation matrix (its trace, its square's and its cube's)."""
+    feat = cluster_features(table(spark, sf, "lineitem").select(*_WIDE), _WIDE)
+    names = pca_names(len(_WIDE))
+    scores = pca_project(feat, len(_WIDE))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    m = scores.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(a).alias(f"v{i}") for i, a in enumerate(names)],
+                   *[F.abs(F.corr(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    v = [F.col(f"v{i}") for i in range(len(names))]
+    falling = F.lit(True)
+    for a, b in zip(v, v[1:]):
+        falling &= a >= b - 1e-12
+    power = lambda p: F.round(sum(F.pow(x, F.lit(float(p))) for x in v), 6)
+    return m.select("n", F.lit(len(names)).cast("long").alias("components"), falling.alias("falling"),
+                    (F.greatest(*[F.col(f"r{i}") for i in range(len(pairs))]) < 1e-6).alias("uncorrelated"),
+                    power(1).alias("total"), power(2).alias("squares"), power(3).alias("cubes"))

@@ -19,6 +19,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 ROWS_ONLY = {
     "chart_cluster_metrics": lambda m: list(m.k) == list(range(2, 13)) and m.inertia.is_monotonic_decreasing
     and (m.inertia > 0).all() and m.silhouette.between(-1, 1).all(),
+    # every customer once, labelled where both features are there, four clusters (test_kmeans_labels.py holds Lloyd's rule)
+    "kmeans_labels": lambda m: m.c_custkey.is_unique and set(m.label.dropna()) == {f"Кластер {i}" for i in range(4)},
 }
 
 
