@@ -17,7 +17,8 @@ the distinct x-vectors, once each:
 
 Vectors are shuffled once, to drop repeats, after partial aggregation (a vector
 that a third of the rows share leaves each task once).  Tasks send sums: d
-numbers, then d (d + 1) / 2.
+numbers, then d (d + 1) / 2; the fit list lies in few enough partitions that a
+task sums ``LEAST_ROWS`` vectors or more.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ SCALE, SHIFT = 64, 1_000_000  # fixed by the operator's contract
 COMPONENTS = 16
 LEAST_SHARE = 1e-12  # eigenvalues below this share of the largest one are rounding noise
 SWEEPS = 60
+LEAST_ROWS = 4096  # vectors of a task, lest its sums outnumber them
 _MOST = float(1 << 62)
 _LIMB = 31
 
@@ -104,7 +106,8 @@ def _fit_list(rows: DataFrame, dim: int) -> DataFrame:
             x = _integers(batch.column(0), dim)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
 
-    return materialize(rows.select("__v").mapInArrow(run, "x binary").distinct())
+    fit = materialize(rows.select("__v").mapInArrow(run, "x binary").distinct())
+    return fit.coalesce(max(1, -(-fit.count() // LEAST_ROWS)))
 
 
 def _summed(fit: DataFrame, dim: int, make, empty: np.ndarray) -> np.ndarray:
