@@ -1,8 +1,9 @@
 """Binning a numeric column into a group column.
 
-Edges come from one small aggregate job (min/max, or exact quantiles by
-segmented scan) and are injected as literals; assigning a row to a bin is
-then a pure expression (no join, no shuffle).  Bins are right-closed with
+Edges come from one small aggregate job (min/max, exact quantiles by
+segmented scan or, with an ``accuracy``, quantiles of a sketch) and are
+injected as literals; assigning a row to a bin is then a pure expression (no
+join, no shuffle).  Bins are right-closed with
 the lowest edge included, like interval labels ``(a, b]``.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.constants import BIN_COLUMN_PREFIX
-from tablelens.operators.scan import group_quantiles
+from tablelens.operators.scan import group_quantiles, rank_error, sketched_quantiles
 from tablelens.sources.schema import drop_derived, num
 
 
@@ -88,8 +89,12 @@ def bin_label(x: Column, edges: list[float], labels: list[str]) -> Column:
     return out
 
 
-def compute_edges(df: DataFrame, column: str, k: int, method: str = "count") -> list[float]:
-    """Edges for ``k`` bins of ``column`` (deduplicated), from one small job."""
+def compute_edges(df: DataFrame, column: str, k: int, method: str = "count", accuracy: int | None = None) -> list[float]:
+    """Edges for ``k`` bins of ``column`` (deduplicated), from one small job.
+
+    Equal-count edges are exact, or with an ``accuracy`` values whose ranks are
+    off by at most 1 / ``accuracy`` of the rows.
+    """
     x = num(column)
     if method == "width":
         r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
@@ -98,7 +103,9 @@ def compute_edges(df: DataFrame, column: str, k: int, method: str = "count") ->
         return dedupe_edges(equal_width_edges(float(r["lo"]), float(r["hi"]), k))
     if method == "count":
         probs = [i / k for i in range(k + 1)]
-        q = group_quantiles(df.select(x.alias("__tl_x")), [], "__tl_x", probs).first()
+        values = df.select(x.alias("__tl_x"))
+        found = sketched_quantiles(values, [], "__tl_x", probs, accuracy=accuracy) if accuracy else group_quantiles(values, [], "__tl_x", probs)
+        q = found.first()
         if q is None:
             return []
         return dedupe_edges([q[f"q{i}"] for i in range(k + 1)])
@@ -112,18 +119,20 @@ def bin_column(
     method: str = "count",
     labels: str = "interval",
     out: str | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """D1/D2 (+D4/D5): add ``Группа({column})`` holding each row's bin.
 
     ``labels="interval"`` gives ``(a, b]`` text; ``"index"`` the 1-based bin
     ordinal as text.  Earlier bin columns of any source are dropped first.
-    Missing input -> missing bin.
+    Missing input -> missing bin.  ``accuracy`` makes equal-count edges
+    approximate (:func:`compute_edges`).
     """
     if column not in df.columns or k is None or int(k) < 2:
         return df
     k = int(k)
     base = drop_derived(df, "bins")
-    edges = compute_edges(base, column, k, method)
+    edges = compute_edges(base, column, k, method, accuracy)
     name = out or f"{BIN_COLUMN_PREFIX}{column})"
     x = num(column)
     if labels == "index":
@@ -131,3 +140,16 @@ def bin_column(
     else:
         expr = bin_label(x, edges, interval_labels(edges))
     return base.withColumn(name, expr)
+
+
+def edge_rank_errors(df: DataFrame, column: str, edges: list[float], probs: list[float]) -> DataFrame:
+    """(edge, value, rank_error): how far each edge's true rank is from ``probs[edge]``, as a share of the values.
+
+    One aggregate pass, two counts an edge.
+    """
+    x = num(column)
+    counts = df.agg(F.count(x).alias("n"), *[F.count(F.when(x < F.lit(e), 1)).alias(f"b{i}") for i, e in enumerate(edges)],
+                    *[F.count(F.when(x <= F.lit(e), 1)).alias(f"u{i}") for i, e in enumerate(edges)])
+    cells = [F.struct(F.lit(i).alias("edge"), F.lit(float(e)).alias("value"), rank_error(F.col(f"b{i}"), F.col(f"u{i}"), F.col("n"), p).alias("rank_error"))
+             for i, (e, p) in enumerate(zip(edges, probs))]
+    return counts.where("n > 0").select(F.inline(F.array(*cells)))

@@ -1,8 +1,8 @@
 """Chart datasets (H1-H20): each chart is the aggregate that feeds it.
 
 Row-level charts (scatter, line, 3-D, ternary, matrix, parallel) are
-projections that select only the needed columns (pruned at the scan);
-everything a plotting library would compute in the browser (bar heights, histogram
+projections that select only the needed columns (pruned at the scan), with a
+reproducible cap on the rows of a series where a plot needs one; everything a plotting library would compute in the browser (bar heights, histogram
 counts, quartiles, densities, hierarchy sums) is a Spark aggregate here,
 partially aggregated before any shuffle.
 """
@@ -13,7 +13,7 @@ import functools
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,7 @@ from tablelens.constants import NONE_CHOICE, PIE_BINS
 from tablelens.operators.binning import bin_ordinal, equal_width_edges, interval_labels
 from tablelens.operators.groupagg import attach_group_values
 from tablelens.functions.scalar import ternary_shares
-from tablelens.operators.scan import dense_codes, quantiles_of, value_histogram
+from tablelens.operators.scan import dense_codes, quantiles_of, sketched_quantiles, value_histogram
 from tablelens.session import materialize
 from tablelens.sources.schema import class_of_type, col, is_plain_number, num, quote
 
@@ -71,21 +71,62 @@ def _columns(df, *names) -> list[str]:
     return [c for c in dict.fromkeys(names) if c and c in df.columns]
 
 
+def cap_rows(df: DataFrame, series: list[str], key: list[str], cap: int) -> DataFrame:
+    """At most ``cap`` rows of each series: those of least md5 of ``key``.
+
+    The text that is hashed is the key columns' text joined by ``|``, a missing
+    one as nothing; rows of equal keys go by their own values.  The same rows
+    always give the same sample, whatever their order or partitions, and a
+    larger cap adds rows to it.
+
+    The rows of a series are counted first.  Of a hash spread evenly, the
+    ``cap`` least lie below ``cap / n`` with room for eight standard deviations,
+    so only such rows are ranked, and those of series that come out short all
+    the same (keys that many rows share) are ranked in full.
+    """
+    if cap < 1:
+        raise ValueError("cap must be at least 1")
+    columns, names = [col(c) for c in df.columns], [f"__tl_g{i}" for i in range(len(series))]
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key]).cast("binary"))
+    hashed = df.withColumn("__tl_md5", digest).withColumn("__tl_share", F.conv(F.substring("__tl_md5", 1, 12), 16, 10).cast("double") / float(1 << 48))
+    sizes = materialize(df.groupBy(*[col(c) for c in series]).agg(F.count(F.lit(1)).alias("__tl_n")))
+    room = (F.lit(float(cap)) + 8 * math.sqrt(cap) + 16) / F.col("__tl_n")
+    sized = attach_group_values(hashed, sizes, series)
+    near = sized.where(F.col("__tl_share") < room)
+    found = materialize(near.groupBy(*[col(c).alias(n) for c, n in zip(series, names)], "__tl_n").agg(F.count(F.lit(1)).alias("__tl_found")))
+    full = found.where(F.col("__tl_found") >= F.least(F.lit(cap), F.col("__tl_n"))).select(*names, F.lit(True).alias("__tl_full"))
+    ranked = near
+    if full.count() < sizes.count():
+        ranked = attach_group_values(sized, full.withColumnsRenamed(dict(zip(names, series))), series).where(
+            F.col("__tl_full").isNull() | (F.col("__tl_share") < room))
+    order = Window.partitionBy(*[col(c) for c in series]).orderBy("__tl_md5", *columns)
+    return ranked.withColumn("__tl_nth", F.row_number().over(order)).where(F.col("__tl_nth") <= cap).select(*columns)
+
+
+def _capped(df, use: list[str], series: list[str], cap: int | None, cap_by) -> DataFrame:
+    """The columns ``use``, of all rows or of at most ``cap`` rows a series (by ``cap_by``, else by the columns themselves)."""
+    if not cap:
+        return df.select(*map(col, use))
+    key = _columns(df, *(cap_by or use))
+    return cap_rows(df.select(*map(col, dict.fromkeys([*use, *series, *key]))), series, key, cap).select(*map(col, use))
+
+
 def chart_scatter(df, x, y=None, color=None, size=None, text=None, hover=None,
-                  facet_row=None, facet_col=None, bubble=False):
-    """H1: the plotted columns of every source row."""
+                  facet_row=None, facet_col=None, bubble=False, cap=None, cap_by=None):
+    """H1: the plotted columns of every source row, or of at most ``cap`` rows
+    a series, sampled by the hash of ``cap_by`` (:func:`cap_rows`)."""
     x = _require(df, x, "X")
     use = _columns(df, x, y, _valid(df, color), size if bubble else None, _valid(df, text), *(hover or []),
                    *facet_split(df, facet_row, facet_col))
-    return df.select(*map(col, use))
+    return _capped(df, use, _series_keys(df, color, facet_row, facet_col), cap, cap_by)
 
 
-def chart_scatter3d(df, x, y, z, color=None, size=None, text=None, hover=None, bubble=False):
-    """H2: x, y, z (+ colour, size, text, hover); Z is required, no facets."""
+def chart_scatter3d(df, x, y, z, color=None, size=None, text=None, hover=None, bubble=False, cap=None, cap_by=None):
+    """H2: x, y, z (+ colour, size, text, hover); Z is required, no facets; ``cap`` as in :func:`chart_scatter`."""
     _require(df, x, "X")
     _require(df, z, "Z")
     use = _columns(df, x, y, z, _valid(df, color), size if bubble else None, _valid(df, text), *(hover or []))
-    return df.select(*map(col, use))
+    return _capped(df, use, _series_keys(df, color), cap, cap_by)
 
 
 def chart_ternary(df, a, b, c, color=None, size=None, text=None, hover=None, bubble=False):
@@ -105,17 +146,18 @@ def chart_line(df, x, y, order_by: list[str], color=None, facet_row=None, facet_
     return df.select(*[col(c) for c in cols]).orderBy(*[col(c) for c in keys + list(order_by)])
 
 
-def chart_scatter_matrix(df, dims, color=None, long_form=False):
+def chart_scatter_matrix(df, dims, color=None, long_form=False, cap=None, cap_by=None):
     """Numeric dimensions (deduplicated, >= 2) + colour.
 
     The plotted columns as they are; ``long_form`` gives ``(dim_a, a, dim_b, b)``
-    per row and unordered pair of dimensions, without diagonal and mirrors.
+    per row and unordered pair of dimensions, without diagonal and mirrors;
+    ``cap`` as in :func:`chart_scatter`.
     """
     use = [d for d in _columns(df, *dims) if is_plain_number(df, d)]
     if len(use) < 2:
         raise ValueError("scatter matrix needs at least 2 numeric columns")
     c = _columns(df, _valid(df, color))
-    base = df.select(*map(col, dict.fromkeys(use + c)))
+    base = _capped(df, list(dict.fromkeys(use + c)), c, cap, cap_by)
     if not long_form:
         return base
     cells = F.array(*[F.struct(F.lit(a).alias("dim_a"), num(a).alias("a"), F.lit(b).alias("dim_b"), num(b).alias("b"))
@@ -215,6 +257,43 @@ def chart_histogram(df, x, nbins: int = 20, color=None, facet_row=None, facet_co
     )
 
 
+CALENDAR_UNITS = ("hour", "day", "week", "month", "quarter", "year")
+
+
+def chart_histogram_calendar(df, x, unit: str = "day", color=None, facet_row=None, facet_col=None):
+    """H6 on a datetime axis by calendar: (series, bin_start, bin_end, count).
+
+    Buckets are calendar units of unequal length (weeks start on Monday), left
+    closed; every bucket from the first to the last of the whole axis is there
+    for each series, with 0 where it has no row.  Rows without x don't count.
+    Only counted buckets move: gaps are filled from a sequence per series.
+    """
+    x = _require(df, x, "X")
+    if unit not in CALENDAR_UNITS:
+        raise ValueError(f"unknown calendar unit {unit!r}")
+    kind = df.schema[x].dataType
+    if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise ValueError(f"{x!r} is no datetime column")
+    keys = _series_keys(df, color, facet_row, facet_col)
+    names = [f"__tl_g{i}" for i in range(len(keys))]
+    moment = T.TimestampType() if isinstance(kind, T.DateType) and unit == "hour" else kind
+    start = F.date_trunc(unit, col(x).cast("timestamp")).cast(moment)
+    counts = materialize(df.where(col(x).isNotNull()).groupBy(*[col(k).alias(n) for k, n in zip(keys, names)], start.alias("__tl_start"))
+                         .agg(F.count(F.lit(1)).alias("__tl_count")))
+    step = F.expr({"quarter": "INTERVAL 3 MONTH", "week": "INTERVAL 7 DAY"}.get(unit, f"INTERVAL 1 {unit.upper()}"))
+    span = counts.agg(F.min("__tl_start").cast("string").alias("lo"), F.max("__tl_start").cast("string").alias("hi")).first()
+    buckets = F.explode(F.sequence(F.lit(span["lo"]).cast(moment), F.lit(span["hi"]).cast(moment), step))
+    every = counts.select(*names).distinct() if keys else counts.limit(1).select()
+    grid = every.select(*names, buckets.alias("bin_start"))
+    on = F.col("bin_start") == F.col("__tl_start")
+    for n in names:
+        on &= F.col(n).eqNullSafe(F.col(f"{n}_seen"))
+    seen = counts.withColumnsRenamed({n: f"{n}_seen" for n in names})
+    return grid.join(seen, on, "left").select(
+        *[F.col(n).alias(k) for k, n in zip(keys, names)], "bin_start", (F.col("bin_start") + step).cast(moment).alias("bin_end"),
+        F.coalesce("__tl_count", F.lit(0)).cast("long").alias("count"))
+
+
 def _measured_groups(df, x, y, color, facet_row, facet_col) -> tuple[list[str], str]:
     """Keys and measured column of a distribution chart (:func:`_orientation`)."""
     keys = _series_keys(df, color, facet_row, facet_col)
@@ -228,24 +307,10 @@ def _histogram_of(df, keys: list[str], value: str) -> DataFrame:
     return materialize(value_histogram(d, keys, "__tl_v"))
 
 
-def chart_box(df, x=None, y=None, color=None, facet_row=None, facet_col=None, method="midpoint_rank"):
-    """H7: box statistics per (facets, colour, category) group.
-
-    n, min, q1, median, q3, max, whiskers (most extreme values inside
-    1.5 * IQR fences) and the outlier count.  Without y, one box of x per
-    series; a number X with a text Y lies on its side.  Quartiles are exact;
-    the default rule is rank ``n p + 0.5`` interpolated.  All figures come
-    from one histogram of distinct values.
-    """
-    keys, measured = _measured_groups(df, x, y, color, facet_row, facet_col)
-    hist = _histogram_of(df, keys, measured)
-    q = quantiles_of(hist, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], method).drop("n")
-    q = q.withColumns({
-        "lo_fence": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),
-        "hi_fence": F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1")),
-    })
-    j = attach_group_values(hist, q, keys)
-    v, inside = F.col("x"), (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
+def _box_figures(j: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """Box figures of values (x, counted ``weight`` times) that carry their group's quartiles and n."""
+    lo, hi = (F.col(a) + F.lit(s * 1.5) * (F.col("q3") - F.col("q1")) for a, s in (("q1", -1), ("q3", 1)))
+    v, inside = F.col("x"), (F.col("x") >= lo) & (F.col("x") <= hi)
     return j.groupBy(*map(col, keys)).agg(
         F.max("n").alias("n"),
         F.min(v).alias("min"),
@@ -255,13 +320,43 @@ def chart_box(df, x=None, y=None, color=None, facet_row=None, facet_col=None, me
         F.max(v).alias("max"),
         F.min(F.when(inside, v)).alias("lower_whisker"),
         F.max(F.when(inside, v)).alias("upper_whisker"),
-        F.coalesce(F.sum(F.when(~inside, F.col("w"))), F.lit(0)).cast("long").alias("outliers"),
+        F.coalesce(F.sum(F.when(~inside, weight)), F.lit(0)).cast("long").alias("outliers"),
     )
 
 
+def chart_box(df, x=None, y=None, color=None, facet_row=None, facet_col=None, method="midpoint_rank", accuracy=None):
+    """H7: box statistics per (facets, colour, category) group.
+
+    n, min, q1, median, q3, max, whiskers (most extreme values inside
+    1.5 * IQR fences) and the outlier count.  Without y, one box of x per
+    series; a number X with a text Y lies on its side.  Quartiles are exact;
+    the default rule is rank ``n p + 0.5`` interpolated.  All figures come
+    from one histogram of distinct values.
+
+    With an ``accuracy`` the quartiles are values of the group whose ranks are
+    off by at most ``n / accuracy`` (one aggregate of sketches), and the other
+    figures, exact for these quartiles, take one more pass over the rows;
+    nothing is ranked and no distinct value is counted.
+    """
+    keys, measured = _measured_groups(df, x, y, color, facet_row, facet_col)
+    probs, names = [0.25, 0.5, 0.75], ["q1", "median", "q3"]
+    if accuracy:
+        rows = df.select(*map(col, keys), num(measured).alias("x")).where(F.col("x").isNotNull())
+        q = sketched_quantiles(rows, keys, "x", probs, names, accuracy)
+        return _box_figures(attach_group_values(rows, q, keys), keys, F.lit(1))
+    hist = _histogram_of(df, keys, measured)
+    q = quantiles_of(hist, keys, probs, names, method).drop("n")
+    return _box_figures(attach_group_values(hist, q, keys), keys, F.col("w"))
+
+
 POINTS_PER_PASS = 50
 
 
+def _spread(sd: Column, iqr: Column) -> Column:
+    """The smaller of both, the other where one is 0, else 1."""
+    return F.when((sd > 0) & (iqr > 0), F.least(sd, iqr)).when(sd > 0, sd).when(iqr > 0, iqr).otherwise(F.lit(1.0))
+
+
 def kde_curves(df, keys: list[str], value: str, points: int = 100, span_bw: float = 2.0):
     """Gaussian kernel density per group on a regular grid (H8/H9 core).
 
@@ -282,13 +377,22 @@ def kde_curves(df, keys: list[str], value: str, points: int = 100, span_bw: floa
     st = attach_group_values(spread, q, keys)
     iqr = (F.col("__tl_q3") - F.col("__tl_q1")) / F.lit(1.349)
     sd = F.coalesce(F.sqrt(F.try_divide(F.col("__tl_ss"), F.col("n") - 1)), F.lit(0.0))
-    m = F.when((sd > 0) & (iqr > 0), F.least(sd, iqr)).when(sd > 0, sd).when(iqr > 0, iqr).otherwise(F.lit(1.0))
-    st = st.withColumn("bw", F.lit(1.059) * m * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    st = st.withColumn("bw", F.lit(1.059) * _spread(sd, iqr) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     st = st.select(*map(col, keys), "n", "bw", (F.col("__tl_lo") - F.lit(span_bw) * F.col("bw")).alias("grid_lo"), (
         (F.col("__tl_hi") - F.col("__tl_lo") + F.lit(2 * span_bw) * F.col("bw")) / F.lit(points - 1)).alias("grid_step"))
     j = attach_group_values(hist.select(*map(col, keys), "x", "w"), st, keys)
     j = materialize(j.select(*map(col, keys), "n", "bw", "grid_lo", "grid_step", "w", (
         (F.col("grid_lo") - x) / F.col("bw")).alias("u0"), (F.col("grid_step") / F.col("bw")).alias("du")))
+    return _curve_sums(j, keys, points)
+
+
+def _curve_sums(j: DataFrame, keys: list[str], points: int) -> DataFrame:
+    """Density at each grid point from weighted values: ``points`` sums of a partial aggregate, ``POINTS_PER_PASS`` a pass.
+
+    ``j`` holds n, bw, grid_lo, grid_step, w and, in units of the bandwidth,
+    the first grid point's distance from the value (u0) and the step (du).
+    """
+    w = F.col("w")
     norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
     parts = []
     for low in range(0, points, POINTS_PER_PASS):
@@ -304,20 +408,63 @@ def kde_curves(df, keys: list[str], value: str, points: int = 100, span_bw: floa
         (F.col("s") / norm).alias("density"))
 
 
-def chart_violin(df, x=None, y=None, color=None, facet_row=None, facet_col=None, points=100):
+def binned_curves(df, keys: list[str], value: str, points: int = 100, cells: int = 1024, span_bw: float = 2.0):
+    """The densities of :func:`kde_curves` from pre-binned weights, with ``error_bound``.
+
+    [min, max] of a group is cut into ``cells`` equal cells; a value gives its
+    two neighbouring nodes weights that add up to 1 (linear binning), and the
+    curve is the sum over at most ``cells + 1`` nodes.  A row costs two weights
+    instead of ``points`` exponentials, and two passes over the rows (figures,
+    weights) of partial aggregates are all that grows with the table.
+
+    The interquartile range is that of the nodes' weights, the bandwidth rule
+    the exact curve's.  For the bandwidth used, a point is off by at most
+    ``error_bound`` = h^2 / (8 sqrt(2 pi) bw^3), h being the cell's width.
+    """
+    rows = df.select(*map(col, keys), num(value).alias("x")).where(F.col("x").isNotNull())
+    by = [col(k) for k in keys]
+    figures = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("__tl_lo"), F.max("x").alias("__tl_hi"),
+                                    F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("__tl_sd"))
+    figures = materialize(figures.withColumn("__tl_h", (F.col("__tl_hi") - F.col("__tl_lo")) / F.lit(cells)))
+    j = attach_group_values(rows, figures.select(*by, "__tl_lo", "__tl_h"), keys)
+    place = F.when(F.col("__tl_h") > 0, (F.col("x") - F.col("__tl_lo")) / F.col("__tl_h")).otherwise(F.lit(0.0))
+    j = j.select(*by, place.alias("__tl_at")).withColumn("__tl_cell", F.least(F.floor("__tl_at"), F.lit(cells - 1)).cast("int"))
+    part = F.col("__tl_at") - F.col("__tl_cell")
+    shares = j.groupBy(*by, "__tl_cell").agg(F.sum(1 - part).alias("a"), F.sum(part).alias("b"))
+    ends = F.array(F.struct(F.col("__tl_cell").alias("node"), F.col("a").alias("w")), F.struct((F.col("__tl_cell") + 1).alias("node"), F.col("b").alias("w")))
+    nodes = materialize(shares.select(*by, F.inline(ends)).groupBy(*by, "node").agg(F.sum("w").alias("w")))
+    nodes = attach_group_values(nodes, figures, keys)
+    upto = F.sum("w").over(Window.partitionBy(*by).orderBy("node"))  # at most cells + 1 rows a group
+    q = lambda p: F.min(F.when(F.col("__tl_upto") >= F.col("n") * F.lit(p * (1 - 1e-9)), F.col("node")))
+    st = nodes.withColumn("__tl_upto", upto).groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in ("n", "__tl_lo", "__tl_hi", "__tl_sd", "__tl_h")], ((q(0.75) - q(0.25)) * F.first("__tl_h") / F.lit(1.349)).alias("__tl_iqr"))
+    st = st.withColumn("bw", F.lit(1.059) * _spread(F.col("__tl_sd"), F.col("__tl_iqr")) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+    st = materialize(st.select(*by, "n", "bw", "__tl_lo", "__tl_h", (F.col("__tl_lo") - F.lit(span_bw) * F.col("bw")).alias("grid_lo"), (
+        (F.col("__tl_hi") - F.col("__tl_lo") + F.lit(2 * span_bw) * F.col("bw")) / F.lit(points - 1)).alias("grid_step")))
+    j = attach_group_values(nodes.where("w > 0").select(*by, "node", "w"), st, keys)
+    x = F.col("__tl_lo") + F.col("node") * F.col("__tl_h")
+    j = j.select(*by, "n", "bw", "grid_lo", "grid_step", "w", ((F.col("grid_lo") - x) / F.col("bw")).alias("u0"), (F.col("grid_step") / F.col("bw")).alias("du"))
+    bound = st.select(*by, (F.col("__tl_h") * F.col("__tl_h") / (F.lit(8 * math.sqrt(2 * math.pi)) * F.pow("bw", F.lit(3.0)))).alias("error_bound"))
+    return attach_group_values(_curve_sums(materialize(j), keys, points), bound, keys)
+
+
+def chart_violin(df, x=None, y=None, color=None, facet_row=None, facet_col=None, points=100, cells=None):
     """H8: density curve per (facets, colour, category) group; a number X with
-    a text Y lies on its side."""
+    a text Y lies on its side.  Exact, or with ``cells`` from pre-binned
+    weights (:func:`binned_curves`)."""
     keys, measured = _measured_groups(df, x, y, color, facet_row, facet_col)
-    return kde_curves(df, keys, measured, points)
+    return binned_curves(df, keys, measured, points, cells) if cells else kde_curves(df, keys, measured, points)
 
 
-def chart_ridge(df, x, y=None, color=None, points=100):
+def chart_ridge(df, x, y=None, color=None, points=100, cells=None):
     """H9: one density curve of x per non-missing colour value (one curve when
-    colour is unset or "Нет"), and at each position Y if there is a Y."""
+    colour is unset or "Нет"), and at each position Y if there is a Y; ``cells``
+    as in :func:`chart_violin`."""
     x = _require(df, x, "X")
     c = _valid(df, color)
     keys = _columns(df, c, y)
-    return kde_curves(df.where(col(c).isNotNull()) if c else df, keys, x, points)
+    rows = df.where(col(c).isNotNull()) if c else df
+    return binned_curves(rows, keys, x, points, cells) if cells else kde_curves(rows, keys, x, points)
 
 
 def chart_pie_categorical(df, x):

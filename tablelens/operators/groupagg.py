@@ -4,9 +4,12 @@ Plan shape, chosen for skew: each metric is computed once per group with
 partial (map-side) aggregation, so a group holding a third of the rows
 costs no single task more than its share.  The small per-group table is
 materialized, its row count checked, and joined back to the rows by a
-broadcast when bounded, else by a shuffle join (AQE splits a skewed key).
-Medians come from counted distinct values, running sums from a segmented
-scan, so no metric gathers a whole group into one task.
+broadcast when bounded.  Beyond that, keys with more than a partition's share
+of the rows are counted exactly; there are fewer of them than partitions, so
+their group rows are broadcast and their rows never move, while the other rows
+take a shuffle join.  Medians come from counted distinct values (or, with an
+``accuracy``, from mergeable sketches), running sums from a segmented scan, so
+no metric gathers a whole group into one task.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.constants import EMPTY_SENTINEL, METRIC_ALIASES, NUMERIC_ONLY_METRICS
-from tablelens.operators.scan import group_quantiles, segmented_scan
-from tablelens.session import BROADCAST_MAX_ROWS, checked_broadcast
+from tablelens.operators.scan import group_quantiles, segmented_scan, sketched_quantiles
+from tablelens.session import BROADCAST_MAX_ROWS, checked_broadcast, default_parallelism, materialize
 from tablelens.sources.schema import (
     class_of_type,
     col,
@@ -77,10 +80,13 @@ def group_aggregate(
     exclude_zeros: bool = False,
     order_by: list[str] | None = None,
     broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+    accuracy: int | None = None,
 ) -> AggResult:
     """Keys x cols x metrics as new columns; row count never changes.
 
     ``order_by`` (unique within a group) defines row order for ``cumsum``.
+    Medians are exact, or with an ``accuracy`` a value whose rank is off by at
+    most 1 / ``accuracy`` of its group.
     Returns the frame, the added names, skipped ``(col, metric)`` pairs and
     unknown names.  Nothing chosen or nothing found -> frame unchanged.
     """
@@ -132,7 +138,9 @@ def group_aggregate(
                     agg_exprs.append(F.count(F.lit(1)).alias(out))
             elif m == "median":
                 x = _x_value(df, c, exclude_empty, exclude_zeros)
-                q = group_quantiles(df.select(*kcols, x.alias("__tl_v")), keys_f, "__tl_v", [0.5], names=[out])
+                values = df.select(*kcols, x.alias("__tl_v"))
+                q = (sketched_quantiles(values, keys_f, "__tl_v", [0.5], [out], accuracy) if accuracy
+                     else group_quantiles(values, keys_f, "__tl_v", [0.5], names=[out]))
                 side_tables.append(q.drop("n"))
             elif m == "nunique":
                 side_tables.append(_nunique_table(df, keys_f, c, is_num, exclude_empty, exclude_zeros, out))
@@ -184,19 +192,45 @@ def _join_groups(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def heavy_keys(df: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
+    """The keys (columns ``__tl_g0``, ...) of more rows than one of ``parts``
+    equal shares, counted exactly; fewer than ``parts`` rows by construction."""
+    parts = parts or default_parallelism(df.sparkSession)
+    counts = materialize(df.groupBy(*[col(k).alias(f"__tl_g{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__tl_n")))
+    total = counts.agg(F.sum("__tl_n")).first()[0] or 0
+    return counts.where(F.col("__tl_n") * parts > total).drop("__tl_n")
+
+
 def attach_group_values(df: DataFrame, groups: DataFrame, keys: list[str], broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Left-join a per-group table onto every row (null key matches null key).
 
     The group table is materialized first; it is broadcast only when its
-    exact row count is within ``broadcast_max_rows``.
+    exact row count is within ``broadcast_max_rows``.  Else rows of heavy keys
+    (:func:`heavy_keys`) meet their broadcast group rows where they lie, and
+    the others, none of which is heavy, shuffle.  No row moves by a salt, so a
+    task that runs again gives the same rows.
     """
     if not keys:  # one global row: equi-join on a constant key, not a cross join
         g, _ = checked_broadcast(groups.withColumn("__tl_g0", F.lit(0)), broadcast_max_rows)
         return df.withColumn("__tl_c0", F.lit(0)).join(g, F.col("__tl_c0") == F.col("__tl_g0"), "left").drop(
             "__tl_c0", "__tl_g0"
         )
-    g, _ = checked_broadcast(_rename_keys(groups, keys), broadcast_max_rows)
-    return df.join(g, _key_cond(keys), "left").drop(*[f"__tl_g{i}" for i in range(len(keys))])
+    names = [f"__tl_g{i}" for i in range(len(keys))]
+    g, small = checked_broadcast(_rename_keys(groups, keys), broadcast_max_rows)
+    if small:
+        return df.join(g, _key_cond(keys), "left").drop(*names)
+    heavy = materialize(heavy_keys(df, keys))  # fewer rows than there are partitions
+    if heavy.isEmpty():
+        return df.join(g, _key_cond(keys), "left").drop(*names)
+    same = None
+    for n in names:
+        c = F.col(n).eqNullSafe(F.col(f"{n}_heavy"))
+        same = c if same is None else same & c
+    known = heavy.withColumnsRenamed({n: f"{n}_heavy" for n in names})
+    theirs = known.join(g, same, "left").drop(*names).withColumnsRenamed({f"{n}_heavy": n for n in names})
+    stay = df.join(F.broadcast(theirs), _key_cond(keys), "inner").drop(*names)
+    move = df.join(F.broadcast(heavy), _key_cond(keys), "left_anti").join(g, _key_cond(keys), "left").drop(*names)
+    return stay.unionByName(move)
 
 
 def _nunique_table(df, keys, c, is_num, exclude_empty, exclude_zeros, out) -> DataFrame:

@@ -162,6 +162,36 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     return quantiles_of(value_histogram(df, list(keys), value), list(keys), probs, names, method)
 
 
+SKETCH_ACCURACY = 10_000
+
+
+def sketched_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str] | None = None,
+                       accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """Quantiles of ``value`` per group within a stated rank error, one row per
+    group, with ``n`` (its non-missing count).
+
+    One aggregate of mergeable sketches: tasks send a few thousand numbers a
+    group, whatever its rows.  Each result is a value of the group whose rank
+    is off by at most ``n / accuracy`` (see :func:`rank_error`; the sketch is
+    twice as fine, for the rounding to whole ranks); the quantiles 0 and 1 are
+    the least and greatest value.  A group without values is absent.
+    """
+    names = names or [f"q{i}" for i in range(len(probs))]
+    v = F.col(quote(value))
+    found = df.where(v.isNotNull()).groupBy(*[F.col(quote(k)) for k in keys]).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(v.cast("double"), F.array(*[F.lit(float(p)) for p in probs]), F.lit(2 * int(accuracy))).alias("__tl_q"))
+    if not keys:
+        found = found.where("n > 0")
+    return found.select(*[F.col(quote(k)) for k in keys], "n", *[F.col("__tl_q")[i].alias(c) for i, c in enumerate(names)])
+
+
+def rank_error(below: Column, upto: Column, n: Column, p: float) -> Column:
+    """How far, as a share of ``n``, the rank ``n p`` lies from a value that
+    has ``below`` smaller values and ``upto`` that are no greater."""
+    rank = n * F.lit(float(p))
+    return F.greatest(F.lit(0.0), (below - rank) / n, (rank - upto) / n)
+
+
 def dense_codes(df: DataFrame, value: str, order_by: str | None = None, out: str = "code") -> DataFrame:
     """Distinct non-null ``value``s with a dense 0-based code.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablelens.operators.binning import bin_column
+from tablelens.operators.binning import bin_column, compute_edges, edge_rank_errors
 from tablelens.plans.catalog import query, table
 
 
@@ -63,3 +63,16 @@ def q_bin_interval_labels(spark, sf):
     """Interval text labels of equal-count bins of the order total."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return bin_column(o, "o_totalprice", 4, method="count")
+
+
+@query("bin_equal_count_approx", """
+SELECT CAST(i AS INTEGER) AS edge, CASE WHEN i = 0 THEN lo WHEN i = 10 THEN hi END AS "end", TRUE AS within
+FROM (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, unnest(range(11)) AS i FROM orders)
+""")
+def q_bin_equal_count_approx(spark, sf):
+    """D2 from a sketch: ten bins, the true rank of every edge within 1 / 1000
+    of the rows, the outer edges exact."""
+    o = table(spark, sf, "orders").select("o_totalprice")
+    edges = compute_edges(o, "o_totalprice", 10, "count", accuracy=1000)
+    found = edge_rank_errors(o, "o_totalprice", edges, [i / 10 for i in range(11)])
+    return found.select("edge", F.when(F.col("edge").isin(0, 10), F.col("value")).alias("end"), (F.col("rank_error") <= 0.001).alias("within"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablelens.operators import charts as C
 from tablelens.operators.filters import FilterSpec, apply_filters
+from tablelens.operators.scan import rank_error
 from tablelens.plans.catalog import query, table
 
 
@@ -334,3 +335,103 @@ def q_ternary_bubble(spark, sf):
     t = C.chart_ternary(table(spark, sf, "lineitem"), "l_quantity", "l_discount", "l_tax", color="l_returnflag",
                         size="l_extendedprice", text="l_linestatus", hover=["l_orderkey", "no_such"], bubble=True)
     return t.withColumns({c: F.round(c, 8) for c in ("l_quantity_share", "l_discount_share", "l_tax_share")})
+
+
+def _binned_sql(tbl, key, val, points, cells):
+    return f"""WITH d AS (SELECT {key}, {val} AS v FROM {tbl} WHERE {val} IS NOT NULL),
+s0 AS (SELECT {key}, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / {cells} AS h FROM d GROUP BY {key}),
+c AS (SELECT d.{key}, (v - lo) / h AS pos, CAST(least(floor((v - lo) / h), {cells - 1}) AS INTEGER) AS cell FROM d JOIN s0 ON s0.{key} = d.{key}),
+w AS (SELECT {key}, node, sum(w) AS w FROM (SELECT {key}, cell AS node, 1 - (pos - cell) AS w FROM c
+      UNION ALL SELECT {key}, cell + 1, pos - cell FROM c) GROUP BY {key}, node),
+u AS (SELECT *, sum(w) OVER (PARTITION BY {key} ORDER BY node) AS upto FROM w),
+i AS (SELECT u.{key}, (min(CASE WHEN upto >= n * 0.75 * (1 - 1e-9) THEN node END) - min(CASE WHEN upto >= n * 0.25 * (1 - 1e-9) THEN node END))
+             * h / 1.349 AS iq FROM u JOIN s0 ON s0.{key} = u.{key} GROUP BY u.{key}, h),
+s AS (SELECT s0.*, 1.059 * CASE WHEN sd > 0 AND iq > 0 THEN least(sd, iq) WHEN sd > 0 THEN sd WHEN iq > 0 THEN iq ELSE 1.0 END
+             * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM s0 JOIN i ON i.{key} = s0.{key}),
+g AS (SELECT *, lo - 2.0 * bw AS glo, (hi - lo + 4.0 * bw) / {points - 1} AS gstep FROM s),
+p AS (SELECT g.*, CAST(unnest(range({points})) AS INTEGER) AS point FROM g)
+SELECT p.{key}, point, round(glo + point * gstep, 6) AS value,
+       round(sum(w * exp(-0.5 * pow((glo + point * gstep - (lo + node * h)) / bw, 2))) / (n * bw * {math.sqrt(2 * math.pi)!r}), 12) AS density,
+       round(h * h / ({8 * math.sqrt(2 * math.pi)!r} * pow(bw, 3)), 14) AS error_bound
+FROM p JOIN w ON w.{key} = p.{key} GROUP BY p.{key}, point, glo, gstep, n, bw, h"""
+
+
+@query("chart_violin_binned", _binned_sql("events", "event_type", "value", 100, 1024))
+def q_violin_binned(spark, sf):
+    """H8 from 1,024 cells a group: two weights a row instead of 100 exponentials."""
+    v = C.chart_violin(table(spark, sf, "events"), "event_type", "value", cells=1024)
+    return v.select("event_type", "point", F.round("value", 6).alias("value"), F.round("density", 12).alias("density"),
+                    F.round("error_bound", 14).alias("error_bound"))
+
+
+@query("chart_ridge_binned", _binned_sql("orders", "o_orderstatus", "o_totalprice", 100, 512))
+def q_ridge_binned(spark, sf):
+    """H9 from 512 cells a curve."""
+    v = C.chart_ridge(table(spark, sf, "orders"), "o_totalprice", color="o_orderstatus", cells=512)
+    return v.select("o_orderstatus", "point", F.round("value", 6).alias("value"), F.round("density", 12).alias("density"),
+                    F.round("error_bound", 14).alias("error_bound"))
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_suppkey"]
+
+
+def _capped_sql(cols, series, cap):
+    part = f"PARTITION BY {series} " if series else ""
+    key = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in _LINE)  # a few lines share a key: then by value
+    return f"""SELECT {cols} FROM (SELECT *, row_number() OVER ({part}ORDER BY md5({key}), {cols}) AS nth FROM lineitem) WHERE nth <= {cap}"""
+
+
+@query("chart_scatter_capped", _capped_sql("l_quantity, l_extendedprice, l_returnflag", "l_returnflag", 500))
+def q_scatter_capped(spark, sf):
+    """H1: at most 500 points a colour, those of least md5 of the row's key."""
+    return C.chart_scatter(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", color="l_returnflag", cap=500, cap_by=_LINE)
+
+
+@query("chart_scatter3d_capped", _capped_sql("l_quantity, l_extendedprice, l_discount", None, 1000))
+def q_scatter3d_capped(spark, sf):
+    """H2: at most 1,000 points of the whole table."""
+    return C.chart_scatter3d(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_discount", cap=1000, cap_by=_LINE)
+
+
+@query("chart_scatter_matrix_capped", _capped_sql("l_quantity, l_discount, l_tax, l_linestatus", "l_linestatus", 300))
+def q_scatter_matrix_capped(spark, sf):
+    """At most 300 rows a colour."""
+    return C.chart_scatter_matrix(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], color="l_linestatus", cap=300, cap_by=_LINE)
+
+
+_UNITS = ("day", "week", "month")
+_CALENDAR = " UNION ALL ".join(
+    f"""SELECT '{u}' AS unit, k.event_type, CAST(b.s AS TIMESTAMP) AS bin_start, CAST(b.s + INTERVAL 1 {u} AS TIMESTAMP) AS bin_end, coalesce(n, 0) AS count
+FROM (SELECT DISTINCT event_type FROM e) k
+CROSS JOIN (SELECT unnest(generate_series(lo, hi, INTERVAL 1 {u})) AS s FROM (SELECT date_trunc('{u}', min(ts)) AS lo, date_trunc('{u}', max(ts)) AS hi FROM e)) b
+LEFT JOIN (SELECT event_type, date_trunc('{u}', ts) AS s, count(*) AS n FROM e GROUP BY 1, 2) c ON c.event_type = k.event_type AND c.s = b.s"""
+    for u in _UNITS)
+
+
+@query("chart_histogram_calendar", f"WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type FROM events WHERE event_id % 3 <> 0 OR event_type <> 'click') {_CALENDAR}")
+def q_histogram_calendar(spark, sf):
+    """H6 by calendar: events by day, week and month per type, empty buckets as 0."""
+    e = table(spark, sf, "events").where("event_id % 3 <> 0 OR event_type <> 'click'")
+    parts = [C.chart_histogram_calendar(e, "ts", u, color="event_type").withColumn("unit", F.lit(u)) for u in _UNITS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("chart_box_approx", """
+SELECT o_orderpriority, count(o_totalprice) AS n, min(o_totalprice) AS "min", max(o_totalprice) AS "max", TRUE AS ranks_within, TRUE AS ordered
+FROM orders GROUP BY 1""")
+def q_box_approx(spark, sf):
+    """H7 from sketches: each quartile's true rank is within 1 / 1000 of the
+    group, and the figures lie in order."""
+    o = table(spark, sf, "orders")
+    b = C.chart_box(o, "o_orderpriority", "o_totalprice", accuracy=1000)
+    j = o.select("o_orderpriority", "o_totalprice").join(F.broadcast(b), "o_orderpriority")  # one row a priority
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    v = F.col("o_totalprice")
+    ranks = j.groupBy("o_orderpriority", "n", "min", "max", *probs, "lower_whisker", "upper_whisker").agg(
+        *[F.count(F.when(v < F.col(c), 1)).alias(f"{c}_b") for c in probs], *[F.count(F.when(v <= F.col(c), 1)).alias(f"{c}_u") for c in probs])
+    worst = F.greatest(*[rank_error(F.col(f"{c}_b"), F.col(f"{c}_u"), F.col("n"), p) for c, p in probs.items()])
+    ladder = [F.col(c) for c in ("min", "lower_whisker", "q1", "median", "q3", "upper_whisker", "max")]
+    ordered = F.lit(True)
+    for a, b2 in zip(ladder, ladder[1:]):
+        ordered &= a <= b2
+    return ranks.select("o_orderpriority", "n", "min", "max", (worst <= 0.001).alias("ranks_within"), ordered.alias("ordered"))

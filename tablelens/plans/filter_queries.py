@@ -12,6 +12,7 @@ from tablelens.operators.filters import (
     drop_missing_any,
     filter_domain_range,
     filter_domain_values,
+    filter_isin_long,
 )
 from tablelens.plans.catalog import query, table
 
@@ -133,3 +134,26 @@ def q_drop_missing_all(spark, sf):
         F.nullif("l_discount", F.lit(0.05)).alias("d"), F.nullif("l_tax", F.lit(0.0)).alias("t"),
     )
     return drop_missing_all(li, ["d", "t"])
+
+
+@query("filter_isin_long", """
+SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 250000)
+""")
+def q_filter_isin_long(spark, sf):
+    """B2 with a table of keys (most orders): one semi join behind the keys' range."""
+    keys = table(spark, sf, "orders").where("o_totalprice < 250000").select("o_orderkey")
+    return filter_isin_long(table(spark, sf, "lineitem"), "l_orderkey", keys).select(*_LI)
+
+
+@query("apply_filters_long", """
+SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, l_returnflag FROM lineitem
+WHERE l_quantity BETWEEN 5 AND 30 AND l_returnflag IN ('A', 'N')
+  AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 20) AND l_shipdate IN (SELECT DISTINCT o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT')
+""")
+def q_apply_filters_long(spark, sf):
+    """B4 where two of the filters are tables of keys: one pushed predicate, then semi joins."""
+    parts = table(spark, sf, "part").where("p_size > 20").select("p_partkey")
+    days = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderdate")
+    specs = [FilterSpec("l_quantity", [5, 30]), FilterSpec("l_returnflag", ["A", "N"]), FilterSpec("l_partkey", parts), FilterSpec("l_shipdate", days)]
+    return apply_filters(table(spark, sf, "lineitem"), specs).select(*_LI)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablelens.operators.groupagg import group_aggregate
+from tablelens.operators.scan import rank_error
 from tablelens.plans.catalog import query, table
 
 KEYS = ["rf", "l_linestatus"]
@@ -226,3 +227,31 @@ def q_group_aggregate(spark, sf):
     num = [c for c in r.added if not c.endswith("_count")]
     cnt = [c for c in r.added if c.endswith("_count")]
     return r.df.select(*ROW, *KEYS, "q", "d", *[F.round(c, 6).alias(c) for c in num], *cnt)
+
+
+_SKEW_SQL = """k AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity,
+                CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 AND l_linenumber = 1 THEN -1 ELSE l_orderkey * 10 + l_linenumber END AS k FROM lineitem)"""
+
+
+@query("group_mean_skewed", f"""WITH {_SKEW_SQL}
+SELECT *, round(avg(l_quantity) OVER w, 6) AS l_quantity_mean, count(l_quantity) OVER w AS l_quantity_count
+FROM k WINDOW w AS (PARTITION BY k)""")
+def q_group_mean_skewed(spark, sf):
+    """E1/E7 with as many groups as rows, a third of all rows in one (missing)
+    key and nothing small enough to broadcast."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    k = F.when(o % 3 == 0, F.lit(None)).when((o % 3 == 1) & (n == 1), F.lit(-1)).otherwise(o * 10 + n)
+    rows = table(spark, sf, "lineitem").select(*ROW, "l_quantity", k.alias("k"))
+    out = group_aggregate(rows, ["k"], ["l_quantity"], ["mean", "count"], broadcast_max_rows=0).df
+    return out.withColumn("l_quantity_mean", F.round("l_quantity_mean", 6))
+
+
+@query("group_median_approx", f"""WITH {BASE_SQL}
+SELECT rf, l_linestatus, count(d) AS n, TRUE AS within, count(*) AS n_rows FROM b GROUP BY 1, 2""")
+def q_group_median_approx(spark, sf):
+    """E2 from sketches: the true rank of each group's median, attached to its
+    rows, is within 1 / 1000 of the group."""
+    out = group_aggregate(_base(spark, sf), KEYS, ["d"], ["median"], accuracy=1000).df
+    ranks = out.groupBy(*KEYS).agg(F.count("d").alias("n"), F.count(F.when(F.col("d") < F.col("d_median"), 1)).alias("b"),
+                                   F.count(F.when(F.col("d") <= F.col("d_median"), 1)).alias("u"), F.count(F.lit(1)).alias("n_rows"))
+    return ranks.select(*KEYS, "n", (rank_error(F.col("b"), F.col("u"), F.col("n"), 0.5) <= 0.001).alias("within"), "n_rows")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablelens.functions.scalar import coerce_datetime, coerce_numeric
 from tablelens.plans.catalog import query, table
-from tablelens.sources.io import dataset_info, list_tables, load_named_table, load_table
+from tablelens.session import ensure_checkpoint_dir
+from tablelens.sources.io import dataset_info, export_dataset, export_files, list_tables, load_named_table, load_table, read_export
 from tablelens.sources.schema import force_text_by_pattern, select_existing
 
 
@@ -86,3 +89,24 @@ def q_force_text(spark, sf):
     """Columns whose name holds a pattern become text."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return force_text_by_pattern(o, ["PRICE"])
+
+
+@query("export_dataset", """
+SELECT o_orderstatus, count(*) AS n_rows, min(o_orderkey) AS least, max(o_orderkey) AS greatest, round(sum(o_totalprice), 2) AS total,
+       TRUE AS files_bounded, TRUE AS files_disjoint
+FROM orders GROUP BY 1
+""")
+def q_export(spark, sf):
+    """Orders written in ranges of the key, at most 5,000 rows a file, read
+    back, counted and hashed against the table; no file is larger, and the
+    files' key ranges do not overlap."""
+    folder = f"{ensure_checkpoint_dir(spark)}/exports-{uuid.uuid4().hex}"
+    path = export_dataset(table(spark, sf, "orders"), folder, "orders", sort_by=["o_orderkey"], rows_per_file=5_000, verify=True)
+    files = export_files(spark, path, "o_orderkey").agg(
+        (F.max("n_rows") <= 5_000).alias("files_bounded"),
+        F.array_sort(F.collect_list(F.struct("least", "greatest"))).alias("spans"))  # a row a file
+    follow = F.transform(F.sequence(F.lit(0), F.size("spans") - 2), lambda i: F.get("spans", i)["greatest"] < F.get("spans", i + 1)["least"])
+    files = files.select("files_bounded", F.when(F.size("spans") < 2, F.lit(True)).otherwise(F.forall(follow, lambda x: x)).alias("files_disjoint"))
+    found = read_export(spark, path).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("greatest"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return found.withColumn("one", F.lit(1)).join(F.broadcast(files.withColumn("one", F.lit(1))), "one").drop("one")  # one row

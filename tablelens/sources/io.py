@@ -104,19 +104,62 @@ def export_name(stem: str, sheet: str | None = None, ts: _dt.datetime | None = N
     return re.sub("[" + re.escape(UNSAFE_FILENAME_CHARS) + "]+", "_", name)
 
 
+EXPORT_ROWS = 5_000_000
+
+
+def content_mark(df: DataFrame) -> tuple[int, int]:
+    """(rows, sum of the rows' 64-bit hashes): equal for equal multisets of rows, whatever their order or files."""
+    names = [quote(c) for c in df.columns]
+    whole = F.xxhash64(*[F.to_json(F.struct(F.col(n))) if isinstance(f.dataType, (T.MapType,)) else F.col(n) for n, f in zip(names, df.schema.fields)])
+    rows, mark = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(whole.cast("decimal(38,0)")), F.lit(0))).first()
+    return int(rows), int(mark)
+
+
 def export_dataset(df: DataFrame | None, dest_dir: str | None, stem: str, sheet: str | None = None,
-                   ts: _dt.datetime | None = None, fmt: str = "parquet") -> str:
+                   ts: _dt.datetime | None = None, fmt: str = "parquet", sort_by=None, rows_per_file: int = EXPORT_ROWS,
+                   verify: bool = False) -> str:
     """Write the current table beside its source; never overwrite.
 
-    The write is distributed, one file per partition.
+    The write is distributed and no file holds more than ``rows_per_file``
+    rows.  With ``sort_by``, rows are cut into ranges of these columns, about
+    one a file, and sorted within, so a reader's filter on them skips files
+    (a value that fills more than a file spans several); else the table's own
+    partitions are kept, without a shuffle.  ``verify`` reads the files back
+    and compares the rows' number and hashes with the table's; CSV and JSON,
+    which don't keep types, are read with the table's schema.
     """
     if df is None:
         raise ValueError("nothing to export")
     if not dest_dir:
         raise ValueError("no source folder to export beside")
+    if rows_per_file < 1:
+        raise ValueError("rows_per_file must be at least 1")
     path = f"{dest_dir.rstrip('/')}/{export_name(stem, sheet, ts)}.{fmt}"
-    writer = df.write.mode("errorifexists")
+    expected = content_mark(df) if verify or sort_by else None
+    out = df
+    if sort_by:
+        columns = [F.col(quote(c)) for c in sort_by]
+        out = df.repartitionByRange(max(1, -(-expected[0] // rows_per_file)), *columns).sortWithinPartitions(*columns)
+    writer = out.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file)
     if fmt == "csv":
         writer = writer.option("header", "true")
     writer.format(fmt).save(path)
+    if verify:
+        found = content_mark(read_export(df.sparkSession, path, df.schema))
+        if found != expected:
+            raise RuntimeError(f"{path} holds {found[0]} rows, not the {expected[0]} exported ones, or others")
     return path
+
+
+def read_export(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """An exported table, CSV and JSON with the given schema."""
+    return load_table(spark, path, schema=None if _detect_format(path) in ("parquet", "orc") else schema)
+
+
+def export_files(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """Per file of an export: its rows and, of ``column``, the least and greatest value (one aggregate over that column)."""
+    f = F.input_file_name().alias("file")
+    if column is None:
+        return load_table(spark, path).select(f).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"))
+    c = F.col(quote(column)).alias("c")
+    return load_table(spark, path).select(f, c).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("c").alias("least"), F.max("c").alias("greatest"))
