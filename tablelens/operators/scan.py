@@ -6,8 +6,9 @@ rows are cut by the *full* ``(keys, order)`` tuple into as many ranges as
 there are shuffle partitions, at the quantiles of a random sample of
 ``SAMPLE_PER_RANGE`` rows a range; a hot key spans several ranges, whatever
 its values look like.  A row finds its range by binary search in a literal
-array of boundary tuples, so the number is a function of the row alone and
-the rows shuffle once, by ``(range, keys)``.  Windows run per segment, and a
+array of boundary tuples (or, where there are few, by comparing with each of
+them in generated code), so the number is a function of the row alone and the
+rows shuffle once, by ``(range, keys)``.  Windows run per segment, and a
 key that spans several ranges is corrected with the sums of its other
 segments.  A boundary splits at most one key, so there are fewer than two
 corrections per range.
@@ -22,6 +23,9 @@ The plan is the same for inputs of every size.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +35,21 @@ from tablelens.sources.schema import quote
 
 RANGE = "__tl_range"
 SAMPLE_PER_RANGE = 64
+FEW_BOUNDARIES = 64
+
+
+def _sql_literal(value, kind: T.DataType) -> str:
+    """``value`` as an SQL literal of the type ``kind`` (one expression is far quicker to build than hundreds of columns)."""
+    if value is None:
+        return f"CAST(NULL AS {kind.simpleString()})"
+    if isinstance(kind, T.ArrayType):
+        return f"CAST(array({', '.join(_sql_literal(v, kind.elementType) for v in value)}) AS {kind.simpleString()})"
+    if isinstance(kind, T.StructType):
+        fields = ", ".join(f"'f{i}', {_sql_literal(v, f.dataType)}" for i, (v, f) in enumerate(zip(value, kind.fields)))
+        return f"CAST(named_struct({fields}) AS {kind.simpleString()})"
+    data = bytes(value) if isinstance(kind, T.BinaryType) else str(value).encode()
+    text = f"X'{data.hex()}'"
+    return text if isinstance(kind, T.BinaryType) else f"CAST(CAST({text} AS STRING) AS {kind.simpleString()})"
 
 
 def range_number(df: DataFrame, cols: list[str], ranges: int) -> Column:
@@ -43,13 +62,17 @@ def range_number(df: DataFrame, cols: list[str], ranges: int) -> Column:
     sample = df.select(*plain, F.rand(42).alias("r")).orderBy("r").limit(SAMPLE_PER_RANGE * ranges).drop("r")
     types = [df.schema[c].dataType for c in cols]
     moment = (T.DateType, T.TimestampType, T.TimestampNTZType)  # to the driver and back as text, whatever its time zone
-    rows = sample.orderBy(*[F.col(f"c{i}").asc_nulls_first() for i in range(len(cols))]).select(
+    rows = sample.sortWithinPartitions(*[F.col(f"c{i}").asc_nulls_first() for i in range(len(cols))]).select(  # a limit's one partition
         *[F.col(f"c{i}").cast("string") if isinstance(t, moment) else F.col(f"c{i}") for i, t in enumerate(types)]).collect()
     picks = list(dict.fromkeys(rows[len(rows) * i // ranges] for i in range(1, ranges) if rows))
     if not picks:
         return F.lit(0)
-    bound = lambda r: F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(r, types))])
-    bounds, row = F.array(*[bound(r) for r in picks]), F.struct(*plain)
+    bound = lambda r: "named_struct(" + ", ".join(f"'c{i}', {_sql_literal(v, t)}" for i, (v, t) in enumerate(zip(r, types))) + ")"
+    row = F.struct(*plain)
+    if len(picks) <= FEW_BOUNDARIES:
+        this = "named_struct(" + ", ".join(f"'c{i}', {quote(c)}" for i, c in enumerate(cols)) + ")"
+        return F.expr(" + ".join(f"CAST({bound(r)} < {this} AS INT)" for r in picks))
+    bounds = F.expr(f"array({', '.join(map(bound, picks))})")
     strides = F.array(*[F.lit(1 << i) for i in reversed(range(len(picks).bit_length()))])
     fits = lambda n: (n <= len(picks)) & (F.element_at(bounds, F.least(n, F.lit(len(picks)))) < row)
     return F.aggregate(strides, F.lit(0), lambda n, stride: F.when(fits(n + stride), n + stride).otherwise(n))
@@ -138,20 +161,18 @@ def quantiles_of(hist: DataFrame, keys: list[str], probs: list[float], names: li
     at most ``2 * len(probs)`` values per group that hold a needed position
     are kept and interpolated linearly.
     """
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
     n, first, last = F.col("n"), F.col("before"), F.col("before") + F.col("w") - 1
+    at = [_position(n, float(p), method) for p in probs]
     holds = lambda h: (first <= h) & (h <= last)
-    low, high = (lambda p: F.floor(_position(n, p, method))), (lambda p: F.ceil(_position(n, p, method)))
-    kept = hist.where(F.exists(wanted, lambda p: holds(low(p)) | holds(high(p))))
-    e = kept.select("*", F.posexplode(wanted).alias("i", "p"))
+    held = functools.reduce(operator.or_, [holds(F.floor(h)) | holds(F.ceil(h)) for h in at])
+    # The partition's number keeps the condition above the columns it reads: pushed below, it would hold each of
+    # their expressions dozens of times and make a method too long to be compiled.
+    kept = hist.withColumn("__tl_part", F.spark_partition_id()).where(held & (F.col("__tl_part") >= 0))
     key_cols = [F.col(quote(k)) for k in keys]
-    h = _position(n, F.col("p"), method)
-    per = e.where(holds(low(F.col("p"))) | holds(high(F.col("p")))).groupBy(*key_cols, "i").agg(
-        F.max("n").alias("n"), F.max(F.when(holds(low(F.col("p"))), F.col("x"))).alias("lo"),
-        F.max(F.when(holds(high(F.col("p"))), F.col("x"))).alias("hi"), F.max(h - F.floor(h)).alias("f"),
-    ).withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("f"))
-    return per.groupBy(*key_cols).agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("i") == F.lit(i), F.col("q"))).alias(name) for i, name in enumerate(names)])
+    ends = [F.max(F.when(holds(side(h)), F.col("x"))).alias(f"__tl_{name}{i}") for i, h in enumerate(at) for name, side in (("lo", F.floor), ("hi", F.ceil))]
+    per = kept.groupBy(*key_cols).agg(F.max("n").alias("n"), *ends)
+    between = [F.col(f"__tl_lo{i}") + (F.col(f"__tl_hi{i}") - F.col(f"__tl_lo{i}")) * (h - F.floor(h)) for i, h in enumerate(at)]
+    return per.where("n IS NOT NULL").select(*key_cols, "n", *[q.alias(name) for q, name in zip(between, names)])
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str] | None = None,
