@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.llm.names import fresh, plain
 from tablelens.session import checked_broadcast, materialize
 
 WINDOW = 10
@@ -46,14 +47,14 @@ def words_of(text: Column) -> Column:
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
                  window: int = WINDOW) -> DataFrame:
-    """Distinct windows: ``win`` (array of words), ``win_len``, ``items`` (ids as strings)."""
-    words = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words"))
+    """Distinct windows: ``win`` (array of words), ``win_len``, ``items`` (structs of an id as string)."""
+    words = items.select(plain(id_col).cast("string").alias("item"), words_of(plain(text_col)).alias("words"))
     words = words.where(F.size("words") > 0)
     last = F.greatest(F.size("words") - window, F.lit(0))
     cut = words.select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     return (
         cut.select("item", F.slice("words", F.col("at") + 1, F.lit(window)).alias("win"))
-        .groupBy("win").agg(F.collect_set("item").alias("items"))
+        .groupBy("win").agg(F.collect_set(F.struct("item")).alias("items"))  # a struct holds a null id too
         .withColumn("win_len", F.size("win"))
     )
 
@@ -122,7 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The documents that contain a window: ``__hit_id``, ``__hit_h`` (xxhash64
     of the text), n_hit, n_items, items_sha256, one row per id and text."""
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    base = docs.select(plain(id_col).alias("__id"), plain(text_col).alias("__text"))
     words = base.select("__id", F.xxhash64("__text").alias("__h"), words_of(F.col("__text")).alias("words"))
     windows = item_windows(benchmark, item_col, item_text_col, window)
     return (
@@ -131,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         .agg(F.collect_set(F.struct("start", (F.col("start") + F.col("win_len")).alias("end"))).alias("spans"),
              F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
         .select("__hit_id", "__hit_h", _covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"))
+                F.sha2(F.concat_ws(",", F.array_sort(F.col("items.item"))), 256).alias("items_sha256"))
     )
 
 
@@ -143,14 +144,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and contaminated.
 
     Null and empty texts have no words and are never contaminated; an item
-    without words has no window.  Repeated rows each get their own result,
+    without words has no window; items of null id are one item, counted but
+    without text in the digest.  Repeated rows each get their own result,
     also when they share a doc_id with a different text (rows are matched by
     id *and* text hash).  Other columns of both inputs are ignored.  An empty
     benchmark contaminates nothing.
     """
     hits = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col, window, broadcast_windows)
-    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(_ANY_CASE_WORD)).cast("long")
-    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"), n_words.alias("n_words"))
+    n_words = F.regexp_count(F.coalesce(plain(text_col), F.lit("")), F.lit(_ANY_CASE_WORD)).cast("long")
+    rows = docs.select(plain(id_col).alias("__id"), F.xxhash64(plain(text_col)).alias("__h"), n_words.alias("n_words"))
     zero = F.lit(0).cast("long")
     return (
         rows.join(hits, F.col("__id").eqNullSafe(F.col("__hit_id")) & (F.col("__h") == F.col("__hit_h")), "left")
@@ -163,7 +165,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs``, all columns, in whose text no window of a benchmark item occurs."""
-    hits = contaminated(docs, benchmark, id_col, text_col, **options).select("__hit_id", "__hit_h")
-    hits, _ = checked_broadcast(hits, BROADCAST_HITS)
-    on = F.col(id_col).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_h"))
+    hit_id, hit_h = fresh(docs, "__hit_id", "__hit_h")
+    hits = contaminated(docs, benchmark, id_col, text_col, **options)
+    hits, _ = checked_broadcast(hits.select(F.col("__hit_id").alias(hit_id), F.col("__hit_h").alias(hit_h)), BROADCAST_HITS)
+    on = plain(id_col).eqNullSafe(F.col(hit_id)) & (F.xxhash64(plain(text_col)) == F.col(hit_h))
     return docs.join(hits, on, "left_anti")

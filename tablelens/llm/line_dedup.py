@@ -1,10 +1,12 @@
-"""Line dedup over repeated runs of lines.
+"""Line dedup over repeated chunks of lines.
 
-Every run of ``window`` lines (two) is a candidate, at every line, so whether
-it is found depends on its own lines alone and not on what stands around it.
-A run that occurs earlier (least id, then least place) goes; runs that follow
-each other line by line make up one removed chunk, so a passage of any length
-from ``window`` lines goes whole, after its bytes have been compared.
+A chunk's boundaries are defined by content: a rolling hash over the hashes of
+``window`` lines (two) is taken at every line, so whether a run is found depends
+on its own lines alone, however the lines around it shift.  Runs whose hash
+occurs earlier (least id, then least place) are seeds; seeds that follow each
+other line by line make up one chunk, which therefore reaches as far in both
+directions as the lines repeat, and a passage of any length from ``window``
+lines goes whole, after its bytes have been compared.
 
 1. One pass over the texts gives narrow rows (id, first line, 128-bit hash),
    one a line; partial aggregation finds repeated hashes and their first
@@ -13,8 +15,11 @@ from ``window`` lines goes whole, after its bytes have been compared.
 2. Byte comparison: for repeated hashes the least and the greatest byte
    string are aggregated; where they differ, the hash stands for several
    runs, and these are told apart by a digest of the bytes.
-3. Documents are joined with their lists of removed chunks.  The shuffle of
-   the documents serves steps 2 and 3.
+3. Documents are joined with their lists of removed chunks.
+
+Steps 2 and 3 concern only documents that have a repeated run.  Their ids (and
+lists) are broadcast if their exact size allows it, and no other text moves;
+beyond that the documents shuffle.
 """
 
 from __future__ import annotations
@@ -24,43 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.llm.names import fresh, plain
 from tablelens.llm.worker import free, slices
-from tablelens.session import materialize
+from tablelens.session import checked_broadcast, materialize
 
 WINDOW = 2
-MEAN_LINES = 2
-LEAST_LINES = 2
-MOST_LINES = 64
-
-
-def chunk_bounds(hashes: list[int], window: int = WINDOW, mean_lines: int = MEAN_LINES, least: int = LEAST_LINES,
-                 most: int = MOST_LINES) -> list[tuple[int, int]]:
-    """(first line, lines) of each chunk of a text with these 64-bit line hashes.
-
-    A chunk ends after a line where the rolling hash of the last ``window``
-    line hashes is divisible by ``mean_lines``, but not before ``least`` nor
-    after ``most`` lines; a rest shorter than ``least`` joins the chunk before.
-    """
-    out, first, roll = [], 0, 0
-    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
-    leaving = pow(base, window, 1 << 64)
-    for i, h in enumerate(hashes):
-        roll = (roll * base + h - (hashes[i - window] * leaving if i >= window else 0)) & mask
-        n = i + 1 - first
-        if n >= most or (n >= least and ((roll ^ (roll >> 29)) * base >> 32 & 0xFFFFFF) % mean_lines == 0):
-            out.append((first, n))
-            first = i + 1
-    if first < len(hashes):
-        rest = len(hashes) - first
-        if rest < least and out:
-            out[-1] = (out[-1][0], out[-1][1] + rest)
-        else:
-            out.append((first, rest))
-    return out
 
 
 def _chunks(base: DataFrame, window: int) -> DataFrame:
-    """Every run of ``window`` lines: id, h, first, hash (16 bytes)."""
+    """Every run of ``window`` lines: id, h, first, hash (16 bytes, rolling over the lines' hashes)."""
     id_type = base.schema["__id"].dataType.simpleString()
 
     def cut(batches):
@@ -71,11 +48,11 @@ def _chunks(base: DataFrame, window: int) -> DataFrame:
                 text = value.as_py()
                 if not text or "\n" not in text:
                     continue
-                parts = text.encode("utf-8", "surrogatepass").split(b"\n")
-                for at in range(len(parts) - window + 1):
+                lines = [xxhash.xxh3_128_digest(x) for x in text.encode("utf-8", "surrogatepass").split(b"\n")]
+                for at in range(len(lines) - window + 1):
                     rows.append(i)
                     first.append(at)
-                    digest.append(xxhash.xxh3_128_digest(b"\n".join(parts[at:at + window])))
+                    digest.append(xxhash.xxh3_128_digest(b"".join(lines[at:at + window])))
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__id").take(take), batch.column("__h").take(take), pa.array(first, pa.int32()),
@@ -114,8 +91,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     for name in (removed_lines, removed_chunks):
         if name in docs.columns:
             raise ValueError(f"{name!r} is already a column")
-    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__h", F.xxhash64(text_col))
-    base = keyed.select("__id", "__h", F.col(text_col).alias("__text"))
+    base = docs.select(plain(id_col).alias("__id"), F.xxhash64(plain(text_col)).alias("__h"), plain(text_col).alias("__text"))
     chunks = _chunks(base, window)  # cheaper to hash twice than to keep a row for every line
     place = F.struct("__id", "__h", "first")
     repeated = (  # repeated rows of one document have one place
@@ -124,11 +100,11 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
     found = materialize(chunks.join(repeated, "hash").select("__id", "__h", "first", "hash", "origin"))
     # Bytes of every occurrence of a repeated hash; equal unless two runs share a hash.
-    some = found.groupBy("__id", "__h").agg(F.collect_set(F.struct("first", "hash")).alias("c"))
-    texts = base.where(F.col("__text").contains("\n"))
-    d, s = texts.alias("d"), some.alias("s")
-    held = d.join(s, F.col("d.__id").eqNullSafe(F.col("s.__id")) & (F.col("d.__h") == F.col("s.__h")))
-    held = held.select("d.__id", "d.__h", _lines(F.col("__text")).alias("l"), F.explode("c").alias("c"))
+    some, _ = checked_broadcast(found.groupBy(F.col("__id").alias("__at_id"), F.col("__h").alias("__at_h")).agg(
+        F.collect_set(F.struct("first", "hash")).alias("c")))
+    here = F.col("__id").eqNullSafe(F.col("__at_id")) & (F.col("__h") == F.col("__at_h"))
+    held = base.where(F.col("__text").contains("\n")).join(some, here)
+    held = held.select("__id", "__h", _lines(F.col("__text")).alias("l"), F.explode("c").alias("c"))
     bytes_of = held.select(
         "__id", "__h", "c.first", "c.hash", F.array_join(F.slice("l", F.col("c.first") + 1, window), "\n").alias("bytes"))
     clash = materialize(
@@ -144,14 +120,15 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     step = F.dense_rank().over(Window.partitionBy("__id", "__h").orderBy("first"))
     joint = doomed.withColumn("run", F.col("first") - step).groupBy("__id", "__h", "run").agg(
         F.min("first").alias("a"), (F.max("first") + window).alias("b"))
-    spans = joint.groupBy(F.col("__id").alias("__gone_id"), F.col("__h").alias("__gone_h")).agg(
-        F.collect_list(F.struct("a", "b")).alias("__spans"))
-    joined = keyed.join(spans, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__h") == F.col("__gone_h")), "left")
-    gone = lambda i: F.exists("__spans", lambda s: (s["a"] <= i) & (i < s["b"]))
-    kept = F.array_join(F.filter(_lines(F.col(text_col)), lambda x, i: ~gone(i)), "\n")
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(kept)
-    count = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]).cast("long"))
+    gone_id, gone_h, gone = fresh(docs, "__gone_id", "__gone_h", "__spans")
+    spans, _ = checked_broadcast(joint.groupBy(F.col("__id").alias(gone_id), F.col("__h").alias(gone_h)).agg(
+        F.collect_list(F.struct("a", "b")).alias(gone)))
+    joined = docs.join(spans, plain(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(plain(text_col)) == F.col(gone_h)), "left")
+    lost = lambda i: F.exists(gone, lambda s: (s["a"] <= i) & (i < s["b"]))
+    kept = F.array_join(F.filter(_lines(plain(text_col)), lambda x, i: ~lost(i)), "\n")
+    text = F.when(F.col(gone).isNull(), plain(text_col)).otherwise(kept)
+    count = F.aggregate(gone, F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]).cast("long"))
     return joined.select(
-        *[text.alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
+        *[text.alias(text_col) if c == text_col else plain(c) for c in docs.columns],
         F.coalesce(count, F.lit(0).cast("long")).alias(removed_lines),
-        F.coalesce(F.size("__spans").cast("long"), F.lit(0).cast("long")).alias(removed_chunks))
+        F.coalesce(F.size(gone).cast("long"), F.lit(0).cast("long")).alias(removed_chunks))

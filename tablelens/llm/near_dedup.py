@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.components import components
 from tablelens.llm.features import buffers
+from tablelens.llm.names import fresh, plain
 from tablelens.llm.shingles import WORDS, counted, mixed, shingles, words_digest
 from tablelens.llm.worker import free, slices
 from tablelens.session import checked_broadcast, materialize
@@ -221,6 +222,12 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(text, np.arange(len(texts) + 1)), shingle, count
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """Every row once for each block (``mine``) of its bucket that holds an odd row, with its own block as ``other``."""
+    seekers = rows.where("odd").groupBy("band", "hash").agg(F.collect_set("block").alias("seekers"))  # n / BLOCK numbers at most
+    return rows.join(seekers, ["band", "hash"]).withColumn("other", F.col("block")).withColumn("mine", F.explode("seekers"))
+
+
 def _across_classes(shared: DataFrame, roots: DataFrame, nodes: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
     """Verified links between different classes that share a bucket.
 
@@ -244,7 +251,7 @@ def _across_classes(shared: DataFrame, roots: DataFrame, nodes: DataFrame, base:
     blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK).cast("long") - 1)
     keys, detail = ["band", "hash", "mine", "other"], ["node", "root", "weight", "bands", "sig", "odd"]
     odd = rows.where("odd").withColumn("mine", F.col("block")).withColumn("other", F.explode(blocks)).select(*keys, *detail)
-    every = rows.withColumn("other", F.col("block")).withColumn("mine", F.explode(blocks)).select(*keys, *detail)
+    every = _copies(rows).select(*[F.col(c).alias(c) for c in (*keys, *detail)])  # columns of their own
     least = least_estimate(threshold)
 
     def name(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -299,8 +306,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are all in one class (rows that repeat id and text are all ``kept`` or
     none is).  An empty table gives no rows.  Other columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h"),
-                       F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    base = docs.select(plain(id_col).alias("__id"), F.xxhash64(plain(text_col)).alias("__h"),
+                       F.coalesce(plain(text_col), F.lit("")).alias("__text"))
     rows = materialize(_signed(base))
     nodes = materialize(rows.groupBy("node").agg(
         F.min(F.struct("__id", "__h")).alias("rep"), F.count("*").alias("copies"),
@@ -330,11 +337,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Rows of ``docs``, all columns, with one row of each class left: its
     least id.  Of rows that repeat its id and text, any one stays."""
     classes = materialize(near_classes(docs, id_col, text_col, threshold).select("__id", "__h", "kept"))
-    gone = classes.where(~F.col("kept")).select(F.col("__id").alias("__gone_id"), F.col("__h").alias("__gone_h")).distinct()
+    of_id, of_h, gone_id, gone_h = fresh(docs, "__id", "__h", "__gone_id", "__gone_h")
+    gone = classes.where(~F.col("kept")).select(F.col("__id").alias(gone_id), F.col("__h").alias(gone_h)).distinct()
     gone, _ = checked_broadcast(gone, BROADCAST_ROWS)
-    keyed = docs.withColumn("__h", F.xxhash64(text_col)).withColumn("__id", F.col(id_col))
-    on = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__h") == F.col("__gone_h"))
-    left = keyed.join(gone, on, "left_anti")
+    keyed = docs.withColumn(of_h, F.xxhash64(plain(text_col))).withColumn(of_id, plain(id_col))
+    left = keyed.join(gone, F.col(of_id).eqNullSafe(F.col(gone_id)) & (F.col(of_h) == F.col(gone_h)), "left_anti")
     if classes.where("kept").groupBy("__id", "__h").agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count():
-        left = left.dropDuplicates(["__id", "__h"])
-    return left.select(*docs.columns)
+        left = left.dropDuplicates([of_id, of_h])
+    return left.select(*map(plain, docs.columns))

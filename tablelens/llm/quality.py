@@ -13,6 +13,7 @@ buckets' logits.  Only that table (4 bytes a bucket) is sent to executors.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +24,13 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tablelens.llm.features import Hasher
 from tablelens.llm.sampling import bounded_sample, held_out, within_bytes
-from tablelens.llm.worker import free, slices
+from tablelens.llm.worker import free, give_back, slices
 
 PER_CLASS = 3000
 TRAIN_BYTES = 40_000_000
 THRESHOLD = 0.3
 _HASHER = dict(bits=18, orders=(3, 4), words=True)
+_COUNT_BITS = 32 - _HASHER["bits"]
 
 
 @dataclass
@@ -43,20 +45,32 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 12, epochs: int = 6, rate: float = 0.5,
+def _packed(features: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, int]:
+    """Distinct buckets and their counts: four bytes a bucket, unless a count is too large for its bits."""
+    found, count = np.unique(features, return_counts=True)
+    if not len(count) or count.max() < 1 << _COUNT_BITS:
+        return (found.astype(np.uint32) << np.uint32(_COUNT_BITS)) | count.astype(np.uint32), None, int(count.sum())
+    return found, count, int(count.sum())
+
+
+def _unpacked(found: np.ndarray, count: np.ndarray | None, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their shares of the text."""
+    if count is None:
+        found, count = found >> np.uint32(_COUNT_BITS), found & np.uint32((1 << _COUNT_BITS) - 1)
+    return found, (count / max(1, total)).astype(np.float32)
+
+
+def train(texts: Iterable[str], labels: np.ndarray, dim: int = 12, epochs: int = 6, rate: float = 0.5,
           seed: int = 7) -> np.ndarray:
-    """Buckets x 2 class logits after SGD; the rows' order fixes the result."""
+    """Buckets x 2 class logits after SGD; the rows' order fixes the result.  Texts are hashed one by one and not held."""
     hasher, rng = Hasher(**_HASHER), np.random.default_rng(seed)
-    rows = []
-    for text in texts:
-        found, count = np.unique(hasher.row_features(text), return_counts=True)
-        rows.append((found, (count / max(1, count.sum())).astype(np.float32)))
+    rows = [_packed(hasher.row_features(text)) for text in texts]
     vectors = rng.uniform(-1 / dim, 1 / dim, (hasher.buckets, dim)).astype(np.float32)
     layer = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            found, share = rows[i]
+            found, share = _unpacked(*rows[i])
             step = rate * (1 - done / steps)
             done += 1
             if not len(found):
@@ -101,8 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows = sorted({(r["id"], r["text"], r["label"]) for b in batches for r in b.to_pylist()})
         kept = [rows[i] for i in np.random.default_rng(1).permutation(len(rows))]
         y = np.array([r[2] for r in kept], np.int64)
-        logits = train([r[1] for r in kept], y) if kept else np.zeros((Hasher(**_HASHER).buckets, 2))
+        del rows
+        kept.reverse()
+        logits = train((kept.pop()[1] for _ in range(len(kept))), y) if kept else np.zeros((Hasher(**_HASHER).buckets, 2))
         ones = int(y.sum())
+        give_back()
         yield pa.RecordBatch.from_arrays(
             [pa.array([(logits[:, 1] - logits[:, 0]).astype("<f4").tobytes()]), pa.array([len(y) - ones]), pa.array([ones])],
             names=["logits", "zeros", "ones"])

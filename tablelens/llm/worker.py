@@ -2,11 +2,15 @@
 
 Spark reuses Python workers from task to task and from operator to operator.
 What an operator keeps for its next task (a tokenizer with its word cache)
-would otherwise stay while another operator needs the memory.
+would otherwise stay while another operator needs the memory.  What is freed
+goes back to the system at once: an executor's limit counts what its idle
+workers hold.
 """
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
@@ -17,10 +21,17 @@ ROWS_AT_ONCE = 2000
 _kept: dict[Hashable, Any] = {}
 
 
+def give_back() -> None:
+    """Return freed memory (Arrow's and, on Linux, the allocator's) to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     """The object kept under ``key``, made now if another one (or none) is kept."""
     if key not in _kept:
-        _kept.clear()
+        free()
         _kept[key] = make()
     return _kept[key]
 
@@ -28,6 +39,7 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
 def free() -> None:
     """Drop what is kept; called by operators that keep nothing."""
     _kept.clear()
+    give_back()
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -35,3 +47,4 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Itera
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()

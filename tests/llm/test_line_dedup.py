@@ -2,41 +2,18 @@ from __future__ import annotations
 
 import hashlib
 
-import xxhash
 from pyspark.sql import functions as F
+from test_line_runs import plain
 
-from tablelens.llm.line_dedup import chunk_bounds, remove_repeated_chunks
+from tablelens.llm.line_dedup import remove_repeated_chunks
 from tablelens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
 def brute(rows):
-    """Kept text of each (id, text), by a dictionary of chunk bytes."""
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        lines = (text or "").encode().split(b"\n")
-        kept = []
-        bounds = chunk_bounds([xxhash.xxh3_64_intdigest(x) for x in lines]) if len(lines) > 1 else [(0, 1)]
-        for at, n in bounds:
-            chunk = b"\n".join(lines[at:at + n])
-            if n > 1 and chunk in seen:
-                continue
-            if n > 1:
-                seen.add(chunk)
-            kept += lines[at:at + n]
-        out[i] = b"\n".join(kept)
-    return out
-
-
-def test_chunks_cover_and_fall_into_step():
-    hashes = [xxhash.xxh3_64_intdigest(str(i)) for i in range(300)]
-    bounds = chunk_bounds(hashes)
-    assert [a for a, _ in bounds] == [0, *[a + n for a, n in bounds[:-1]]]
-    assert sum(n for _, n in bounds) == 300 and min(n for _, n in bounds) >= 2
-    shifted = chunk_bounds([1] + hashes)
-    ends = {a + n for a, n in bounds}
-    assert len(ends & {a + n - 1 for a, n in shifted}) > 0.9 * len(ends)
+    """Kept text of each (id, text) by the plain search for repeated runs."""
+    return {i: kept for i, (kept, _) in plain(rows).items()}
 
 
 def test_query_against_brute_force(spark):
@@ -50,6 +27,17 @@ def test_query_against_brute_force(spark):
     assert sum(r.removed_chunks for r in got.values()) > 0
 
 
+def test_documents_too_many_to_broadcast(spark, monkeypatch):
+    """Beyond the bounds of a broadcast the documents shuffle, with the same result."""
+    import tablelens.llm.line_dedup as m
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(str, remove_repeated_chunks(docs).collect()))
+    real = m.checked_broadcast
+    monkeypatch.setattr(m, "checked_broadcast", lambda x: real(x, 0))
+    assert sorted(map(str, remove_repeated_chunks(docs).collect())) == want
+
+
 def test_edge_cases(spark):
     two = "a first line\na second line"
     rows = [(1, two, 5), (2, two, 6), (2, two, 6), (3, None, 7), (4, "", 8), (5, "one line", 9), (6, "one line", 9),

@@ -110,3 +110,13 @@ def test_edge_cases(spark):
 def test_small_blocks_give_the_same_classes(spark, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)
     test_chains_and_open_buckets(spark)
+
+
+def test_rows_go_only_to_blocks_with_odd_rows(spark):
+    """One odd row in a bucket of 5,000: every member is copied once, not once a block."""
+    rows = spark.range(5000).selectExpr("1 as band", "7L as hash", "id = 77 as odd", "id % 5 as block")
+    copies = nd._copies(rows)
+    assert copies.count() == 5000 and {r.mine for r in copies.select("mine").distinct().collect()} == {77 % 5}
+    three = rows.withColumn("odd", rows.odd | (rows.block > 2))
+    assert nd._copies(three).count() == 3 * 5000
+    assert nd._copies(rows.withColumn("odd", rows.block < 0)).count() == 0
