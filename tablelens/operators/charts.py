@@ -91,7 +91,7 @@ def cap_rows(df: DataFrame, series: list[str], key: list[str], cap: int) -> Data
     hashed = df.withColumn("__tl_md5", digest).withColumn("__tl_share", F.conv(F.substring("__tl_md5", 1, 12), 16, 10).cast("double") / float(1 << 48))
     sizes = materialize(df.groupBy(*[col(c) for c in series]).agg(F.count(F.lit(1)).alias("__tl_n")))
     room = (F.lit(float(cap)) + 8 * math.sqrt(cap) + 16) / F.col("__tl_n")
-    sized = attach_group_values(hashed, sizes, series)
+    sized = attach_group_values(hashed, sizes, series, ready=True)
     near = sized.where(F.col("__tl_share") < room)
     found = materialize(near.groupBy(*[col(c).alias(n) for c, n in zip(series, names)], "__tl_n").agg(F.count(F.lit(1)).alias("__tl_found")))
     full = found.where(F.col("__tl_found") >= F.least(F.lit(cap), F.col("__tl_n"))).select(*names, F.lit(True).alias("__tl_full"))
@@ -392,17 +392,15 @@ def _curve_sums(j: DataFrame, keys: list[str], points: int) -> DataFrame:
     ``j`` holds n, bw, grid_lo, grid_step, w and, in units of the bandwidth,
     the first grid point's distance from the value (u0) and the step (du).
     """
-    w = F.col("w")
     norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
-    parts = []
+    carried, parts = ["n", "bw", "grid_lo", "grid_step"], []
     for low in range(0, points, POINTS_PER_PASS):
         at = range(low, min(points, low + POINTS_PER_PASS))
-        u = lambda i: F.col("u0") + F.lit(float(i)) * F.col("du")
-        sums = j.groupBy(*map(col, keys)).agg(
-            *[F.first(c).alias(c) for c in ("n", "bw", "grid_lo", "grid_step")],
-            *[F.sum(w * F.exp(-0.5 * u(i) * u(i))).alias(f"s{i}") for i in at])
-        cells = F.array(*[F.struct(F.lit(i).alias("point"), F.col(f"s{i}").alias("s")) for i in at])
-        parts.append(sums.select(*map(col, keys), "n", "bw", "grid_lo", "grid_step", F.inline(cells)))
+        u = [f"(u0 + {float(i)}D * du)" for i in at]
+        sums = j.groupBy(*map(col, keys)).agg(  # text, as hundreds of column objects take longer to build than to compute
+            *[F.first(c).alias(c) for c in carried], *[F.expr(f"sum(w * exp(-0.5D * {x} * {x}))").alias(f"s{i}") for i, x in zip(at, u)])
+        cells = ", ".join(f"named_struct('point', {i}, 's', s{i})" for i in at)
+        parts.append(sums.select(*map(col, keys), *carried, F.expr(f"inline(array({cells}))")))
     return functools.reduce(DataFrame.unionByName, parts).select(
         *map(col, keys), "point", (F.col("grid_lo") + F.col("point") * F.col("grid_step")).alias("value"),
         (F.col("s") / norm).alias("density"))
@@ -426,14 +424,14 @@ def binned_curves(df, keys: list[str], value: str, points: int = 100, cells: int
     figures = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("__tl_lo"), F.max("x").alias("__tl_hi"),
                                     F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("__tl_sd"))
     figures = materialize(figures.withColumn("__tl_h", (F.col("__tl_hi") - F.col("__tl_lo")) / F.lit(cells)))
-    j = attach_group_values(rows, figures.select(*by, "__tl_lo", "__tl_h"), keys)
+    j = attach_group_values(rows, figures.select(*by, "__tl_lo", "__tl_h"), keys, ready=True)
     place = F.when(F.col("__tl_h") > 0, (F.col("x") - F.col("__tl_lo")) / F.col("__tl_h")).otherwise(F.lit(0.0))
     j = j.select(*by, place.alias("__tl_at")).withColumn("__tl_cell", F.least(F.floor("__tl_at"), F.lit(cells - 1)).cast("int"))
     part = F.col("__tl_at") - F.col("__tl_cell")
     shares = j.groupBy(*by, "__tl_cell").agg(F.sum(1 - part).alias("a"), F.sum(part).alias("b"))
     ends = F.array(F.struct(F.col("__tl_cell").alias("node"), F.col("a").alias("w")), F.struct((F.col("__tl_cell") + 1).alias("node"), F.col("b").alias("w")))
     nodes = materialize(shares.select(*by, F.inline(ends)).groupBy(*by, "node").agg(F.sum("w").alias("w")))
-    nodes = attach_group_values(nodes, figures, keys)
+    nodes = attach_group_values(nodes, figures, keys, ready=True)
     upto = F.sum("w").over(Window.partitionBy(*by).orderBy("node"))  # at most cells + 1 rows a group
     q = lambda p: F.min(F.when(F.col("__tl_upto") >= F.col("n") * F.lit(p * (1 - 1e-9)), F.col("node")))
     st = nodes.withColumn("__tl_upto", upto).groupBy(*by).agg(
@@ -441,11 +439,11 @@ def binned_curves(df, keys: list[str], value: str, points: int = 100, cells: int
     st = st.withColumn("bw", F.lit(1.059) * _spread(F.col("__tl_sd"), F.col("__tl_iqr")) * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     st = materialize(st.select(*by, "n", "bw", "__tl_lo", "__tl_h", (F.col("__tl_lo") - F.lit(span_bw) * F.col("bw")).alias("grid_lo"), (
         (F.col("__tl_hi") - F.col("__tl_lo") + F.lit(2 * span_bw) * F.col("bw")) / F.lit(points - 1)).alias("grid_step")))
-    j = attach_group_values(nodes.where("w > 0").select(*by, "node", "w"), st, keys)
+    j = attach_group_values(nodes.where("w > 0").select(*by, "node", "w"), st, keys, ready=True)
     x = F.col("__tl_lo") + F.col("node") * F.col("__tl_h")
     j = j.select(*by, "n", "bw", "grid_lo", "grid_step", "w", ((F.col("grid_lo") - x) / F.col("bw")).alias("u0"), (F.col("grid_step") / F.col("bw")).alias("du"))
     bound = st.select(*by, (F.col("__tl_h") * F.col("__tl_h") / (F.lit(8 * math.sqrt(2 * math.pi)) * F.pow("bw", F.lit(3.0)))).alias("error_bound"))
-    return attach_group_values(_curve_sums(materialize(j), keys, points), bound, keys)
+    return attach_group_values(_curve_sums(materialize(j), keys, points), bound, keys, ready=True)
 
 
 def chart_violin(df, x=None, y=None, color=None, facet_row=None, facet_col=None, points=100, cells=None):

@@ -201,22 +201,23 @@ def heavy_keys(df: DataFrame, keys: list[str], parts: int | None = None) -> Data
     return counts.where(F.col("__tl_n") * parts > total).drop("__tl_n")
 
 
-def attach_group_values(df: DataFrame, groups: DataFrame, keys: list[str], broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def attach_group_values(df: DataFrame, groups: DataFrame, keys: list[str], broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                        ready: bool = False) -> DataFrame:
     """Left-join a per-group table onto every row (null key matches null key).
 
-    The group table is materialized first; it is broadcast only when its
+    The group table is materialized first, unless it is (``ready``); it is broadcast only when its
     exact row count is within ``broadcast_max_rows``.  Else rows of heavy keys
     (:func:`heavy_keys`) meet their broadcast group rows where they lie, and
     the others, none of which is heavy, shuffle.  No row moves by a salt, so a
     task that runs again gives the same rows.
     """
     if not keys:  # one global row: equi-join on a constant key, not a cross join
-        g, _ = checked_broadcast(groups.withColumn("__tl_g0", F.lit(0)), broadcast_max_rows)
+        g, _ = checked_broadcast(groups.withColumn("__tl_g0", F.lit(0)), broadcast_max_rows, ready=ready)
         return df.withColumn("__tl_c0", F.lit(0)).join(g, F.col("__tl_c0") == F.col("__tl_g0"), "left").drop(
             "__tl_c0", "__tl_g0"
         )
     names = [f"__tl_g{i}" for i in range(len(keys))]
-    g, small = checked_broadcast(_rename_keys(groups, keys), broadcast_max_rows)
+    g, small = checked_broadcast(_rename_keys(groups, keys), broadcast_max_rows, ready=ready)
     if small:
         return df.join(g, _key_cond(keys), "left").drop(*names)
     heavy = materialize(heavy_keys(df, keys))  # fewer rows than there are partitions

@@ -66,14 +66,14 @@ def _bytes_of(df: DataFrame):
     return total
 
 
-def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                      max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
-    """Materialize ``small`` and broadcast it only if its rows *and* bytes are bounded.
+def checked_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES,
+                      ready: bool = False) -> tuple[DataFrame, bool]:
+    """Materialize ``small`` (unless it is: ``ready``) and broadcast it only if its rows *and* bytes are bounded.
 
     Returns ``(frame, broadcasted)``.  Both figures come from the materialized
     data, so the check is exact, not an estimate.
     """
-    small = materialize(small)
+    small = small if ready else materialize(small)
     rows, size = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes_of(small)), F.lit(0))).first()
     if rows <= max_rows and size <= max_bytes:
         return F.broadcast(small), True
