@@ -24,8 +24,9 @@ _kept: dict[Hashable, Any] = {}
 def give_back() -> None:
     """Return freed memory (Arrow's and, on Linux, the allocator's) to the system."""
     pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
 
 
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
