@@ -153,7 +153,51 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
-@query("op11_turn_repair")
+# The least (cost, audit) of each state after each turn, with up to two inserts before it.
+REPAIR_SQL = r"""
+WITH RECURSIVE key AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+bytes AS (SELECT *, list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(substr(k, CAST(i AS INTEGER), 1)) AS BIGINT)) AS b FROM key),
+harm AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)),
+  lambda y, i: xor(y >> 1, CASE WHEN y & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END))), CAST(4294967295 AS BIGINT)) % 20 AS h FROM bytes),
+hurt AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(generate_series(1, CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM harm WHERE h <> 0),
+numbered AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS ended FROM hurt),
+r AS (SELECT *, substr(role, 1, 1) AS initial, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+  lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS following FROM numbered),
+counts AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+  count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE NOT blank AND NOT dup AND NOT ended) AS truncated,
+  count(*) FILTER (WHERE following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM r GROUP BY conv_id),
+takes(p, letter, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+due(p, q, due_role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+inserts AS (SELECT p, p AS q, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM due
+  UNION ALL SELECT p, q, 5, 'I', [due_role || ':'] FROM due
+  UNION ALL SELECT a.p, b.q, 10, 'II', [a.due_role || ':', b.due_role || ':'] FROM due a JOIN due b ON a.q = b.p),
+ways AS (SELECT conv_id, i, j.p, j.q, j.cost + 2 AS cost, j.audit || 'D' AS audit, j.lines FROM r, inserts j
+  UNION ALL SELECT conv_id, i, j.p, t.q, j.cost + CASE WHEN ended THEN 0 ELSE 5 END, j.audit || 'K', list_append(j.lines, role || ':' || text)
+  FROM r, inserts j JOIN takes t ON t.p = j.q WHERE NOT blank AND NOT dup AND t.letter = initial
+  UNION ALL SELECT conv_id, i, j.p, d.q, j.cost + CASE WHEN ended THEN 1 ELSE 6 END, j.audit || 'R', list_append(j.lines, d.due_role || ':' || text)
+  FROM r, inserts j JOIN due d ON d.p = j.q WHERE NOT blank AND NOT dup),
+best AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS p, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM counts
+  UNION ALL SELECT conv_id, i, p, cost, audit, lines FROM (
+    SELECT w.conv_id, w.i, w.q AS p, b.cost + w.cost AS cost, b.audit || w.audit AS audit, list_concat(b.lines, w.lines) AS lines,
+      row_number() OVER (PARTITION BY w.conv_id, w.q ORDER BY b.cost + w.cost, b.audit || w.audit) AS nth
+    FROM best b JOIN ways w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i = b.i + 1 AND w.p = b.p) WHERE nth = 1),
+ended AS (SELECT b.conv_id, b.cost + j.cost AS cost, b.audit || j.audit AS audit, list_concat(b.lines, j.lines) AS lines,
+  row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + j.cost, b.audit || j.audit) AS nth
+  FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.i JOIN inserts j ON j.p = b.p WHERE j.q IN (0, 3))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+  coalesce(sha256(array_to_string(lines, chr(10))), sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN (SELECT * FROM ended WHERE nth = 1) e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op11_turn_repair", REPAIR_SQL)
 def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every conversation, after its damage."""
     rows = table(spark, sf_dir, "conversations")

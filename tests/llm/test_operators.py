@@ -264,7 +264,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want, got = con.execute(SQL[name]).df(), QUERIES[name](spark, SF).toPandas()
     cols = sorted(want.columns)
