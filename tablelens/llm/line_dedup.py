@@ -17,9 +17,9 @@ lines goes whole, after its bytes have been compared.
    runs, and these are told apart by a digest of the bytes.
 3. Documents are joined with their lists of removed chunks.
 
-Steps 2 and 3 concern only documents that have a repeated run.  Their ids (and
-lists) are broadcast if their exact size allows it, and no other text moves;
-beyond that the documents shuffle.
+Steps 2 and 3 concern only documents that have a repeated run.  Their lists are
+broadcast if their exact size allows it, and no text moves; else their ids
+alone, and only their texts move; beyond that all documents shuffle.
 """
 
 from __future__ import annotations
@@ -100,11 +100,13 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
     found = materialize(chunks.join(repeated, "hash").select("__id", "__h", "first", "hash", "origin"))
     # Bytes of every occurrence of a repeated hash; equal unless two runs share a hash.
-    some, _ = checked_broadcast(found.groupBy(F.col("__id").alias("__at_id"), F.col("__h").alias("__at_h")).agg(
+    some, small = checked_broadcast(found.groupBy(F.col("__id").alias("__at_id"), F.col("__h").alias("__at_h")).agg(
         F.collect_set(F.struct("first", "hash")).alias("c")))
     here = F.col("__id").eqNullSafe(F.col("__at_id")) & (F.col("__h") == F.col("__at_h"))
-    held = base.where(F.col("__text").contains("\n")).join(some, here)
-    held = held.select("__id", "__h", _lines(F.col("__text")).alias("l"), F.explode("c").alias("c"))
+    held = base.where(F.col("__text").contains("\n"))
+    if not small:
+        held = held.join(checked_broadcast(some.select("__at_id", "__at_h"))[0], here, "left_semi")
+    held = held.join(some, here).select("__id", "__h", _lines(F.col("__text")).alias("l"), F.explode("c").alias("c"))
     bytes_of = held.select(
         "__id", "__h", "c.first", "c.hash", F.array_join(F.slice("l", F.col("c.first") + 1, window), "\n").alias("bytes"))
     clash = materialize(
@@ -121,9 +123,15 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     joint = doomed.withColumn("run", F.col("first") - step).groupBy("__id", "__h", "run").agg(
         F.min("first").alias("a"), (F.max("first") + window).alias("b"))
     gone_id, gone_h, gone = fresh(docs, "__gone_id", "__gone_h", "__spans")
-    spans, _ = checked_broadcast(joint.groupBy(F.col("__id").alias(gone_id), F.col("__h").alias(gone_h)).agg(
+    spans, small = checked_broadcast(joint.groupBy(F.col("__id").alias(gone_id), F.col("__h").alias(gone_h)).agg(
         F.collect_list(F.struct("a", "b")).alias(gone)))
-    joined = docs.join(spans, plain(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(plain(text_col)) == F.col(gone_h)), "left")
+    on = plain(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(plain(text_col)) == F.col(gone_h))
+    keys, few = (spans, False) if small else checked_broadcast(spans.select(gone_id, gone_h))
+    if few:  # the other documents stay where they are
+        rest = docs.join(keys, on, "left_anti").withColumn(gone, F.lit(None).cast(spans.schema[gone].dataType))
+        joined = docs.join(keys, on, "left_semi").join(spans, on, "left").drop(gone_id, gone_h).unionByName(rest)
+    else:
+        joined = docs.join(spans, on, "left")
     lost = lambda i: F.exists(gone, lambda s: (s["a"] <= i) & (i < s["b"]))
     kept = F.array_join(F.filter(_lines(plain(text_col)), lambda x, i: ~lost(i)), "\n")
     text = F.when(F.col(gone).isNull(), plain(text_col)).otherwise(kept)
