@@ -176,14 +176,14 @@ def add_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text",
     for name in (out, score):
         if name in docs.columns:
             raise ValueError(f"{name!r} is already a column")
-    at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField(out, StringType()), StructField(score, DoubleType())])
+    at, columns = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns) + 2)]  # any name passes through
+    fields = [StructField(n, f.dataType, f.nullable) for n, f in zip(columns, docs.schema.fields)]
+    schema = StructType([*fields, StructField(columns[-2], StringType()), StructField(columns[-1], DoubleType())])
 
     def run(batches):
         free()
         for batch in slices(batches):
             names, scores = model.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*batch.schema.names, out, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=columns)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*columns[:-2]).mapInArrow(run, schema).toDF(*docs.columns, out, score)

@@ -138,13 +138,13 @@ def add_scores(docs: DataFrame, model: QualityModel, text_col: str = "text", out
     """
     if out in docs.columns:
         raise ValueError(f"{out!r} is already a column")
-    at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
+    at, names = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns) + 1)]  # any name passes through
+    fields = [StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema.fields)]
 
     def run(batches):
         free()
         for batch in slices(batches):
             scores = model.score(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*names[:-1]).mapInArrow(run, StructType([*fields, StructField(names[-1], DoubleType())])).toDF(*docs.columns, out)
