@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablelens.llm import quality
 from tablelens.llm.decontam import drop_contaminated
 from tablelens.llm.line_dedup import remove_repeated_chunks
+from tablelens.llm.names import fresh, plain
 from tablelens.llm.near_dedup import drop_near_copies
 from tablelens.llm.packing import pack
 from tablelens.llm.registry import table
@@ -29,21 +30,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scores every whole text; a null or empty text has no features and gets the
     share of good labels as its score.
     """
-    score = _free("score", docs)
+    (score,) = fresh(docs, "score")
     scored = quality.add_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")), out=score)
-    return scored.where(F.col(score) >= quality.THRESHOLD).drop(score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*map(plain, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the multi-line chunks that an earlier document has; a
     document that is nothing but such chunks goes.  ``n_chars`` follows the text."""
-    lines, chunks = _free("removed_lines", docs), _free("removed_chunks", docs)
+    lines, chunks = fresh(docs, "removed_lines", "removed_chunks")
     left = remove_repeated_chunks(docs, removed_lines=lines, removed_chunks=chunks)
     left = left.where((F.col(lines) == 0) | (F.length("text") > 0))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col(lines) == 0, F.col("n_chars"))
                                .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return left.select(*docs.columns)
+    return left.select(*map(plain, docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,12 +74,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _free(name: str, docs: DataFrame) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what they hand on lies in the checkpoint folder."""
     docs = table(spark, sf_dir, "documents")
