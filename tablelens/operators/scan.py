@@ -35,6 +35,7 @@ from tablelens.sources.schema import quote
 
 RANGE = "__tl_range"
 SAMPLE_PER_RANGE = 64
+SAMPLED_FOR_ONE = 8
 FEW_BOUNDARIES = 64
 
 
@@ -54,15 +55,18 @@ def _sql_literal(value, kind: T.DataType) -> str:
 
 def range_number(df: DataFrame, cols: list[str], ranges: int) -> Column:
     """0 to ``ranges - 1``, never decreasing along ``cols`` (nulls first, NaN
-    last): the number of sampled boundaries below the row.  The driver gets
-    ``SAMPLE_PER_RANGE * ranges`` rows, in Spark's own order."""
+    last): the number of sampled boundaries below the row.  Rows are sampled
+    where they lie, about ``SAMPLE_PER_RANGE`` a range; one task sorts them, in
+    Spark's own order, and every ``SAMPLED_FOR_ONE``-th goes to the driver."""
     if ranges <= 1 or not cols:
         return F.lit(0)
     plain = [F.col(quote(c)).alias(f"c{i}") for i, c in enumerate(cols)]
-    sample = df.select(*plain, F.rand(42).alias("r")).orderBy("r").limit(SAMPLE_PER_RANGE * ranges).drop("r")
+    share = SAMPLE_PER_RANGE * ranges / max(1, df.count())
+    sample = df.select(*plain).where(F.rand(42) < share) if share < 1 else df.select(*plain)
     types = [df.schema[c].dataType for c in cols]
     moment = (T.DateType, T.TimestampType, T.TimestampNTZType)  # to the driver and back as text, whatever its time zone
-    rows = sample.sortWithinPartitions(*[F.col(f"c{i}").asc_nulls_first() for i in range(len(cols))]).select(  # a limit's one partition
+    ordered = sample.repartition(1).sortWithinPartitions(*[F.col(f"c{i}").asc_nulls_first() for i in range(len(cols))])
+    rows = ordered.withColumn("at", F.monotonically_increasing_id()).where(F.col("at") % SAMPLED_FOR_ONE == 0).select(
         *[F.col(f"c{i}").cast("string") if isinstance(t, moment) else F.col(f"c{i}") for i, t in enumerate(types)]).collect()
     picks = list(dict.fromkeys(rows[len(rows) * i // ranges] for i in range(1, ranges) if rows))
     if not picks:
