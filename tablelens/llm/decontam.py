@@ -14,7 +14,7 @@ where one of its windows occurs, word for word.
 4. The words at that place are compared with the window's, one by one.
 
 The window table is broadcast only if it has at most ``broadcast_windows``
-rows; a larger one is joined by a shuffle of words and places (AQE splits a
+rows and few enough bytes; a larger one is joined by a shuffle of words and places (AQE splits a
 word that is hot), and the places found return to their documents for the
 comparison.
 """
@@ -87,8 +87,7 @@ def find_windows(docs: DataFrame, windows: DataFrame, broadcast_windows: int = B
     ``start`` (word position, from 0), ``win_len`` and ``items``.
     """
     keys = [c for c in docs.columns if c != "words"]
-    windows = materialize(windows)
-    broadcast = windows.count() <= broadcast_windows
+    windows, broadcast = checked_broadcast(windows, broadcast_windows)  # by rows and bytes
     prefix = materialize(_rarest_first(windows, docs, broadcast))
     start = F.col("pos") - F.col("offset")
     same = F.slice("words", F.col("start") + 1, F.col("win_len")) == F.col("win")
