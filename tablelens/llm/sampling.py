@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RANGE = 1 << 40
+MOST_TEXTS = 50_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -25,21 +26,26 @@ def bounded_sample(rows: DataFrame, class_col: str, salt: Column, per_class: int
     return rows.where(take), totals
 
 
-def within_bytes(rows: DataFrame, class_col: str, id_col: str, text_col: str, most: int) -> DataFrame:
+def within_bytes(rows: DataFrame, class_col: str, id_col: str, text_col: str, most: int, most_texts: int = MOST_TEXTS) -> DataFrame:
     """The rows whose texts make up at most ``most`` bytes, before they are gathered in one task.
 
     All rows if they fit.  Else each class gets an equal part, and what small
     classes leave is dealt to the others; in hash order a text that does not
     fit is left out, not those after it.  A class keeps one text at least, its
     shortest, even if that one is longer than its part.  Only sizes come to
-    the driver (a number pair for each row of the sample).
+    the driver, of at most ``most_texts`` texts a class (those of least hash;
+    an id may stand for any number of texts).
     """
     key = F.xxhash64(id_col, text_col)
+    pairs = rows.select(F.col(class_col).alias("c"), key.alias("k"), F.octet_length(text_col).cast("long").alias("n")).distinct()
+    nth = F.row_number().over(Window.partitionBy("c").orderBy("k", "n"))
     sizes: dict = {}
-    for r in rows.select(F.col(class_col).alias("c"), key.alias("k"), F.octet_length(text_col).cast("long").alias("n")).distinct().collect():
+    for r in pairs.withColumn("nth", nth).where(F.col("nth") <= most_texts + 1).collect():
         sizes.setdefault(r["c"], []).append((r["k"], r["n"]))
+    whole = all(len(texts) <= most_texts for texts in sizes.values())
+    sizes = {c: sorted(texts)[:most_texts] for c, texts in sizes.items()}
     totals = {c: sum(n for _, n in texts) for c, texts in sizes.items()}
-    if sum(totals.values()) <= most:
+    if whole and sum(totals.values()) <= most:
         return rows
     kept, left = [], most
     for done, c in enumerate(sorted(sizes, key=lambda c: (totals[c], str(c)))):

@@ -44,3 +44,15 @@ def test_bytes_are_dealt_by_class(spark):
     got = within_bytes(df, "c", "id", "text", 30_100).collect()
     assert {r.id for r in got if r.c != "often"} == {1000, 2001}
     assert sum(len(r.text) for r in got if r.c == "often") == 15_000
+
+
+def test_an_id_of_very_many_texts_stays_bounded(spark):
+    from tablelens.llm.sampling import within_bytes
+
+    rows = spark.range(400).selectExpr("1L as id", "concat('text ', id) as text", "cast(id % 2 = 0 as int) as label")
+    rows = rows.unionByName(rows.limit(0)).unionByName(spark.createDataFrame([(2, "other", 7)], "id long, text string, label int"))
+    kept = within_bytes(rows, "label", "id", "text", 10**9, most_texts=30).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in kept} == {0: 30, 1: 30, 7: 1}
+    assert within_bytes(rows, "label", "id", "text", 10**9, most_texts=200).count() == 401
+    again = [sorted(r.text for r in within_bytes(x, "label", "id", "text", 10**9, 30).collect()) for x in (rows, rows.repartition(5))]
+    assert again[0] == again[1]
