@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tablelens.constants import CATEGORY_ORDERS, MAX_CORR_COLUMNS
-from tablelens.operators.scan import group_quantiles, segmented_scan
+from tablelens.operators.scan import group_quantiles, segmented_scan, sketched_quantiles
 from tablelens.sources.schema import col, is_categorical_by_name, needs_text_axis, num
 
 def rank_rows(df: DataFrame, sort_cols: list[str], out: str = "position") -> DataFrame:
@@ -23,14 +23,15 @@ def rank_rows(df: DataFrame, sort_cols: list[str], out: str = "position") -> Dat
 
 
 def order_categories(df: DataFrame, category: str, value: str | None = None, how: str = "total ascending",
-                     order_by: str | None = None) -> DataFrame:
+                     order_by: str | None = None, accuracy: int | None = None) -> DataFrame:
     """Categories of ``category`` ordered by ``how``.
 
     ``trace``: first appearance (``min(order_by)``, in that column's own type
     and order); ``category asc/desc``:
     by value; otherwise the named statistic of ``value`` per category
     (total = sum; geometric mean over positive values only), ties by
-    category.  Missing statistics sort last.  Returns
+    category.  With an ``accuracy`` a median is a value whose rank is off by at
+    most 1 / ``accuracy`` of its category.  Missing statistics sort last.  Returns
     ``(category, metric, position)``.
     """
     if how not in CATEGORY_ORDERS:
@@ -53,7 +54,9 @@ def order_categories(df: DataFrame, category: str, value: str | None = None, how
         raise ValueError(f"{how!r} needs a value column")
     v = num(value)
     if stat == "median":
-        g = group_quantiles(base.select(c, v.alias("__tl_v")), [category], "__tl_v", [0.5], names=["metric"]).drop("n")
+        values = base.select(c, v.alias("__tl_v"))
+        g = (sketched_quantiles(values, [category], "__tl_v", [0.5], ["metric"], accuracy) if accuracy
+             else group_quantiles(values, [category], "__tl_v", [0.5], names=["metric"])).drop("n")
         cats = base.select(c).distinct()
         g = cats.join(g, category, "left")
     else:

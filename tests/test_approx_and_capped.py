@@ -16,6 +16,7 @@ from tablelens.operators import charts as C
 from tablelens.operators.binning import bin_column, compute_edges, edge_rank_errors
 from tablelens.operators.filters import LONG_LIST, FilterSpec, apply_filters, filter_isin_long
 from tablelens.operators.groupagg import attach_group_values, group_aggregate, heavy_keys
+from tablelens.operators.order import order_categories
 from tablelens.operators.scan import sketched_quantiles
 from tablelens.sources import io
 
@@ -85,6 +86,14 @@ def test_approximate_medians_and_boxes(skewed):
         assert (b.lower_whisker, b.upper_whisker, b.outliers) == (min(inside), max(inside), len(v) - len(inside))
 
 
+def test_categories_by_approximate_medians(spark):
+    rows = [(f"c{k}", float(10 * k + i % 9), i) for k in range(6) for i in range(500)] + [("none", None, 0)]
+    df = spark.createDataFrame(rows, "k string, x double, i long")
+    for how in ("median ascending", "median descending"):
+        exact, near = ([r.k for r in order_categories(df, "k", "x", how, accuracy=a).orderBy("position").collect()] for a in (None, 100))
+        assert exact == near and near[-1] == "none"
+
+
 @pytest.mark.parametrize("cells", [64, 1024])
 def test_binned_density_is_within_its_bound(skewed, cells):
     """Against the exact sum over all values for the bandwidth used."""
