@@ -4,7 +4,7 @@ Inner product is turned into distance: with M the largest norm, data x become
 (x, sqrt(M^2 - |x|^2)) and queries (q, 0), so the nearest point has the largest
 product.  Then
 
-1. pivots: up to ``pivots`` vectors with the least hash of their components;
+1. pivots: the vectors with the least hash of their components;
 2. every vector joins the cell of its nearest pivot; a cell's summary is its
    size, its least and greatest distance to the pivot and the k+1 least ones;
 3. summaries bound each query's k-th distance from above
@@ -12,12 +12,15 @@ product.  Then
    (|q p| minus the cell's radius);
 4. neighbouring cells form groups, a group of many rows is cut into blocks,
    and a query goes only to the groups that the bounds cannot exclude;
-5. each (block, part of the queries) is solved by one exact integer product,
-   and the blocks' best k are merged.
+5. the queries of a group are dealt into parts, as many as their number calls
+   for, and a block is copied once for each part of its own group; each (block,
+   part) is solved by one exact integer product, and the blocks' best k are
+   merged.
 
 Of equal vectors only the k+1 smallest ids can be among a query's best, so
 the rest never leave the window that finds them.  The driver holds pivots and
-their summaries only (a fixed number).
+their summaries only: the square root of the rows, at least ``PIVOTS`` and at
+most ``MOST_PIVOTS``.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tablelens.session import materialize
 
-PIVOTS = 256
+PIVOTS, MOST_PIVOTS = 256, 4096
 LEAST_BLOCK, MOST_BLOCK = 512, 16_384
 QUERIES_AT_ONCE = 16_384
 
@@ -126,12 +129,12 @@ def _groups(space: _Space, size: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return group, np.maximum(1, np.ceil(total / rows)).astype(np.int64)
 
 
-def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    """Part of each query, by a mixed hash of its id, so ids with a common divisor spread too."""
+def part_of(ids: np.ndarray, parts: int | np.ndarray) -> np.ndarray:
+    """Part of each query (of ``parts``, a number or one a query), by a mixed hash of its id, so ids with a common divisor spread too."""
     x = ids.astype(np.int64).view(np.uint64)
     for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(factor)
-    return ((x >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return ((x >> np.uint64(32)) % np.asarray(parts, np.uint64)).astype(np.int64)
 
 
 def _best(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
@@ -157,7 +160,7 @@ def _best(data_ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries
         yield ids[row[keep]], data_ids[column[keep]], value[keep]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None = None) -> DataFrame:
     """For each query its ``k`` largest integer inner products with the rows
     of ``vectors`` of another id: query_id, rank (from 1), vec_id, score.
 
@@ -175,44 +178,58 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     if not n_data or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(dim, query_dim)
+    pivots = pivots or int(np.clip(np.sqrt(n_data), PIVOTS, MOST_PIVOTS))
     chosen = data.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
     space = _Space(np.array([r["v"] + [0] * (dim - len(r["v"])) for r in chosen], np.int64).reshape(len(chosen), dim), float(most))
     size, least, greatest, near = _summaries(data, space, dim, k)
     rows = int(np.clip(n_data // 128, LEAST_BLOCK, MOST_BLOCK))
     group, blocks = _groups(space, size, rows)
-    parts = -(-n_queries // QUERIES_AT_ONCE)
     slack = 1e-6 * (1 + np.sqrt(most))  # of floating point, in distances
 
+    def reached(batches):
+        """(batch of at most 1,024 queries, query number, group) for every group that the bounds cannot exclude."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                distance = space.to_pivots(_matrix(piece.column("v"), dim), query=True)
+                bounds = (distance[:, :, None] + near[None, :, :]).reshape(len(distance), -1)
+                kth = min(k, bounds.shape[1] - 1)
+                limit = np.partition(bounds, kth, axis=1)[:, kth] + slack  # of the k+1 nearest, one may be the query itself
+                gap = np.maximum(distance - greatest[None, :], least[None, :] - distance)
+                row, cell = np.nonzero((gap <= limit[:, None]) & (size > 0)[None, :])
+                yield piece, *np.unique(np.stack([row, group[cell]]), axis=1)
+
+    def count(batches):
+        total = np.zeros(len(blocks), np.int64)
+        for _, _, g in reached(batches):
+            total += np.bincount(g, minlength=len(blocks))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array(total)], names=["g", "n"])
+
+    parts = np.ones(len(blocks), np.int64)  # of each group's queries
+    for r in asked.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        parts[r["g"]] = max(1, -(-r["n"] // QUERIES_AT_ONCE))
+
     def deal_data(batches):
         for batch in batches:
             ids = batch.column("id").to_numpy()
             cells = space.to_pivots(_matrix(batch.column("v"), dim)).argmin(axis=1)
             g = group[cells]
             block = ids % blocks[g]
-            again = np.repeat(np.arange(len(ids)), parts)
-            part = np.tile(np.arange(parts), len(ids))
+            again = np.repeat(np.arange(len(ids)), parts[g])
+            part = np.arange(len(again)) - np.repeat(np.cumsum(parts[g]) - parts[g], parts[g])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(g[again]), pa.array(block[again]), pa.array(part), *(batch.column(c).take(pa.array(again)) for c in ("id", "v"))],
                 names=["g", "b", "p", "id", "v"])
 
     def deal_queries(batches):
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            for at in range(0, len(ids), 1024):
-                piece = batch.slice(at, 1024)
-                distance = space.to_pivots(_matrix(piece.column("v"), dim), query=True)
-                bounds = (distance[:, :, None] + near[None, :, :]).reshape(len(distance), -1)
-                kth = min(k, bounds.shape[1] - 1)
-                limit = np.partition(bounds, kth, axis=1)[:, kth] + slack  # of the k+1 nearest, one may be the query itself
-                gap = np.maximum(distance - greatest[None, :], least[None, :] - distance)
-                row, cell = np.nonzero((gap <= limit[:, None]) & (size > 0)[None, :])
-                row, g = np.unique(np.stack([row, group[cell]]), axis=1)
-                again = np.repeat(np.arange(len(row)), blocks[g])
-                block = np.arange(len(again)) - np.repeat(np.cumsum(blocks[g]) - blocks[g], blocks[g])
-                row, g = row[again], g[again]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g), pa.array(block), pa.array(part_of(ids[at:at + 1024], parts)[row]),
-                     *(piece.column(c).take(pa.array(row)) for c in ("id", "v"))], names=["g", "b", "p", "id", "v"])
+        for piece, row, g in reached(batches):
+            again = np.repeat(np.arange(len(row)), blocks[g])
+            block = np.arange(len(again)) - np.repeat(np.cumsum(blocks[g]) - blocks[g], blocks[g])
+            row, g = row[again], g[again]
+            ids = piece.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(g), pa.array(block), pa.array(part_of(ids[row], parts[g])),
+                 *(piece.column(c).take(pa.array(row)) for c in ("id", "v"))], names=["g", "b", "p", "id", "v"])
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
