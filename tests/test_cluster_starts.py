@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tablelens.operators import cluster as cl
+from tablelens.operators import silhouette
 from tablelens.operators.silhouette import euclidean_silhouettes
 
 
@@ -60,6 +61,39 @@ def test_no_row_is_copied_more_than_once_a_block(spark):
         euclidean_silhouettes(df, ["x", "y"], ["l"])[0], abs=1e-12)
 
 
+def clumps(rng, n):
+    """Points spread out, in a dense clump, on a line, and one far away."""
+    x = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(n)] + [(5 + 1e-6 * rng.gauss(0, 1), 5 + 1e-6 * rng.gauss(0, 1)) for _ in range(n // 2)]
+    return x + [(-3.0, rng.gauss(0, 2)) for _ in range(n // 4)] + [(60.0, -40.0)] + x[:30]
+
+
+def test_euclidean_silhouette_by_cells(spark):
+    rng = random.Random(27)
+    rows = [(*p, rng.choice(["a", "b", None]), int(p[0] > 0.3)) for p in clumps(rng, 400)]
+    df = spark.createDataFrame(rows, "x double, y double, l string, `m.n` int")
+    x = np.array([r[:2] for r in rows])
+    want = [brute_silhouette(x, [r[i] for r in rows]) for i in (2, 3)]
+    assert euclidean_silhouettes(df, ["x", "y"], ["l", "m.n"], block_rows=100, leaf_rows=32) == pytest.approx(want, abs=1e-11)
+
+
+def test_euclidean_silhouette_does_not_measure_every_pair(spark, monkeypatch):
+    """Four times the points: the distances that are measured grow about as the points do, not with their square."""
+    rng = random.Random(28)
+    measured = []
+    for n in (2000, 8000):
+        df = spark.createDataFrame([(rng.random(), rng.random(), rng.randint(0, 1)) for _ in range(n)], "x double, y double, l int")
+        pairs = spark.sparkContext.accumulator(0)
+
+        def counted(x, y, y_of, pairs=pairs):
+            pairs.add(len(x) * len(y))
+            return silhouette._block_sums(x, y, np.zeros((len(x), 0)), y_of, True)[0]
+
+        monkeypatch.setattr(silhouette, "_near_sums", counted)
+        euclidean_silhouettes(df, ["x", "y"], ["l"], block_rows=500, leaf_rows=64)
+        measured.append(pairs.value)
+    assert 0 < measured[0] < 2000**2 / 2 and measured[1] < 6 * measured[0]
+
+
 def features(spark, rows):
     return cl.cluster_features(spark.createDataFrame(rows, "a double, b double"), ["a", "b"])
 
