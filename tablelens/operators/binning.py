@@ -9,6 +9,8 @@ the lowest edge included, like interval labels ``(a, b]``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +42,11 @@ def dedupe_edges(edges) -> list[float]:
 
 
 def _shown(x: float, places: int) -> float:
-    """``x`` to ``places`` decimals; below 1 in size, to ``places`` significant digits."""
-    return float(format(x, f".{places}f" if abs(x) >= 1 else f".{places}g"))
+    """``x`` to ``places`` decimals, halves away from zero as in SQL's round; below 1 in size, to ``places`` significant digits."""
+    if abs(x) < 1:
+        return float(format(x, f".{places}g"))
+    scaled = abs(x) * 10.0**places
+    return math.copysign(math.floor(scaled + 0.5) / 10.0**places, x) if scaled < 2**52 else float(x)  # beyond: no such digits
 
 
 def interval_labels(edges: list[float], precision: int = 3) -> list[str]:

@@ -215,6 +215,12 @@ def test_interval_labels_direct():
     assert interval_labels(equal_width_edges(0.0, 10.0, 3)) == ["(-0.011, 3.333]", "(3.333, 6.667]", "(6.667, 10.0]"]
 
 
+def test_interval_labels_round_halves_away_from_zero():
+    """An edge halfway between two labels goes where SQL's round puts it, though its double lies a little below."""
+    assert interval_labels([902.36, 124760.2175, 249125.76]) == ["(902.359, 124760.218]", "(124760.218, 249125.76]"]
+    assert interval_labels([-7.5, -1.0005, 1.0005, 1e300]) == ["(-7.501, -1.001]", "(-1.001, 1.001]", "(1.001, 1e+300]"]
+
+
 def test_pie_binned_keeps_empty_bins(spark):
     df = spark.createDataFrame([(None if v is None else float(v),) for v in [1, 2, 2, 3, 10, None, 0]], "x double")
     rows = C.chart_pie_binned(df, "x", bins=3).collect()
